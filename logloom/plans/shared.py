@@ -2,9 +2,12 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; only where that is unset (local runs, tests) a temporary folder serves."""
@@ -20,8 +23,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/logloom-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of the actions inside go as soon as each action ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut and a lost executor costs nothing that was done."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
