@@ -1,9 +1,9 @@
 """Queries and oracles of this subpackage."""
 
-from logloom.llm import suffix_dedup
+from logloom.llm import simhash, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (suffix_dedup,):
+for _module in (suffix_dedup, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
