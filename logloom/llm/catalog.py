@@ -1,9 +1,9 @@
 """Queries and oracles of this subpackage."""
 
-from logloom.llm import decontaminate, simhash, suffix_dedup
+from logloom.llm import bpe, decontaminate, simhash, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (suffix_dedup, simhash, decontaminate):
+for _module in (suffix_dedup, simhash, decontaminate, bpe):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
