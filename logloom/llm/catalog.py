@@ -1,9 +1,9 @@
 """Queries and oracles of this subpackage."""
 
-from logloom.llm import bpe, decontaminate, simhash, suffix_dedup
+from logloom.llm import bpe, decontaminate, quality_classifier, simhash, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (suffix_dedup, simhash, decontaminate, bpe):
+for _module in (decontaminate, bpe, quality_classifier, suffix_dedup, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
