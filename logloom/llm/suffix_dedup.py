@@ -174,47 +174,52 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[opens].tolist(), e[np.append(opens[1:], len(s)) - 1].tolist()))
 
 
-def _cut(batches):
-    for batch in batches:
-        body, spans = batch.column("_body"), batch.column("spans")
-        at = np.asarray(spans.value_lengths().fill_null(0), np.int64).cumsum()
-        flat = spans.flatten()
-        start, stop = np.asarray(flat.field("start"), np.int64), np.asarray(flat.field("stop"), np.int64)
-        kept, removed = [], []
-        low = 0
-        for i, high in enumerate(at.tolist()):
-            b = body[i].as_py()
-            gone = merged(start[low:high], stop[low:high]) if high > low else []
-            edges = [0, *(x for g in gone for x in g), len(b)]
-            kept.append(b if not gone else [b[p:q] for p, q in zip(edges[::2], edges[1::2])])
-            removed.append([{"start": p, "stop": q} for p, q in gone])
-            low = high
-        pieces = [k if isinstance(k, list) else [k] for k in kept]
-        span_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_row"), pa.array(pieces, pa.list_(pa.binary())), pa.array(removed, span_type)], names=["_row", "kept_pieces", "removed"]
-        )
-
-
-def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without ``text_col``, plus ``kept_pieces`` (array of binary: what stays, in order) and ``removed``
+def _cut(as_text: bool):
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def rows(batches):
+        for batch in batches:
+            body, spans = batch.column("_body"), batch.column("spans")
+            at = np.asarray(spans.value_lengths().fill_null(0), np.int64).cumsum()
+            flat = spans.flatten()
+            start, stop = np.asarray(flat.field("start"), np.int64), np.asarray(flat.field("stop"), np.int64)
+            kept, removed = [], []
+            low = 0
+            for i, high in enumerate(at.tolist()):
+                b = body[i].as_py()
+                gone = merged(start[low:high], stop[low:high]) if high > low else []
+                edges = [0, *(x for g in gone for x in g), len(b)]
+                pieces = [b[p:q] for p, q in zip(edges[::2], edges[1::2])]
+                kept.append("".join(p.decode("utf-8", errors="ignore") for p in pieces) if as_text else pieces)
+                removed.append([{"start": p, "stop": q} for p, q in gone])
+                low = high
+            kept = pa.array(kept, pa.string()) if as_text else pa.array(kept, pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), kept, pa.array(removed, span_type)], names=["_row", "kept", "removed"])
+
+    return rows
+
+
+def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """``docs`` without ``text_col``, plus ``kept`` (array of binary: what stays, in order) and ``removed``
     (array of [start, stop) byte runs, maximal). A byte goes if a ``width``-byte string covers it that starts anywhere
     else in ``docs``; all occurrences go, as strings are judged on the input.
 
+    With ``as_text`` kept is one string; characters of which only a part stays are left out of it.
     Null texts count as empty; texts below ``width`` bytes are only kept. Rows that repeat whole are copies of each
     other. Ids may be null or repeat: a text is named by its id and a hash of its text. Other columns pass, whatever their names; only
-    columns called kept_pieces or removed give way to the results.
+    columns called kept or removed give way to the results.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    others = [c for c in docs.columns if c not in (text_col, "kept_pieces", "removed")]
+    others = [c for c in docs.columns if c not in (text_col, "kept", "removed")]
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.hash(text).alias("_hash"), text.cast("binary").alias("_body")
     )
     spans = repeated_spans(keyed.select("_id", "_hash", "_body"), width)
     joined = keyed.alias("b").join(spans.alias("f"), _same("b", "f"), "left").select("b._row", "b._body", "f.spans")
     row = joined.schema["_row"].dataType.simpleString()
-    cut = joined.mapInArrow(_cut, f"_row {row}, kept_pieces array<binary>, removed array<struct<start:int,stop:int>>")
-    return cut.select(*[F.col(f"_row.`{c}`") for c in others], "kept_pieces", "removed")
+    kind = "string" if as_text else "array<binary>"
+    cut = joined.mapInArrow(_cut(as_text), f"_row {row}, kept {kind}, removed array<struct<start:int,stop:int>>")
+    return cut.select(*[F.col(f"_row.`{c}`") for c in others], "kept", "removed")
 
 
 def query(spark, sf_dir):
@@ -222,7 +227,7 @@ def query(spark, sf_dir):
     from logloom.sources import load
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = F.aggregate("kept_pieces", F.lit(b""), lambda a, x: F.concat(a, x))
+    kept = F.aggregate("kept", F.lit(b""), lambda a, x: F.concat(a, x))
     gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
     out = remove_repeats(docs).select("doc_id", kept.alias("kept"), gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"))
     return out.select(

@@ -49,7 +49,7 @@ def check(spark, texts, width):
     got = {r.doc_id: r for r in S.remove_repeats(docs, width).collect()}
     for i, (n, gone, runs, kept) in enumerate(brute(texts, width)):
         r = got[i]
-        assert b"".join(r.kept_pieces) == kept, (i, texts[i])
+        assert b"".join(r.kept) == kept, (i, texts[i])
         assert sum(x.stop - x.start for x in r.removed) == gone and len(r.removed) == runs
 
 
@@ -69,7 +69,7 @@ def test_ids_null_or_repeated_extra_columns_and_no_rows(spark):
     t = "q" * 100 + "r" * 130
     rows = [(None, t, 1), (None, "only " * 3, 2), (7, t, 3), (7, t, 3), (7, "other", 4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, run int").withColumn("_body", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("_id", F.lit(3))
-    got = sorted((r.run, b"".join(r.kept_pieces)) for r in S.remove_repeats(docs).collect())
+    got = sorted((r.run, b"".join(r.kept)) for r in S.remove_repeats(docs).collect())
     assert got == [(1, b""), (2, b"only " * 3), (3, b""), (3, b""), (4, b"other")]
     assert S.remove_repeats(docs.limit(0)).collect() == []
 
