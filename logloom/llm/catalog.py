@@ -1,9 +1,9 @@
 """Queries and oracles of this subpackage."""
 
-from logloom.llm import bpe, decontaminate, quality_classifier, quality_rules, simhash, suffix_dedup
+from logloom.llm import bpe, decontaminate, language_id, quality_classifier, quality_rules, simhash, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (quality_rules, decontaminate, bpe, quality_classifier, suffix_dedup, simhash):
+for _module in (quality_rules, decontaminate, bpe, language_id, quality_classifier, suffix_dedup, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
