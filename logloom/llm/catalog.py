@@ -1,9 +1,20 @@
 """Queries and oracles of this subpackage."""
 
-from logloom.llm import bpe, decontaminate, html_extract, language_id, quality_classifier, quality_rules, simhash, suffix_dedup
+from logloom.llm import (
+    bpe,
+    decontaminate,
+    html_extract,
+    language_id,
+    license_scan,
+    quality_classifier,
+    quality_rules,
+    shards,
+    simhash,
+    suffix_dedup,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (html_extract, quality_rules, decontaminate, bpe, language_id, quality_classifier, suffix_dedup, simhash):
+for _module in (html_extract, license_scan, quality_rules, shards, decontaminate, bpe, language_id, quality_classifier, suffix_dedup, simhash):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
