@@ -9,7 +9,7 @@ def _register(module) -> None:
     ORACLES.update(module.ORACLES)
 
 
-from logloom.operators import blocks  # noqa: E402
+from logloom.operators import blocks, state  # noqa: E402
 
-for _module in (blocks,):
+for _module in (blocks, state):
     _register(_module)
