@@ -1,17 +1,51 @@
-"""Texts of Arrow batches as one byte buffer, in slices of bounded size."""
+"""Rows packed as structs, and their texts as byte buffers in slices of bounded size."""
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Bytes of an Arrow batch on its way to Python, where the session leaves Spark's default of 64 MB.
+BATCH_BYTES = 12_000_000
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark) -> None:
+    """Batches by bytes, so that long texts come a few at a time; a session that has chosen its own bound keeps it."""
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def packed(df: DataFrame, added: list[str], text_col: str) -> tuple[DataFrame, list[str], str]:
+    """``df`` as one struct column ``_row`` without columns that results will replace; the names in it and its type.
+
+    A struct passes whatever the names of its fields, and the text travels once.
+    """
+    names = [c for c in df.columns if c not in added]
+    if text_col not in names:
+        raise ValueError(f"no column {text_col}, or a result would replace it")
+    bound_batches(df.sparkSession)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    return rows, names, rows.schema["_row"].dataType.simpleString()
+
+
+def unpacked(df: DataFrame, names: list[str], added: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"_row.`{c}`") for c in names], *added)
+
+
+def texts_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The text column of packed rows; nulls as empty."""
+    return pc.fill_null(batch.column("_row").field(text_col), "")
 
 
 def slices(batches, names, body, limit: int = SLICE_BYTES):
-    """For each slice of rows: a dict of columns ``names``, the bytes of column ``body`` (binary, no nulls) as one array,
-    and the start and end of each row's bytes. A slice ends with the row that reaches ``limit``, so memory follows
-    ``limit`` or the longest text."""
+    """For each slice of rows: a dict of columns ``names``, the bytes of the texts as one array, and the start and end of
+    each row's bytes. ``body`` names a binary column without nulls, or is a function of the batch. A slice ends with the
+    row that reaches ``limit``, so memory follows ``limit`` or the longest text."""
     for batch in batches:
-        col = batch.column(body)
+        col = body(batch) if callable(body) else batch.column(body)
         if len(col) == 0:
             continue
         if not pa.types.is_binary(col.type):

@@ -12,16 +12,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.arrow_texts import packed, texts_of, unpacked
 from logloom.sources import load
 
 #: Fixed value: the public pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose new words are merged together, and words that a worker remembers.
 SLICE_BYTES = 12_000_000
+#: Bytes of text whose rows go out together.
+OUT_BYTES = 1_000_000
 REMEMBERED = 400_000
 _NONE = np.int32(2**31 - 1)
 
@@ -143,35 +147,88 @@ def decode(vocab: Vocabulary, ids) -> str:
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[i] .. starts[i] + sizes[i] - 1 of all i, in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class _Numbers(dict):
+    """Numbers words as they come, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, word):
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
+    """Remembers the tokens of words as one array; texts pass as arrays of word numbers."""
+
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known, self.pattern = vocab, {}, regex.compile(PATTERN)
+        self.vocab, self.pattern = vocab, regex.compile(PATTERN)
+        size = np.fromiter(map(len, vocab.tokens), np.int64, vocab.size)
+        self.token_bytes = np.frombuffer(b"".join(vocab.tokens), np.uint8)
+        self.token_size, self.token_start = size, np.cumsum(size) - size
+        self._forget()
+
+    def _forget(self):
+        self.numbers = _Numbers()
+        self.ids = np.zeros(0, np.int32)
+        self.start = self.size = np.zeros(0, np.int64)
 
     def pieces(self, text: str) -> list:
-        """Words of a text, and special tokens as their ids."""
-        if self.vocab.split is None:
-            return self.pattern.findall(text)
-        parts = self.vocab.split.split(text)
+        """Words of a text; a special token is a tuple of its id."""
+        split, special = self.vocab.split, self.vocab.special
+        parts = [text] if split is None else split.split(text)
         if len(parts) == 1:
             return self.pattern.findall(text)
-        return [x for p in parts for x in ([self.vocab.special[p]] if p in self.vocab.special else self.pattern.findall(p))]
+        return [x for p in parts for x in ([(special[p],)] if p in special else self.pattern.findall(p))]
+
+    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts in a row, and where each text ends. New words are merged, all at once."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        found = [np.array(list(map(self.numbers.__getitem__, self.pieces(t))), np.int32) for t in texts]
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            plain = iter(merge_words(self.vocab, [w.encode() for w in new if isinstance(w, str)]))
+            tokens = [next(plain) if isinstance(w, str) else w for w in new]
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(tokens), np.int32, int(size.sum())))
+        return (np.concatenate(found) if found else np.zeros(0, np.int32)), np.cumsum([len(f) for f in found], dtype=np.int64)
+
+    def tokens(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of texts given by word numbers, in a row, and where each text ends."""
+        size = self.size[numbers]
+        until = np.concatenate(([0], np.cumsum(size)))
+        return self.ids[_spread(self.start[numbers], size)], until[ends]
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts that token ids stand for."""
+        size = self.token_size[ids]
+        raw = self.token_bytes[_spread(self.token_start[ids], size)]
+        until = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], ends))]
+        binary = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(until.astype(np.int64)), pa.py_buffer(raw)])
+        try:
+            return binary.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # ids that end inside a character
+            return pa.array([b.decode("utf-8", errors="replace") for b in binary.to_pylist()], pa.string())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known and not isinstance(w, int)})
-        known.update(zip(new, merge_words(self.vocab, [w.encode() for w in new])))
-        for i in self.vocab.special.values():
-            known[i] = (i,)
-        return [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in split]
+        ids, ends = self.tokens(*self.number(texts))
+        return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
 
 
 _encoders: dict[int, Encoder] = {}
 
 
-def _rows(spec: str):
+def _rows(spec: str, text_col: str):
     def rows(batches):
         key = hash(spec)
         if key not in _encoders:
@@ -179,19 +236,25 @@ def _rows(spec: str):
             _encoders[key] = Encoder(Vocabulary(spec))
         encoder = _encoders[key]
         for batch in batches:
-            column = batch.column("_text")
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64).cumsum()
+            column = texts_of(batch, text_col)
+            sizes = np.asarray(pc.binary_length(column), np.int64).cumsum()
+
+            def until(low: int, limit: int) -> int:
+                return min(len(column), max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + limit))))
+
             low = 0
             while low < len(column):
-                base = sizes[low - 1] if low else 0
-                high = min(len(column), max(low + 1, int(np.searchsorted(sizes, base + SLICE_BYTES))))
-                ids = encoder.encode([t or "" for t in column.slice(low, high - low).to_pylist()])
-                for a in range(0, len(ids), 500):
-                    some = ids[a : a + 500]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("_row").slice(low + a, len(some)), pa.array(some, pa.list_(pa.int32())), pa.array([decode(encoder.vocab, i) for i in some], pa.string())],
-                        names=["_row", "ids", "decoded"],
-                    )
+                high = until(low, SLICE_BYTES)
+                numbers, ends = encoder.number(column.slice(low, high - low).to_pylist())
+                ends = np.concatenate(([0], ends))
+                a = low
+                while a < high:
+                    b = min(high, until(a, OUT_BYTES))
+                    base = ends[a - low]
+                    ids, at = encoder.tokens(numbers[base : ends[b - low]], ends[a - low + 1 : b - low + 1] - base)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], at)).astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([batch.column("_row").slice(a, b - a), lists, encoder.decoded(ids, at)], names=["_row", "ids", "decoded"])
+                    a = b
                 low = high
 
     return rows
@@ -206,11 +269,9 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text_col: str = "text")
     """
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = f.read()
-    names = [c for c in docs.columns if c not in ("ids", "decoded")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
-    row = packed.schema["_row"].dataType.simpleString()
-    out = packed.mapInArrow(_rows(spec), f"_row {row}, ids array<int>, decoded string")
-    return out.select(*[F.col(f"_row.`{c}`") for c in names], "ids", "decoded")
+    rows, names, row = packed(docs, ["ids", "decoded"], text_col)
+    out = rows.mapInArrow(_rows(spec, text_col), f"_row {row}, ids array<int>, decoded string")
+    return unpacked(out, names, ["ids", "decoded"])
 
 
 def public_vocabulary() -> str:

@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.arrow_texts import packed, texts_of, unpacked
 from logloom.llm.suffix_dedup import merged
 from logloom.plans import written
 from logloom.sources import load
@@ -67,34 +68,38 @@ def _union(ranges):
     return merged(np.array([r[0] for r in ranges]), np.array([r[1] for r in ranges])) if ranges else []
 
 
-def _pass(items):
+def _pass(items, text_col):
     def rows(batches):
         machine, numbers = automaton(items)
         for batch in batches:
             counts, found, ranges = [], [], []
-            for t, old_items, old_ranges in zip(batch.column("_text"), batch.column("items"), batch.column("hits")):
-                own = words(t.as_py() or "")
+            for t, old_items, old_ranges in zip(texts_of(batch, text_col), batch.column("items"), batch.column("hits")):
+                own = words(t.as_py())
                 who, where = scan(machine, numbers, own)
                 counts.append(len(own))
                 found.append(sorted(who | set(old_items.as_py() or ())))
                 ranges.append([{"start": a, "stop": b} for a, b in _union(where + [(x["start"], x["stop"]) for x in old_ranges.as_py() or ()])])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("_text"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(ranges, _RANGE)],
-                names=["_row", "_text", "n_words", "items", "hits"],
+                [batch.column("_row"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(ranges, _RANGE)],
+                names=["_row", "n_words", "items", "hits"],
             )
 
     return rows
 
 
-def _offsets(batches):
+def _offsets(text_col):
     """Adds the character offsets of hit ranges; texts without hits are not read."""
-    for batch in batches:
-        spans = []
-        for t, hits in zip(batch.column("_text"), batch.column("hits")):
-            hits = hits.as_py()
-            at = [m.span() for m in _WORD.finditer(t.as_py())] if hits else []
-            spans.append([{"start": at[h["start"]][0], "stop": at[h["stop"] - 1][1]} for h in hits])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _RANGE)], names=[*batch.schema.names, "hit_spans"])
+
+    def rows(batches):
+        for batch in batches:
+            spans = []
+            for t, hits in zip(texts_of(batch, text_col), batch.column("hits")):
+                hits = hits.as_py()
+                at = [m.span() for m in _WORD.finditer(t.as_py())] if hits else []
+                spans.append([{"start": at[h["start"]][0], "stop": at[h["stop"] - 1][1]} for h in hits])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _RANGE)], names=[*batch.schema.names, "hit_spans"])
+
+    return rows
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
@@ -115,18 +120,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     benchmark finds nothing. Repeated items and rows change nothing. Input columns of the names above give way.
     """
     added = ["n_words", "items", "hits", "hit_spans", "n_hit"]
-    names = [c for c in docs.columns if c not in added]
-    kept = [F.col(f"`{c}`") for c in names]
-    now = docs.select(
-        F.struct(*kept).alias("_row"), F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("n_words"),
+    rows, names, _ = packed(docs, added, text_col)
+    now = rows.select(
+        "_row", F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<bigint>").alias("items"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("hits"),
     )
     schema = now.schema
     for i, items in enumerate(_blocks(benchmark, item_id, item_text)):
-        now = (now if i == 0 else written(now, "decontaminate")).mapInArrow(_pass(items), schema)
-    spans = now.mapInArrow(_offsets, schema.simpleString()[7:-1] + ",hit_spans:array<struct<start:bigint,stop:bigint>>")
+        now = (now if i == 0 else written(now, "decontaminate")).mapInArrow(_pass(items, text_col), schema)
+    spans = now.mapInArrow(_offsets(text_col), schema.simpleString()[7:-1] + ",hit_spans:array<struct<start:bigint,stop:bigint>>")
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
-    return spans.select(*[F.col(f"_row.`{c}`") for c in names], "n_words", "items", "hits", "hit_spans", n_hit.alias("n_hit"))
+    return unpacked(spans.withColumn("n_hit", n_hit), names, added)
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

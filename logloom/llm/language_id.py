@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.arrow_texts import packed, texts_of, unpacked
 from logloom.llm.samples import TRAIN_TEXT_BYTES, fold, per_class
 from logloom.sources import load
 
@@ -119,10 +120,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(r[1], r[2]) for r in mixed])
 
 
-def _predicted(model: Model | None):
+def _predicted(model: Model | None, text_col: str):
     def rows(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = texts_of(batch, text_col).to_pylist()
             has = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if model else []
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             for a in range(0, len(has), BATCH):
@@ -139,10 +140,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """``docs`` plus lang_pred and score (0..1); und with 0 for texts that are null or have no letter, and for all texts
     if there was nothing to learn from. Input columns of these names give way; the model (a few MB, bounded by the
     landmark numbers) travels with the tasks and nothing is shuffled."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
-    out = packed.mapInArrow(_predicted(model), f"_row {packed.schema['_row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*[F.col(f"_row.`{c}`") for c in names], "lang_pred", "score")
+    rows, names, row = packed(docs, ["lang_pred", "score"], text_col)
+    out = rows.mapInArrow(_predicted(model, text_col), f"_row {row}, lang_pred string, score double")
+    return unpacked(out, names, ["lang_pred", "score"])
 
 
 def query(spark, sf_dir):

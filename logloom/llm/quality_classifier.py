@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import byte_convnet
-from logloom.llm.arrow_texts import slices
+from logloom.llm.arrow_texts import packed, slices, texts_of, unpacked
 from logloom.llm.samples import TRAIN_TEXT_BYTES, fold, per_class
 from logloom.sources import load
 
@@ -37,9 +37,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return byte_convnet.fit([r[2].encode() for r in rows], y, epochs=epochs, batch=BATCH, rate=0.005, balance=0.0)
 
 
-def _scored(net):
+def _scored(net, text_col):
     def rows(batches):
-        for cols, buf, starts, ends in slices(batches, ["_row"], "_body"):
+        for cols, buf, starts, ends in slices(batches, ["_row"], lambda b: texts_of(b, text_col)):
             texts = [buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
             logit = byte_convnet.score(net, texts).astype(np.float64)
             yield pa.RecordBatch.from_arrays([cols["_row"], pa.array(1 / (1 + np.exp(-logit)))], names=["_row", "score"])
@@ -50,10 +50,8 @@ def _scored(net):
 def score(docs: DataFrame, net: byte_convnet.Net, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``score`` in 0..1 (an input column of that name gives way). Every byte of every text is read; null
     texts count as empty. The network is a few dozen kilobytes and travels with the tasks; nothing is shuffled."""
-    names = [c for c in docs.columns if c != "score"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_body"))
-    out = packed.mapInArrow(_scored(net), f"_row {packed.schema['_row'].dataType.simpleString()}, score double")
-    return out.select(*[F.col(f"_row.`{c}`") for c in names], "score")
+    rows, names, row = packed(docs, ["score"], text_col)
+    return unpacked(rows.mapInArrow(_scored(net, text_col), f"_row {row}, score double"), names, ["score"])
 
 
 def query(spark, sf_dir):

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.arrow_texts import packed, texts_of, unpacked
 from logloom.sources import load
 
 SAMPLE_ROWS = 400
@@ -169,11 +170,11 @@ def ordered(rules, cost: np.ndarray, no: np.ndarray) -> list:
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _judged(rules):
+def _judged(rules, text_col):
     def rows(batches):
         for batch in batches:
             cols = {n: [] for n in [*_BASE, "base_failed", "kept", "n_rules_run"]}
-            for text in batch.column("_text"):
+            for text in texts_of(batch, text_col):
                 t = Text(text.as_py())
                 for n in [*_BASE, "base_failed"]:
                     cols[n].append(getattr(t, n))
@@ -199,11 +200,10 @@ def judge(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     without any rule; the cascade sees the rest. Input columns of these names give way.
     """
     added = [*_BASE, "base_failed", "kept", "n_rules_run"]
-    names = [c for c in docs.columns if c not in added]
+    rows, names, row = packed(docs, added, text_col)
     order = ordered(rules, *estimate(docs, rules, text_col))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
-    schema = f"_row {packed.schema['_row'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in _BASE) + ", base_failed boolean, kept boolean, n_rules_run int"
-    return packed.mapInArrow(_judged(order), schema).select(*[F.col(f"_row.`{c}`") for c in names], *added)
+    schema = f"_row {row}, " + ", ".join(f"{n} bigint" for n in _BASE) + ", base_failed boolean, kept boolean, n_rules_run int"
+    return unpacked(rows.mapInArrow(_judged(order, text_col), schema), names, added)
 
 
 def query(spark, sf_dir):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.arrow_texts import slices
+from logloom.llm.arrow_texts import bound_batches, slices
 from logloom.llm.window_digits import window_runs
 from logloom.plans import written
 
@@ -211,6 +211,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     others = [c for c in docs.columns if c not in (text_col, "kept", "removed")]
+    bound_batches(docs.sparkSession)
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.hash(text).alias("_hash"), text.cast("binary").alias("_body")
     )
