@@ -9,7 +9,7 @@ def _register(module) -> None:
     ORACLES.update(module.ORACLES)
 
 
-from logloom.operators import blocks, chunks, sessions, state  # noqa: E402
+from logloom.operators import blocks, chunks, report, sessions, state  # noqa: E402
 
-for _module in (blocks, sessions, chunks, state):
+for _module in (blocks, sessions, chunks, state, report):
     _register(_module)
