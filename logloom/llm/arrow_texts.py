@@ -6,7 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 #: Bytes of an Arrow batch on its way to Python, where the session leaves Spark's default of 64 MB.
 BATCH_BYTES = 12_000_000
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -40,6 +40,18 @@ def texts_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
     return pc.fill_null(batch.column("_row").field(text_col), "")
 
 
+def released(rows):
+    """``rows``, giving freed Arrow memory back when a task ends, as workers live on."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def slices(batches, names, body, limit: int = SLICE_BYTES):
     """For each slice of rows: a dict of columns ``names``, the bytes of the texts as one array, and the start and end of
     each row's bytes. ``body`` names a binary column without nulls, or is a function of the batch. A slice ends with the

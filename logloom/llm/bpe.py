@@ -17,16 +17,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.arrow_texts import packed, texts_of, unpacked
+from logloom.llm.arrow_texts import packed, released, texts_of, unpacked
 from logloom.sources import load
 
 #: Fixed value: the public pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose new words are merged together, and words that a worker remembers.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 8_000_000
 #: Bytes of text whose rows go out together.
 OUT_BYTES = 1_000_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -67,10 +67,10 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.rank_of[at], _NONE)
 
 
-def merge_words(vocab: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
-    """Token ids of each word."""
+def merge_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all words in a row, and the number of each word's."""
     if not words:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     symbol = vocab.first[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
     n = len(symbol)
@@ -128,9 +128,8 @@ def merge_words(vocab: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
         ahead = ahead[ahead >= 0]
         rank[ahead] = vocab.ranks(symbol[ahead], symbol[after[ahead]])
         listed(np.concatenate([p, ahead]) if len(ahead) else p)
-    ids = symbol[alive].tolist()
-    stops = np.concatenate(([0], np.cumsum(alive)))[end].tolist()
-    return [tuple(ids[a:b]) for a, b in zip([0, *stops], stops)]
+    stops = np.concatenate(([0], np.cumsum(alive)))[end]
+    return symbol[alive], np.diff(stops, prepend=0)
 
 
 def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -195,12 +194,15 @@ class Encoder:
         found = [np.array(list(map(self.numbers.__getitem__, self.pieces(t))), np.int32) for t in texts]
         new, self.numbers.new = self.numbers.new, []
         if new:
-            plain = iter(merge_words(self.vocab, [w.encode() for w in new if isinstance(w, str)]))
-            tokens = [next(plain) if isinstance(w, str) else w for w in new]
-            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            special = [i for i, w in enumerate(new) if isinstance(w, tuple)]
+            ids, size = merge_words(self.vocab, [w.encode() if isinstance(w, str) else b"" for w in new])
+            if special:
+                at = np.cumsum(size)[special]
+                ids = np.insert(ids, at, [new[i][0] for i in special])
+                size[special] = 1
             self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)
-            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(tokens), np.int32, int(size.sum())))
+            self.ids = np.append(self.ids, ids)
         return (np.concatenate(found) if found else np.zeros(0, np.int32)), np.cumsum([len(f) for f in found], dtype=np.int64)
 
     def tokens(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +272,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text_col: str = "text")
     with open(tokenizer_json, encoding="utf-8") as f:
         spec = f.read()
     rows, names, row = packed(docs, ["ids", "decoded"], text_col)
-    out = rows.mapInArrow(_rows(spec, text_col), f"_row {row}, ids array<int>, decoded string")
+    out = rows.mapInArrow(released(_rows(spec, text_col)), f"_row {row}, ids array<int>, decoded string")
     return unpacked(out, names, ["ids", "decoded"])
 
 

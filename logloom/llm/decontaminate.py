@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.arrow_texts import packed, texts_of, unpacked
+from logloom.llm.arrow_texts import packed, released, texts_of, unpacked
 from logloom.llm.suffix_dedup import merged
 from logloom.plans import written
 from logloom.sources import load
@@ -72,36 +72,25 @@ def _pass(items, text_col):
     def rows(batches):
         machine, numbers = automaton(items)
         for batch in batches:
-            counts, found, ranges = [], [], []
+            counts, found, ranges, spans = [], [], [], []
             for t, old_items, old_ranges in zip(texts_of(batch, text_col), batch.column("items"), batch.column("hits")):
-                own = words(t.as_py())
+                t = t.as_py()
+                own = words(t)
                 who, where = scan(machine, numbers, own)
                 counts.append(len(own))
                 found.append(sorted(who | set(old_items.as_py() or ())))
-                ranges.append([{"start": a, "stop": b} for a, b in _union(where + [(x["start"], x["stop"]) for x in old_ranges.as_py() or ()])])
+                hits = _union(where + [(x["start"], x["stop"]) for x in old_ranges.as_py() or ()])
+                at = [m.span() for m in _WORD.finditer(t)] if hits else []
+                ranges.append([{"start": a, "stop": b} for a, b in hits])
+                spans.append([{"start": at[a][0], "stop": at[b - 1][1]} for a, b in hits])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(ranges, _RANGE)],
-                names=["_row", "n_words", "items", "hits"],
+                [batch.column("_row"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(ranges, _RANGE), pa.array(spans, _RANGE)],
+                names=["_row", "n_words", "items", "hits", "hit_spans"],
             )
 
     return rows
 
 
-def _offsets(text_col):
-    """Adds the character offsets of hit ranges; texts without hits are not read."""
-
-    def rows(batches):
-        for batch in batches:
-            spans = []
-            for t, hits in zip(texts_of(batch, text_col), batch.column("hits")):
-                hits = hits.as_py()
-                at = [m.span() for m in _WORD.finditer(t.as_py())] if hits else []
-                spans.append([{"start": at[h["start"]][0], "stop": at[h["stop"] - 1][1]} for h in hits])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _RANGE)], names=[*batch.schema.names, "hit_spans"])
-
-    return rows
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
     """The items in blocks of BLOCK_BYTES at most (or one item); only one block's texts are in the driver at a time."""
     sized = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).distinct()
@@ -123,14 +112,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     rows, names, _ = packed(docs, added, text_col)
     now = rows.select(
         "_row", F.lit(0).cast("bigint").alias("n_words"),
-        F.array().cast("array<bigint>").alias("items"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("hits"),
+        F.array().cast("array<bigint>").alias("items"), *[F.array().cast("array<struct<start:bigint,stop:bigint>>").alias(c) for c in ("hits", "hit_spans")],
     )
     schema = now.schema
     for i, items in enumerate(_blocks(benchmark, item_id, item_text)):
-        now = (now if i == 0 else written(now, "decontaminate")).mapInArrow(_pass(items, text_col), schema)
-    spans = now.mapInArrow(_offsets(text_col), schema.simpleString()[7:-1] + ",hit_spans:array<struct<start:bigint,stop:bigint>>")
+        now = (now if i == 0 else written(now, "decontaminate")).mapInArrow(released(_pass(items, text_col)), schema)
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
-    return unpacked(spans.withColumn("n_hit", n_hit), names, added)
+    return unpacked(now.withColumn("n_hit", n_hit), names, added)
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import byte_convnet
-from logloom.llm.arrow_texts import packed, slices, texts_of, unpacked
+from logloom.llm.arrow_texts import packed, released, slices, texts_of, unpacked
 from logloom.llm.samples import TRAIN_TEXT_BYTES, fold, per_class
 from logloom.sources import load
 
@@ -51,7 +51,7 @@ def score(docs: DataFrame, net: byte_convnet.Net, text_col: str = "text") -> Dat
     """``docs`` plus ``score`` in 0..1 (an input column of that name gives way). Every byte of every text is read; null
     texts count as empty. The network is a few dozen kilobytes and travels with the tasks; nothing is shuffled."""
     rows, names, row = packed(docs, ["score"], text_col)
-    return unpacked(rows.mapInArrow(_scored(net, text_col), f"_row {row}, score double"), names, ["score"])
+    return unpacked(rows.mapInArrow(released(_scored(net, text_col)), f"_row {row}, score double"), names, ["score"])
 
 
 def query(spark, sf_dir):

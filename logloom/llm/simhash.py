@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.arrow_texts import bound_batches
+from logloom.llm.arrow_texts import bound_batches, released
 from logloom.llm.components import connected_components
 from logloom.plans import written
 from logloom.sources import load
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``_id`` and ``fp`` (the 64 bits as a signed long) of each row; a null text has no words and fingerprint zero."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(_fingerprint_rows, "_id bigint, fp bigint")
+    return rows.mapInArrow(released(_fingerprint_rows), "_id bigint, fp bigint")
 
 
 @dataclass

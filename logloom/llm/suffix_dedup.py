@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.arrow_texts import bound_batches, slices
+from logloom.llm.arrow_texts import bound_batches, released, slices
 from logloom.llm.window_digits import window_runs
 from logloom.plans import written
 
@@ -118,7 +118,7 @@ def _part_rows(width: int):
 def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
     """``bodies`` has _id, _hash (together naming a text) and _body (binary). Returns _id, _hash and spans, an array of
     [start, stop) structs, overlapping and unordered, that together cover what repeats; texts without any have no row."""
-    runs = written(bodies.mapInArrow(_run_rows(width), _RUNS), "runs")
+    runs = written(bodies.mapInArrow(released(_run_rows(width)), _RUNS), "runs")
     leads = written(runs.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1").select("lead"), "leads")
     shared = written(runs.join(leads, "lead"), "shared-runs")
     classes = shared.groupBy("lead", "digest").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "run")).alias("first"))
@@ -139,7 +139,7 @@ def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
         "flagged",
     )
     again = bodies.alias("b").join(listed.alias("f"), _same("b", "f")).select("b._id", "b._hash", "b._body", "full", "parts", "need")
-    rows = written(again.mapInArrow(_part_rows(width), _PARTS), "run-parts")
+    rows = written(again.mapInArrow(released(_part_rows(width)), _PARTS), "run-parts")
 
     spans = rows.filter("lead is null").select(*_KEYS, "start", "stop")
     parts = rows.filter("lead is not null").drop("start", "stop")
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     joined = keyed.alias("b").join(spans.alias("f"), _same("b", "f"), "left").select("b._row", "b._body", "f.spans")
     row = joined.schema["_row"].dataType.simpleString()
     kind = "string" if as_text else "array<binary>"
-    cut = joined.mapInArrow(_cut(as_text), f"_row {row}, kept {kind}, removed array<struct<start:int,stop:int>>")
+    cut = joined.mapInArrow(released(_cut(as_text)), f"_row {row}, kept {kind}, removed array<struct<start:int,stop:int>>")
     return cut.select(*[F.col(f"_row.`{c}`") for c in others], "kept", "removed")
 
 

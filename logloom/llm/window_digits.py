@@ -23,7 +23,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; the longest table so far is kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        a = np.full(max(n, 1 << 20), base, np.uint64)
+        a = np.full(max(n, 1 << 19), base, np.uint64)
         a[0] = 1
         have = _powers[base] = np.cumprod(a)
     return have[:n]
