@@ -9,7 +9,7 @@ def _register(module) -> None:
     ORACLES.update(module.ORACLES)
 
 
-from logloom.operators import blocks, chunks, notes, report, sessions, state  # noqa: E402
+from logloom.operators import blocks, chunks, eligibility, notes, quality, report, sessions, state  # noqa: E402
 
-for _module in (blocks, sessions, chunks, state, report, notes):
+for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality):
     _register(_module)
