@@ -10,6 +10,7 @@ def _register(module) -> None:
 
 
 from logloom.operators import blocks, chunks, eligibility, notes, quality, report, sessions, state  # noqa: E402
+from logloom.streaming import sessions as streamed  # noqa: E402
 
-for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality):
+for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality, streamed):
     _register(_module)
