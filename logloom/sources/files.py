@@ -50,7 +50,7 @@ def recording_name(name: Column) -> Column:
 
 def json_or_null(content: Column, schema: str) -> Column:
     """The document, or null if it is no JSON object. Unknown keys are ignored, values of a wrong type become null."""
-    return F.when(F.trim(content).startswith("{"), F.from_json(content, schema, {"mode": "PERMISSIVE"}))
+    return F.when(F.trim(content).startswith("{") & F.json_object_keys(content).isNotNull(), F.from_json(content, schema, {"mode": "PERMISSIVE"}))
 
 
 def inbox_parts(files: DataFrame) -> DataFrame:
