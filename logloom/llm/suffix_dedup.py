@@ -122,8 +122,10 @@ def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
     leads = written(runs.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1").select("lead"), "leads")
     shared = written(runs.join(leads, "lead"), "shared-runs")
     classes = shared.groupBy("lead", "digest").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "run")).alias("first"))
-    many = classes.groupBy("lead").agg((F.count("*") > 1).alias("many"))
-    classes = written(classes.join(many, "lead").filter("n > 1 or many"), "run-classes")
+    many = shared.groupBy("lead").agg((F.min("digest") != F.max("digest")).alias("many")).filter("many")
+    many = written(many, "many-classes")  # a table of its own, so that the join below can be split where a lead is hot
+    classes = classes.join(many, "lead", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    classes = written(classes.filter("n > 1 or many"), "run-classes")
     flagged = shared.join(classes, ["lead", "digest"]).select(
         *_KEYS,
         "run",
