@@ -13,6 +13,8 @@ WIDTH, STRIDE, CELL, CHUNK = 8, 2, 128, 4
 DIM, FILTERS, HIDDEN = 8, 32, 16
 _HOP = CHUNK - 1
 _PER_CELL = CELL // STRIDE
+#: Rows of a matrix product; larger ones wake a pool of threads that takes longer to wake than to work.
+_ROWS = 512
 
 
 @dataclass
@@ -67,7 +69,10 @@ def cell_maxima(p: dict, flat: np.ndarray, where: bool = False):
     step = 256
     for lo in range(0, len(at), step):
         hi = min(len(at), lo + step)
-        out = _windows(flat[lo * CELL : hi * CELL + WIDTH], p["embed"]) @ p["filters"]
+        view = _windows(flat[lo * CELL : hi * CELL + WIDTH], p["embed"])
+        out = np.empty((len(view), FILTERS), np.float32)
+        for a in range(0, len(view), _ROWS):
+            np.matmul(view[a : a + _ROWS], p["filters"], out=out[a : a + _ROWS])
         out = out.reshape(hi - lo, _PER_CELL, FILTERS)
         if where:
             k = out.argmax(axis=1)
@@ -160,8 +165,8 @@ def gradients(net: Net, texts: list[bytes], labels: np.ndarray, weights: np.ndar
         w = order[cuts[q] : cuts[q + 1]]
         g["filters"][:, q] = dv[w] @ seen[w]
         de[w] = dv[w][:, None] * p["filters"][:, q]
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], taps.ravel(), de.reshape(-1, DIM))
+    de, at = de.reshape(-1, DIM), taps.ravel()
+    g["embed"] = np.stack([np.bincount(at, de[:, k], len(p["embed"])) for k in range(DIM)], axis=1).astype(np.float32)
     g["embed"][256] = 0
     return float(loss), g
 
