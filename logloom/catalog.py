@@ -9,8 +9,8 @@ def _register(module) -> None:
     ORACLES.update(module.ORACLES)
 
 
-from logloom.operators import analysis, blocks, chunks, eligibility, notes, quality, report, sessions, state  # noqa: E402
+from logloom.operators import analysis, blocks, chunks, eligibility, lookups, notes, quality, report, sessions, state  # noqa: E402
 from logloom.streaming import sessions as streamed  # noqa: E402
 
-for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality, analysis, streamed):
+for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality, lookups, analysis, streamed):
     _register(_module)
