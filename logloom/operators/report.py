@@ -25,8 +25,8 @@ def oldest_failed(parts: DataFrame, failed: Column, order: list[str], limit: int
     """The ``limit`` oldest failures with the number of all (ties by the later columns of ``order``). Top-k runs per
     task first; nothing is sorted whole."""
     bad = parts.filter(failed)
-    total = bad.agg(F.count("*").alias("failed_total"))
-    return bad.orderBy(*order).limit(limit).crossJoin(F.broadcast(total))
+    total = bad.agg(F.count("*")).scalar()
+    return bad.orderBy(*order).limit(limit).withColumn("failed_total", total)
 
 
 def counts(**tables: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logloom.functions import dims, keys
+from logloom.plans import splittable
 from logloom.sources import load
 
 
@@ -26,7 +27,7 @@ def last_failure_origin(log: DataFrame, key: str, origin: str, target: str, orde
 def retry_count(log: DataFrame, key: str, status: str, order: list[str], failed: str, resets: list[str]) -> DataFrame:
     """Failures of each entity since its last reset, as two map-side aggregations and no window over its history."""
     o = F.struct(*order)
-    last = log.groupBy(key).agg(F.max(F.when(F.col(status).isin(resets), o)).alias("_reset"))
+    last = splittable(log.groupBy(key).agg(F.max(F.when(F.col(status).isin(resets), o)).alias("_reset")), "resets")
     fails = log.filter(F.col(status) == failed).join(last, key).filter(F.col("_reset").isNull() | (o > F.col("_reset")))
     n = fails.groupBy(key).agg(F.count("*").alias("retry_count"))
     return last.select(key).join(n, key, "left").select(key, F.coalesce("retry_count", F.lit(0)).cast("bigint").alias("retry_count"))
@@ -71,6 +72,7 @@ def first_owners(rows: DataFrame, content: Column, order: list[str], id_col: str
     in any number never meet in one window."""
     keyed = rows.withColumn("_c", content)
     owner = keyed.filter("_c IS NOT NULL").groupBy("_c").agg(F.min_by(id_col, F.struct(*order)).alias("owner"), F.count("*").alias("n_copies"))
+    owner = splittable(owner.filter("n_copies > 1"), "owners")
     return keyed.join(owner, "_c", "left").withColumn("owner", F.coalesce("owner", F.col(id_col))).withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))
 
 

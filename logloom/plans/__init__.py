@@ -1,5 +1,5 @@
 """Plan helpers: shared folders and lineage cuts."""
 
-from logloom.plans.shared import shared_path, written
+from logloom.plans.shared import shared_path, splittable, written
 
-__all__ = ["shared_path", "written"]
+__all__ = ["shared_path", "splittable", "written"]

@@ -40,3 +40,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def splittable(df: DataFrame, name: str) -> DataFrame:
+    """``df``, an aggregation by the key of a join to come, as a written table. Joined directly, the aggregation would
+    pin the join to its own partitioning, and a key with a third of all rows on the other side would be one task's;
+    joined from a table, adaptive execution may split the hot partition."""
+    return written(df, name)

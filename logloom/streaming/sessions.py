@@ -34,19 +34,28 @@ def close_sessions(parts: DataFrame, idle_s: int) -> DataFrame:
 
     def close(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts, last, closed, again = state.get if state.exists else (0, 0, False, 0)
+        now = state.getCurrentWatermarkMs()
+        day_end = (pd.Timestamp(key[1]) - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1) + 86_400_000
+
+        def due() -> int:
+            return min(day_end, last // 1000 + idle_s * 1000)
+
+        def row() -> pd.DataFrame:
+            reason = "stale_day" if now >= day_end else "idle"
+            return pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "parts": [parts], "last_at": [pd.Timestamp(last, unit="us")], "reason": [reason], "regenerated": [again]})
+
         if state.hasTimedOut:
-            day_end = pd.Timestamp(key[1]).value // 1000 + 86_400_000_000
-            reason = "stale_day" if state.getCurrentWatermarkMs() * 1000 >= day_end else "idle"
             state.update((parts, last, True, again))
-            yield pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "parts": [parts], "last_at": [pd.Timestamp(last, unit="us")], "reason": [reason], "regenerated": [again]})
+            yield row()
             return
+        if state.exists and not closed and due() < now:  # its end came before these parts, only no batch ran in between
+            yield row()
+            closed = True
         for b in batches:
             parts += len(b)
-            last = max(last, int(b["ts"].max().value // 1000))
+            last = max(last, (b["ts"].max() - pd.Timestamp(0)) // pd.Timedelta(microseconds=1))
         state.update((parts, last, False, again + (1 if closed else 0)))
-        day_end = pd.Timestamp(key[1]).value // 1_000_000 + 86_400_000
-        at = min(day_end, last // 1000 + idle_s * 1000)
-        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(due(), now + 1))
 
     return parts.groupBy("user_id", "day").applyInPandasWithState(close, _CLOSED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
