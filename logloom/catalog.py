@@ -10,7 +10,8 @@ def _register(module) -> None:
 
 
 from logloom.operators import analysis, blocks, chunks, eligibility, lookups, notes, quality, report, sessions, state  # noqa: E402
+from logloom.sources import files  # noqa: E402
 from logloom.streaming import sessions as streamed  # noqa: E402
 
-for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality, lookups, analysis, streamed):
+for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality, lookups, analysis, files, streamed):
     _register(_module)

@@ -10,6 +10,11 @@ def safe_relpath(p: Column) -> Column:
     return F.coalesce((F.length(p) > 0) & F.forall(steps, lambda s: (s != "") & ~s.startswith(".")) & ~p.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
 
 
+def under_root(root: str, path: Column) -> Column:
+    """Whether an absolute path lies strictly below ``root``, judged by its letters: no parent steps, no links resolved."""
+    return F.coalesce(path.startswith(root.rstrip("/") + "/") & ~F.exists(F.split(path, "/"), lambda s: s == "..") & (F.length(path) > len(root.rstrip("/")) + 1), F.lit(False))
+
+
 def safe_device(d: Column, forbidden: str = "/") -> Column:
     return F.coalesce((F.length(d) > 0) & ~d.rlike(f"[{forbidden}]") & ~d.startswith("."), F.lit(False))
 

@@ -44,6 +44,14 @@ def chunk_bounds(items: Column, sums: Column, max_chars: int, max_seconds: float
     return F.aggregate(F.sequence(F.lit(0), n - 1), begin, step, last)
 
 
+def without_repeated_tail(values: Column, bounds: Column) -> Column:
+    """``bounds`` without a last chunk whose values all occur in the chunk before (equal segments, told twice)."""
+    n = F.size(bounds)
+    part = lambda b: F.slice(values, b["start"] + 1, b["stop"] - b["start"])
+    last, before = F.get(bounds, n - 1), F.get(bounds, n - 2)
+    return F.when((n >= 2) & (F.size(F.array_except(part(last), part(before))) == 0), F.slice(bounds, F.lit(1), n - 1)).otherwise(bounds)
+
+
 def bundle_bounds(items: Column, sums: Column, limit: int, per_item: int = 1, frame: int = 1) -> Column:
     """Array of [start, stop): items are packed in order while the length of their JSON array (sizes, a separator of
     ``per_item`` after each, ``frame`` once) stays within ``limit``; a larger item is a bundle of its own."""

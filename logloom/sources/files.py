@@ -157,6 +157,36 @@ def asr_segments(content: Column, fallback_language: str) -> Column:
     return F.struct(lang.alias("language"), F.array_join(F.transform(segs, lambda s: s["text"]), "").alias("text"), segs.alias("segments"))
 
 
+def audio_probe(content: Column) -> Column:
+    """Format of the first stream of a probe's JSON, whose numbers are strings: unparsable or negative becomes null; null
+    as a whole without a stream."""
+    doc = json_or_null(content, "streams array<struct<sample_rate:string,channels:string,sample_fmt:string,codec_name:string>>, format struct<duration:string>")
+    number = lambda c: F.when(c.try_cast("double") >= 0, c.try_cast("double"))
+    said = lambda c: F.when(c != "", c)
+    s = F.get(doc["streams"], F.lit(0))
+    return F.when(s.isNotNull(), F.struct(
+        number(doc["format"]["duration"]).alias("duration_seconds"), number(s["sample_rate"]).cast("int").alias("sample_rate"), number(s["channels"]).cast("int").alias("channels"),
+        said(s["sample_fmt"]).alias("sample_fmt"), said(s["codec_name"]).alias("codec_name"),
+    ))
+
+
+def with_end(parts: DataFrame, start: str, seconds: str) -> DataFrame:
+    """Adds ended_at; unknown without a duration."""
+    end = F.col(start).cast("timestamp") + F.make_dt_interval(secs=F.col(seconds).cast("decimal(18,6)"))
+    return parts.withColumn("ended_at", end.cast(dict(parts.dtypes)[start]))
+
+
+def bytes_below(files: DataFrame, by: list[str]) -> DataFrame:
+    """Bytes and files of a listing; unknown sizes count nothing."""
+    return files.groupBy(*by).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
+
+
+def queue_counts(files: DataFrame) -> DataFrame:
+    """Requests and results that wait, as JSON files in delete/ and result/."""
+    json = F.col("name").endswith(".json")
+    return files.agg(F.count_if(json & F.col("relpath").startswith("delete/")).alias("requested"), F.count_if(json & F.col("relpath").startswith("result/")).alias("awaiting"))
+
+
 def delete_results(files: DataFrame) -> DataFrame:
     """Results of a queue folder (name, content): broken files and those without ids are ignored; sorted by name."""
     doc = json_or_null(F.col("content"), RESULT)
@@ -184,3 +214,35 @@ def vault_names(files: DataFrame, excluded: list[str]) -> DataFrame:
         notes = notes.filter(~F.col("relpath").startswith(prefix.rstrip("/") + "/"))
     base = F.regexp_replace(F.substring_index("relpath", "/", -1), r"\.md$", "")
     return notes.select(base.alias("name")).distinct().withColumn("folded", nfc_fold(F.col("name")))
+
+
+# -- queries ----------------------------------------------------------------------------------------------------------
+
+
+def q_filename_parse(spark, sf_dir):
+    """Names made of event times, some with impossible dates or the wrong shape, parsed back."""
+    from logloom.sources.tables import load
+
+    e = load(spark, sf_dir, "events").select("event_id", "ts")
+    k = F.col("event_id")
+    day = F.when(k % 11 == 0, "20240230").otherwise(F.date_format("ts", "yyyyMMdd"))
+    mic = F.concat(F.lit("MIC"), F.lpad((k % 1000).cast("string"), 3, "0"))
+    name = F.concat(F.lit("TX0"), (k % 10).cast("string"), F.lit("_"), mic, F.lit("_"), day, F.lit("_"), F.date_format("ts", "HHmmss"), F.when(k % 3 == 0, "_orig").otherwise(""), F.when(k % 7 == 0, ".mp3").otherwise(".wav"))
+    n = e.select("event_id", recording_name(name).alias("n"))
+    return n.select("event_id", "n.transmitter_id", "n.mic_index", "n.started_at", "n.variant")
+
+
+def q_with_end(spark, sf_dir):
+    from logloom.sources.tables import load
+
+    e = load(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 600).alias("s"))
+    return with_end(e, "ts", "s").select("event_id", "ended_at")
+
+
+QUERIES = {"filename_parse": q_filename_parse, "part_projection": q_with_end}
+ORACLES = {
+    "filename_parse": """SELECT event_id, CASE WHEN ok THEN 'TX0' || (event_id % 10) END AS transmitter_id, CASE WHEN ok THEN CAST(event_id % 1000 AS INTEGER) END AS mic_index,
+      CASE WHEN ok THEN date_trunc('second', ts) END AS started_at, CASE WHEN ok THEN CASE WHEN event_id % 3 = 0 THEN 'orig' ELSE 'denoised' END END AS variant
+      FROM (SELECT *, event_id % 11 <> 0 AND event_id % 7 <> 0 AS ok FROM events)""",
+    "part_projection": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN ts + to_seconds(event_id % 600) END AS ended_at FROM events",
+}

@@ -128,3 +128,15 @@ def test_reuse_by_fingerprint(spark):
     w = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, fingerprint string")
     s = spark.createDataFrame([(1, "a"), (2, "x"), (3, None)], "k int, fingerprint string")
     assert [r.reuse for r in notes.reusable(w, s, "k").orderBy("k").collect()] == [True, False, False]
+
+
+def test_audio_probe_listing_sums_and_roots(spark):
+    p = one(spark, files.audio_probe(F.lit('{"streams": [{"sample_rate": "48000", "channels": 1, "sample_fmt": "s16", "codec_name": ""}], "format": {"duration": "1.500000"}}')))
+    assert (p.duration_seconds, p.sample_rate, p.channels, p.sample_fmt, p.codec_name) == (1.5, 48000, 1, "s16", None)
+    assert one(spark, files.audio_probe(F.lit('{"streams": [{"sample_rate": "N/A"}], "format": {"duration": "-1"}}'))).duration_seconds is None
+    assert one(spark, files.audio_probe(F.lit('{"streams": []}'))) is None and one(spark, files.audio_probe(F.lit("x"))) is None
+    df = spark.createDataFrame([("d", "delete/a.json", "a.json", 5), ("d", "result/b.json", "b.json", None), ("d", "result/.c.tmp", ".c.tmp", 1)], "device_id string, relpath string, name string, size bigint")
+    assert tuple(files.bytes_below(df, ["device_id"]).first()) == ("d", 6, 3)
+    assert tuple(files.queue_counts(df).first()) == (1, 1)
+    for path, want in (("/data/x", True), ("/data", False), ("/data/", False), ("/data/../x", False), ("/database/x", False), (None, False)):
+        assert one(spark, keys.under_root("/data", F.lit(path).cast("string"))) == want

@@ -131,3 +131,9 @@ def test_empty_inputs(spark):
     assert blocks.gap_blocks(none, "g", "s", "e", 1, "i").count() == 0
     parts = spark.createDataFrame([], "k int, status string")
     assert sessions.all_terminal(spark.createDataFrame([(1,)], "k int"), parts, "k", "status", ["A"]).count() == 0
+
+
+def test_a_tail_told_twice_is_left_out(spark):
+    values, bounds = F.array(*map(F.lit, "abcc")), F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in ((0, 3), (3, 4))])
+    r = spark.range(1).select(chunks.without_repeated_tail(values, bounds).alias("x"), chunks.without_repeated_tail(F.array(*map(F.lit, "abcd")), bounds).alias("y")).first()
+    assert len(r.x) == 1 and len(r.y) == 2
