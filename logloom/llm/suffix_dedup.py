@@ -21,6 +21,8 @@ from logloom.plans import written
 
 BLOCK = 48
 STEP = 16
+#: Windows of a long text that are looked at together; memory is some 150 bytes for each.
+PIECE = 1_000_000
 
 _KEYS = ["_id", "_hash"]
 _RUNS = "_id bigint, _hash int, run int, lead bigint, digest bigint"
@@ -31,12 +33,29 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _runs(batches, names: list[str], width: int):
+    """Runs of windows of slices of texts: columns, bytes, text starts, runs, and for pieces of a long text the number of
+    runs and bytes before them. A piece sees one window before it, to know where its first run starts, and as many behind
+    as a run may have, so runs are those of the whole text."""
+    for cols, buf, starts, ends in slices(batches, names, "_body"):
+        n = int(ends[0])
+        if n <= 2 * PIECE:
+            yield cols, buf, starts, window_runs(buf, starts, ends, width, BLOCK), 0, 0
+            continue
+        seen = 0
+        for at in range(0, n, PIECE):
+            low, high = max(0, at - 1), min(n, at + PIECE + 2 * width)
+            r = window_runs(buf[low:high], np.array([0]), np.array([high - low]), width, BLOCK)
+            r = r.only((r.first + low >= at) & (r.first + low < at + PIECE))
+            yield cols, buf[low:high], np.array([0]), r, seen, low
+            seen += len(r.first)
+
+
 def _run_rows(width: int):
     def rows(batches):
-        for ids, buf, starts, ends in slices(batches, ["_id", "_hash"], "_body"):
-            r = window_runs(buf, starts, ends, width, BLOCK)
+        for ids, _, starts, r, seen, _ in _runs(batches, ["_id", "_hash"], width):
             doc = np.searchsorted(starts, r.first, side="right") - 1
-            number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            number = seen + np.arange(len(doc)) - np.searchsorted(doc, doc)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [ids["_id"].take(take), ids["_hash"].take(take), pa.array(number.astype(np.int32)), _signed(r.lead), _signed(r.digest)],
@@ -51,22 +70,23 @@ def _part_rows(width: int):
     core_len = width - STEP + 1
 
     def rows(batches):
-        for cols, buf, starts, ends in slices(batches, ["_id", "_hash", "full", "parts", "need"], "_body"):
-            r = window_runs(buf, starts, ends, width, BLOCK)
+        for cols, buf, starts, r, seen, low in _runs(batches, ["_id", "_hash", "full", "parts", "need"], width):
             doc = np.searchsorted(starts, r.first, side="right") - 1
             base = np.searchsorted(doc, np.arange(len(starts)))
 
             def picked(name):
                 c = cols[name]
                 n = np.asarray(c.value_lengths().fill_null(0), np.int64)
-                return np.sort(np.repeat(base, n) + np.asarray(c.flatten(), np.int64))
+                number = np.asarray(c.flatten(), np.int64) - seen
+                here = (number >= 0) & (number < len(doc))
+                return np.sort((np.repeat(base, n) + number)[here])
 
             full, parts, need = picked("full"), picked("parts"), picked("need")
             opens = np.flatnonzero(np.append(True, (np.diff(full) != 1) | (np.diff(doc[full]) != 0))) if len(full) else full
             closes = np.append(opens[1:], len(full)) - 1 if len(full) else full
             a, z = full[opens], full[closes]
             d1 = doc[a]
-            start, stop = r.first[a] - starts[d1], r.first[z] + r.count[z] - 1 + width - starts[d1]
+            start, stop = r.first[a] - starts[d1] + low, r.first[z] + r.count[z] - 1 + width - starts[d1] + low
 
             far = r.anchor[parts] - r.first[parts]
             near = far - r.count[parts] + 1
@@ -104,7 +124,7 @@ def _part_rows(width: int):
                     col(None, place.astype(np.int32), pa.int32()),
                     col(None, core.view(np.int64), pa.int64()),
                     col(None, whole.view(np.int64), pa.int64()),
-                    col(None, (pos - starts[d2]).astype(np.int32), pa.int32()),
+                    col(None, (pos - starts[d2] + low).astype(np.int32), pa.int32()),
                     col(None, least.astype(np.int32), pa.int32()),
                     col(None, left, pa.binary()),
                     col(None, right, pa.binary()),

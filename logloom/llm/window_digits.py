@@ -63,6 +63,9 @@ class Runs:
     anchor: np.ndarray
     rest: Hashes
 
+    def only(self, kept: np.ndarray) -> "Runs":
+        return Runs(self.first[kept], self.count[kept], self.lead[kept], self.digest[kept], self.anchor[kept], self.rest)
+
 
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     span = 1

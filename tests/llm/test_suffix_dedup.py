@@ -65,6 +65,35 @@ def test_boundaries_of_partly_equal_texts(spark):
     check(spark, texts, 200)
 
 
+def test_a_long_text_is_looked_at_in_pieces(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = "".join(rnd.choice("abcdefghijklmnop") for _ in range(4000))
+    monkeypatch.setattr(S, "PIECE", 500)
+    raw = (base + "!" + base[700:1500] + "?" * 450 + base[3000:]).encode()
+    import numpy as np
+    import pyarrow as pa
+
+    from logloom.llm.window_digits import window_runs
+
+    batch = pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["_body"])
+    pieces = [(r.first + low, r.count, r.digest) for _, _, _, r, _, low in S._runs([batch], [], 200)]
+    one = window_runs(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), 200, S.BLOCK)
+    assert len(pieces) > 5
+    for k, want in enumerate((one.first, one.count, one.digest)):
+        assert (np.concatenate([p[k] for p in pieces]) == want).all()
+    rows = S._part_rows(200)
+    n = len(one.first)
+    cols = {"_id": pa.array([1], pa.int64()), "_hash": pa.array([2], pa.int32()), "full": pa.array([list(range(0, n, 3))], pa.list_(pa.int32())), "parts": pa.array([list(range(n))], pa.list_(pa.int32())), "need": pa.array([list(range(1, n, 2))], pa.list_(pa.int32())), "_body": pa.array([raw], pa.binary())}
+    batch = pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+    cut = pa.Table.from_batches(list(rows([batch]))).to_pylist()
+    monkeypatch.setattr(S, "PIECE", 10**6)
+    assert cut_rows(cut) == cut_rows(pa.Table.from_batches(list(rows([batch]))).to_pylist())
+
+
+def cut_rows(rows):
+    return sorted(map(repr, rows))
+
+
 def test_ids_null_or_repeated_extra_columns_and_no_rows(spark):
     t = "q" * 100 + "r" * 130
     rows = [(None, t, 1), (None, "only " * 3, 2), (7, t, 3), (7, t, 3), (7, "other", 4)]
