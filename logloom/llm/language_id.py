@@ -28,6 +28,8 @@ TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS = 800, 24, 2000
 RIDGE = 1e-2
 HOLD_OUT, HELD = 4, 2
 BATCH = 128
+#: Characters of a text that are numbered together.
+PART = 500_000
 
 
 def alphabet_of(texts: list[str]) -> np.ndarray:
@@ -40,15 +42,22 @@ def alphabet_of(texts: list[str]) -> np.ndarray:
     return table
 
 
+def codes_in_parts(table: np.ndarray, text: str, part: int = PART):
+    """Numbers of all n-grams in a text, with repeats, a stretch of the text at a time; two symbols carry over."""
+    before = np.zeros(1, np.int32)
+    for at in range(0, max(1, len(text)), part):
+        points = np.frombuffer(text[at : at + part].lower().encode("utf-32-le", errors="replace"), np.uint32)
+        s = np.where(points < 65536, table[np.minimum(points, 65535)], 1)
+        s = np.concatenate((before, s, [0] if at + part >= len(text) else [])).astype(np.int32)
+        s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))]
+        pair = s[:-1] * SYMBOLS + s[1:]
+        triple = pair[:-1] * SYMBOLS + s[2:]
+        yield np.concatenate([s, pair + _STARTS[1], triple + _STARTS[2]])
+        before = s[-2:]
+
+
 def codes_of(table: np.ndarray, text: str) -> np.ndarray:
-    """Numbers of all n-grams in a text, with repeats."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", errors="replace"), np.uint32)
-    s = np.where(points < 65536, table[np.minimum(points, 65535)], 1).astype(np.int32)
-    s = np.concatenate(([0], s, [0])).astype(np.int32)
-    s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))]
-    pair = s[:-1] * SYMBOLS + s[1:]
-    triple = pair[:-1] * SYMBOLS + s[2:]
-    return np.concatenate([s, pair + _STARTS[1], triple + _STARTS[2]])
+    return np.concatenate(list(codes_in_parts(table, text)))
 
 
 def presence(table: np.ndarray, texts: list[str], columns: np.ndarray) -> np.ndarray:
@@ -57,13 +66,13 @@ def presence(table: np.ndarray, texts: list[str], columns: np.ndarray) -> np.nda
     cuts = np.searchsorted(columns, _STARTS)
     seen = np.zeros(_STARTS[-1], bool)
     for i, t in enumerate(texts):
-        codes = codes_of(table, t)
-        seen[codes] = True
+        for codes in codes_in_parts(table, t):
+            seen[codes] = True
         row = seen[columns]
         for k in range(len(ORDERS)):
             n = int(np.count_nonzero(seen[_STARTS[k] : _STARTS[k + 1]]))
             out[i, cuts[k] : cuts[k + 1]] = row[cuts[k] : cuts[k + 1]] / np.sqrt(max(1, n) * len(ORDERS))
-        seen[codes] = False
+        seen[:] = False
     return out
 
 

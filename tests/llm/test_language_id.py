@@ -32,6 +32,14 @@ def test_kernel_is_that_of_n_gram_sets():
     assert len(grams("ab", 1)) == 3 and len(grams("ab  12 ab", 2)) == 3
 
 
+def test_parts_of_a_long_text_give_the_same_n_grams():
+    table = L.alphabet_of(["abcdé xyz"])
+    for text in ("", "ab  12é, xyz!  a b", "  ab", "ab..", "a" * 9 + " " * 9 + "é"):
+        whole = set(np.concatenate(list(L.codes_in_parts(table, text, 10**6))).tolist())
+        for part in (1, 2, 3, 5):
+            assert set(np.concatenate(list(L.codes_in_parts(table, text, part))).tolist()) == whole, (text, part)
+
+
 def test_nulls_no_letters_repeats_extra_columns_and_no_rows(spark):
     rows = [(i, f"the cat {w} sat on the mat", "en") for i, w in enumerate("abcdefghij")] + [(i + 50, f"der hund {w} lief über straße", "de") for i, w in enumerate("abcdefghij")]
     rows += [(90, None, "en"), (91, "12 !?", None), (None, "the the", "en"), (None, "the the", "en"), (92, "", "xx")]
