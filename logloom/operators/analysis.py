@@ -90,7 +90,7 @@ def without_outputs(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def q_stub_analysis(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
-    todo = without_outputs(c, load(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id")).filter("conv_id % 2 = 0"), "conv_id")
+    todo = without_outputs(c, load(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("conv_id")), "conv_id")
     a = ask(todo, "prompt", Extract()).withColumn("d", parsed(F.col("answer")))
     a = a.withColumn("l", within_limits(F.col("d"), {"summary": 40, "key_points": 2}))
     return a.select("conv_id", "turn", F.col("l.doc.summary").alias("summary"), F.array_join("l.doc.key_points", "|").alias("key_points"), F.array_join("l.notes", ";").alias("notes"), F.size(problems(F.col("d"), ["summary"])).alias("n_problems"))
@@ -118,7 +118,7 @@ _CODES = "[" + ", ".join(f"'{e[1]}'" for e in dims.errors()) + ", '']"
 QUERIES = {"stub_analysis": q_stub_analysis, "skip_reasons": q_skip_reasons, "device_free_space": q_device_free, "task_lines": q_task_lines}
 ORACLES = {
     "stub_analysis": """WITH c AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda x: trim(x)), lambda x: x <> '')[1:5] AS s FROM conversations
-        WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0)),
+        WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)),
       k AS (SELECT conv_id, turn, coalesce(s[1], '') AS f, s FROM c)
       SELECT conv_id, turn, substring(f, 1, 40) AS summary, array_to_string(s[1:2], '|') AS key_points,
       array_to_string(list_filter([CASE WHEN length(f) > 40 THEN 'summary: ' || length(f) || ' -> 40' END, CASE WHEN len(s) > 2 THEN 'key_points: ' || len(s) || ' -> 2' END], lambda x: x IS NOT NULL), ';') AS notes, 0::INTEGER AS n_problems FROM k""",

@@ -156,8 +156,8 @@ def q_timestamp_marks(spark, sf_dir):
 def q_timeline(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     chunks = c.select("conv_id", F.col("turn").alias("place"), (F.col("turn") * 30).alias("start_s"))
-    points = F.when(F.col("turn") % 3 == 0, F.array(F.substring("text", 1, 10))).otherwise(F.array().cast("array<string>"))
-    partials = c.filter("turn % 4 <> 3").select("conv_id", F.col("turn").alias("place"), points.alias("key_points"), F.translate("text", ".", "。").alias("summary"))
+    points = F.when(F.col("turn") % 3 == 0, F.array(F.md5("text"))).otherwise(F.array().cast("array<string>"))
+    partials = c.filter("role <> 'system'").select("conv_id", F.col("turn").alias("place"), points.alias("key_points"), F.translate("text", ".", "。").alias("summary"))
     t = timeline(chunks, partials, ["conv_id"], "place")
     return t.select("conv_id", "place", "start_s", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
 
@@ -210,7 +210,7 @@ ORACLES = {
        f AS (SELECT user_id, event_id, i, t AS last, true AS marked FROM e WHERE i = 1
         UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t >= f.last + {INTERVAL} THEN e.t ELSE f.last END, e.t >= f.last + {INTERVAL} FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
        SELECT user_id, event_id, marked FROM f""",
-    "timeline_build": """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN [substring(text, 1, 10)] ELSE
-        list_filter(list_transform(string_split(replace(replace(text, '.', '。'), '。', '。' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS l FROM conversations WHERE turn % 4 <> 3)
+    "timeline_build": """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN [md5(text)] ELSE
+        list_filter(list_transform(string_split(replace(replace(text, '.', '。'), '。', '。' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS l FROM conversations WHERE role <> 'system')
         SELECT conv_id, turn AS place, turn * 30 AS start_s, CAST(len(l) AS INTEGER) AS n_lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM c WHERE len(l) > 0""",
 }

@@ -139,7 +139,7 @@ def _order_parts(spark, sf_dir):
 
 def q_eligibility_matrix(spark, sf_dir):
     p = _order_parts(spark, sf_dir)
-    listed = load(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0").select(F.concat(F.lit("dev"), (F.col("o_custkey") % 50).cast("string")).alias("device_id"), F.concat(F.lit("f/"), F.col("o_orderkey").cast("string"), F.lit(".wav")).alias("relpath"))
+    listed = load(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").select(F.concat(F.lit("dev"), (F.col("o_custkey") % 50).cast("string")).alias("device_id"), F.concat(F.lit("f/"), F.col("o_orderkey").cast("string"), F.lit(".wav")).alias("relpath"))
     return deletable(p, listed, F.lit(False), True, True).select("o_orderkey", "eligible", "reason")
 
 
@@ -155,9 +155,10 @@ def q_result_outcomes(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     key = F.concat(F.lit("u/"), F.col("user_id").cast("string"))
     results = e.filter("event_type = 'purchase'").select("event_id", key.alias("partkey"), F.concat(F.lit("r"), (F.col("event_id") % 2).cast("string")).alias("request_id"), F.when(F.col("event_id") % 3 == 0, "REJECTED").otherwise("DELETED").alias("status"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("completed_at"))
-    users = load(spark, sf_dir, "events").select("user_id").distinct().filter("user_id % 10 <> 9")
+    labels = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("user_id"), "quality")
+    users = load(spark, sf_dir, "events").select("user_id").distinct().join(labels.select("user_id"), "user_id", "left_semi")
     parts = users.select(key.alias("partkey"), F.when(F.col("user_id") % 4 == 0, "RAW_SAVED").otherwise("SOURCE_DELETING").alias("status"), F.when(F.col("user_id") % 7 != 0, F.lit("r1")).alias("delete_request_id"))
-    listed = users.filter("user_id % 3 = 0").select(key.alias("partkey"))
+    listed = users.join(labels.filter("quality = 1"), "user_id", "left_semi").select(key.alias("partkey"))
     return result_outcomes(results, parts, listed, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id", "outcome")
 
 
@@ -184,7 +185,7 @@ def q_retry_policy(spark, sf_dir):
 
 
 _PARTS = """p AS (SELECT o_orderkey AS k, 'dev' || (o_custkey % 50) AS dev, ['RAW_SAVED','COMPLETED','SKIPPED','FAILED','SOURCE_DELETING'][o_orderkey % 5 + 1] AS status,
-   ['NO_SPEECH_DETECTED','DUPLICATE_CONTENT','SOURCE_MISSING'][o_orderkey // 5 % 3 + 1] AS code, o_custkey FROM orders),
+   ['NO_SPEECH_DETECTED','DUPLICATE_CONTENT','SOURCE_MISSING'][o_orderkey // 5 % 3 + 1] AS code, o_custkey, o_orderpriority AS pr FROM orders),
  q AS (SELECT *, CASE WHEN k % 53 = 0 THEN NULL WHEN k % 59 = 0 THEN '../' || k ELSE 'f/' || k || '.wav' END AS path, CASE WHEN k % 61 = 0 THEN 'x/' || k ELSE dev || '/f/' || k || '.wav' END AS key,
    k % 19 <> 0 AND k % 23 <> 0 AND status IN ('RAW_SAVED','COMPLETED','SOURCE_DELETING') AND k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 AS kept, k % 13 <> 0 AND k % 17 <> 0 AS heard FROM p),
  r AS (SELECT q.*, coalesce(t.kept AND t.k % 71 <> 0, false) AS twin FROM q LEFT JOIN q t ON q.status = 'SKIPPED' AND q.code = 'DUPLICATE_CONTENT' AND t.key = q.dev || '/f/' || (q.k - 2) || '.wav')"""
@@ -201,14 +202,14 @@ QUERIES = {
     "retry_policy": q_retry_policy,
 }
 ORACLES = {
-    "eligibility_matrix": f"WITH {_PARTS}, d AS (SELECT k, {_REASON.format(absent='k % 7 = 0', skipped='true')} AS reason FROM r) SELECT k AS o_orderkey, reason IS NULL AS eligible, reason FROM d",
+    "eligibility_matrix": f"WITH {_PARTS}, d AS (SELECT k, {_REASON.format(absent="pr = '5-LOW'", skipped='true')} AS reason FROM r) SELECT k AS o_orderkey, reason IS NULL AS eligible, reason FROM d",
     "delete_plan": f"""WITH {_PARTS}, d AS (SELECT dev || ':s' AS session_key, {_REASON.format(absent='false', skipped='false')} AS reason FROM r)
       SELECT session_key, count(CASE WHEN reason IS NULL THEN 1 END) AS n_eligible, count(reason) AS n_skipped, min(reason) AS first_reason FROM d GROUP BY 1""",
     "lock_states": """WITH t AS (SELECT l_orderkey % 81 AS k FROM lineitem), x AS (SELECT [true, false, NULL][k % 3 + 1] AS a, [true, false, NULL][k // 3 % 3 + 1] AS b, [true, false, NULL][k // 9 % 3 + 1] AS c, [true, false, NULL][k // 27 % 3 + 1] AS d FROM t)
       SELECT coalesce(a AND b, false) AS lock1, coalesce(a AND b AND c AND NOT d, false) AS enabled, CASE WHEN d IS NULL THEN 'unknown' WHEN d THEN 'readOnly' ELSE 'writable' END AS mount, count(*) AS n FROM x GROUP BY 1, 2, 3""",
     "result_outcomes": """WITH r AS (SELECT event_id, user_id, 'r' || (event_id % 2) AS q, event_id % 3 <> 0 AS deleted, CASE WHEN event_id % 11 <> 0 THEN ts END AS c FROM events WHERE event_type = 'purchase')
-      SELECT event_id, CASE WHEN user_id % 10 = 9 THEN 'keep: unknown part' WHEN user_id % 7 = 0 OR user_id % 4 = 0 THEN 'discard: not waiting' WHEN q <> 'r1' THEN 'discard: another request'
-      WHEN deleted AND coalesce(NOT (TIMESTAMP '2024-01-20' > c), false) THEN 'wait: inventory is older' WHEN NOT deleted THEN 'pending: not deleted' WHEN user_id % 3 = 0 THEN 'pending: still listed' ELSE 'completed' END AS outcome FROM r""",
+      SELECT event_id, CASE WHEN user_id NOT IN (SELECT doc_id FROM labels) THEN 'keep: unknown part' WHEN user_id % 7 = 0 OR user_id % 4 = 0 THEN 'discard: not waiting' WHEN q <> 'r1' THEN 'discard: another request'
+      WHEN deleted AND coalesce(NOT (TIMESTAMP '2024-01-20' > c), false) THEN 'wait: inventory is older' WHEN NOT deleted THEN 'pending: not deleted' WHEN user_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'pending: still listed' ELSE 'completed' END AS outcome FROM r""",
     "missing_sources": "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
     "retry_policy": "WITH e(i, error_code, retry) AS (VALUES "
     + ", ".join(f"({e[0]}, '{e[1]}', '{e[3]}')" for e in dims.errors())

@@ -109,12 +109,12 @@ def q_attribute_fold(spark, sf_dir):
 
 
 def q_path_claims(spark, sf_dir):
-    return claims(load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("path")), "path", "doc_id")
+    return claims(load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.col("n_chars").cast("string")).alias("path")), "path", "doc_id")
 
 
 def q_missing_keys(spark, sf_dir):
-    s = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
-    return missing_keys(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), s.filter("k < 20"), "k")
+    s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    return missing_keys(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), s, "k")
 
 
 def q_failed_entities(spark, sf_dir):
@@ -130,16 +130,16 @@ def q_stable_files(spark, sf_dir):
 
 
 def q_request_verdict(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax")
     k = F.col("l_partkey") + F.col("l_linenumber")
     name = F.concat(F.lit("TX_MIC001_20240101_000000/TX01_MIC001_20240101_"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 6, "0"), F.when(k % 7 == 0, ".mp3").otherwise("_orig.wav"))
     dev = F.concat(F.lit("d"), (F.col("l_suppkey") % 10).cast("string"))
     rid = F.concat(F.lit("r"), F.when(k % 11 == 0, F.lit("!")).otherwise(F.lit("-")), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
-    req = li.select("l_orderkey", "l_linenumber", rid.alias("request_id"), dev.alias("device_id"), F.concat(dev, F.lit("/"), name).alias("partkey"), name.alias("relpath"), F.when(k % 13 != 0, F.col("l_quantity").cast("bigint") % 5).alias("size"), F.lit(10.9).alias("mtime"))
+    req = li.select("l_orderkey", "l_linenumber", rid.alias("request_id"), dev.alias("device_id"), F.concat(dev, F.lit("/"), name).alias("partkey"), name.alias("relpath"), F.when(k % 13 != 0, F.col("l_quantity").cast("bigint") % 5).alias("size"), F.lit(10.9).alias("mtime"), "l_tax")
     number = F.regexp_extract("relpath", "_([0-9]{6})[._][^_]*$", 1).cast("int")
-    files = req.select("device_id", "relpath").distinct().filter(number % 9 != 0).select("device_id", "relpath", F.lit(2).cast("bigint").alias("have_size"), F.lit(11.2).alias("have_mtime"), F.lit(False).alias("symlink"))
+    files = req.select("device_id", "relpath").distinct().filter(number >= 100).select("device_id", "relpath", F.lit(2).cast("bigint").alias("have_size"), F.lit(11.2).alias("have_mtime"), F.lit(False).alias("symlink"))
     devices = spark.createDataFrame([(f"d{i}",) for i in range(8)], "device_id string")
-    done = req.filter("l_orderkey % 17 = 0").select("request_id")
+    done = req.filter("l_tax > 0.065").select("request_id")
     v = request_verdict(req, files, devices, done)
     return v.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason"), "wait").agg(F.count("*").alias("n"))
 
@@ -167,16 +167,17 @@ ORACLES = {
     "pending_parts": "SELECT o_orderkey, o_orderdate, 'TRANSCRIBED' AS status FROM orders WHERE o_orderstatus = 'P'",
     "attribute_fold": """SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN value END, (ts, event_id)) FILTER (event_type = 'error') AS error_value,
       arg_max(value, (ts, event_id)) FILTER (event_type = 'purchase') AS purchase_value, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1""",
-    "path_claims": "SELECT substring(text, 1, 12) AS path, min(doc_id) AS first_key, count(DISTINCT doc_id) AS n_keys FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
-    "missing_config_keys": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 20",
+    "path_claims": "SELECT lang || '/' || source || '/' || n_chars AS path, min(doc_id) AS first_key, count(DISTINCT doc_id) AS n_keys FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
+    "missing_config_keys": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
     "failed_entities": """SELECT 'part' AS entity, CAST(o_orderkey AS VARCHAR) AS key, o_orderkey % 4 AS retry_count, o_orderpriority AS error_code FROM orders WHERE o_orderstatus = 'F'
       UNION ALL SELECT 'session', CAST(c_custkey AS VARCHAR), c_custkey % 4, c_mktsegment FROM customer WHERE c_acctbal < 0""",
     "stable_files": """WITH s AS (SELECT event_id, ts, user_id, (length(event_type), hour(ts) // 12) AS v FROM events), c AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS ch FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c), k AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS streak FROM r)
       SELECT event_id, streak, streak >= 2 OR event_id % 50 = 0 AS passes FROM k""",
-    "request_verdict": """WITH l AS (SELECT *, l_partkey + l_linenumber AS k, l_suppkey % 10 AS d, l_partkey % 1000 AS p FROM lineitem),
-      v AS (SELECT CASE WHEN k % 11 = 0 THEN 'request_id_unsafe' WHEN l_orderkey % 17 = 0 THEN 'replayed' WHEN k % 13 = 0 THEN 'malformed_request' WHEN d >= 8 THEN 'device_absent'
-        WHEN p % 9 = 0 THEN 'target_missing' WHEN k % 7 = 0 THEN 'filename_rule' WHEN CAST(trunc(l_quantity) AS BIGINT) % 5 <> 2 THEN 'size_mismatch' ELSE 'ok' END AS reason FROM l)
+    "request_verdict": """WITH l AS (SELECT *, l_partkey + l_linenumber AS k, l_suppkey % 10 AS d, l_partkey % 1000 AS p,
+        bool_or(l_tax > 0.065::DOUBLE) OVER (PARTITION BY l_orderkey, l_linenumber, (l_partkey + l_linenumber) % 11 = 0) AS done FROM lineitem),
+      v AS (SELECT CASE WHEN k % 11 = 0 THEN 'request_id_unsafe' WHEN done THEN 'replayed' WHEN k % 13 = 0 THEN 'malformed_request' WHEN d >= 8 THEN 'device_absent'
+        WHEN p < 100 THEN 'target_missing' WHEN k % 7 = 0 THEN 'filename_rule' WHEN CAST(trunc(l_quantity) AS BIGINT) % 5 <> 2 THEN 'size_mismatch' ELSE 'ok' END AS reason FROM l)
       SELECT reason, reason = 'device_absent' AS wait, count(*) AS n FROM v GROUP BY 1, 2""",
     "health_rules": """WITH s AS (SELECT s_suppkey, s_suppkey AS k FROM supplier) SELECT s_suppkey, unnest(['H-1','H-2','H-3','H-4','H-5','H-6','H-7','H-8','H-9']) AS rule,
       unnest([true, k % 5 <> 0, k % 2 = 0, k % 3 <> 0, k % 7 <> 0, true, k % 11 <> 0, k % 13 <> 0 AND k % 4 * 30 <= 60 AND k % 17 <> 0, false]) AS ok FROM s""",

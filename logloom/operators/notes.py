@@ -118,13 +118,13 @@ def q_link_plan(spark, sf_dir):
     p = load(spark, sf_dir, "pages").filter("url IS NOT NULL")
     site, tail = F.regexp_extract("url", "^https?://([^/]+)", 1), F.regexp_extract("url", "/([^/]*)$", 1)
     c = p.select(site.alias("site"), "page_id", F.when(F.col("page_id") % 7 == 0, "daily").when(F.col("page_id") % 7 == 1, "adjacent").otherwise("tag").alias("kind"), tail.alias("name"))
-    existing = p.filter("page_id % 3 = 0").select(F.lower(tail).alias("folded")).distinct()
+    existing = p.filter(F.col("url").startswith("https")).select(F.lower(tail).alias("folded")).distinct()
     plan = link_plan(c, ["site"], "page_id", "kind", "name", existing, 2)
     return plan.select("site", "page_id", "kind", "rendered", "dropped")
 
 
 def q_numbered_names(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 2).alias("name"), F.col("source").alias("k"))
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("n"), F.floor(F.length("text") / 100).cast("string")).alias("name"), F.col("source").alias("k"))
     return numbered_names(d, "lang", "name", "k", ["doc_id"]).select("doc_id", "file")
 
 
@@ -180,15 +180,15 @@ ORACLES = {
       k AS (SELECT conv_id, turn, [w[i] FOR i IN range(1, len(w) + 1) IF list_position(l, l[i]) = i] AS k FROM w)
       SELECT conv_id, turn, CAST(len(k) AS INTEGER) AS n_kept, md5(array_to_string(k, ' ')) AS kept_md5 FROM k""",
     "tag_cleanup": "SELECT doc_id, 'voice-memo,Voice-Memo-' || source || ',' || lang AS tags FROM documents",
-    "link_plan": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS site, regexp_extract(url, '/([^/]*)$', 1) AS name,
+    "link_plan": """WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS site, regexp_extract(url, '/([^/]*)$', 1) AS name,
         CASE page_id % 7 WHEN 0 THEN 'daily' WHEN 1 THEN 'adjacent' ELSE 'tag' END AS kind FROM pages WHERE url IS NOT NULL),
-      u AS (SELECT *, trim(name) <> '' AND NOT regexp_matches(name, '[\\[\\]|#^]') AS usable, lower(name) IN (SELECT lower(name) FROM p WHERE page_id % 3 = 0) AS known FROM p),
+      u AS (SELECT *, trim(name) <> '' AND NOT regexp_matches(name, '[\\[\\]|#^]') AS usable, lower(name) IN (SELECT lower(name) FROM p WHERE url LIKE 'https%') AS known FROM p),
       w AS (SELECT *, usable AND (kind <> 'tag' OR known) AS wants FROM u),
       n AS (SELECT *, sum(CAST(wants AS INTEGER)) OVER (PARTITION BY site ORDER BY CASE kind WHEN 'daily' THEN 0 WHEN 'adjacent' THEN 1 ELSE 2 END, page_id ROWS UNBOUNDED PRECEDING) AS c FROM w)
       SELECT site, page_id, kind, CASE WHEN wants AND c <= 2 THEN '[[' || name || ']]' WHEN usable AND kind = 'tag' THEN '#' || name END AS rendered, NOT usable OR (wants AND c > 2) AS dropped FROM n""",
-    "numbered_names": """WITH f AS (SELECT lang, substring(text, 1, 2) AS name, source AS k, min(doc_id) AS f FROM documents GROUP BY ALL),
+    "numbered_names": """WITH f AS (SELECT lang, 'n' || (length(text) // 100) AS name, source AS k, min(doc_id) AS f FROM documents GROUP BY ALL),
       n AS (SELECT *, row_number() OVER (PARTITION BY lang, name ORDER BY f, k) AS n FROM f)
-      SELECT doc_id, CASE WHEN n = 1 THEN name || '.md' WHEN n <= 99 THEN name || ' (' || n || ').md' END AS file FROM documents d JOIN n ON n.lang = d.lang AND n.name = substring(text, 1, 2) AND k = source""",
+      SELECT doc_id, CASE WHEN n = 1 THEN name || '.md' WHEN n <= 99 THEN name || ' (' || n || ').md' END AS file FROM documents d JOIN n ON n.lang = d.lang AND n.name = 'n' || (length(text) // 100) AND k = source""",
     "fingerprint": """SELECT conv_id, sha256('{"segments":[' || string_agg('{"at":"' || strftime(TIMESTAMP '2024-01-01' + to_seconds(turn * 30), '%Y-%m-%dT%H:%M:%S') || '","end_at":"' ||
       strftime(TIMESTAMP '2024-01-01' + to_seconds(turn * 30 + 10), '%Y-%m-%dT%H:%M:%S') || '","text":"' || md5(text) || '"}', ',' ORDER BY turn) || ']}') AS fingerprint FROM conversations GROUP BY conv_id""",
     "render_raw_note": """WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(10) || '## ' || strftime(TIMESTAMP '2024-01-01' + to_seconds(turn * 30), '%H:%M:%S') || chr(10) || chr(10) ELSE '' END || '\\--- ' || md5(text) AS x FROM conversations)

@@ -115,7 +115,7 @@ def q_doctor(spark, sf_dir):
 def _notes(spark, sf_dir):
     from logloom.functions import text as T
 
-    d = load(spark, sf_dir, "documents").filter("n_chars < 2000")
+    d = load(spark, sf_dir, "documents")
     k = F.col("doc_id")
     own = F.array(F.concat(F.lit("dev/"), k.cast("string")), F.concat(F.lit("dev/"), (k + 1).cast("string")))
     listed = F.when(k % 5 == 0, F.slice(own, 1, 1)).when(k % 5 == 1, F.concat(own, F.array(F.lit("dev/x")))).otherwise(own)
@@ -143,7 +143,7 @@ def q_audio_check(spark, sf_dir):
 
 
 def q_integrity(spark, sf_dir):
-    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
+    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer").filter("c_acctbal >= 0")
     a = dangling(o.select("o_orderkey", "o_custkey"), "o_custkey", c, "c_custkey").select(F.lit("dangling").alias("rule"), F.col("o_orderkey").alias("id"))
     d = duplicates(load(spark, sf_dir, "documents").select(F.xxhash64("text").alias("h")), "h").agg(F.count("*").alias("id"))
     return a.unionByName(d.select(F.lit("duplicate contents").alias("rule"), "id"))
@@ -171,12 +171,12 @@ ORACLES = {
       SELECT doc_id, len(f) = 0 AS passed, array_to_string(f, ',') AS failed FROM r""",
     "doctor_blocking": """WITH x AS (SELECT c_custkey, c_acctbal > -500 AS a, c_nationkey <> 7 AS b, c_mktsegment <> 'BUILDING' AS c, c_custkey % 3 <> 0 AS d FROM customer)
       SELECT c_custkey, unnest(['C-1', 'C-2', 'C-3', 'C-4']) AS rule, unnest([CASE WHEN a THEN 'ok' ELSE 'fail' END, CASE WHEN NOT a THEN 'blocked' WHEN b THEN 'ok' ELSE 'fail' END, CASE WHEN NOT (a AND b) THEN 'blocked' WHEN c THEN 'ok' ELSE 'fail' END, CASE WHEN d THEN 'ok' ELSE 'fail' END]) AS state FROM x""",
-    "note_check": """WITH x AS (SELECT doc_id AS k FROM documents WHERE n_chars < 2000),
+    "note_check": """WITH x AS (SELECT doc_id AS k FROM documents),
       r AS (SELECT k, list_filter([CASE WHEN k % 13 = 0 THEN 'R-4' END, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'R-5' END, CASE WHEN k % 5 = 0 OR k % 11 = 0 THEN 'R-6' END], lambda v: v IS NOT NULL) AS f,
         list_filter([CASE WHEN k % 13 = 0 THEN 'W-4' END, CASE WHEN k % 11 = 0 THEN 'W-5' END, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'W-6' END, CASE WHEN k % 5 < 2 OR k % 11 = 0 THEN 'W-7' END, CASE WHEN k % 3 = 0 THEN 'W-8' END, CASE WHEN k % 4 = 0 THEN 'W-9' END], lambda v: v IS NOT NULL) AS g FROM x)
       SELECT k AS doc_id, 'raw' AS kind, len(f) = 0 AS passed, array_to_string(f, ',') AS failed FROM r UNION ALL SELECT k, 'daily', len(g) = 0, array_to_string(g, ',') FROM r""",
     "audio_check": """SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'exists' WHEN p_size - 1 <= 0 THEN 'empty' WHEN p_partkey % 5 = 0 THEN 'sample_rate' WHEN p_partkey % 7 = 0 THEN 'channels' WHEN p_partkey % 3 <> 0 AND p_partkey % 4 > 2 THEN 'duration' END AS reason FROM part""",
-    "integrity": """SELECT 'dangling' AS rule, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
+    "integrity": """SELECT 'dangling' AS rule, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
       UNION ALL SELECT 'duplicate contents', count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)""",
     "safe_paths": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/.*)$', 1) AS a FROM pages), q AS (SELECT page_id, regexp_replace(a, '^/', '') AS r FROM p)
       SELECT page_id, false AS absolute, r <> '' AND len(list_filter(string_split(r, '/'), lambda x: x = '' OR x LIKE '.%')) = 0 AS relative FROM q""",
