@@ -23,10 +23,10 @@ from logloom.sources import load
 #: Fixed value: the public pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose new words are merged together, and words that a worker remembers.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 6_000_000
 #: Bytes of text whose rows go out together.
 OUT_BYTES = 1_000_000
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 _NONE = np.int32(2**31 - 1)
 
 
