@@ -68,6 +68,7 @@ class _Open:
     name: str
     main: int
     chrome: int
+    hard: int
     silent: int
     link: int
     heading: int
@@ -95,7 +96,7 @@ def _marks(name: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; scripts, styles, head, controls and hidden elements have none."""
     out: list[Block] = []
-    stack: list[_Open] = [_Open("", 0, 0, 0, 0, 0)]
+    stack: list[_Open] = [_Open("", 0, 0, 0, 0, 0, 0)]
     text: list[str] = []
     linked: list[str] = []
 
@@ -164,11 +165,14 @@ def blocks(page: str) -> list[Block]:
         main, chrome, hidden = _marks(name, m[3], top.main > 0)
         if name in ("body", "html"):
             main = chrome = False
+        # A wrapper whose class speaks of a sidebar or banner may still hold the page's one main element.
+        over = top.hard if name == "main" else top.chrome
         stack.append(
             _Open(
                 name,
-                depth if main and not top.chrome else top.main,
-                depth if chrome else top.chrome,
+                depth if main and not over else top.main,
+                depth if chrome else over,
+                depth if name in _CHROME else top.hard,
                 top.silent or hidden or name in _SILENT,
                 top.link or name == "a",
                 top.heading or (name[0] == "h" and name[1:] in ("1", "2", "3", "4", "5", "6")),

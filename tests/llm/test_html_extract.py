@@ -52,6 +52,8 @@ def test_broken_pages():
     assert texts("<article><p>1 < 2 and <b>bold</i></b></p></div></article>") == ["1 < 2 and bold"]
     assert texts("<article>" + "<div>" * 3000 + "<p>deep" + "</div>" * 10) == ["deep"]
     assert len(texts("<article>" + "<p>a word or two</p>" * 20000)) == 20000
+    assert texts("<div class='layout sidebar-right'><p>Sponsored</p><main><p>a<aside>no</aside><p>b</main></div>") == ["a", "b"]
+    assert texts("<nav><main><p>a</main></nav><article><p>b</article>") == ["b"]
     assert texts("<div>Start</div><article><p>a<p>b</article>") == ["a", "b"]
     assert texts("<nav>x</nav><article><h1>Title</h1><p><a href='/'>all of it a link</a></article>") == ["Title", "all of it a link"]
 
