@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.arrow_texts import bound_batches, released, slices
 from logloom.llm.window_digits import window_runs
-from logloom.plans import written
+from logloom.plans import splittable, written
 
 BLOCK = 48
 STEP = 16
@@ -143,8 +143,7 @@ def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
     shared = written(runs.join(leads, "lead"), "shared-runs")
     classes = shared.groupBy("lead", "digest").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "run")).alias("first"))
     many = shared.groupBy("lead").agg((F.min("digest") != F.max("digest")).alias("many")).filter("many")
-    many = written(many, "many-classes")  # a table of its own, so that the join below can be split where a lead is hot
-    classes = classes.join(many, "lead", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    classes = classes.join(splittable(many, "many-classes"), "lead", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     classes = written(classes.filter("n > 1 or many"), "run-classes")
     flagged = shared.join(classes, ["lead", "digest"]).select(
         *_KEYS,
@@ -167,7 +166,7 @@ def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
     parts = rows.filter("lead is not null").drop("start", "stop")
     digits = ["lead", "place", "core"]
     deep = parts.groupBy(*digits).agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("differ")).filter("n > 1")
-    left = written(parts.join(deep, digits), "deep-parts")
+    left = written(parts.join(splittable(deep, "deep-digits"), digits), "deep-parts")
     most = F.octet_length("left")
     even = left.filter("need and not differ").select(
         *_KEYS, (F.col("pos") - most).alias("start"), (F.col("pos") - F.col("least") + width).alias("stop")
@@ -179,7 +178,7 @@ def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
     )
     last = [*digits, "t", "last"]
     equal = single.groupBy(*last).agg(F.count("*").alias("n")).filter("n > 1").select(*last)
-    exact = single.filter("need").join(equal, last).select(*_KEYS, "start", (F.col("start") + width).alias("stop"))
+    exact = single.filter("need").join(splittable(equal, "equal-windows"), last).select(*_KEYS, "start", (F.col("start") + width).alias("stop"))
     every = spans.unionByName(even).unionByName(exact)
     return written(every.groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
 
