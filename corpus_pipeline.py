@@ -16,11 +16,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of the smallest id; of rows that repeat an id, one."""
-    found = simhash.near_duplicates(docs)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("_keep"))
-    kept = docs.join(keep.select("_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each SimHash group: the one of the smallest id (null ids last; then the smallest text hash); of
+    rows that repeat an id and its text, one. Different texts with a null or repeated id are documents of their own."""
+    keep = simhash.survivors(docs).withColumnsRenamed({"_id": "_keep_id", "_hash": "_keep_hash"})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), simhash.text_hash().alias("_hash"))
+    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & F.col("_hash").eqNullSafe(F.col("_keep_hash")), "left_semi")
+    return kept.dropDuplicates(["_id", "_hash"]).select("_row.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.arrow_texts import bound_batches, released
@@ -59,14 +59,22 @@ def _fingerprint_rows(batches):
     for batch in batches:
         text = batch.column("_text")
         found = np.fromiter((fingerprint((t.as_py() or "").encode()) for t in text), np.uint64, len(text))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found.view(np.int64))], names=["_id", "fp"])
+        others = [c for c in batch.schema.names if c != "_text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(found.view(np.int64))], names=[*others, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id`` and ``fp`` (the 64 bits as a signed long) of each row; a null text has no words and fingerprint zero."""
+def text_hash(text_col: str = "text") -> Column:
+    """128 bits that tell texts of one id apart; null for a null text."""
+    return F.md5(F.col(text_col).cast("binary"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``_id`` and ``fp`` (the 64 bits as a signed long) of each row, and ``_hash`` (see text_hash) on demand; a null text
+    has no words and fingerprint zero."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(released(_fingerprint_rows), "_id bigint, fp bigint")
+    hashes = [text_hash(text_col).alias("_hash")] if hashed else []
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), *hashes, F.col(text_col).alias("_text"))
+    return rows.mapInArrow(released(_fingerprint_rows), "_id bigint, _hash string, fp bigint" if hashed else "_id bigint, fp bigint")
 
 
 @dataclass
@@ -258,6 +266,12 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("tile").applyInPandas(_links, "a bigint, b bigint")
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """``distinct`` plus root, the fingerprint that names its component."""
+    roots = connected_components(near_links(distinct), "a", "b")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` for each row; component_id is the smallest id that links reach, itself included.
 
@@ -266,14 +280,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives none. Other columns do not matter.
     """
     own = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(own.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fps")
-    roots = connected_components(near_links(distinct), "a", "b")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(written(own.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fps"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = written(named.join(least, "root").select("fp", "component_id"), "components")
     return own.join(found, "fp").select(F.col("_id").alias("doc_id"), "fp", "component_id")
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_id, _hash`` of one row of each component: the smallest id (null after all others), then the smallest hash.
+
+    Components are told apart by their root fingerprint, so different texts with a null or repeated id each count.
+    """
+    own = fingerprints(docs, id_col, text_col, hashed=True)
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash"))
+    distinct = written(own.groupBy("fp").agg(first.alias("least")), "distinct-fps")
+    return _rooted(distinct).groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._hash")
+
+
 def query(spark, sf_dir):
     found = near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -83,3 +83,12 @@ def test_nulls_extra_columns_and_no_rows(spark, steps):
     for name, stage in C.STAGES:
         assert stage(spark, docs, SF).count() >= 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_different_texts_with_null_or_equal_ids_all_stay(spark):
+    one, two, three = ("The quick brown fox jumps over the lazy dog near the river bank", "Prices of copper rose again after the mine was closed", "She wrote nine letters to the council about the broken bridge")
+    rows = [(None, one), (None, two), (None, two), (7, one), (7, three), (3, one), (8, three + " "), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, _id string, _hash int")
+    got = C.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, two), (3, one), (7, three), (7, None)], key=str)
