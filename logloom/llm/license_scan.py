@@ -1,10 +1,17 @@
 """Licence notices in texts, by Dice coefficient over word bigrams against templates. DataFrame functions only.
 
-Units are the lines of a text and the whole text. A unit and a template with a and b distinct bigrams reach at most
+Units are the lines of a text, the whole text, and runs of neighbouring lines. A unit and a template with a and b distinct bigrams reach at most
 Dice 2*min(a, b)/(a + b), so a lies between t*b/(2-t) and b*(2-t)/t for a threshold t, and most units meet no template, and the rest one or two. Everything
 happens inside a row: no shuffle, no join.
+
+Runs find notices that are wrapped over lines and full licence texts (the files of license_texts) inside longer texts. A
+run that reaches t shares t*b/(2-t) bigrams at least with its template, so texts with fewer of them are not searched.
 """
 
+import math
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +36,8 @@ TEMPLATES = {
     "MIT-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# Full licence texts, searched in runs of lines only.
+FULL_TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,14 +52,112 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " ")), " ")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _runs(docs: DataFrame, names: list[str], templates: dict[str, str], full: dict[str, str], threshold: float, text_col: str) -> DataFrame:
+    """Rows ``_row, unit, n_lines, license_id, n_bigrams, dice`` of runs; see scan."""
+    known = [(k, _plain_bigrams(v), w) for part, w in ((templates, False), (full, True)) for k, v in sorted(part.items())]
+    known = sorted((k, v, w) for k, v, w in known if v)
+    low, high, slack = threshold / (2 - threshold), (2 - threshold) / threshold, 1e-9
+    needs = [max(1, math.ceil(low * len(v) - slack)) for _, v, _ in known]
+    table = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(k).alias("id"), F.lit(w).alias("full"), F.lit(n).alias("need"), F.lit(len(v)).alias("size"), F.split(F.lit("\n".join(v)), "\n").alias("b"))
+            for i, ((k, v, w), n) in enumerate(zip(known, needs))
+        ]
+    )
+    every = sorted({g for _, v, _ in known for g in v})
+
+    def once(df: DataFrame, name: str, value: Column, *others: str) -> DataFrame:
+        return df.select(*others, F.explode(F.array(value)).alias(name))
+
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.filter(_words(x), lambda w: w != ""))
+    at = once(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`")).filter(F.col(text_col).isNotNull()), "_lines", lines, "_row")
+    at = once(at, "_words", F.flatten("_lines"), "_row", "_lines")
+    pairs = F.zip_with("_words", F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    at = once(at, "_common", F.array_distinct(F.filter(pairs, lambda g: g.isin(every))), "_row", "_lines").filter(F.size("_common") >= min(needs))
+    near = F.filter(table, lambda t: F.when(t["need"] <= F.size("_common"), F.size(F.array_intersect(F.col("_common"), t["b"])) >= t["need"]).otherwise(False))
+    at = once(at, "_near", near, "_row", "_lines").filter(F.size("_near") > 0)
+    # Each bigram by position k: the lines f and t of its words, and the line p of its previous occurrence (-1: none).
+    tokens = F.flatten(F.transform("_lines", lambda ws, i: F.transform(ws, lambda w: F.struct(w.alias("w"), (i + 1).alias("l")))))
+    at = once(at, "_tokens", tokens, "_row", "_near")
+    both = F.zip_with("_tokens", F.slice("_tokens", 2, F.size("_tokens")), lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("g"), a["l"].alias("f"), b["l"].alias("t")))
+    by_text = F.array_sort(F.transform(F.slice(both, 1, F.size("_tokens") - 1), lambda x, k: F.struct(x["g"].alias("g"), k.alias("k"), x["f"].alias("f"), x["t"].alias("t"))))
+    at = once(at, "_sorted", by_text, "_row", "_near")
+
+    def earlier(x: Column, k: Column) -> Column:
+        before = F.get("_sorted", k - 1)
+        return F.struct(x["k"].alias("k"), x["f"].alias("f"), x["t"].alias("t"), F.when((k > 0) & (before["g"] == x["g"]), before["f"]).otherwise(-1).alias("p"), x["g"].alias("g"))
+
+    at = once(at, "_bigrams", F.array_sort(F.transform("_sorted", earlier)), "_row", "_near")
+
+    def dice(s: Column, a: Column, b: Column) -> Column:
+        return F.lit(2.0) * s / (a + b)
+
+    def from_line(found: Column, size: Column, i: Column) -> Column:
+        """The best run that starts at line i: a distinct bigrams, s of them shared, up to line j; ties: the shortest."""
+
+        def closed(c: Column) -> Column:
+            better = (c["a"] > 0) & (dice(c["s"], c["a"], size) > c["d"])
+            return F.struct(
+                c["a"].alias("a"), c["s"].alias("s"), c["j"].alias("j"),
+                F.when(better, dice(c["s"], c["a"], size)).otherwise(c["d"]).alias("d"), F.when(better, c["j"]).otherwise(c["end"]).alias("end"), F.when(better, c["a"]).otherwise(c["n"]).alias("n"),
+            )
+
+        def step(c: Column, x: Column) -> Column:
+            c = F.when(x["t"] > c["j"], closed(c)).otherwise(c)
+            return _let(c, lambda c: F.struct((c["a"] + 1).alias("a"), (c["s"] + x["h"].cast("int")).alias("s"), x["t"].alias("j"), c["d"].alias("d"), c["end"].alias("end"), c["n"].alias("n")))
+
+        zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("s"), F.lit(0).alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("end"), F.lit(0).alias("n"))
+        return F.aggregate(F.filter(found, lambda x: (x["f"] >= i) & (x["p"] < i)), zero, step, closed)
+
+    def rated(t: Column) -> Column:
+        found = F.transform("_bigrams", lambda x: F.struct(x["f"].alias("f"), x["t"].alias("t"), x["p"].alias("p"), F.array_contains(t["b"], x["g"]).alias("h")))
+
+        def of(found: Column) -> Column:
+            first = F.filter(found, lambda x: x["p"] < 0)
+            whole = dice(F.size(F.filter(first, lambda x: x["h"])), F.size(first), t["size"])
+            starts = F.array_distinct(F.transform(F.filter(found, lambda x: x["h"]), lambda x: x["f"]))
+
+            def run(i: Column, whole: Column) -> Column:
+                return _let(
+                    from_line(found, t["size"], i),
+                    lambda c: F.struct((-c["d"]).alias("d"), (c["end"] - i).alias("more"), i.alias("i"), t["i"].alias("no"), t["id"].alias("id"), c["n"].alias("n"), c["end"].alias("j"), (~t["full"] & ((c["end"] == i) | (c["d"] <= whole))).alias("told")),
+                )
+
+            return F.filter(_let(whole, lambda w: F.transform(starts, lambda i: run(i, w))), lambda r: -r["d"] >= threshold)
+
+        return _let(found, of)
+
+    at = once(at, "_rated", F.array_sort(F.flatten(F.transform("_near", rated))), "_row")
+
+    def hides(k: Column, x: Column) -> Column:
+        overlap = (k["i"] <= x["j"]) & (x["i"] <= k["j"])
+        inside = (k["i"] <= x["i"]) & (x["j"] <= k["j"]) & (x["n"] >= low * k["n"]) & (x["n"] <= high * k["n"])
+        return overlap & ((k["no"] == x["no"]) | inside)
+
+    kept = F.aggregate("_rated", F.slice("_rated", 1, 0), lambda c, x: F.when(F.exists(c, lambda k: hides(k, x)), c).otherwise(F.concat(c, F.array(x))))
+    out = at.select("_row", F.explode(F.filter(kept, lambda r: ~r["told"])).alias("m"))
+    return out.select("_row", F.col("m.i").alias("unit"), (F.col("m.more") + 1).alias("n_lines"), F.col("m.id").alias("license_id"), F.col("m.n").alias("n_bigrams"), (-F.col("m.d")).alias("dice"))
+
+
+def scan(
+    docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", full: dict[str, str] = FULL_TEXTS
+) -> DataFrame:
     """A row for each unit that reaches ``threshold`` with a template: the other columns of ``docs``, unit (0: the whole
-    text, from 1: its lines), license_id of the best template (ties: the first by name), n_bigrams and dice.
+    text, from 1: its lines), license_id of the best template (ties: the first by name), n_bigrams, dice and n_lines (null
+    for the whole text).
+
+    And a row for each run of lines (unit: its first line), of ``templates`` or ``full``: of the runs from each line the
+    best, best first, without those that overlap a better one of the same template or lie in a better one of like size,
+    and without runs of ``templates`` that a line or the whole text already tells as well.
 
     Null, empty and one-word texts have no bigrams and no rows; repeated rows give repeated rows; input columns of the
     names above give way. Templates are a bounded literal (their texts go into the plan).
     """
-    added = ["unit", "license_id", "n_bigrams", "dice"]
+    added = ["unit", "license_id", "n_bigrams", "dice", "n_lines"]
     names = [c for c in docs.columns if c != text_col and c not in added]
     known = {k: _plain_bigrams(v) for k, v in sorted(templates.items())}
     known = {k: v for k, v in known.items() if v}
@@ -75,9 +182,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         return F.struct(F.size(b).alias("n_bigrams"), F.array_max(F.filter(rated, lambda r: r["dice"] >= threshold)).alias("top"))
 
     found = words.filter(several & few).select("_row", "unit", F.explode(F.transform(F.array(pairs), best)).alias("m")).filter("m.top is not null")
-    return found.select(
-        *[F.col(f"_row.`{c}`") for c in names], "unit", F.get(ids, -F.col("m.top.n")).alias("license_id"), F.col("m.n_bigrams").alias("n_bigrams"), F.col("m.top.dice").alias("dice")
+    alone = found.select(
+        "_row", "unit", F.when(F.col("unit") > 0, 1).alias("n_lines"), F.get(ids, -F.col("m.top.n")).alias("license_id"), F.col("m.n_bigrams").alias("n_bigrams"), F.col("m.top.dice").alias("dice")
     )
+    runs = _runs(docs, names, templates, full, threshold, text_col)
+    return alone.unionByName(runs).select(*[F.col(f"_row.`{c}`") for c in names], *added)
 
 
 def query(spark, sf_dir):

@@ -41,3 +41,27 @@ def test_equals_brute_force(spark):
 def test_plan_is_native_and_shuffles_nothing(spark):
     plan = L.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_wrapped_notices_and_full_texts_in_longer_documents(spark):
+    import textwrap
+
+    prose = "The miller walked home along the river.\nRain fell on the roofs of the town.\n"
+    wrapped = {k: "\n".join(textwrap.wrap(L.TEMPLATES[k], 60)) for k in ("MIT-header", "GPL-3.0-header", "ISC", "GPL-3.0")}
+    wrapped["GPL-3.0"] = L.TEMPLATES["GPL-3.0"].replace("the GNU", "the\nGNU").replace("Public", "Public\n")
+    texts = [(k, prose + v + "\n\n" + prose) for k, v in wrapped.items()]
+    texts += [(k, prose * 20 + L.FULL_TEXTS[k] + prose * 20) for k in ("MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0")] + [("MIT", L.FULL_TEXTS["MIT"])]
+    texts.append(("MIT", prose + L.FULL_TEXTS["MIT"].replace("\n", " ")))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    got = {}
+    for r in L.scan(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, (name, text) in enumerate(texts):
+        best = max(got[i], key=lambda r: (r.dice, r.n_bigrams))
+        lines = text.split("\n")[best.unit - 1 :][: best.n_lines]
+        t = bigrams((wrapped if i < 4 else L.FULL_TEXTS)[name])
+        a = bigrams("\n".join(lines))
+        assert best.license_id == name and best.n_bigrams == len(a)
+        assert best.dice == 2 * len(a & t) / (len(a) + len(t)) >= 0.99
+    assert [sum(r.unit > 0 for r in got[i]) for i in range(4)] == [1] * 4
+    assert L.scan(spark.createDataFrame([(0, prose * 50), (1, None)], "doc_id bigint, text string")).count() == 0
