@@ -1,16 +1,17 @@
 """Intermediate tables in the folder that the driver and all executors share."""
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _users, _before = threading.Lock(), 0, ""
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; only where that is unset (local runs, tests) a temporary folder serves."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         ctx = spark.sparkContext
@@ -20,30 +21,74 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not base:
             ctx.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
             base = ctx.getCheckpointDir()
-    return f"{base.rstrip('/')}/logloom-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/logloom-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``, in a folder of this application; only where that is unset (local runs,
+    tests) a temporary folder serves."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_shared(spark: SparkSession) -> bool:
+    """Deletes all that this application has written to the shared folder. Results that are read lazily from there
+    (of the dedup operators, for example) must have been written elsewhere or collected before."""
+    return delete_folder(spark, _base(spark))
 
 
 @contextmanager
 def shuffles_freed(spark: SparkSession):
-    """Shuffle files of the actions inside go as soon as each action ends, not when the driver happens to collect garbage."""
-    before = spark.conf.get(_FREE_SHUFFLES)
-    spark.conf.set(_FREE_SHUFFLES, "true")
+    """Shuffle files of the actions inside go as soon as each action ends, not when the driver happens to collect garbage.
+    The setting is the session's: it is on while any thread is inside, and gets its old value when the last one leaves."""
+    global _users, _before
+    with _lock:
+        if _users == 0:
+            _before = spark.conf.get(_FREE_SHUFFLES)
+            spark.conf.set(_FREE_SHUFFLES, "true")
+        _users += 1
     try:
         yield
     finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
+        with _lock:
+            _users -= 1
+            if _users == 0:
+                spark.conf.set(_FREE_SHUFFLES, _before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut and a lost executor costs nothing that was done."""
-    path = shared_path(df.sparkSession, name)
+def _stored(df: DataFrame, path: str) -> DataFrame:
     with shuffles_freed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut and a lost executor costs nothing that was done.
+    The table stays until clear_shared; see Scratch for tables that are needed for a while."""
+    return _stored(df, shared_path(df.sparkSession, name))
+
+
 def splittable(df: DataFrame, name: str) -> DataFrame:
     """``df``, an aggregation by the key of a join to come, as a written table. Joined directly, the aggregation would
     pin the join to its own partitioning, and a key with a third of all rows on the other side would be one task's;
     joined from a table, adaptive execution may split the hot partition."""
     return written(df, name)
+
+
+class Scratch:
+    """The written tables of one job, by name, each deleted once the tables made from it are written themselves."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.path = spark, shared_path(spark, job)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return _stored(df, f"{self.path}/{name}")
+
+    def free(self, *names: str) -> None:
+        """Deletes tables that no table or result to come reads."""
+        for name in names:
+            delete_folder(self.spark, f"{self.path}/{name}")
