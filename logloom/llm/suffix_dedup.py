@@ -7,7 +7,7 @@ block of 48 bytes, one record for a whole run of neighbouring windows; pass 2 by
 the ``width - 15`` bytes common to sixteen neighbouring windows; pass 4 by the fifteen bytes that remain. Each pass is
 a distributed group-by on the digit (64-bit hashes, always together with the digits before), with map-side combining,
 so a passage in a third of all documents is one record a task. No pass lists pairs. Only texts with surviving runs
-are read again.
+are read again. What a pass wrote goes as soon as the passes that read it have written theirs.
 """
 
 import numpy as np
@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 
 from logloom.llm.arrow_texts import bound_batches, released, slices
 from logloom.llm.window_digits import window_runs
-from logloom.plans import splittable, written
+from logloom.plans import Scratch
 
 BLOCK = 48
 STEP = 16
 #: Windows of a long text that are looked at together; memory is some 150 bytes for each.
 PIECE = 1_000_000
 
-_KEYS = ["_id", "_hash"]
-_RUNS = "_id bigint, _hash int, run int, lead bigint, digest bigint"
-_PARTS = "_id bigint, _hash int, start int, stop int, need boolean, lead bigint, place int, core bigint, whole bigint, pos int, least int, left binary, right binary"
+_KEYS = ["_a", "_b"]
+_RUNS = "_a bigint, _b bigint, run int, lead bigint, digest bigint"
+_PARTS = "_a bigint, _b bigint, start int, stop int, need boolean, lead bigint, place int, core bigint, whole bigint, pos int, least int, left binary, right binary"
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -53,13 +53,13 @@ def _runs(batches, names: list[str], width: int):
 
 def _run_rows(width: int):
     def rows(batches):
-        for ids, _, starts, r, seen, _ in _runs(batches, ["_id", "_hash"], width):
+        for ids, _, starts, r, seen, _ in _runs(batches, _KEYS, width):
             doc = np.searchsorted(starts, r.first, side="right") - 1
             number = seen + np.arange(len(doc)) - np.searchsorted(doc, doc)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [ids["_id"].take(take), ids["_hash"].take(take), pa.array(number.astype(np.int32)), _signed(r.lead), _signed(r.digest)],
-                names=["_id", "_hash", "run", "lead", "digest"],
+                [*(ids[k].take(take) for k in _KEYS), pa.array(number.astype(np.int32)), _signed(r.lead), _signed(r.digest)],
+                names=[*_KEYS, "run", "lead", "digest"],
             )
 
     return rows
@@ -70,7 +70,7 @@ def _part_rows(width: int):
     core_len = width - STEP + 1
 
     def rows(batches):
-        for cols, buf, starts, r, seen, low in _runs(batches, ["_id", "_hash", "full", "parts", "need"], width):
+        for cols, buf, starts, r, seen, low in _runs(batches, [*_KEYS, "full", "parts", "need"], width):
             doc = np.searchsorted(starts, r.first, side="right") - 1
             base = np.searchsorted(doc, np.arange(len(starts)))
 
@@ -115,8 +115,7 @@ def _part_rows(width: int):
 
             yield pa.RecordBatch.from_arrays(
                 [
-                    cols["_id"].take(both),
-                    cols["_hash"].take(both),
+                    *(cols[k].take(both) for k in _KEYS),
                     col(start.astype(np.int32), None, pa.int32()),
                     col(stop.astype(np.int32), None, pa.int32()),
                     col(None, np.isin(parts, need)[own], pa.bool_()),
@@ -136,20 +135,27 @@ def _part_rows(width: int):
 
 
 def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
-    """``bodies`` has _id, _hash (together naming a text) and _body (binary). Returns _id, _hash and spans, an array of
-    [start, stop) structs, overlapping and unordered, that together cover what repeats; texts without any have no row."""
+    """``bodies`` has _a and _b (together naming a text) and _body (binary). Returns _a, _b and spans, a set of
+    [start, stop) structs, overlapping and unordered, that together cover what repeats; texts without any have no row.
+    Rows that repeat a name are copies of one text; their spans are listed once."""
+    tables = Scratch(bodies.sparkSession, "suffix-dedup")
+    written = tables.written
     runs = written(bodies.mapInArrow(released(_run_rows(width)), _RUNS), "runs")
     leads = written(runs.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 1").select("lead"), "leads")
     shared = written(runs.join(leads, "lead"), "shared-runs")
-    classes = shared.groupBy("lead", "digest").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "run")).alias("first"))
+    tables.free("runs", "leads")
+    # Tables, not aggregations, meet the runs: adaptive execution can split a hot lead then.
     many = shared.groupBy("lead").agg((F.min("digest") != F.max("digest")).alias("many")).filter("many")
-    classes = classes.join(splittable(many, "many-classes"), "lead", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    many = written(many, "many-classes")
+    classes = shared.groupBy("lead", "digest").agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS, "run")).alias("first"))
+    classes = classes.join(many, "lead", "left").withColumn("many", F.coalesce("many", F.lit(False)))
     classes = written(classes.filter("n > 1 or many"), "run-classes")
+    tables.free("many-classes")
     flagged = shared.join(classes, ["lead", "digest"]).select(
         *_KEYS,
         "run",
         (F.col("n") > 1).alias("full"),
-        (F.col("many") & (F.struct(*_KEYS, "run").eqNullSafe(F.col("first")))).alias("part"),
+        (F.col("many") & (F.struct(*_KEYS, "run") == F.col("first"))).alias("part"),
     )
     listed = written(
         flagged.groupBy(*_KEYS).agg(
@@ -159,14 +165,17 @@ def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
         ),
         "flagged",
     )
-    again = bodies.alias("b").join(listed.alias("f"), _same("b", "f")).select("b._id", "b._hash", "b._body", "full", "parts", "need")
+    tables.free("shared-runs", "run-classes")
+    again = bodies.join(listed, _KEYS).select(*_KEYS, "_body", "full", "parts", "need")
     rows = written(again.mapInArrow(released(_part_rows(width)), _PARTS), "run-parts")
+    tables.free("flagged")
 
     spans = rows.filter("lead is null").select(*_KEYS, "start", "stop")
     parts = rows.filter("lead is not null").drop("start", "stop")
     digits = ["lead", "place", "core"]
     deep = parts.groupBy(*digits).agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("differ")).filter("n > 1")
-    left = written(parts.join(splittable(deep, "deep-digits"), digits), "deep-parts")
+    left = written(parts.join(written(deep, "deep-digits"), digits), "deep-parts")
+    tables.free("deep-digits")
     most = F.octet_length("left")
     even = left.filter("need and not differ").select(
         *_KEYS, (F.col("pos") - most).alias("start"), (F.col("pos") - F.col("least") + width).alias("stop")
@@ -178,13 +187,11 @@ def repeated_spans(bodies: DataFrame, width: int = 200) -> DataFrame:
     )
     last = [*digits, "t", "last"]
     equal = single.groupBy(*last).agg(F.count("*").alias("n")).filter("n > 1").select(*last)
-    exact = single.filter("need").join(splittable(equal, "equal-windows"), last).select(*_KEYS, "start", (F.col("start") + width).alias("stop"))
+    exact = single.filter("need").join(written(equal, "equal-windows"), last).select(*_KEYS, "start", (F.col("start") + width).alias("stop"))
     every = spans.unionByName(even).unionByName(exact)
-    return written(every.groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-
-
-def _same(a: str, b: str):
-    return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._hash") == F.col(f"{b}._hash"))
+    found = written(every.groupBy(*_KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    tables.free("run-parts", "deep-parts", "equal-windows")
+    return found
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -226,18 +233,19 @@ def remove_repeats(docs: DataFrame, width: int = 200, id_col: str = "doc_id", te
     else in ``docs``; all occurrences go, as strings are judged on the input.
 
     With ``as_text`` kept is one string; characters of which only a part stays are left out of it.
-    Null texts count as empty; texts below ``width`` bytes are only kept. Rows that repeat whole are copies of each
-    other. Ids may be null or repeat: a text is named by its id and a hash of its text. Other columns pass, whatever their names; only
-    columns called kept or removed give way to the results.
+    Null texts count as empty; texts below ``width`` bytes are only kept, longer ones are read in pieces. Rows that repeat
+    whole are copies of each other. Ids may be null, repeat, or be of any hashable type: a text is named by 128 bits of
+    its id and text. Other columns pass, whatever their names; only columns called kept or removed give way to the
+    results. The spans, read lazily by the result, are the one table that stays in the shared folder (see clear_shared).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     others = [c for c in docs.columns if c not in (text_col, "kept", "removed")]
     bound_batches(docs.sparkSession)
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.hash(text).alias("_hash"), text.cast("binary").alias("_body")
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.xxhash64(id_col, text).alias("_a"), F.xxhash64(F.lit(31), text, id_col).alias("_b"), text.cast("binary").alias("_body")
     )
-    spans = repeated_spans(keyed.select("_id", "_hash", "_body"), width)
-    joined = keyed.alias("b").join(spans.alias("f"), _same("b", "f"), "left").select("b._row", "b._body", "f.spans")
+    spans = repeated_spans(keyed.select(*_KEYS, "_body"), width)
+    joined = keyed.join(spans, _KEYS, "left").select("_row", "_body", "spans")
     row = joined.schema["_row"].dataType.simpleString()
     kind = "string" if as_text else "array<binary>"
     cut = joined.mapInArrow(released(_cut(as_text)), f"_row {row}, kept {kind}, removed array<struct<start:int,stop:int>>")

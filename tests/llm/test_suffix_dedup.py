@@ -83,7 +83,7 @@ def test_a_long_text_is_looked_at_in_pieces(spark, monkeypatch):
         assert (np.concatenate([p[k] for p in pieces]) == want).all()
     rows = S._part_rows(200)
     n = len(one.first)
-    cols = {"_id": pa.array([1], pa.int64()), "_hash": pa.array([2], pa.int32()), "full": pa.array([list(range(0, n, 3))], pa.list_(pa.int32())), "parts": pa.array([list(range(n))], pa.list_(pa.int32())), "need": pa.array([list(range(1, n, 2))], pa.list_(pa.int32())), "_body": pa.array([raw], pa.binary())}
+    cols = {"_a": pa.array([1], pa.int64()), "_b": pa.array([2], pa.int64()), "full": pa.array([list(range(0, n, 3))], pa.list_(pa.int32())), "parts": pa.array([list(range(n))], pa.list_(pa.int32())), "need": pa.array([list(range(1, n, 2))], pa.list_(pa.int32())), "_body": pa.array([raw], pa.binary())}
     batch = pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
     cut = pa.Table.from_batches(list(rows([batch]))).to_pylist()
     monkeypatch.setattr(S, "PIECE", 10**6)
@@ -103,6 +103,42 @@ def test_ids_null_or_repeated_extra_columns_and_no_rows(spark):
     assert S.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_many_repeated_rows_list_each_span_once(spark):
+    rnd = random.Random(5)
+    t = "".join(rnd.choice("abcdefgh") for _ in range(700))
+    docs = spark.createDataFrame([(7, t)] * 1000 + [(8, t[:300] + "!" * 150), (9, "z" * 150)], "doc_id bigint, text string")
+    keyed = docs.select(F.col("doc_id").alias("_a"), F.lit(0).cast("bigint").alias("_b"), F.col("text").cast("binary").alias("_body"))
+    assert S.repeated_spans(keyed).agg(F.max(F.size("spans"))).first()[0] < 200
+    got = S.remove_repeats(docs).collect()
+    assert len(got) == 1002 and all(r.kept == [b"", b""] and len(r.removed) == 1 for r in got if r.doc_id == 7)
+    assert [b"".join(r.kept) for r in got if r.doc_id == 8] == [b"!" * 150]
+
+
+def test_texts_without_ids_keep_apart_where_short_hashes_collide(spark):
+    """Null ids and texts of which many share a 32-bit hash: no text gets the spans of another."""
+    rnd = random.Random(6)
+    base = "".join(rnd.choice("abcdefgh") for _ in range(400))
+    texts = ["".join(rnd.choice("ijklmnop") for _ in range(512)) for _ in range(300)] + [base, base + "?", base[100:] + "."]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id string, text string").withColumn("kept", F.lit("x"))
+    want = sorted(w[3] for w in brute(texts, 200))
+    assert sorted(b"".join(r.kept) for r in S.remove_repeats(docs).collect()) == want
+
+
+def test_only_what_the_result_reads_stays_in_the_shared_folder(spark):
+    import os
+
+    from logloom.plans import clear_shared
+    from logloom.plans.shared import _base
+
+    clear_shared(spark)
+    docs = spark.createDataFrame([(i, "k" * 100 + "l" * (130 + i)) for i in range(4)], "doc_id bigint, text string")
+    found = S.remove_repeats(docs)
+    left = [d for _, dirs, _ in os.walk(_base(spark).removeprefix("file:")) for d in dirs]
+    assert len(left) == 2 and "spans" in left
+    assert found.count() == 4
+    assert clear_shared(spark)
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     from logloom.sources import load
