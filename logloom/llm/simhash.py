@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.arrow_texts import bound_batches, released
 from logloom.llm.components import connected_components
-from logloom.plans import written
+from logloom.plans import Scratch
 from logloom.sources import load
 
 DISTANCE = 4
@@ -30,9 +30,10 @@ SHINGLE = 4
 SEED = 42
 #: (mask, search radius) of the three blocks; radii plus one add up to DISTANCE + 1.
 BLOCKS = ((0xFFFFFC0000000000, 1), (0x000003FFFFE00000, 1), (0x00000000001FFFFF, 0))
-SAMPLE = 8192
-LEAF = 2000
-MOST_LEVELS = 12
+#: Fingerprints that a leaf stands for; those sampled for each leaf; and sampled at most (2 MB), which bounds the depth.
+LEAF, PER_LEAF, MOST_SAMPLE = 2000, 8, 1 << 18
+#: Fingerprints of a task that go down a tree together.
+TOGETHER = 1 << 18
 TILE_HOMES, TILE_VISITORS = 4000, 60_000
 
 
@@ -90,10 +91,9 @@ def distance(a: np.ndarray, b: int, mask: int = 2**64 - 1) -> np.ndarray:
     return np.bitwise_count((a ^ np.uint64(b)) & np.uint64(mask)).astype(np.int16)
 
 
-def build_tree(sample: np.ndarray, mask: int, total: int, numbers, level: int = 0) -> Node:
+def build_tree(sample: np.ndarray, mask: int, total: float, numbers) -> Node:
     """Splits at the radius nearest the median until a leaf stands for about LEAF of ``total`` fingerprints."""
-    share = total
-    if share > LEAF and level < MOST_LEVELS and len(sample) >= 8:
+    if total > LEAF and len(sample) >= PER_LEAF:
         tries = sample[np.linspace(0, len(sample) - 1, 5).astype(int)]
         cuts = []
         for v in tries.tolist():
@@ -106,7 +106,7 @@ def build_tree(sample: np.ndarray, mask: int, total: int, numbers, level: int =
             _, _, v, r = min(cuts)
             inside = distance(sample, v, mask) <= r
             part = total * inside.mean()
-            return Node(v, r, build_tree(sample[inside], mask, part, numbers, level + 1), build_tree(sample[~inside], mask, total - part, numbers, level + 1))
+            return Node(v, r, build_tree(sample[inside], mask, part, numbers), build_tree(sample[~inside], mask, total - part, numbers))
     return Node(leaf=next(numbers))
 
 
@@ -152,11 +152,23 @@ def _stays(forest, fps):
             yield leaf, at, own[at] == leaf
 
 
+def _together(batches):
+    """Fingerprints of a task's batches in arrays of about TOGETHER, so that a leaf gets many at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column("fp").to_numpy().view(np.uint64))
+        n += len(held[-1])
+        if n >= TOGETHER:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def _counted(forest):
     def rows(batches):
         counts: dict[int, list[int]] = {}
-        for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
+        for fps in _together(batches):
             for leaf, at, home in _stays(forest, fps):
                 c = counts.setdefault(leaf, [0, 0])
                 c[0] += int(home.sum())
@@ -174,8 +186,7 @@ def _dealt(forest, tiles):
     """Rows of tiles: a leaf is cut into home parts times visitor parts, so that no tile outgrows its bounds."""
 
     def rows(batches):
-        for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
+        for fps in _together(batches):
             mix = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
             for leaf, at, home in _stays(forest, fps):
                 base, nh, nv = tiles[leaf]
@@ -244,18 +255,26 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": every[linked].view(np.int64), "b": every[labels[linked]].view(np.int64)})
 
 
+def _sampled(distinct: DataFrame, total: int) -> np.ndarray:
+    """About PER_LEAF fingerprints for each leaf to come, MOST_SAMPLE at most, chosen by hash; in mixed order."""
+    wanted = min(MOST_SAMPLE, max(8192, 2 * PER_LEAF * total // LEAF))
+    unit = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30))
+    some = distinct.filter(unit < int(min(1.0, wanted / max(1, total)) * (1 << 30))).select("fp").toArrow()
+    fps = np.unique(some.column("fp").to_numpy().view(np.uint64))
+    return np.random.default_rng(7).permutation(fps)
+
+
 def near_links(distinct: DataFrame) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs of ``fp`` within DISTANCE bits.
 
-    ``distinct``: one row for each fingerprint. To the driver come SAMPLE fingerprints for the trees and two counts for
-    each leaf (3 * 2**MOST_LEVELS at most); everything else stays on the executors.
+    ``distinct``: one row for each fingerprint. To the driver come at most MOST_SAMPLE fingerprints for the trees, whose
+    depth follows the number of rows, and two counts for each leaf (3 * MOST_SAMPLE / PER_LEAF leaves at most);
+    everything else stays on the executors.
     """
     total = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    fps = np.unique(np.array([r.fp for r in sample], np.int64).view(np.uint64))
+    sample = _sampled(distinct, total)
     numbers = iter(range(1 << 30))
-    mixed = np.random.default_rng(7).permutation(fps)
-    forest = [build_tree(mixed, mask, total, numbers) for mask, _ in BLOCKS]
+    forest = [build_tree(sample, mask, total, numbers) for mask, _ in BLOCKS]
     counts = distinct.select("fp").mapInArrow(_counted(forest), "leaf int, n_home bigint, n_all bigint")
     tiles, base = {}, 0
     for r in sorted(counts.groupBy("leaf").agg(F.sum("n_home").alias("h"), F.sum("n_all").alias("a")).collect()):
@@ -277,12 +296,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies share a fingerprint and are one node, so a third of all rows being copies costs one comparison. Null ids
     take part but are never the smallest (null if a component has no other); repeated rows give repeated results; an
-    empty table gives none. Other columns do not matter.
+    empty table gives none; long texts are read whole. Other columns do not matter. Ids are integers, or strings of
+    them. Links are joined in rounds, whose number grows with the logarithm of a component. Fingerprints and components,
+    read lazily by the result, stay in the shared folder (see clear_shared).
     """
-    own = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    named = _rooted(written(own.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fps"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = written(named.join(least, "root").select("fp", "component_id"), "components")
+    tables = Scratch(docs.sparkSession, "simhash")
+    own = tables.written(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = _rooted(tables.written(own.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-fps"))
+    named = tables.written(named, "rooted-fps")
+    least = tables.written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
+    found = tables.written(named.join(least, "root").select("fp", "component_id"), "components")
+    tables.free("distinct-fps", "rooted-fps", "least-ids")
     return own.join(found, "fp").select(F.col("_id").alias("doc_id"), "fp", "component_id")
 
 
@@ -291,10 +315,14 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Components are told apart by their root fingerprint, so different texts with a null or repeated id each count.
     """
+    tables = Scratch(docs.sparkSession, "survivors")
     own = fingerprints(docs, id_col, text_col, hashed=True)
     first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_hash"))
-    distinct = written(own.groupBy("fp").agg(first.alias("least")), "distinct-fps")
-    return _rooted(distinct).groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._hash")
+    distinct = tables.written(own.groupBy("fp").agg(first.alias("least")), "distinct-fps")
+    found = _rooted(distinct).groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._hash")
+    found = tables.written(found, "survivors")
+    tables.free("distinct-fps")
+    return found
 
 
 def query(spark, sf_dir):
