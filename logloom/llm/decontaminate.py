@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 
 from logloom.llm.arrow_texts import packed, released, texts_of, unpacked
 from logloom.llm.suffix_dedup import merged
-from logloom.plans import written
+from logloom.plans import Scratch
 from logloom.sources import load
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in several passes.
-BLOCK_BYTES = 16_000_000
+#: Words of benchmark text in one automaton, about: it takes some 0.7 KB a word. A larger benchmark is scanned for in
+#: several passes.
+BLOCK_WORDS = 600_000
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = regex.compile(_WORD_PATTERN)
 _RANGE = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -36,32 +38,57 @@ def windows(item: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]:
     return {tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))}
 
 
-def automaton(items: list[tuple[int, str]], size: int = WINDOW):
-    """The automaton over word numbers, and the numbers of the words that occur in items (from 1; 0 is any other)."""
-    numbers: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[int]] = {}
-    for item, text in items:
-        own = words(text)
-        for w in own:
-            numbers.setdefault(w, len(numbers) + 1)
-        for w in windows(own, size):
-            owners.setdefault(tuple(numbers[x] for x in w), set()).add(item)
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, who in owners.items():
-        machine.add_word(key, (len(key), tuple(sorted(who))))
-    machine.make_automaton()
-    return machine if owners else None, numbers
-
-
-def scan(machine, numbers: dict[bytes, int], own: list[bytes]) -> tuple[set[int], list[tuple[int, int]]]:
-    """Items with an occurring window, and the word ranges of all occurrences."""
-    if machine is None or not own:
-        return set(), []
-    found, ranges = set(), []
-    for end, (n, who) in machine.iter(tuple([numbers.get(w, 0) for w in own])):
-        found.update(who)
-        ranges.append((end - n + 1, end + 1))
-    return found, ranges
+class Machine:
+    """The automaton over word numbers, the numbers of the words that occur in items (from 1; 0 is any other), and for
+    each window its length and the items that have it, as places in ``ids``."""
+
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
+        self.ids = [i for i, _ in items]
+        self.numbers: dict[bytes, int] = {}
+        self.lengths: list[int] = []
+        owner, window = [], []
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for place, (_, text) in enumerate(items):
+            own = words(text)
+            for w in own:
+                self.numbers.setdefault(w, len(self.numbers) + 1)
+            for w in windows(own, size):
+                key = tuple(self.numbers[x] for x in w)
+                number = automaton.get(key, -1)
+                if number < 0:
+                    number = len(self.lengths)
+                    self.lengths.append(len(key))
+                    automaton.add_word(key, number)
+                owner.append(place)
+                window.append(number)
+        automaton.make_automaton()
+        order = np.argsort(window, kind="stable")
+        self.owner = np.array(owner, np.int32)[order]
+        self.first = np.searchsorted(np.array(window, np.int64)[order], np.arange(len(self.lengths) + 1))
+        self.automaton = automaton
+
+    def scan(self, own: list[bytes]) -> tuple[set[str], list[tuple[int, int]]]:
+        """Ids of items with an occurring window, and the word ranges of all occurrences."""
+        if not self.lengths or not own:
+            return set(), []
+        seen, ranges = set(), []
+        for end, number in self.automaton.iter(tuple([self.numbers.get(w, 0) for w in own])):
+            seen.add(number)
+            ranges.append((end - self.lengths[number] + 1, end + 1))
+        who = {self.ids[p] for n in seen for p in self.owner[self.first[n] : self.first[n + 1]].tolist()}
+        return who - {None}, ranges
+
+
+_machines: dict[int, Machine] = {}
+
+
+def _machine(items: list[tuple[str | None, str]]) -> Machine:
+    """Built once a worker, not once a task; a worker holds one at a time."""
+    key = hash(tuple(items))
+    if key not in _machines:
+        _machines.clear()
+        _machines[key] = Machine(items)
+    return _machines[key]
 
 
 def _union(ranges):
@@ -70,13 +97,13 @@ def _union(ranges):
 
 def _pass(items, text_col):
     def rows(batches):
-        machine, numbers = automaton(items)
+        machine = _machine(items)
         for batch in batches:
             counts, found, ranges, spans = [], [], [], []
             for t, old_items, old_ranges in zip(texts_of(batch, text_col), batch.column("items"), batch.column("hits")):
                 t = t.as_py()
                 own = words(t)
-                who, where = scan(machine, numbers, own)
+                who, where = machine.scan(own)
                 counts.append(len(own))
                 found.append(sorted(who | set(old_items.as_py() or ())))
                 hits = _union(where + [(x["start"], x["stop"]) for x in old_ranges.as_py() or ()])
@@ -84,39 +111,43 @@ def _pass(items, text_col):
                 ranges.append([{"start": a, "stop": b} for a, b in hits])
                 spans.append([{"start": at[a][0], "stop": at[b - 1][1]} for a, b in hits])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(ranges, _RANGE), pa.array(spans, _RANGE)],
+                [batch.column("_row"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(ranges, _RANGE), pa.array(spans, _RANGE)],
                 names=["_row", "n_words", "items", "hits", "hit_spans"],
             )
 
     return rows
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of BLOCK_BYTES at most (or one item); only one block's texts are in the driver at a time."""
-    sized = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).distinct()
-    total = sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES) or 1
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
+    """The items in blocks of about BLOCK_WORDS words; only one block's texts are in the driver at a time."""
+    items = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()
+    total = items.agg(F.sum(F.regexp_count("t", F.lit(_WORD_PATTERN)))).first()[0] or 0
+    n = -(-total // BLOCK_WORDS) or 1
     for b in range(n):
-        part = sized if n == 1 else sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield sorted((r.i, r.t) for r in part.collect() if r.i is not None)
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        yield sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] or "", x[1]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` plus n_words, items (ids of benchmark items with an occurring window, ascending), hits (word ranges),
-    hit_spans (the same as character offsets of the text) and n_hit, the words inside any occurrence.
+    """``docs`` plus n_words, items (ids, as text, of benchmark items with an occurring window, ascending), hits (word
+    ranges), hit_spans (the same as character offsets of the text) and n_hit, the words inside any occurrence.
 
-    Null and wordless texts have no words and no hits; null items and items without words are never found; an empty
-    benchmark finds nothing. Repeated items and rows change nothing. Input columns of the names above give way.
+    Null and wordless texts have no words and no hits; long texts are scanned whole. Items without words are never found;
+    those with a null id count in the hits and are not listed; an empty benchmark finds nothing. Repeated items change
+    nothing, repeated rows give repeated rows. Input columns of the names above give way. Ids may be of any type.
     """
     added = ["n_words", "items", "hits", "hit_spans", "n_hit"]
     rows, names, _ = packed(docs, added, text_col)
     now = rows.select(
         "_row", F.lit(0).cast("bigint").alias("n_words"),
-        F.array().cast("array<bigint>").alias("items"), *[F.array().cast("array<struct<start:bigint,stop:bigint>>").alias(c) for c in ("hits", "hit_spans")],
+        F.array().cast("array<string>").alias("items"), *[F.array().cast("array<struct<start:bigint,stop:bigint>>").alias(c) for c in ("hits", "hit_spans")],
     )
-    schema = now.schema
+    schema, tables = now.schema, Scratch(docs.sparkSession, "decontaminate")
     for i, items in enumerate(_blocks(benchmark, item_id, item_text)):
-        now = (now if i == 0 else written(now, "decontaminate")).mapInArrow(released(_pass(items, text_col)), schema)
+        if i:
+            now = tables.written(now, f"pass-{i}")
+            tables.free(f"pass-{i - 1}")
+        now = now.mapInArrow(released(_pass(items, text_col)), schema)
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["stop"] - x["start"])
     return unpacked(now.withColumn("n_hit", n_hit), names, added)
 
@@ -129,7 +160,7 @@ def query(spark, sf_dir):
     found = decontaminate(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
 
 

@@ -15,7 +15,7 @@ def brute(texts, items):
     for i, t in items:
         w = plain_words(t)
         for k in range(max(1, len(w) - 12) if w else 0):
-            wins.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+            wins.setdefault(tuple(w[k : k + 13]), set()).update(() if i is None else (str(i),))
     sizes = {len(w) for w in wins}
     for t in texts:
         w, hit, found = plain_words(t), set(), set()
@@ -48,8 +48,9 @@ def cases(spark):
 def test_cases_and_offsets(spark):
     docs, items, frame, bench = cases(spark)
     got = D.decontaminate(frame, bench).orderBy("doc_id").collect()
-    for r, w in zip(got, brute(docs, [x for x in items if x[0] is not None])):
+    for r, w in zip(got, brute(docs, items)):
         assert (r.n_words, r.n_hit, len(r["items"])) == w[:3]
+    assert got[5].n_hit == 2 and got[5]["items"] == [] and got[5].n_words == 3
     assert [docs[7][s.start : s.stop] for s in got[7].hit_spans] == ["Short; ONE"]
     assert docs[4][got[4].hit_spans[0].start :].startswith("ALPHA")
     assert D.decontaminate(frame.limit(0), bench).count() == 0
@@ -59,5 +60,32 @@ def test_cases_and_offsets(spark):
 def test_a_large_benchmark_is_scanned_in_blocks(spark, monkeypatch):
     _, _, frame, bench = cases(spark)
     want = sorted(D.decontaminate(frame, bench).collect())
-    monkeypatch.setattr(D, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 5)
+    assert len(list(D._blocks(bench, "item_id", "text"))) > 3
     assert sorted(D.decontaminate(frame, bench).collect()) == want
+
+
+def test_repeated_rows_long_texts_and_text_ids(spark):
+    _, items, _, _ = cases(spark)
+    long = "filler words without end " * 200_000 + items[0][1] + " tail" * 3
+    docs = [long, long, items[0][1], items[0][1]]
+    frame = spark.createDataFrame([("d", t) for t in docs], "doc_id string, text string")
+    bench = spark.createDataFrame([(None if i is None else f"q{i}", t) for i, t in items], "item_id string, text string")
+    got = sorted((r.n_words, r.n_hit, tuple(r["items"])) for r in D.decontaminate(frame, bench).collect())
+    want = sorted((n, h, ("q1",)) for n, h, *_ in brute(docs, items))
+    assert got == want
+
+
+def test_a_block_stays_within_its_memory():
+    """The bytes of one automaton, measured in a process of its own at an eighth of the bound."""
+    import subprocess
+    import sys
+
+    code = (
+        "import random, resource; from logloom.llm import decontaminate as D\n"
+        "r = random.Random(1); base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "n = D.BLOCK_WORDS // 8; items = [(str(i), ' '.join(f'w{r.randint(0, 30000)}' for _ in range(100))) for i in range(n // 100)]\n"
+        "m = D.Machine(items); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base)"
+    )
+    kb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert kb * 8 < 1_000_000
