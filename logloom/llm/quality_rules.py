@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, ordered by what each rule rejects for its cost.
 
-Each rule is timed on a bounded sample of texts, together with which of them it rejects. The order is greedy: next comes
-the rule that rejects most of the texts still standing, per second. The verdict is the same in any order (a text is kept
-if no rule rejects it); the order decides how few rules a rejected text sees.
+Each rule is timed on a random sample of the texts that pass the base rule, as only these meet the cascade, with the
+base measures known, as they are then; and the sample says which texts a rule rejects. The order is greedy: next comes the
+rule that rejects most of the texts still standing, per second. The verdict is the same in any order (a text is kept if no
+rule rejects it); the order decides how few rules a rejected text sees.
 """
 
+import copy
 import sys
 import time
 import unicodedata
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from logloom.llm.arrow_texts import packed, texts_of, unpacked
 from logloom.sources import load
 
-SAMPLE_ROWS = 400
+#: Rows that are drawn to estimate costs and rejections (on average; the draw is by row, at a rate from the row count).
+SAMPLE_ROWS = 1000
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\v\f\r"
@@ -118,6 +121,9 @@ class Text:
         return self.n_words < 10 or 100 * self.n_repeat_words > 20 * self.n_words
 
 
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -146,35 +152,38 @@ RULES = (
 
 
 def _measured(rules):
-    """Rows of text number, rule number, seconds and verdict; every rule sees a fresh text."""
+    """For each text that passes the base rule: the seconds that each rule takes on top of the base measures, and its verdict."""
 
     def rows(batches):
-        at = 0
         for batch in batches:
-            n, out = len(batch.column("_text")), []
-            for text in batch.column("_text"):
-                for k, rule in enumerate(rules):
-                    t = Text(text.as_py())
+            seconds, no = [], []
+            for text in texts_of(batch, "text"):
+                base = Text(text.as_py())
+                if base.base_failed:
+                    continue
+                for n in _BASE:
+                    getattr(base, n)
+                took, said = [], []
+                for rule in rules:
+                    t = copy.copy(base)
                     began = time.perf_counter()
-                    no = rule.rejects(t)
-                    out.append((at, k, time.perf_counter() - began, bool(no)))
-                at += 1
-            if n:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3])], names=["text", "rule", "seconds", "no"])
+                    said.append(bool(rule.rejects(t)))
+                    took.append(time.perf_counter() - began)
+                seconds.append(took)
+                no.append(said)
+            yield pa.RecordBatch.from_arrays([pa.array(seconds, pa.list_(pa.float64())), pa.array(no, pa.list_(pa.bool_()))], names=["seconds", "no"])
 
     return rows
 
 
-def estimate(docs: DataFrame, rules=RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS):
-    """Seconds of each rule over a sample of at most ``sample_rows`` texts, and the verdicts as texts x rules."""
-    some = docs.select(F.col(text_col).alias("_text")).limit(sample_rows).coalesce(1)
-    rows = some.mapInArrow(_measured(rules), "text bigint, rule int, seconds double, no boolean").collect()
-    cost, no = np.full(len(rules), 1e-9), np.zeros((1 + max((r.text for r in rows), default=-1), len(rules)), bool)
-    for r in rows:
-        cost[r.rule] += r.seconds
-        no[r.text, r.rule] = r.no
-    return cost, no
+def estimate(docs: DataFrame, rules=RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Seconds of each rule over about ``sample_rows`` random rows (those of them that pass the base rule), and the
+    verdicts as texts x rules. The texts stay with their tasks; two short lists a text come to the driver."""
+    rate = min(1.0, sample_rows / max(1, docs.count()))
+    some = packed(docs.select(F.col(text_col).alias("text")).sample(rate, seed=5), [], "text")[0]
+    rows = some.mapInArrow(_measured(rules), "seconds array<double>, no array<boolean>").collect()
+    cost = 1e-9 + np.array([r.seconds for r in rows]).reshape(-1, len(rules)).sum(axis=0)
+    return cost, np.array([r.no for r in rows], bool).reshape(-1, len(rules))
 
 
 def ordered(rules, cost: np.ndarray, no: np.ndarray) -> list:
@@ -187,9 +196,6 @@ def ordered(rules, cost: np.ndarray, no: np.ndarray) -> list:
     return out
 
 
-_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-
 def _judged(rules, text_col):
     def rows(batches):
         for batch in batches:
@@ -216,8 +222,9 @@ def _judged(rules, text_col):
 def judge(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """``docs`` plus the base measures, base_failed, kept and n_rules_run (how far the cascade went).
 
-    Null and blank texts have no words and fail the base rule. The base measures come first and reject most junk
-    without any rule; the cascade sees the rest. Input columns of these names give way.
+    Null and blank texts have no words and fail the base rule; long texts are measured whole; repeated rows give repeated
+    rows. The base measures come first and reject most junk without any rule; the cascade sees the rest, and equal
+    rejections per cost leave rules in their listed order. Input columns of these names give way.
     """
     added = [*_BASE, "base_failed", "kept", "n_rules_run"]
     rows, names, row = packed(docs, added, text_col)
