@@ -7,6 +7,7 @@ Nyström's map turns these into features, and one ridge regression per language
 batch of texts is one presence matrix, and scoring is two matrix products.
 """
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.arrow_texts import packed, texts_of, unpacked
-from logloom.llm.samples import TRAIN_TEXT_BYTES, fold, per_class
+from logloom.llm.samples import fold, per_class, texts_of_sample
 from logloom.sources import load
 
 SYMBOLS = 64
@@ -118,15 +119,15 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
     """A model from at most ``per_language`` whole texts of each language, of ids outside the held-out fold.
 
-    Rows with a null id, text or language, and texts above TRAIN_TEXT_BYTES, are not trained on.
+    Rows with a null id, text or language are not trained on, nor texts above 64 KB of a language that has shorter ones;
+    all texts together keep the byte budget of samples. An id that repeats counts once a language, with one of its texts.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(lang_col).alias("_lang"), F.octet_length(text_col).alias("_size"))
-    usable = rows.filter((fold("_id", HOLD_OUT) != HELD) & F.col("_lang").isNotNull() & (F.col("_size") <= TRAIN_TEXT_BYTES)).select("_id", "_lang")
-    chosen = per_class(usable, "_id", "_lang", per_language)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") <= TRAIN_TEXT_BYTES)
-    found = {(r._id, r._lang, r._text) for r in texts.join(F.broadcast(chosen.distinct()), ["_id", "_lang"]).collect()}
-    mixed = sorted(found, key=lambda r: (hash((r[0] * 0x9E3779B97F4A7C15) & (2**61 - 1)), r[1], r[2]))
-    return fit([(r[1], r[2]) for r in mixed])
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    rows = rows.filter((fold("_id", HOLD_OUT) != HELD) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    chosen = per_class(rows.select("_id", "_lang", F.octet_length("_text").alias("_size")), "_id", "_lang", per_language, "_size")
+    found = texts_of_sample(rows, chosen, ["_id", "_lang"], "_text")
+    mixed = sorted(found, key=lambda r: (zlib.crc32(r._id.encode(), 1), r._id, r._lang))
+    return fit([(r._lang, r._text) for r in mixed])
 
 
 def _predicted(model: Model | None, text_col: str):
@@ -147,7 +148,8 @@ def _predicted(model: Model | None, text_col: str):
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` plus lang_pred and score (0..1); und with 0 for texts that are null or have no letter, and for all texts
-    if there was nothing to learn from. Input columns of these names give way; the model (a few MB, bounded by the
+    if there was nothing to learn from. Long texts are read whole, a stretch at a time; equal scores go to the language
+    that comes first by name; repeated rows give repeated rows. In the query a null id is not held out. Input columns of these names give way; the model (a few MB, bounded by the
     landmark numbers) travels with the tasks and nothing is shuffled."""
     rows, names, row = packed(docs, ["lang_pred", "score"], text_col)
     out = rows.mapInArrow(_predicted(model, text_col), f"_row {row}, lang_pred string, score double")

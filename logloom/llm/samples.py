@@ -1,13 +1,18 @@
 """Bounded samples of labelled rows for training on the driver."""
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Longer texts are scored whole like any other, but not trained on: a sample of n texts is at most n times this.
+#: Longer texts are scored whole like any other, but trained on only where a label has no shorter one.
 TRAIN_TEXT_BYTES = 65_536
+#: Bytes of all texts of a sample, at most.
+TRAIN_BYTES = 320 << 20
 #: Classes that are told apart; of more, the most frequent.
 CLASSES = 1000
+_BINS = 256
+_log = logging.getLogger(__name__)
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -15,18 +20,51 @@ def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
-def per_class(rows: DataFrame, id_col: str, label_col: str, most: int | dict) -> DataFrame:
-    """At most ``most`` rows of each label (or most[label]), the first by a hash of the id; small next to any broadcast bound.
+def per_class(rows: DataFrame, id_col: str, label_col: str, most: int | dict, size_col: str | None = None) -> DataFrame:
+    """Distinct ``id_col, label_col, _longest``: at most ``most`` ids of each label (or most[label]), the first by a hash of
+    the id, and few enough that their texts, of _longest bytes at most, fit TRAIN_BYTES together.
 
-    A pass counts labels; a second keeps ids below a hash threshold that leaves about three times what is wanted, so
-    only those few are ranked, however large a class is.
+    _longest is TRAIN_TEXT_BYTES, or the shortest text of a label (by ``size_col``) if all are longer; labels whose
+    shortest text alone exceeds their share are left out and logged. A pass counts labels and ids; a second counts ids
+    below a hash threshold by label and hash bin, which tells where to cut. Nothing is ranked in one task, whatever share
+    of the rows a label or an id has, and what is returned is small next to any broadcast bound.
     """
-    counts = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(CLASSES).collect()
-    wanted = [(r[0], most[r[0]] if isinstance(most, dict) else most, r[1]) for r in counts]
-    spark = rows.sparkSession
-    kind = dict(rows.dtypes)[label_col]
-    limits = spark.createDataFrame([(k, n, min(1.0, 3 * n / c + 100 / c)) for k, n, c in wanted], f"`{label_col}` {kind}, _most int, _below double")
+    least = F.min(size_col) if size_col else F.lit(0)
+    counts = rows.groupBy(label_col).agg(F.count("*").alias("c"), F.approx_count_distinct(id_col).alias("n"), least.alias("least"))
+    counts = counts.orderBy(F.desc("c"), label_col).limit(CLASSES).collect()
+    wished = {r[0]: most[r[0]] if isinstance(most, dict) else most for r in counts}
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[label_col]
+    limits = []
+    for r in counts:
+        longest, share = max(TRAIN_TEXT_BYTES, r.least), TRAIN_BYTES * wished[r[0]] // sum(wished.values())
+        if longest > share:
+            _log.warning("label %s is not learned: its shortest text has %d bytes", r[0], longest)
+            continue
+        wanted = min(wished[r[0]], share // longest)
+        limits.append((r[0], wanted, longest, min(1.0, 3 * wanted / max(1, r.n) + 100 / max(1, r.n))))
+    table = spark.createDataFrame(limits, f"`{label_col}` {kind}, _most bigint, _longest bigint, _below double")
     unit = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = rows.withColumn("_unit", unit).join(F.broadcast(limits), label_col).filter("_unit < _below")
-    w = Window.partitionBy(label_col).orderBy("_unit", id_col)
-    return few.withColumn("_rank", F.row_number().over(w)).filter("_rank <= _most").drop("_rank", "_most", "_below", "_unit")
+    few = rows.withColumn("_unit", unit).join(F.broadcast(table), label_col).filter("_unit < _below")
+    if size_col:
+        few = few.filter(F.col(size_col) <= F.col("_longest"))
+    bin_ = F.floor(F.col("_unit") / F.col("_below") * _BINS).cast("int")
+    few = few.select(id_col, label_col, "_longest", bin_.alias("_bin")).distinct()
+    found = {(r[0], r[1]): r[2] for r in few.groupBy(label_col, "_bin").count().collect()}
+    cuts = []
+    for label, wanted, _, _ in limits:
+        n, cut = 0, 0
+        while cut < _BINS and n + found.get((label, cut), 0) <= wanted:
+            n += found.get((label, cut), 0)
+            cut += 1
+        cuts.append((label, max(cut, 0)))
+    cut_table = spark.createDataFrame(cuts, f"`{label_col}` {kind}, _cut int")
+    return few.join(F.broadcast(cut_table), label_col).filter("_bin < _cut").select(id_col, label_col, "_longest")
+
+
+def texts_of_sample(texts: DataFrame, chosen: DataFrame, keys: list[str], text_col: str) -> list:
+    """The chosen rows with a text of ``texts``, collected: one text for each of ``keys`` (that of the smallest hash), so
+    an id that a third of all rows has brings one text, combined map-side."""
+    small = texts.filter(F.octet_length(text_col) <= TRAIN_BYTES)
+    joined = small.join(F.broadcast(chosen), keys).filter(F.octet_length(text_col) <= F.col("_longest"))
+    names = [c for c in chosen.columns if c != "_longest"]
+    return joined.groupBy(*names).agg(F.min(F.struct(F.xxhash64(text_col), F.col(text_col).alias("t"))).alias("m")).select(*names, F.col("m.t").alias(text_col)).collect()

@@ -32,6 +32,40 @@ def test_kernel_is_that_of_n_gram_sets():
     assert len(grams("ab", 1)) == 3 and len(grams("ab  12 ab", 2)) == 3
 
 
+def test_trained_scores_equal_kernels_of_sets(spark):
+    """The trained model on every held-out document, with each kernel value from sets of n-grams."""
+    docs = load(spark, SF, "documents")
+    model = L.train(docs)
+    cuts = np.searchsorted(model.columns, L._STARTS)
+    marks = [[set(model.columns[a:b][row[a:b] > 0].tolist()) for a, b in zip(cuts, cuts[1:])] for row in model.landmarks]
+    got = [r for r in L.query(spark, SF).collect() if r.held_out and r.lang_pred != "und"][:60]
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in got:
+        codes = {int(c) for c in L.codes_of(model.table, text[r.doc_id])}
+        own = [{c for c in codes if lo <= c < hi} for lo, hi in zip(L._STARTS, L._STARTS[1:])]
+        kernel = np.array([np.mean([len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b))) for a, b in zip(own, m)]) for m in marks])
+        scores = kernel @ model.weights + model.offset
+        assert model.languages[int(scores.argmax())] == r.lang_pred
+        assert abs(min(1, max(0, scores.max())) - r.score) < 2e-3
+
+
+def test_hot_ids_and_long_only_languages_are_learned_within_the_budget(spark, monkeypatch):
+    from logloom.llm import samples
+
+    monkeypatch.setattr(samples, "TRAIN_TEXT_BYTES", 200)
+    rows = [("hot", f"the cat {i % 50} sat on the mat", "en") for i in range(3000)] + [(f"e{i}", f"a dog {i} ran over the hill", "en") for i in range(100)]
+    rows += [(f"l{i}", "der hund lief über die straße und " * (20 + i), "de") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    sized = docs.select("doc_id", "lang", L.F.octet_length("text").alias("n"))
+    chosen = samples.per_class(sized, "doc_id", "lang", 40, "n")
+    got = samples.texts_of_sample(docs, chosen, ["doc_id", "lang"], "text")
+    by = {k: [r for r in got if r.lang == k] for k in ("en", "de")}
+    assert 20 <= len(by["en"]) <= 40 and len({r.doc_id for r in by["en"]}) == len(by["en"]) and len(by["de"]) >= 1
+    assert L.identify(docs, L.train(docs)).filter("lang_pred <> lang").count() == 0
+    monkeypatch.setattr(samples, "TRAIN_BYTES", 1000)
+    assert {r.lang for r in samples.per_class(sized, "doc_id", "lang", 40, "n").collect()} == {"en"}
+
+
 def test_parts_of_a_long_text_give_the_same_n_grams():
     table = L.alphabet_of(["abcdé xyz"])
     for text in ("", "ab  12é, xyz!  a b", "  ab", "ab..", "a" * 9 + " " * 9 + "é"):

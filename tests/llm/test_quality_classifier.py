@@ -64,6 +64,23 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
 
 
+def test_trained_scores_equal_the_plain_network(spark):
+    docs = load(spark, SF, "documents").select("doc_id", "text")
+    net = Q.train(docs, load(spark, SF, "labels"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    some = [r for r in Q.query(spark, SF).collect() if r.held_out and len(text[r.doc_id]) < 3000][:80]
+    for r in some:
+        assert abs(1 / (1 + np.exp(-plain_score(net, text[r.doc_id].encode()))) - r.score) < 1e-3
+
+
+def test_a_very_long_text_is_read_to_its_end(spark):
+    net = N.Net.start(3)
+    long = "plain words of prose " * 150_000
+    docs = spark.createDataFrame([(1, long), (2, long + "\x01\x02\x7f~~~" * 400)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in Q.score(docs, net).collect()}
+    assert got[1] != got[2] and abs(got[1] - 1 / (1 + np.exp(-float(N.score(net, [long.encode()])[0])))) < 1e-5
+
+
 def test_nulls_repeats_extra_columns_no_rows_and_lone_labels(spark):
     docs = spark.createDataFrame([(1, None, 7), (1, None, 7), (None, "x", 8), (2, "### $$$", 9)], "doc_id bigint, text string, score int").withColumn("_row", Q.F.lit(0))
     none = spark.createDataFrame([], "doc_id bigint, quality int")
