@@ -4,7 +4,11 @@ Arrivals are appended as runs of small files. Runs whose sizes are within a fact
 ``fanout`` runs or more is merged into one run of files of about ``target_bytes``, without a shuffle (the scan's splits
 are coalesced). So each row is rewritten about once a tier, and the runs that the driver knows of number at most
 ``fanout`` times the logarithm of the table. A manifest lists the runs of a version; it is written beside and renamed
-into place without overwriting, so readers see one version or the next, and of two writers one must start anew.
+into place without overwriting, so readers see one version or the next, and of two writers one must start anew. Beside
+the runs it holds the last sequence number of each source that numbers its appends, so an append that is repeated after a
+lost driver adds nothing.
+
+Null, empty and very long values, repeated and tied rows, and columns of any name are stored and returned as they are.
 """
 
 import json
@@ -12,7 +16,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.plans import shared_path
@@ -59,22 +63,27 @@ class ShardTable:
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
 
-    def runs(self, version: int | None = None) -> list[Run]:
+    def manifest(self, version: int | None = None) -> tuple[list[Run], dict[str, int]]:
+        """Runs, and the last sequence number of each source."""
         version = self.version() if version is None else version
         if version == 0:
-            return []
-        rows = self.spark.read.schema("path string, files bigint, bytes bigint, rows bigint").json(self._manifest(version)).collect()
-        return [Run(**r.asDict()) for r in rows if r.path is not None]
+            return [], {}
+        rows = self.spark.read.schema("path string, files bigint, bytes bigint, rows bigint, source string, sequence bigint").json(self._manifest(version)).collect()
+        return [Run(r.path, r.files, r.bytes, r["rows"]) for r in rows if r.path is not None], {r.source: r.sequence for r in rows if r.source is not None}
+
+    def runs(self, version: int | None = None) -> list[Run]:
+        return self.manifest(version)[0]
 
     def _manifest(self, version: int) -> str:
         return f"{self.path}/manifests/v{version:012d}.json"
 
-    def commit(self, seen: int, runs: list[Run]) -> int:
-        """Version ``seen + 1`` with ``runs``; raises Conflict if it exists already."""
+    def commit(self, seen: int, runs: list[Run], sources: dict[str, int]) -> int:
+        """Version ``seen + 1`` with ``runs`` and ``sources``; raises Conflict if it exists already."""
         name = f"{self.path}/manifests/_{uuid.uuid4().hex}"
         jvm, tmp, fs = self._hadoop(name)
         out = fs.create(tmp, False)
-        out.write(bytearray("".join(json.dumps(asdict(r)) + "\n" for r in runs) or "{}\n", "utf-8"))
+        lines = [asdict(r) for r in runs] + [{"source": k, "sequence": n} for k, n in sorted(sources.items())]
+        out.write(bytearray("".join(json.dumps(x) + "\n" for x in lines or [{}]), "utf-8"))
         out.close()
         kind = jvm.org.apache.hadoop.fs.Options.Rename
         none = self.spark.sparkContext._gateway.new_array(kind, 1)
@@ -99,25 +108,37 @@ class ShardTable:
         """Files, bytes and rows of each run below ``base``; ``inner`` is a pattern of what follows base in a file's path
         up to its run. Only footers are read."""
         at = F.regexp_extract(F.col("f.file_path"), inner, 1)
-        files = self._scan([base]).select(F.col("_metadata").alias("f")).groupBy(at.alias("run"), F.col("f.file_path").alias("p")).agg(F.first("f.file_size").alias("s"), F.count("*").alias("n"))
+        stored = self._scan([base])
+        files = stored.select(stored.metadataColumn("_metadata").alias("f")).groupBy(at.alias("run"), F.col("f.file_path").alias("p")).agg(F.first("f.file_size").alias("s"), F.count("*").alias("n"))
         found = files.groupBy("run").agg(F.count("*").alias("files"), F.sum("s").alias("bytes"), F.sum("n").alias("rows")).orderBy("run").collect()
         return [Run(f"{base}{r.run}", r["files"], r["bytes"], r["rows"]) for r in found]
 
-    def append(self, arrivals: DataFrame, arrival: str | None = None, attempts: int = 5) -> list[Run]:
-        """Writes ``arrivals`` as one run, or as one for each value of column ``arrival`` in a single pass, and commits.
-        Without rows nothing is committed."""
+    def append(self, arrivals: DataFrame, arrival: Column | None = None, source: str | None = None, sequence: int = 0, attempts: int = 5) -> list[Run]:
+        """Writes ``arrivals`` as one run, or as one for each value of ``arrival`` in a single pass, and commits. Without
+        rows nothing is committed. A ``source`` may number its appends in ascending order: one whose ``sequence`` is not
+        above the last that was committed is left out, so it can be repeated when its outcome is unknown."""
+        if source is not None and sequence <= self.manifest()[1].get(source, sequence - 1):
+            return []
         base = f"{self.path}/runs/{uuid.uuid4().hex}"
-        columns = [f"`{f.name}`" for f in self.schema.fields]
+        columns = [F.col(f"`{f.name}`") for f in self.schema.fields]
         if arrival is None:
             arrivals.select(*columns).write.parquet(base)
             new = self._measured(base, "()")
         else:
-            arrivals.select(*columns, F.col(arrival).alias("_arrival")).write.partitionBy("_arrival").parquet(base)
-            new = self._measured(base, r"(/_arrival=[^/]*)/[^/]*$")
+            name = "_arrival"
+            while name.lower() in {f.name.lower() for f in self.schema.fields}:
+                name += "_"
+            arrivals.select(*columns, arrival.alias(name)).write.partitionBy(name).parquet(base)
+            new = self._measured(base, rf"(/{name}=[^/]*)/[^/]*$")
         for _ in range(attempts if new else 0):
             seen = self.version()
+            runs, sources = self.manifest(seen)
+            if source is not None:
+                if sequence <= sources.get(source, sequence - 1):
+                    return []
+                sources[source] = sequence
             try:
-                self.commit(seen, self.runs(seen) + new)
+                self.commit(seen, runs + new, sources)
                 return new
             except Conflict:
                 continue
@@ -147,12 +168,12 @@ class ShardTable:
                 raise RuntimeError(f"{base} has {new} of {rows} rows")
             for _ in range(attempts):
                 seen = self.version()
-                now = self.runs(seen)
+                now, sources = self.manifest(seen)
                 gone = {r.path for r in old}
                 if not gone <= {r.path for r in now}:
                     break
                 try:
-                    self.commit(seen, [r for r in now if r.path not in gone] + new)
+                    self.commit(seen, [r for r in now if r.path not in gone] + new, sources)
                     break
                 except Conflict:
                     continue
@@ -182,10 +203,9 @@ def query(spark, sf_dir, arrivals: int = 8):
     docs = load(spark, sf_dir, "documents")
     table = ShardTable(spark, shared_path(spark, "shards"), docs.schema)
     lot = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(arrivals))
-    dealt = docs.withColumn("_lot", lot)
     with shuffles_freed(spark):
-        for half in (F.col("_lot") < arrivals // 2, F.col("_lot") >= arrivals // 2):
-            table.append(dealt.filter(half), "_lot")
+        for k, half in enumerate((lot < arrivals // 2, lot >= arrivals // 2)):
+            table.append(docs.filter(half), lot, source="documents", sequence=k + 1)
             table.compact()
     table.vacuum()
     return table.read().select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")

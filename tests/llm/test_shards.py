@@ -36,7 +36,7 @@ def test_append_compact_versions_and_vacuum(spark, table, monkeypatch):
 
 def test_arrivals_in_one_pass_and_target_sized_files(spark, table, monkeypatch):
     monkeypatch.setattr(S, "LEAST_BYTES", 1_000_000)
-    new = table.append(rows(spark, 0, 2000).withColumn("lot", S.F.expr("doc_id % 5")), "lot")
+    new = table.append(rows(spark, 0, 2000), S.F.expr("doc_id % 5"))
     assert len(new) == 5 and sum(r.rows for r in new) == 2000 and sum(r.files for r in new) == 15
     assert table.compact() == 1
     (run,) = table.runs()
@@ -47,9 +47,9 @@ def test_arrivals_in_one_pass_and_target_sized_files(spark, table, monkeypatch):
 def test_commits_are_atomic(spark, table):
     table.append(rows(spark, 0, 10))
     seen = table.version()
-    table.commit(seen, table.runs())
+    table.commit(seen, table.runs(), {})
     with pytest.raises(S.Conflict):
-        table.commit(seen, [])
+        table.commit(seen, [], {})
     assert table.version() == seen + 1 and ids(table.read()) == list(range(10))
 
 
@@ -76,3 +76,29 @@ def test_nulls_repeats_empty_arrivals_and_extra_columns(spark, table):
     table.append(odd)
     assert table.append(odd.limit(0)) == []
     assert sorted(map(str, table.read().collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
+
+
+def test_a_repeated_append_adds_nothing(spark, table):
+    for _ in range(2):
+        table.append(rows(spark, 0, 10), source="crawl", sequence=1)
+        table.append(rows(spark, 10, 20), source="other", sequence=7)
+    table.compact()
+    assert table.append(rows(spark, 0, 10), source="crawl", sequence=1) == []
+    table.append(rows(spark, 20, 30), source="crawl", sequence=2)
+    assert ids(table.read()) == list(range(30)) and table.manifest()[1] == {"crawl": 2, "other": 7}
+
+
+def test_columns_of_the_names_used_inside_and_very_long_texts(spark, tmp_path):
+    odd = spark.createDataFrame([(1, "x" * 3_000_000, 5, "m"), (1, "x" * 3_000_000, 5, "m"), (2, None, None, "")], "doc_id bigint, text string, _arrival int, _metadata string")
+    odd = odd.withColumn("_lot", S.F.lit("kept"))
+    t = S.ShardTable(spark, str(tmp_path / "odd"), odd.schema)
+    assert len(t.append(odd, S.F.col("doc_id"))) == 2
+    t.compact()
+    got = t.read()
+    assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_query_keeps_a_column_called_lot(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 2, f"own {i}", i) for i in range(40)] + [(None, None, None, None, None, None, None)] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint, _lot string, _arrival int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert S.query(spark, str(tmp_path)).count() == 42
