@@ -78,11 +78,60 @@ def test_run_gives_the_last_stage(spark, steps):
     assert C.run(spark, SF).count() == steps[5].count()
 
 
-def test_nulls_extra_columns_and_no_rows(spark, steps):
-    docs = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", "en", "s", 0, 2), (1, "", "en", "s", 0, 2)], "doc_id bigint, text string, lang string, source string, n_chars bigint, score int")
+PROSE = [
+    "The quick brown fox jumps over the lazy dog near the river bank while two old men watch it from the bridge and say nothing at all about it.",
+    "Prices of copper rose again after the mine in the north was closed for the winter, and traders expect them to stay where they are until spring.",
+    "She wrote nine letters to the council about the broken bridge, and when none of them was answered she went to repair the railing herself.",
+]
+
+
+def odd_documents(spark):
+    """Null and repeated ids, null and empty texts, repeated rows, and columns of the names that operators use."""
+    rows = [(None, PROSE[0]), (None, PROSE[1]), (None, PROSE[1]), (7, PROSE[2]), (7, None), (1, ""), (1, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in ("score", "kept", "removed", "hits", "n_words", "items", "_row", "_doc", "_name", "spans", "_id", "_hash"):
+        docs = docs.withColumn(name, C.F.lit(f"own {name}"))
+    return docs
+
+
+def test_stages_leave_input_columns_alone_and_lose_no_text(spark):
+    docs = odd_documents(spark)
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    every = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    want = {
+        "quality_classifier": None,
+        "simhash_near_dedup": sorted([(None, PROSE[0]), (None, PROSE[1]), (7, PROSE[2]), (1, "")], key=str),
+        "suffix_array_dedup": sorted([(i, t or "") for i, t in every], key=str),
+        "benchmark_decontamination": every,
+        "bpe_encoding": every,
+    }
     for name, stage in C.STAGES:
-        assert stage(spark, docs, SF).count() >= 0
-        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, docs, SF)
+        if name != "bpe_encoding":
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        if want[name] is not None:
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == want[name], name
+        else:
+            assert set((r.doc_id, r.text) for r in got) <= set(every)
+        assert got and all(r[c] == f"own {c}" for r in got for c in own), name
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0
+
+
+def test_repeated_rows_keep_a_defined_one(spark):
+    docs = spark.createDataFrame([(3, PROSE[0], s) for s in "cab" * 40], "doc_id bigint, text string, source string").repartition(7)
+    assert [tuple(r) for r in C.drop_near_copies(spark, docs, SF).collect()] == [(3, PROSE[0], "a")]
+
+
+def test_an_empty_table_runs_through(spark, tmp_path):
+    import shutil
+
+    for t in ("labels", "benchmark"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    load(spark, SF, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    out = C.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids" in out.columns
 
 
 def test_different_texts_with_null_or_equal_ids_all_stay(spark):
