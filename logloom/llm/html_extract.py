@@ -2,7 +2,8 @@
 
 A page becomes a list of blocks (stretches of text between block-level tags). A block has its word count and link
 density, those of the blocks before and after it, and what its open tags and their class, id and role words say of it.
-A decision tree, grown on the small labelled table of html_training, says which blocks are main text.
+A decision tree, grown on the small labelled table of html_training, says which blocks are main text. Where tags name the
+article, their marks decide; where nothing does, counts and densities of the block and its neighbours.
 """
 
 import html
@@ -27,90 +28,142 @@ _RAW = frozenset("script style textarea title iframe noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHROME = frozenset("nav footer aside form menu dialog search".split())
 _MAIN = frozenset("article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these ends an open paragraph; li, td and so on end an open one of their kind.
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "title", "legend", "caption", "summary", "dt", "dd", "li"}
 _ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 # Words of class, id and role attributes that mark what is not, or is, main text.
 _CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail aside widget footer foot colophon toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations trending popular more-stories comment comments disqus reply replies respond discussion feedback form search searchbox pagination pager tags tagcloud copyright legal disclaimer outbrain taboola paywall skip contentinfo complementary adbox adslot adsense adunit adcontainer cookiebar cookiebanner cookienotice commentlist commenttext commentbody relatedposts sharebar".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar side rail aside widget footer foot colophon toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations trending popular comment comments disqus reply replies respond discussion feedback form search searchbox pagination pager tags tagcloud copyright legal disclaimer outbrain taboola paywall skip contentinfo complementary adbox adslot adsense adunit adcontainer cookiebar cookiebanner cookienotice commentlist commenttext commentbody relatedposts sharebar".split()
 )
-_MAIN_WORDS = frozenset("article content main post entry story body text prose articlebody post-content entry-content article-body main-content".split())
+_MAIN_WORDS = frozenset("article content main post entry story body text prose articlebody".split())
 #: Furniture only outside main text; inside it they hold the title.
 _HEADER_WORDS = frozenset("header masthead topbar".split())
+#: Words that say where or how large an element is; a compound name counts by its other words, all of which must agree.
+_PLACE_WORDS = frozenset(
+    "site page global primary secondary left right top bottom inner outer upper lower sticky fixed mobile desktop large small box block list item items area section slot unit link links bar panel column col row icon button buttons title text more stories posts articles s wp js".split()
+)
 
-_TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", regex.S)
-_ATTRIBUTE = regex.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_TOKEN = regex.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|=?[^\s/>=]++(?>\s*+=\s*+(?>"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?)?|=)*+)(?:>|\Z)""",
+    regex.S | regex.X,
+)
+_ATTRIBUTE = regex.compile(r"""(=?[^\s/>=]++)(?>\s*+=\s*+(?>"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+))?)?""")
 #: Class names of layout wrappers, which say what a page has, not what the element is.
 _WRAPPER = regex.compile(r"^(?:has|no|with|without|is|js|layout)-|-with-|-wrap|-layout|container$")
 _PART = regex.compile(r"[a-z]+")
 _CAMEL = regex.compile(r"(?<=[a-z])(?=[A-Z])")
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "in_chrome", "chrome_inside_main", "heading", "ends_sentence", "page_has_main")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "main", "chrome", "chrome_inside_main", "heading", "ends_sentence", "page_main")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
+    """``main``: 2 in an element that is an article by its tag or role, 1 by its class or id, 0 elsewhere."""
+
     text: str
     words: int
     linked: int
     main: int
-    chrome: int
-    chrome_inside: int
-    heading: int
+    chrome: bool
+    chrome_inside: bool
+    heading: bool
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
-    name: str
-    main: int
-    chrome: int
-    hard: int
-    silent: int
-    link: int
-    heading: int
-
-
-def _marks(name: str, attributes: str, in_main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element says that it is main text, page furniture, or hidden."""
-    main, chrome, hidden, top = name in _MAIN, name in _CHROME, False, name == "header"
-    if "=" in attributes or "hidden" in attributes:
+    """An open element: depths of the innermost main and chrome elements (0: none), how strong the main mark is, whether
+    text is silent, linked or a heading, and how many block elements are open up to this one."""
+
+    name: str = ""
+    main: int = 0
+    strength: int = 0
+    chrome: int = 0
+    hard: int = 0
+    silent: bool = False
+    link: bool = False
+    heading: bool = False
+    blocks: int = 0
+
+
+def _named_kind(token: str) -> tuple[int, bool, bool]:
+    """What a class, id or role word says: main text, furniture, header. A compound says furniture only if each of its
+    words does, or says a place or main text ("ad-slot", "post-comments", but not "form-factor" or "tag-search")."""
+    if _WRAPPER.search(token):
+        return False, False, False
+    parts = set(_PART.findall(token)) | ({token} & _CHROME_WORDS)
+    known = parts <= _CHROME_WORDS | _HEADER_WORDS | _MAIN_WORDS | _PLACE_WORDS
+    chrome = known and bool(parts & _CHROME_WORDS)
+    top = known and bool(parts & _HEADER_WORDS)
+    return bool(parts & _MAIN_WORDS) and known and not chrome and not top, chrome, top
+
+
+def _marks(name: str, attributes: str, in_main: bool) -> tuple[int, bool, bool]:
+    """How strongly an element says that it is main text; whether it is page furniture; whether it is hidden."""
+    main, chrome, hidden, top = 2 if name in _MAIN else 0, name in _CHROME, False, name == "header"
+    if "=" in attributes or "hidden" in attributes.lower():
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
                 for token in _CAMEL.sub("-", value).lower().replace("_", "-").split():
-                    if _WRAPPER.search(token):
-                        continue
-                    parts = {token, *_PART.findall(token)}
-                    chrome |= bool(parts & _CHROME_WORDS)
-                    top |= bool(parts & _HEADER_WORDS)
-                    main |= bool(parts & _MAIN_WORDS) and not parts & (_CHROME_WORDS | _HEADER_WORDS)
+                    says_main, says_chrome, says_top = _named_kind(token)
+                    chrome |= says_chrome
+                    top |= says_top
+                    if says_main or token in ("article-body",):
+                        main = max(main, 2 if key in ("role", "itemprop") else 1)
             elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "").lower()) or (key == "aria-hidden" and value.lower() == "true"):
                 hidden = True
     return main, chrome or (top and not in_main), hidden
 
 
+class _Stack:
+    """The open elements, with the places of each name, so that no tag looks through all of them."""
+
+    def __init__(self):
+        self.open, self.places = [_Open()], {}
+
+    def push(self, element: _Open):
+        self.places.setdefault(element.name, []).append(len(self.open))
+        self.open.append(element)
+
+    def last(self, name: str) -> int:
+        """Depth of the innermost open element of a name; 0 if there is none."""
+        at = self.places.get(name)
+        return at[-1] if at else 0
+
+    def has_block(self, depth: int) -> bool:
+        """Whether a block-level element is open at ``depth`` or further in."""
+        return self.open[-1].blocks > self.open[depth - 1].blocks
+
+    def cut(self, depth: int):
+        while len(self.open) > depth:
+            self.places[self.open.pop().name].pop()
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; scripts, styles, head, controls and hidden elements have none."""
+    """The text blocks of a page in order; scripts, styles, head, controls and hidden elements have none. The time is
+    linear in the length of the page."""
     out: list[Block] = []
-    stack: list[_Open] = [_Open("", 0, 0, 0, 0, 0, 0)]
+    stack = _Stack()
     text: list[str] = []
     linked: list[str] = []
 
     def flush():
         whole = " ".join("".join(text).split())
         if whole:
-            top = stack[-1]
+            top = stack.open[-1]
             n_linked = len("".join(linked).split())
-            out.append(Block(whole, len(whole.split()), n_linked, top.main > 0, top.chrome > 0, 0 < top.main < top.chrome, top.heading > 0))
+            out.append(Block(whole, len(whole.split()), n_linked, top.strength if top.main else 0, top.chrome > 0, 0 < top.main < top.chrome, top.heading))
         text.clear()
         linked.clear()
 
     def add(s: str):
-        top = stack[-1]
+        top = stack.open[-1]
         if not top.silent:
             s = html.unescape(s) if "&" in s else s
             text.append(s)
@@ -118,9 +171,9 @@ def blocks(page: str) -> list[Block]:
                 linked.append(s)
 
     def close(depth: int):
-        if any(x.name in _BLOCK for x in stack[depth:]):
+        if stack.has_block(depth):
             flush()
-        del stack[depth:]
+        stack.cut(depth)
 
     at = 0
     while True:
@@ -135,7 +188,7 @@ def blocks(page: str) -> list[Block]:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            depth = stack.last(name)
             if depth:
                 close(depth)
             elif name in _BLOCK:
@@ -146,36 +199,35 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in _BLOCK:
             flush()
-            if name in _ENDS_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "p"), 0)
-                if depth and not any(x.name in _BLOCK for x in stack[depth + 1 :]):
-                    close(depth)
+            depth = stack.last("p")
+            if name in _ENDS_P and depth and (depth + 1 == len(stack.open) or not stack.has_block(depth + 1)):
+                close(depth)
             ends = _ENDS_SAME.get(name)
             if ends:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in ends or stack[i].name in ("ul", "ol", "table", "dl")), 0)
-                if depth and stack[depth].name in ends:
-                    close(depth)
-            if name == "body":
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "head"), 0)
-                if depth:
+                depth = max(map(stack.last, ends))
+                if depth and depth > max(map(stack.last, ("ul", "ol", "table", "dl"))):
                     close(depth)
+            if name == "body" and stack.last("head"):
+                close(stack.last("head"))
         if name in _VOID:
             continue
-        top, depth = stack[-1], len(stack)
+        top, depth = stack.open[-1], len(stack.open)
         main, chrome, hidden = _marks(name, m[3], top.main > 0)
         if name in ("body", "html"):
-            main = chrome = False
+            main, chrome = 0, False
         # A wrapper whose class speaks of a sidebar or banner may still hold the page's one main element.
         over = top.hard if name == "main" else top.chrome
-        stack.append(
+        stack.push(
             _Open(
                 name,
                 depth if main and not over else top.main,
+                max(main, top.strength) if main and not over else top.strength,
                 depth if chrome else over,
                 depth if name in _CHROME else top.hard,
                 top.silent or hidden or name in _SILENT,
                 top.link or name == "a",
-                top.heading or (name[0] == "h" and name[1:] in ("1", "2", "3", "4", "5", "6")),
+                top.heading or name in _HEADINGS,
+                top.blocks + (name in _BLOCK),
             )
         )
         if name in _RAW and not m[3].endswith("/"):
@@ -186,14 +238,14 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row of FEATURES for each block."""
+    """One row of FEATURES for each block; at the ends of a page a neighbour has no words and no links."""
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
     for i, b in enumerate(found):
         x[i, 0], x[i, 1] = b.words, b.density
         x[i, 6:10] = b.main, b.chrome, b.chrome_inside, b.heading
         x[i, 10] = b.text[-1] in ".!?…。\"”»:;)"
-    x[:, 11] = any(b.main and not b.chrome for b in found)
+    x[:, 11] = max((b.main for b in found if not b.chrome), default=0)
     x[1:, 2:4] = x[:-1, 0:2]
     x[:-1, 4:6] = x[1:, 0:2]
     return x
@@ -206,7 +258,7 @@ def tree() -> Tree:
         found = blocks(page)
         xs.append(features(found))
         ys.append(np.array([b.text in main for b in found], float))
-    return grow(np.vstack(xs), np.concatenate(ys))
+    return grow(np.vstack(xs), np.concatenate(ys), depth=16)
 
 
 def main_text(page: str | None, classifier: Tree) -> tuple[str, int, int]:
@@ -233,7 +285,8 @@ def _rows(classifier: Tree):
 def extract(pages: DataFrame, html_col: str = "html", classifier: Tree | None = None) -> DataFrame:
     """``pages`` without ``html_col``, plus text (main blocks joined by two newlines; empty if none), n_kept, n_blocks.
 
-    Null and empty pages have no blocks. Broken markup is read as far as it goes. Input columns of the names above
+    Null and empty pages have no blocks. Broken markup is read as far as it goes, long pages whole and in linear time.
+    Repeated rows give repeated rows; a block for which both labels tie is main text. Input columns of the names above
     give way. No shuffle; the tree travels with the tasks.
     """
     added = ["text", "n_kept", "n_blocks"]

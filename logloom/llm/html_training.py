@@ -1,4 +1,11 @@
-"""The labelled table of the block classifier: small pages, and the texts of their blocks that are main text."""
+"""The labelled table of the block classifier: small pages, and the texts of their blocks that are main text.
+
+Some pages are written out; the others follow from a rule: furniture (menus, taglines, adverts, teasers, sidebars, foot
+lines) around an article, with or without tags and class names that give the article or the furniture away. Where
+nothing does, only word counts and link densities of a block and its neighbours tell main text from the rest.
+"""
+
+import random
 
 _MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">News</a></li><li><a href="/b">About us</a></li></ul></nav>'
 _FOOT = "<footer><p>&copy; 2020 Example Press. All rights reserved.</p><a href='/t'>Terms</a></footer>"
@@ -66,31 +73,133 @@ _WRITTEN: list[tuple[str, set[str]]] = [
     ),
 ]
 
-_OPEN = ["<article>", "<main>", "<div class='content'>", "<section id='main-content'>", "<div role='main'><article class='post'>"]
-_INSIDE = [
-    ["Word.", "<a href='/l'>linked line of text</a>", "A closing line without a full stop"],
-    ["<a href='/1'>One</a>, <a href='/2'>two</a>", "A paragraph of middling length that ends as it should."],
-    ["A first paragraph that goes on for a while, as first paragraphs do, until it ends.", "x"],
-    ["***", "<a href='/k'>See here</a>", "<a href='/m'>and there</a>"],
-    ["Last"],
-    ["no capitals no stop", "NOTHING ELSE!", "A paragraph with <a href='/w'>words</a> and <a href='/v'>more words</a>.", "end"],
-]
-_OUTSIDE = [
-    ["Log in", "A line of prose outside the article, which no class or tag gives away as such."],
-    ["<a href='/s'>Start</a>", "Welcome.", "Weather: sun in the morning, rain later on, and wind from the west at night."],
-    ["Back to top", "Printed in the valley, by hand, on paper of old rags."],
-    [],
-]
+_WORDS = "river stone bridge winter market letter garden window paper morning council harvest railway captain village teacher copper music silver forest island doctor summer engine valley bread".split()
+
+
+class _Writer:
+    """Texts of a page, each different from all others of it."""
+
+    def __init__(self, seed: int):
+        self.rnd, self.seen = random.Random(seed), set()
+
+    def some(self, least: int, most: int, stop: str = "") -> str:
+        while True:
+            n = self.rnd.randint(least, most)
+            text = " ".join(self.rnd.choice(_WORDS) for _ in range(n)).capitalize() + stop
+            if text not in self.seen:
+                self.seen.add(text)
+                return text
+
+    def chance(self, p: float) -> bool:
+        return self.rnd.random() < p
+
+
+def _links(w: _Writer, n: int, listed: bool) -> str:
+    items = [f"<a href='/{i}'>{w.some(1, 3, w.rnd.choice(['', '', '.', '!']))}</a>" for i in range(n)]
+    return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if listed else "<div>" + " | ".join(items) + "</div>"
+
+
+def _article(w: _Writer, plain: bool) -> tuple[str, set[str]]:
+    """Title and paragraphs; a ``plain`` one begins and ends with a long paragraph and has no link-dense ones."""
+    main, out = set(), []
+
+    def put(tag: str, text: str, inner: str | None = None):
+        main.add(text)
+        out.append(f"<{tag}>{inner or text}</{tag}>")
+
+    if w.chance(0.85):
+        put(w.rnd.choice(["h1", "h2", "div", "h1"]), w.some(2, 9))
+    n = w.rnd.randint(2, 7)
+    for i in range(n):
+        if plain and i in (0, n - 1):
+            put("p", w.some(16, 50, "."))
+        elif w.chance(0.15):
+            put(w.rnd.choice(["h3", "p", "div"]), w.some(1, 5))
+        elif w.chance(0.25):
+            put("p", w.some(1, 8, w.rnd.choice(["", "."])))
+        elif not plain and w.chance(0.3):
+            text = w.some(1, 14, w.rnd.choice(["", "."]))
+            put("p", text, f"<a href='/x'>{text}</a>")
+        elif w.chance(0.2):
+            head, linked, tail = w.some(6, 20), w.some(1, 3), w.some(4, 20, ".")
+            put("p", f"{head} {linked} {tail}", f"{head} <a href='/y'>{linked}</a> {tail}")
+        else:
+            put(w.rnd.choice(["p", "p", "div", "li"]), w.some(9, 50, "."))
+    return "".join(out), main
+
+
+def _before(w: _Writer) -> str:
+    out = _links(w, w.rnd.randint(3, 7), w.chance(0.6))
+    if w.chance(0.4):
+        out += f"<div>{w.some(2, 9, w.rnd.choice(['', '.']))}</div>"
+        if w.chance(0.5):
+            out += _links(w, w.rnd.randint(1, 4), w.chance(0.5))
+    return out
+
+
+def _teasers(w: _Writer, n: int) -> str:
+    kind = w.rnd.choice(["h3", "div"])
+    return "".join(f"<{kind}><a href='/t{i}'>{w.some(3, 9, w.rnd.choice(['', '.']))}</a></{kind}><div>{w.some(6, 22, w.rnd.choice(['', '.']))}</div>" for i in range(n)) + _links(w, 2, False)
+
+
+def _after(w: _Writer) -> str:
+    out = ""
+    if w.chance(0.35):
+        out += _teasers(w, w.rnd.randint(1, 3)) if w.chance(0.5) else f"<div>{w.some(1, 3)}</div>" + _links(w, w.rnd.randint(3, 6), True)
+    if w.chance(0.4):
+        out += _links(w, w.rnd.randint(1, 4), w.chance(0.3))
+    if w.chance(0.7):
+        out += f"<{w.rnd.choice(['div', 'p'])}>{w.some(2, 11, w.rnd.choice(['', '', '.']))}</div>"
+    return out
+
+
+def _unmarked(seed: int) -> tuple[str, set[str]]:
+    w = _Writer(seed)
+    inner, main = _article(w, plain=True)
+    cell = w.chance(0.2)
+    parts = [_before(w) if w.chance(0.85) else "", inner, _after(w) if w.chance(0.85) else ""]
+    return "<body>" + ("<table><tr>" + "".join(f"<td>{x}</td>" for x in parts) + "</tr></table>" if cell else "".join(f"<div>{x}</div>" for x in parts)) + "</body>", main
+
+
+_FURNITURE = ["<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", "<div class='ad'>{}</div>", "<div class='sidebar'>{}</div>", "<div id='cookie-notice'>{}</div>", "<form>{}</form>", "<div class='site-footer'>{}</div>"]
+
+
+def _furniture(w: _Writer) -> str:
+    kind = w.rnd.choice(_FURNITURE)
+    if w.chance(0.3):
+        return kind.format(f"<h3>{w.some(1, 4)}</h3>" + _teasers(w, 1))
+    return kind.format("".join(f"<p>{w.some(1, 30, w.rnd.choice(['', '.']))}</p>" for _ in range(w.rnd.randint(1, 3))) + (_links(w, 2, True) if w.chance(0.4) else ""))
+
+
+def _marked_furniture(seed: int) -> tuple[str, set[str]]:
+    """Furniture that says so around an article that does not."""
+    w = _Writer(seed)
+    inner, main = _article(w, plain=True)
+    return f"<body>{_furniture(w)}{_furniture(w)}<div>{inner}</div>{_furniture(w)}{_after(w) if w.chance(0.3) else ''}</body>", main
+
+
+_OPEN = ["<article>", "<main>", "<div role='main'>", "<article class='post'>"]
+_WEAK = ["<div class='content'>", "<section id='main-content'>", "<div class='entry-content'>", "<div id='story'>"]
 
 
-def _page(k: int) -> tuple[str, set[str]]:
-    """A page with marked main text amid unmarked other text; every third has nothing behind its main text."""
-    inside, outside = _INSIDE[k % len(_INSIDE)], _OUTSIDE[k % len(_OUTSIDE)]
-    lead = "".join(f"<div>{x}</div>" for x in outside)
-    tail = "" if k % 3 == 0 else "".join(f"<p>{x}</p>" for x in reversed(outside))
-    main = "".join(f"<p>{x}</p>" for x in inside)
-    names = {"".join(part.split(">", 1)[-1] for part in x.split("<")) for x in inside}
-    return f"<body>{lead}{_OPEN[k % len(_OPEN)]}{main}</div></article></section></main>{tail}</body>", names
+def _marked(seed: int, openers: list[str]) -> tuple[str, set[str]]:
+    """An article that says so, amid furniture that may not; in the looser wrappers lists of links are no main text."""
+    w = _Writer(seed)
+    inner, main = _article(w, plain=openers is _WEAK)
+    for _ in range(w.rnd.randint(0, 2)):
+        inner = inner.replace("</p>", "</p>" + _furniture(w), 1)
+    if openers is _WEAK and w.chance(0.6):
+        inner = (_links(w, w.rnd.randint(3, 7), True) if w.chance(0.5) else "") + inner + _links(w, w.rnd.randint(3, 7), True)
+    prose = "".join(f"<p>{w.some(1, 40, w.rnd.choice(['', '.']))}</p>" for _ in range(w.rnd.randint(0, 3)))
+    name = w.rnd.choice(openers)
+    close = "</" + name[1:-1].split()[0] + ">"
+    return f"<body>{_furniture(w) if w.chance(0.5) else ''}{_before(w) if w.chance(0.7) else ''}{prose}{name}{inner}{close}{_furniture(w) if w.chance(0.5) else ''}{prose.replace('<p>', '<p>Also ') if w.chance(0.5) else _after(w)}</body>", main
 
 
-PAGES = _WRITTEN + [_page(k) for k in range(60)]
+PAGES = (
+    _WRITTEN
+    + [_unmarked(k) for k in range(150)]
+    + [_marked_furniture(k) for k in range(1000, 1060)]
+    + [_marked(k, _OPEN) for k in range(2000, 2150)]
+    + [_marked(k, _WEAK) for k in range(3000, 3060)]
+)
