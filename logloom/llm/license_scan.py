@@ -1,15 +1,21 @@
 """Licence notices in texts, by Dice coefficient over word bigrams against templates. DataFrame functions only.
 
-Units are the lines of a text, the whole text, and runs of neighbouring lines. A unit and a template with a and b distinct bigrams reach at most
-Dice 2*min(a, b)/(a + b), so a lies between t*b/(2-t) and b*(2-t)/t for a threshold t, and most units meet no template, and the rest one or two. Everything
-happens inside a row: no shuffle, no join.
-
-Runs find notices that are wrapped over lines and full licence texts (the files of license_texts) inside longer texts. A
-run that reaches t shares t*b/(2-t) bigrams at least with its template, so texts with fewer of them are not searched.
+Units are the whole text, its lines, and stretches of words wherever lines begin and end. A unit and a template with a and
+b distinct bigrams reach at most Dice 2*min(a, b)/(a + b), so a lies between t*b/(2-t) and b*(2-t)/t for a threshold t,
+and most units meet no template, and the rest one or two. Everything happens inside a row: no shuffle, no join.
+
+Stretches find notices inside a paragraph or wrapped over lines, and full licence texts (the files of license_texts)
+inside longer ones. A stretch has as many words as its template, and stretches begin an eighth of that apart, so some
+stretch misses a sixteenth of a verbatim copy at most. A stretch that reaches t shares t*b/(2-t) bigrams at least with its
+template, so a text that has fewer of them is not searched; and a text without any of a few telling words, which so many
+of a template's bigrams hold that the others are too few, is not even compared.
 """
 
 import math
+import re
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -36,18 +42,66 @@ TEMPLATES = {
     "MIT-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-# Full licence texts, searched in runs of lines only.
+# Full licence texts, searched in stretches of words only.
 FULL_TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _plain_bigrams(text: str) -> list[str]:
-    import re
+#: Stretches of a template of n words begin n/STEPS words apart; templates that are this alike are rivals for one place.
+STEPS, RIVALS = 8, 0.5
+# Words too frequent to tell a licence.
+_FREQUENT = frozenset("the of and to or in a this any is you for that by with be as are not on may if from at an it which such your all".split())
+
+
+def _plain_words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.translate(str.maketrans(_UPPER, _LOWER))).split()
+
 
-    w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+def _plain_bigrams(text: str) -> list[str]:
+    w = _plain_words(text)
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+@dataclass
+class Template:
+    id: str
+    words: int
+    bigrams: list[str]
+    need: int
+    group: int = 0
+
+    @property
+    def step(self) -> int:
+        return max(1, self.words // STEPS)
+
+    def telling(self) -> set[str]:
+        """Words without any of which a text has fewer than ``need`` of the bigrams."""
+        left, out = {tuple(g.split(" ")) for g in self.bigrams}, set()
+        while len(left) >= self.need:
+            counts = Counter(w for pair in left for w in set(pair))
+            word = min(counts, key=lambda w: (w in _FREQUENT, -counts[w], w))
+            out.add(word)
+            left = {pair for pair in left if word not in pair}
+        return out
+
+
+def stretch_templates(texts: dict[str, str], threshold: float = THRESHOLD) -> list[Template]:
+    """The templates by id, with rivals (and rivals of rivals) in one group."""
+    low = threshold / (2 - threshold)
+    out = []
+    for name, text in sorted(texts.items()):
+        bigrams = _plain_bigrams(text)
+        if bigrams:
+            out.append(Template(name, len(_plain_words(text)), bigrams, max(1, math.ceil(low * len(bigrams) - 1e-9)), len(out)))
+    for i, t in enumerate(out):
+        for u in out[:i]:
+            if 2 * len(set(t.bigrams) & set(u.bigrams)) >= RIVALS * (len(t.bigrams) + len(u.bigrams)) and t.group != u.group:
+                old, new = max(t.group, u.group), min(t.group, u.group)
+                for x in out:
+                    x.group = new if x.group == old else x.group
+    return out
+
+
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " ")), " ")
 
@@ -56,108 +110,83 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _runs(docs: DataFrame, names: list[str], templates: dict[str, str], full: dict[str, str], threshold: float, text_col: str) -> DataFrame:
-    """Rows ``_row, unit, n_lines, license_id, n_bigrams, dice`` of runs; see scan."""
-    known = [(k, _plain_bigrams(v), w) for part, w in ((templates, False), (full, True)) for k, v in sorted(part.items())]
-    known = sorted((k, v, w) for k, v, w in known if v)
-    low, high, slack = threshold / (2 - threshold), (2 - threshold) / threshold, 1e-9
-    needs = [max(1, math.ceil(low * len(v) - slack)) for _, v, _ in known]
-    table = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(k).alias("id"), F.lit(w).alias("full"), F.lit(n).alias("need"), F.lit(len(v)).alias("size"), F.split(F.lit("\n".join(v)), "\n").alias("b"))
-            for i, ((k, v, w), n) in enumerate(zip(known, needs))
-        ]
-    )
-    every = sorted({g for _, v, _ in known for g in v})
-
-    def once(df: DataFrame, name: str, value: Column, *others: str) -> DataFrame:
-        return df.select(*others, F.explode(F.array(value)).alias(name))
+def _dice(shared: Column, a: Column, b: Column) -> Column:
+    return F.lit(2.0) * shared / (a + b)
 
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.filter(_words(x), lambda w: w != ""))
-    at = once(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`")).filter(F.col(text_col).isNotNull()), "_lines", lines, "_row")
-    at = once(at, "_words", F.flatten("_lines"), "_row", "_lines")
-    pairs = F.zip_with("_words", F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    at = once(at, "_common", F.array_distinct(F.filter(pairs, lambda g: g.isin(every))), "_row", "_lines").filter(F.size("_common") >= min(needs))
-    near = F.filter(table, lambda t: F.when(t["need"] <= F.size("_common"), F.size(F.array_intersect(F.col("_common"), t["b"])) >= t["need"]).otherwise(False))
-    at = once(at, "_near", near, "_row", "_lines").filter(F.size("_near") > 0)
-    # Each bigram by position k: the lines f and t of its words, and the line p of its previous occurrence (-1: none).
-    tokens = F.flatten(F.transform("_lines", lambda ws, i: F.transform(ws, lambda w: F.struct(w.alias("w"), (i + 1).alias("l")))))
-    at = once(at, "_tokens", tokens, "_row", "_near")
-    both = F.zip_with("_tokens", F.slice("_tokens", 2, F.size("_tokens")), lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("g"), a["l"].alias("f"), b["l"].alias("t")))
-    by_text = F.array_sort(F.transform(F.slice(both, 1, F.size("_tokens") - 1), lambda x, k: F.struct(x["g"].alias("g"), k.alias("k"), x["f"].alias("f"), x["t"].alias("t"))))
-    at = once(at, "_sorted", by_text, "_row", "_near")
-
-    def earlier(x: Column, k: Column) -> Column:
-        before = F.get("_sorted", k - 1)
-        return F.struct(x["k"].alias("k"), x["f"].alias("f"), x["t"].alias("t"), F.when((k > 0) & (before["g"] == x["g"]), before["f"]).otherwise(-1).alias("p"), x["g"].alias("g"))
-
-    at = once(at, "_bigrams", F.array_sort(F.transform("_sorted", earlier)), "_row", "_near")
-
-    def dice(s: Column, a: Column, b: Column) -> Column:
-        return F.lit(2.0) * s / (a + b)
-
-    def from_line(found: Column, size: Column, i: Column) -> Column:
-        """The best run that starts at line i: a distinct bigrams, s of them shared, up to line j; ties: the shortest."""
-
-        def closed(c: Column) -> Column:
-            better = (c["a"] > 0) & (dice(c["s"], c["a"], size) > c["d"])
-            return F.struct(
-                c["a"].alias("a"), c["s"].alias("s"), c["j"].alias("j"),
-                F.when(better, dice(c["s"], c["a"], size)).otherwise(c["d"]).alias("d"), F.when(better, c["j"]).otherwise(c["end"]).alias("end"), F.when(better, c["a"]).otherwise(c["n"]).alias("n"),
-            )
 
-        def step(c: Column, x: Column) -> Column:
-            c = F.when(x["t"] > c["j"], closed(c)).otherwise(c)
-            return _let(c, lambda c: F.struct((c["a"] + 1).alias("a"), (c["s"] + x["h"].cast("int")).alias("s"), x["t"].alias("j"), c["d"].alias("d"), c["end"].alias("end"), c["n"].alias("n")))
+def _stretches(docs: DataFrame, names: list[str], templates: list[Template], threshold: float, text_col: str) -> DataFrame:
+    """Rows ``_row, first_word, license_id, n_bigrams, dice`` of stretches of words; see scan."""
+    groups: dict[int, list[Template]] = {}
+    for t in templates:
+        groups.setdefault(t.group, []).append(t)
 
-        zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("s"), F.lit(0).alias("j"), F.lit(0.0).alias("d"), F.lit(0).alias("end"), F.lit(0).alias("n"))
-        return F.aggregate(F.filter(found, lambda x: (x["f"] >= i) & (x["p"] < i)), zero, step, closed)
+    def literal(t: Template) -> Column:
+        return F.struct(F.lit(t.id).alias("id"), F.lit(t.words).alias("n"), F.lit(t.step).alias("step"), F.lit(t.need).alias("need"), F.split(F.lit("\n".join(t.bigrams)), "\n").alias("b"))
 
-    def rated(t: Column) -> Column:
-        found = F.transform("_bigrams", lambda x: F.struct(x["f"].alias("f"), x["t"].alias("t"), x["p"].alias("p"), F.array_contains(t["b"], x["g"]).alias("h")))
+    # Stretches of a group that overlap one are at most ``reach`` places away from it in their order by first word.
+    reach = {g: sum(max(x.words for x in ts) // t.step + 3 for t in ts) for g, ts in groups.items()}
+    table = F.array(*[F.struct(F.lit(reach[g]).alias("reach"), F.array(*map(literal, ts)).alias("ts")) for g, ts in groups.items()])
+    telling = sorted(set().union(*(t.telling() for t in templates)))
+    least = min(t.need for t in templates)
 
-        def of(found: Column) -> Column:
-            first = F.filter(found, lambda x: x["p"] < 0)
-            whole = dice(F.size(F.filter(first, lambda x: x["h"])), F.size(first), t["size"])
-            starts = F.array_distinct(F.transform(F.filter(found, lambda x: x["h"]), lambda x: x["f"]))
+    def once(df: DataFrame, name: str, value: Column, *others: str) -> DataFrame:
+        """A column that later ones read many times but that is made once: projects would be merged, explode is not."""
+        return df.select(*others, F.explode(F.array(value)).alias(name))
 
-            def run(i: Column, whole: Column) -> Column:
-                return _let(
-                    from_line(found, t["size"], i),
-                    lambda c: F.struct((-c["d"]).alias("d"), (c["end"] - i).alias("more"), i.alias("i"), t["i"].alias("no"), t["id"].alias("id"), c["n"].alias("n"), c["end"].alias("j"), (~t["full"] & ((c["end"] == i) | (c["d"] <= whole))).alias("told")),
-                )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text")).filter("_text is not null")
+    at = once(rows, "_words", _words(F.col("_text")), "_row")
+    at = at.filter((F.size("_words") > least) & F.arrays_overlap("_words", F.split(F.lit(" ".join(telling)), " ")))
+    pairs = F.zip_with(F.slice("_words", 1, F.size("_words") - 1), F.slice("_words", 2, F.size("_words") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    at = once(at, "_grams", pairs, "_row")
+    at = once(at, "_distinct", F.array_distinct("_grams"), "_row", "_grams")
+    met = F.size("_distinct")
+    near = F.transform(table, lambda g: F.struct(g["reach"].alias("reach"), F.filter(g["ts"], lambda t: F.when(t["need"] <= met, F.size(F.array_intersect(F.col("_distinct"), t["b"])) >= t["need"]).otherwise(False)).alias("ts")))
+    at = once(at, "_near", F.filter(near, lambda g: F.size(g["ts"]) > 0), "_row", "_grams").filter(F.size("_near") > 0)
+    n_words = F.size("_grams") + 1
 
-            return F.filter(_let(whole, lambda w: F.transform(starts, lambda i: run(i, w))), lambda r: -r["d"] >= threshold)
+    def rated(t: Column) -> Column:
+        last = F.greatest(n_words - t["n"], F.lit(0))
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, t["step"]), F.array(last)))
+
+        def of(k: Column) -> Column:
+            return _let(
+                F.array_distinct(F.slice("_grams", k + 1, t["n"] - 1)),
+                lambda w: F.struct(
+                    k.alias("first"), t["id"].alias("id"), F.least(t["n"], n_words).alias("n"), F.size(w).alias("n_bigrams"),
+                    _dice(F.size(F.array_intersect(w, t["b"])), F.size(w), F.size(t["b"])).alias("dice"),
+                ),
+            )
 
-        return _let(found, of)
+        return F.filter(F.transform(starts, of), lambda r: r["dice"] >= threshold)
 
-    at = once(at, "_rated", F.array_sort(F.flatten(F.transform("_near", rated))), "_row")
+    def best(found: Column, reach: Column) -> Column:
+        def beaten(x: Column, y: Column) -> Column:
+            overlap = (y["first"] < x["first"] + x["n"]) & (x["first"] < y["first"] + y["n"])
+            earlier = (y["first"] < x["first"]) | ((y["first"] == x["first"]) & (y["id"] < x["id"]))
+            return overlap & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & earlier))
 
-    def hides(k: Column, x: Column) -> Column:
-        overlap = (k["i"] <= x["j"]) & (x["i"] <= k["j"])
-        inside = (k["i"] <= x["i"]) & (x["j"] <= k["j"]) & (x["n"] >= low * k["n"]) & (x["n"] <= high * k["n"])
-        return overlap & ((k["no"] == x["no"]) | inside)
+        return F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1), lambda y: beaten(x, y)))
 
-    kept = F.aggregate("_rated", F.slice("_rated", 1, 0), lambda c, x: F.when(F.exists(c, lambda k: hides(k, x)), c).otherwise(F.concat(c, F.array(x))))
-    out = at.select("_row", F.explode(F.filter(kept, lambda r: ~r["told"])).alias("m"))
-    return out.select("_row", F.col("m.i").alias("unit"), (F.col("m.more") + 1).alias("n_lines"), F.col("m.id").alias("license_id"), F.col("m.n").alias("n_bigrams"), (-F.col("m.d")).alias("dice"))
+    kept = F.transform("_near", lambda g: _let(F.array_sort(F.flatten(F.transform(g["ts"], rated))), lambda found: best(found, g["reach"])))
+    out = at.select("_row", F.explode(F.flatten(kept)).alias("m"))
+    return out.select("_row", F.col("m.first").alias("first_word"), F.col("m.id").alias("license_id"), F.col("m.n_bigrams").alias("n_bigrams"), F.col("m.dice").alias("dice"))
 
 
 def scan(
     docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", full: dict[str, str] = FULL_TEXTS
 ) -> DataFrame:
-    """A row for each unit that reaches ``threshold`` with a template: the other columns of ``docs``, unit (0: the whole
-    text, from 1: its lines), license_id of the best template (ties: the first by name), n_bigrams, dice and n_lines (null
-    for the whole text).
+    """A row for each line, or whole text, that reaches ``threshold`` with a template: the other columns of ``docs``, unit
+    (0: the whole text, from 1: its lines), license_id of the best template (ties: the first by name), n_bigrams, dice;
+    first_word is null.
 
-    And a row for each run of lines (unit: its first line), of ``templates`` or ``full``: of the runs from each line the
-    best, best first, without those that overlap a better one of the same template or lie in a better one of like size,
-    and without runs of ``templates`` that a line or the whole text already tells as well.
+    And a row for each stretch of words that reaches it with a template of ``templates`` or ``full`` and that no better
+    stretch of the same template or a rival (one of alike text) overlaps (ties: the first, then by name): first_word counts
+    the words of the text from 0, unit is null. Of a text shorter than a template the stretch is the whole text.
 
-    Null, empty and one-word texts have no bigrams and no rows; repeated rows give repeated rows; input columns of the
-    names above give way. Templates are a bounded literal (their texts go into the plan).
+    Null, empty and one-word texts have no bigrams and no rows; long texts are compared whole; repeated rows give repeated
+    rows; input columns of the names above give way. Templates are a bounded literal (their texts go into the plan).
     """
-    added = ["unit", "license_id", "n_bigrams", "dice", "n_lines"]
+    added = ["unit", "first_word", "license_id", "n_bigrams", "dice"]
     names = [c for c in docs.columns if c != text_col and c not in added]
     known = {k: _plain_bigrams(v) for k, v in sorted(templates.items())}
     known = {k: v for k, v in known.items() if v}
@@ -182,35 +211,52 @@ def scan(
         return F.struct(F.size(b).alias("n_bigrams"), F.array_max(F.filter(rated, lambda r: r["dice"] >= threshold)).alias("top"))
 
     found = words.filter(several & few).select("_row", "unit", F.explode(F.transform(F.array(pairs), best)).alias("m")).filter("m.top is not null")
-    alone = found.select(
-        "_row", "unit", F.when(F.col("unit") > 0, 1).alias("n_lines"), F.get(ids, -F.col("m.top.n")).alias("license_id"), F.col("m.n_bigrams").alias("n_bigrams"), F.col("m.top.dice").alias("dice")
-    )
-    runs = _runs(docs, names, templates, full, threshold, text_col)
-    return alone.unionByName(runs).select(*[F.col(f"_row.`{c}`") for c in names], *added)
+    none = F.lit(None).cast("int")
+    alone = found.select("_row", F.col("unit"), none.alias("first_word"), F.get(ids, -F.col("m.top.n")).alias("license_id"), F.col("m.n_bigrams").alias("n_bigrams"), F.col("m.top.dice").alias("dice"))
+    stretches = _stretches(docs, names, stretch_templates({**templates, **{f"{k} text": v for k, v in full.items()}}, threshold), threshold, text_col)
+    every = alone.unionByName(stretches.select("_row", none.alias("unit"), *added[1:]))
+    return every.select(*[F.col(f"_row.`{c}`") for c in names], *added)
 
 
 def query(spark, sf_dir):
-    return scan(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", F.col("unit").cast("bigint").alias("unit"), "license_id", F.col("n_bigrams").cast("bigint").alias("n_bigrams"), "dice"
-    )
+    long = [F.col(c).cast("bigint").alias(c) for c in ("unit", "first_word", "n_bigrams")]
+    return scan(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *long, "license_id", "dice")
 
 
 def _sql() -> str:
-    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
+    def quoted(texts: dict[str, str]) -> str:
+        return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(texts.items()))
+
     norm = f"string_split(trim(regexp_replace(translate({{}}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
     pairs = "list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])"
     t = THRESHOLD
+    known = stretch_templates({**TEMPLATES, **{f"{k} text": v for k, v in FULL_TEXTS.items()}})
+    facts = ", ".join(f"('{x.id}', {x.words}, {x.step}, {x.need}, {x.group})" for x in known)
     return f"""
-WITH template AS (SELECT id, {pairs} AS b FROM (SELECT id, {norm.format("txt")} AS w FROM (VALUES {quoted}) v(id, txt))),
+WITH template AS (SELECT id, {pairs} AS b FROM (SELECT id, {norm.format("txt")} AS w FROM (VALUES {quoted(TEMPLATES)}) v(id, txt))),
  unit AS (SELECT doc_id, 0 AS unit, text AS u FROM documents WHERE text IS NOT NULL
    UNION ALL SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS u
    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
  pairs AS (SELECT doc_id, unit, {pairs} AS a FROM (SELECT doc_id, unit, {norm.format("u")} AS w FROM unit) WHERE len(w) >= 2),
  rated AS (SELECT doc_id, unit, id, len(a) AS n_bigrams, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-   FROM pairs, template WHERE 2.0::DOUBLE * least(len(a), len(b)) / (len(a) + len(b)) >= {t}::DOUBLE)
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, arg_min(id, id) AS license_id, any_value(n_bigrams) AS n_bigrams, any_value(dice) AS dice
-FROM (SELECT *, rank() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC) AS r FROM rated WHERE dice >= {t}::DOUBLE) WHERE r = 1
-GROUP BY doc_id, unit"""
+   FROM pairs, template WHERE 2.0::DOUBLE * least(len(a), len(b)) / (len(a) + len(b)) >= {t}::DOUBLE),
+ lines AS (SELECT doc_id, CAST(unit AS BIGINT) AS unit, CAST(NULL AS BIGINT) AS first_word, any_value(n_bigrams) AS n_bigrams, arg_min(id, id) AS license_id, any_value(dice) AS dice
+   FROM (SELECT *, rank() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC) AS r FROM rated WHERE dice >= {t}::DOUBLE) WHERE r = 1
+   GROUP BY doc_id, unit),
+ fact AS (SELECT * FROM (VALUES {facts}) v(id, n, step, need, grp)),
+ every AS (SELECT id, n, step, need, grp, {pairs} AS b
+   FROM (SELECT fact.*, {norm.format("txt")} AS w FROM fact JOIN (VALUES {quoted({**TEMPLATES, **{f"{k} text": v for k, v in FULL_TEXTS.items()}})}) v(id, txt) USING (id))),
+ doc AS (SELECT row_number() OVER () AS rn, doc_id, len(w) AS nw, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS g
+   FROM (SELECT doc_id, {norm.format("text")} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 2),
+ near AS (SELECT * FROM doc, every WHERE need <= nw AND len(list_intersect(list_distinct(g), b)) >= need),
+ start AS (SELECT DISTINCT rn, doc_id, nw, g, id, n, grp, b, unnest(list_append(range(0, greatest(nw - n, 0) + 1, step), greatest(nw - n, 0))) AS k FROM near),
+ stretch AS (SELECT rn, doc_id, id, grp, k, least(n, nw) AS n, b, list_distinct(g[k + 1:k + n - 1]) AS a FROM start),
+ passed AS (SELECT rn, doc_id, id, grp, k, n, len(a) AS n_bigrams, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM stretch),
+ good AS (SELECT * FROM passed WHERE dice >= {t}::DOUBLE)
+SELECT doc_id, unit, first_word, n_bigrams, license_id, dice FROM lines
+UNION ALL SELECT doc_id, CAST(NULL AS BIGINT), CAST(k AS BIGINT), n_bigrams, id, dice FROM good x
+WHERE NOT EXISTS (SELECT 1 FROM good y WHERE y.rn = x.rn AND y.grp = x.grp AND y.k < x.k + x.n AND x.k < y.k + y.n
+  AND (y.dice > x.dice OR (y.dice = x.dice AND (y.k < x.k OR (y.k = x.k AND y.id < x.id)))))"""
 
 
 QUERIES = {"op2_license_scan": query}
