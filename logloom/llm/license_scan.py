@@ -7,8 +7,8 @@ and most units meet no template, and the rest one or two. Everything happens ins
 Stretches find notices inside a paragraph or wrapped over lines, and full licence texts (the files of license_texts)
 inside longer ones. A stretch has as many words as its template, and stretches begin an eighth of that apart, so some
 stretch misses a sixteenth of a verbatim copy at most. A stretch that reaches t shares t*b/(2-t) bigrams at least with its
-template, so a text that has fewer of them is not searched; and a text without any of a few telling words, which so many
-of a template's bigrams hold that the others are too few, is not even compared.
+template, so a text that has fewer of them is not searched for it. Before all that, a text must have one of a few telling
+words of the templates that it is long enough for: so many of a template's bigrams hold one that the others are too few.
 """
 
 import math
@@ -49,8 +49,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Stretches of a template of n words begin n/STEPS words apart; templates that are this alike are rivals for one place.
 STEPS, RIVALS = 8, 0.5
+#: Telling words are looked for by size of template: in a text of n words, those of templates that need fewer bigrams.
+CLASSES = (30, 150, 1000)
 # Words too frequent to tell a licence.
-_FREQUENT = frozenset("the of and to or in a this any is you for that by with be as are not on may if from at an it which such your all".split())
+_FREQUENT = frozenset(
+    "the of and to or in a this any is you for that by with be as are not on may if from at an it which such your all can use other without under no but work works including these do we will above must shall its has have was their they our who what when where so than then them there here only more some one two first new own out up into about over also each many most same part case time make made way used using who his her she he him would could should been being were does did how s b c 0 1 2 3 4".split()
+)
 
 
 def _plain_words(text: str) -> list[str]:
@@ -114,8 +118,52 @@ def _dice(shared: Column, a: Column, b: Column) -> Column:
     return F.lit(2.0) * shared / (a + b)
 
 
-def _stretches(docs: DataFrame, names: list[str], templates: list[Template], threshold: float, text_col: str) -> DataFrame:
-    """Rows ``_row, first_word, license_id, n_bigrams, dice`` of stretches of words; see scan."""
+def _told(templates: list[Template]) -> Column:
+    """Whether ``_words`` may reach the threshold with a template, by telling words."""
+    out = F.lit(False)
+    for low, high in zip((0, *CLASSES), (*CLASSES, float("inf"))):
+        some = [t for t in templates if low < t.need <= high]
+        if some:
+            telling = sorted(set().union(*(t.telling() for t in some)))
+            out |= (F.size("_words") > min(t.need for t in some)) & F.arrays_overlap("_words", F.split(F.lit(" ".join(telling)), " "))
+    return out
+
+
+def _grams(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _units(templates: list[Template], threshold: float) -> Column:
+    """The whole text and the lines (``_words``, ``_lines``) that reach the threshold: structs unit, id, n_bigrams, dice."""
+    slack = 1e-9
+    low, high = threshold / (2 - threshold) - slack, (2 - threshold) / threshold + slack
+    ids = F.split(F.lit("\n".join(t.id for t in templates)), "\n")
+    sizes = [len(t.bigrams) for t in templates]
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.split(F.lit("\n".join(t.bigrams)), "\n").alias("b")) for i, t in enumerate(templates)])
+
+    def few(w: Column) -> Column:
+        # Distinct words less one is a lower bound of distinct bigrams, words less one an upper bound.
+        return (F.size(w) - 1 >= low * min(sizes)) & (F.size(F.array_distinct(w)) - 1 <= high * max(sizes))
+
+    def top(x: Column) -> Column:
+        def of(b: Column) -> Column:
+            close = F.filter(table, lambda t: _dice(F.least(F.size(b), F.size(t["b"])), F.size(b), F.size(t["b"])) >= threshold)
+            rated = F.transform(close, lambda t: F.struct(_dice(F.size(F.array_intersect(b, t["b"])), F.size(b), F.size(t["b"])).alias("dice"), (-t["i"]).alias("n")))
+            return F.struct(x["unit"].alias("unit"), F.size(b).alias("n_bigrams"), F.array_max(F.filter(rated, lambda r: r["dice"] >= threshold)).alias("top"))
+
+        return _let(F.array_distinct(_grams(x["w"])), of)
+
+    units = F.transform(F.concat(F.array("_words"), F.col("_lines")), lambda w, i: F.struct(w.alias("w"), i.alias("unit")))
+    found = F.filter(F.transform(F.filter(units, lambda x: few(x["w"])), top), lambda x: x["top"].isNotNull())
+    none = F.lit(None).cast("int")
+    return F.transform(
+        found, lambda x: F.struct(x["unit"].alias("unit"), none.alias("first_word"), F.get(ids, -x["top"]["n"]).alias("license_id"), x["n_bigrams"].alias("n_bigrams"), x["top"]["dice"].alias("dice"))
+    )
+
+
+def _stretches(templates: list[Template], threshold: float) -> Column:
+    """The stretches of words (``_grams``, ``_distinct``) that reach the threshold, the best of those that overlap."""
     groups: dict[int, list[Template]] = {}
     for t in templates:
         groups.setdefault(t.group, []).append(t)
@@ -126,23 +174,10 @@ def _stretches(docs: DataFrame, names: list[str], templates: list[Template], thr
     # Stretches of a group that overlap one are at most ``reach`` places away from it in their order by first word.
     reach = {g: sum(max(x.words for x in ts) // t.step + 3 for t in ts) for g, ts in groups.items()}
     table = F.array(*[F.struct(F.lit(reach[g]).alias("reach"), F.array(*map(literal, ts)).alias("ts")) for g, ts in groups.items()])
-    telling = sorted(set().union(*(t.telling() for t in templates)))
-    least = min(t.need for t in templates)
+    met, n_words = F.size("_distinct"), F.size("_grams") + 1
 
-    def once(df: DataFrame, name: str, value: Column, *others: str) -> DataFrame:
-        """A column that later ones read many times but that is made once: projects would be merged, explode is not."""
-        return df.select(*others, F.explode(F.array(value)).alias(name))
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text")).filter("_text is not null")
-    at = once(rows, "_words", _words(F.col("_text")), "_row")
-    at = at.filter((F.size("_words") > least) & F.arrays_overlap("_words", F.split(F.lit(" ".join(telling)), " ")))
-    pairs = F.zip_with(F.slice("_words", 1, F.size("_words") - 1), F.slice("_words", 2, F.size("_words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    at = once(at, "_grams", pairs, "_row")
-    at = once(at, "_distinct", F.array_distinct("_grams"), "_row", "_grams")
-    met = F.size("_distinct")
-    near = F.transform(table, lambda g: F.struct(g["reach"].alias("reach"), F.filter(g["ts"], lambda t: F.when(t["need"] <= met, F.size(F.array_intersect(F.col("_distinct"), t["b"])) >= t["need"]).otherwise(False)).alias("ts")))
-    at = once(at, "_near", F.filter(near, lambda g: F.size(g["ts"]) > 0), "_row", "_grams").filter(F.size("_near") > 0)
-    n_words = F.size("_grams") + 1
+    def near(t: Column) -> Column:
+        return F.when(t["need"] <= met, F.size(F.array_intersect(F.col("_distinct"), t["b"])) >= t["need"]).otherwise(False)
 
     def rated(t: Column) -> Column:
         last = F.greatest(n_words - t["n"], F.lit(0))
@@ -167,9 +202,11 @@ def _stretches(docs: DataFrame, names: list[str], templates: list[Template], thr
 
         return F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1), lambda y: beaten(x, y)))
 
-    kept = F.transform("_near", lambda g: _let(F.array_sort(F.flatten(F.transform(g["ts"], rated))), lambda found: best(found, g["reach"])))
-    out = at.select("_row", F.explode(F.flatten(kept)).alias("m"))
-    return out.select("_row", F.col("m.first").alias("first_word"), F.col("m.id").alias("license_id"), F.col("m.n_bigrams").alias("n_bigrams"), F.col("m.dice").alias("dice"))
+    kept = F.transform(table, lambda g: _let(F.array_sort(F.flatten(F.transform(F.filter(g["ts"], near), rated))), lambda found: best(found, g["reach"])))
+    none = F.lit(None).cast("int")
+    return F.transform(
+        F.flatten(kept), lambda x: F.struct(none.alias("unit"), x["first"].alias("first_word"), x["id"].alias("license_id"), x["n_bigrams"].alias("n_bigrams"), x["dice"].alias("dice"))
+    )
 
 
 def scan(
@@ -188,34 +225,21 @@ def scan(
     """
     added = ["unit", "first_word", "license_id", "n_bigrams", "dice"]
     names = [c for c in docs.columns if c != text_col and c not in added]
-    known = {k: _plain_bigrams(v) for k, v in sorted(templates.items())}
-    known = {k: v for k, v in known.items() if v}
-    if not known:
+    short, every = stretch_templates(templates, threshold), stretch_templates({**templates, **{f"{k} text": v for k, v in full.items()}}, threshold)
+    if not short:
         raise ValueError("no template has two words")
-    slack = 1e-9
-    low, high = threshold / (2 - threshold) - slack, (2 - threshold) / threshold + slack
-    ids = F.array(*[F.lit(k) for k in known])
-    sizes = [len(v) for v in known.values()]
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*map(F.lit, v)).alias("b")) for i, v in enumerate(known.values())])
-
-    units = F.concat(F.array(F.col(text_col)), F.split(F.col(text_col), "\n"))
-    words = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.posexplode(F.transform(units, _words)).alias("unit", "_words"))
-    several = (F.col("unit") > 0) | (F.size("_words") >= 2)
-    # Distinct words less one is a lower bound of distinct bigrams, words less one an upper bound.
-    few = (F.size("_words") - 1 >= low * min(sizes)) & (F.size(F.array_distinct("_words")) - 1 <= high * max(sizes))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_words") - 2), lambda i: F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1))))
-
-    def best(b: Column) -> Column:
-        close = F.filter(table, lambda t: F.lit(2.0) * F.least(F.size(b), F.size(t["b"])) / (F.size(b) + F.size(t["b"])) >= threshold)
-        rated = F.transform(close, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(b, t["b"])) / (F.size(b) + F.size(t["b"]))).alias("dice"), (-t["i"]).alias("n")))
-        return F.struct(F.size(b).alias("n_bigrams"), F.array_max(F.filter(rated, lambda r: r["dice"] >= threshold)).alias("top"))
-
-    found = words.filter(several & few).select("_row", "unit", F.explode(F.transform(F.array(pairs), best)).alias("m")).filter("m.top is not null")
-    none = F.lit(None).cast("int")
-    alone = found.select("_row", F.col("unit"), none.alias("first_word"), F.get(ids, -F.col("m.top.n")).alias("license_id"), F.col("m.n_bigrams").alias("n_bigrams"), F.col("m.top.dice").alias("dice"))
-    stretches = _stretches(docs, names, stretch_templates({**templates, **{f"{k} text": v for k, v in full.items()}}, threshold), threshold, text_col)
-    every = alone.unionByName(stretches.select("_row", none.alias("unit"), *added[1:]))
-    return every.select(*[F.col(f"_row.`{c}`") for c in names], *added)
+
+    def once(df: DataFrame, name: str, value: Column, *others: str) -> DataFrame:
+        """A column that later ones read many times but that is made once: projects would be merged, explode is not."""
+        return df.select(*others, F.explode(F.array(value)).alias(name))
+
+    at = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text")).filter("_text is not null")
+    at = once(at, "_words", _words(F.col("_text")), "_row", "_text").filter(_told(every))
+    at = once(at, "_lines", F.transform(F.split("_text", "\n"), _words), "_row", "_words")
+    at = once(at, "_grams", _grams(F.col("_words")), "_row", "_words", "_lines")
+    at = once(at, "_distinct", F.array_distinct("_grams"), "_row", "_words", "_lines", "_grams")
+    out = at.select("_row", F.explode(F.concat(_units(short, threshold), _stretches(every, threshold))).alias("m"))
+    return out.select(*[F.col(f"_row.`{c}`") for c in names], *[F.col(f"m.{c}").alias(c) for c in added])
 
 
 def query(spark, sf_dir):
