@@ -103,9 +103,9 @@ def q_skip_reasons(spark, sf_dir):
 
 
 def q_device_free(spark, sf_dir):
-    """Devices with free space, names sorted, in one line; ratio to GiB with one decimal."""
-    c = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_name", F.format_string("%.1f", F.col("s_acctbal") / 1024).alias("g")))).alias("d"))
-    return c.select("s_nationkey", F.array_join(F.transform("d", lambda x: F.concat_ws(" ", x["s_name"], x["g"], F.lit("GiB"))), ", ").alias("free"))
+    """Devices of each inventory (eight at most) with free space, names sorted, in one line; GiB with one decimal."""
+    c = load(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 8).alias("inventory")).agg(F.array_sort(F.collect_list(F.struct("s_name", F.format_string("%.1f", F.col("s_acctbal") / 1024).alias("g")))).alias("d"))
+    return c.select("inventory", F.array_join(F.transform("d", lambda x: F.concat_ws(" ", x["s_name"], x["g"], F.lit("GiB"))), ", ").alias("free"))
 
 
 def q_task_lines(spark, sf_dir):
@@ -124,7 +124,7 @@ ORACLES = {
       array_to_string(list_filter([CASE WHEN length(f) > 40 THEN 'summary: ' || length(f) || ' -> 40' END, CASE WHEN len(s) > 2 THEN 'key_points: ' || len(s) || ' -> 2' END], lambda x: x IS NOT NULL), ';') AS notes, 0::INTEGER AS n_problems FROM k""",
     "skip_reasons": f"""WITH e AS (SELECT DISTINCT user_id, event_id % 36 AS i FROM events WHERE event_type = 'error')
       SELECT user_id, string_agg({_CODES}[i + 1], ',' ORDER BY i) AS reasons, bool_or({_CODES}[i + 1] NOT IN ('NO_SPEECH_DETECTED', 'DUPLICATE_CONTENT')) AS actionable FROM e GROUP BY 1""",
-    "device_free_space": "SELECT s_nationkey, string_agg(s_name || ' ' || printf('%.1f', s_acctbal / 1024) || ' GiB', ', ' ORDER BY s_name) AS free FROM supplier GROUP BY 1",
+    "device_free_space": "SELECT s_suppkey // 8 AS inventory, string_agg(s_name || ' ' || printf('%.1f', s_acctbal / 1024) || ' GiB', ', ' ORDER BY s_name) AS free FROM supplier GROUP BY 1",
     "task_lines": """SELECT o_orderkey, '- [ ] ' || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN ' 📅 ' || strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS line,
       strftime(o_orderdate, '%Y%m%d') || ' note ' || strftime(o_orderdate, '%Y-%m-%d') AS title FROM orders""",
 }

@@ -1,7 +1,8 @@
 """Greedy folds over ordered items of one session: chunks with overlap, bundles, marks, and the hierarchical reduce.
 
-The items of a session are a bounded list (a day of one device); each fold is one higher-order function over prefix
-sums, so it runs in the JVM next to the aggregation that gathers the list.
+The items of a session are a bounded list (a day of one device, one conversation), never all that a device has ever
+recorded; each fold is one higher-order function over prefix sums, so it runs in the JVM next to the aggregation that
+gathers the list. A fold copies the list it builds at each step, which only such bounded lists allow.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -115,7 +116,7 @@ def sentences(text: Column) -> Column:
 
 # -- queries ----------------------------------------------------------------------------------------------------------
 
-CHARS, SECONDS, OVERLAP, BUNDLE, FOLD_LIMIT, INTERVAL = 2000, 90.0, 700, 3000, 1500, 86400.0
+CHARS, SECONDS, OVERLAP, BUNDLE, FOLD_LIMIT, INTERVAL = 2000, 90.0, 700, 3000, 1500, 14400.0
 
 
 def _turns(spark, sf_dir):
@@ -146,8 +147,10 @@ def q_hier_reduce(spark, sf_dir):
 
 
 def q_timestamp_marks(spark, sf_dir):
+    """Marks of each user's day, of which at least four hours lie between two."""
     t = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
-    g = gathered(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], t=t)
+    e = load(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    g = gathered(e, ["user_id", "day"], ["ts", "event_id"], t=t)
     flags = mark_flags(F.transform("items", lambda x: x["t"]), INTERVAL)
     z = g.select("user_id", F.explode(F.arrays_zip(F.col("items").alias("i"), flags.alias("m"))).alias("x"))
     return z.select("user_id", F.col("x.i.event_id").alias("event_id"), F.col("x.m").alias("marked"))
@@ -206,9 +209,9 @@ ORACLES = {
        FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)
        SELECT conv_id, b AS bundle, CAST(count(*) AS INTEGER) AS n_items, CAST(sum(s) AS BIGINT) AS chars FROM f GROUP BY conv_id, b""",
     "hier_reduce": f"WITH RECURSIVE {_T}, {_fold('t', 1)}, {_fold('l1', 2)}, {_fold('l2', 3)} SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3",
-    "timestamp_marks": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-       f AS (SELECT user_id, event_id, i, t AS last, true AS marked FROM e WHERE i = 1
-        UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.t >= f.last + {INTERVAL} THEN e.t ELSE f.last END, e.t >= f.last + {INTERVAL} FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    "timestamp_marks": f"""WITH RECURSIVE e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, floor(epoch(ts)) AS t, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events),
+       f AS (SELECT user_id, day, event_id, i, t AS last, true AS marked FROM e WHERE i = 1
+        UNION ALL SELECT e.user_id, e.day, e.event_id, e.i, CASE WHEN e.t >= f.last + {INTERVAL} THEN e.t ELSE f.last END, e.t >= f.last + {INTERVAL} FROM f JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.i = f.i + 1)
        SELECT user_id, event_id, marked FROM f""",
     "timeline_build": """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN [md5(text)] ELSE
         list_filter(list_transform(string_split(replace(replace(text, '.', '。'), '。', '。' || chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS l FROM conversations WHERE role <> 'system')

@@ -15,21 +15,32 @@ def by_key(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.filter(F.col(key) == value)
 
 
-def with_status(rows: DataFrame, status: str, wanted: list[str], order: list[str]) -> DataFrame:
-    return rows.filter(F.col(status).isin(*wanted)).orderBy(*order)
+def with_status(rows: DataFrame, status: str, wanted: list[str]) -> DataFrame:
+    """Rows in some states; whoever reads them in order sorts them (as for the lists below)."""
+    return rows.filter(F.col(status).isin(*wanted))
 
 
-def pending(rows: DataFrame, status: str, order: list[str]) -> DataFrame:
-    """Work list, oldest first: everything not in a terminal state (null is not)."""
-    return rows.filter(F.coalesce(~F.col(status).isin(*dims.PART_TERMINAL), F.lit(True))).orderBy(*order)
+def pending(rows: DataFrame, status: str) -> DataFrame:
+    """Work list: everything not in a terminal state (null is not)."""
+    return rows.filter(F.coalesce(~F.col(status).isin(*dims.PART_TERMINAL), F.lit(True)))
 
 
-def ungrouped(rows: DataFrame, session: str, order: list[str]) -> DataFrame:
-    return rows.filter(F.col(session).isNull()).orderBy(*order)
+def ungrouped(rows: DataFrame, session: str) -> DataFrame:
+    return rows.filter(F.col(session).isNull())
 
 
-def history(log: DataFrame, entity: str, key: str, entity_value: str, key_value: str, order: str) -> DataFrame:
-    return log.filter((F.col(entity) == entity_value) & (F.col(key) == key_value)).orderBy(order)
+def history(log: DataFrame, entity: str, key: str, entity_value: str, key_value) -> DataFrame:
+    return log.filter((F.col(entity) == entity_value) & (F.col(key) == key_value))
+
+
+def members(parts: DataFrame, sessions: DataFrame, session: str) -> DataFrame:
+    """The parts of some sessions."""
+    return parts.join(sessions.select(session), session, "left_semi")
+
+
+def facts(rows: DataFrame, key: str, value) -> DataFrame:
+    """Status, retry count and error of one entity."""
+    return by_key(rows, key, value).select("status", "retry_count", "error_code")
 
 
 def both_entities(parts: DataFrame, sessions: DataFrame, part_key: str, session_key: str, status: str, wanted: list[str]) -> DataFrame:
@@ -98,7 +109,7 @@ def health(facts: DataFrame, by: list[str], max_age_s: int) -> DataFrame:
 
 def q_pending_parts(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "P", "TRANSCRIBED").otherwise("SKIPPED").alias("status"))
-    return pending(o, "status", ["o_orderdate", "o_orderkey"])
+    return pending(o, "status")
 
 
 def q_attribute_fold(spark, sf_dir):

@@ -2,16 +2,17 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logloom.functions import dims
 from logloom.sources import load
-from logloom.sources.logs import parse_lines
+from logloom.sources.logs import parse_lines, parsed
 
 
 def histogram(rows: DataFrame, status: str, domain: DataFrame) -> DataFrame:
     """Every value of ``domain`` (ordinal, status) with its count, in order; values outside it are not listed."""
     counts = rows.groupBy(status).agg(F.count("*").alias("n")).withColumnRenamed(status, "status")
-    return F.broadcast(domain).join(counts, "status", "left").select("ordinal", "status", F.coalesce("n", F.lit(0)).alias("n"))
+    return domain.join(counts, "status", "left").select("ordinal", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def backlog(parts: DataFrame, pending: Column, seconds: str) -> DataFrame:
@@ -84,6 +85,25 @@ def backoff(retries: Column, waits: list[int]) -> Column:
     return F.element_at(F.array(*map(F.lit, waits)), F.least(F.greatest(retries, F.lit(1)), F.lit(len(waits))).cast("int"))
 
 
+def exact_median(rows: DataFrame, by: str, value: str, bins: int = 1024) -> DataFrame:
+    """``by`` and ``median`` of each group, null values left out. Ranks are found in a histogram of ``bins`` equal bins between
+    the least and the greatest value, counted map-side; only the values of the one or two bins that hold the middle ranks
+    are put in order, so a group's values are never in one task."""
+    rows = rows.select(by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    ends = rows.groupBy(by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_total"))
+    bin_ = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    dealt = rows.join(ends, by).withColumn("_bin", bin_)
+    w = Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.groupBy(by, "_bin", "_total").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    first, last = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    held = counted.filter((F.col("_before") + F.col("_n") >= first) & (F.col("_before") < last)).select(by, "_bin", "_before")
+    few = dealt.join(held, [by, "_bin"]).groupBy(by, "_bin", "_before", "_total", "_v").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by, "_bin").orderBy("_v")
+    few = few.withColumn("_until", F.col("_before") + F.sum("_n").over(w))
+    middle = few.filter((F.col("_until") >= first) & (F.col("_until") - F.col("_n") < last))
+    return middle.groupBy(by).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
+
+
 def clamp(value: Column, low, high) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
@@ -121,10 +141,10 @@ def q_table_counts(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """Log lines made of events: one text line and one JSON line of the same fields for each."""
-    e = load(spark, sf_dir, "events").filter("event_type IN ('view', 'click')")
+    e = load(spark, sf_dir, "events")
     rtf = F.when(F.col("event_id") % 5 == 0, F.lit("null")).otherwise(F.format_string("%.3f", (F.col("event_id") % 90 + 10) / 1000.0))
     vals = e.select(
-        "event_id", F.when(F.col("event_type") == "view", "transcription_completed").otherwise("llm_completed").alias("ev"), (F.floor("value") + 1).cast("int").alias("el"),
+        "event_id", F.when(F.col("event_type") == "view", "transcription_completed").when(F.col("event_type") == "click", "llm_completed").otherwise(F.col("event_type")).alias("ev"), (F.floor("value") + 1).cast("int").alias("el"),
         (F.col("event_id") % 1000).alias("ch"), rtf.alias("rtf"), (F.col("event_id") % 4).alias("ck"), "user_id",
     )
     text = F.concat_ws(" ", F.lit("2024-01-01T00:00:00+00:00 INFO"), "ev", F.concat(F.lit("elapsed_s="), "el"), F.concat(F.lit("chars="), "ch"), F.concat(F.lit("rtf="), "rtf"), F.concat(F.lit("chunks="), "ck"), F.concat(F.lit("recording_key=dev/"), "user_id"))
@@ -133,11 +153,8 @@ def _lines(spark, sf_dir):
 
 
 def q_log_parse(spark, sf_dir):
-    """Both formats through one parser; ``agree`` says whether they read the same."""
-    lines = _lines(spark, sf_dir)
-    t = parse_lines(lines.select("event_id", F.col("text").alias("line")), "line")
-    j = parse_lines(lines.select("event_id", F.col("json").alias("line")), "line")
-    both = t.alias("t").join(j.alias("j"), "event_id")
+    """Both formats through one parser, in one row; ``agree`` says whether they read the same."""
+    both = _lines(spark, sf_dir).select("event_id", parsed(F.col("text")).alias("t"), parsed(F.col("json")).alias("j"))
     cols = ["event", "elapsed_s", "chars", "rtf", "chunks", "recording_key"]
     same = F.forall(F.array(*[F.col(f"t.{c}").eqNullSafe(F.col(f"j.{c}")) for c in cols]), lambda x: x)
     return both.select("event_id", *[F.col(f"t.{c}").alias(c) for c in cols], same.alias("agree"))
@@ -172,14 +189,15 @@ def q_backoff_clamp(spark, sf_dir):
 def q_median_latency(spark, sf_dir):
     """Cold value (the first by time) and median of the later ones, by event type."""
     e = load(spark, sf_dir, "events")
-    first = e.groupBy("event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"))
-    j = e.join(F.broadcast(first), "event_type")
-    return j.groupBy("event_type").agg(F.max(F.when(F.col("event_id") == F.col("first_id"), F.col("value"))).alias("cold"), F.median(F.when(F.col("event_id") != F.col("first_id"), F.col("value"))).alias("warm"))
+    at = F.struct("ts", "event_id")
+    first = e.groupBy("event_type").agg(F.min(at).alias("first"), F.min_by("value", at).alias("cold"))
+    later = e.join(first.select("event_type", "first"), "event_type").filter(at != F.col("first"))
+    return first.join(exact_median(later, "event_type", "value"), "event_type", "left").select("event_type", "cold", F.col("median").alias("warm"))
 
 
 _PART_CASE = "CASE o_orderstatus WHEN 'O' THEN 'RAW_SAVED' WHEN 'P' THEN 'TRANSCRIBING' ELSE 'FAILED' END"
-_LINES = """l AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'transcription_completed' ELSE 'llm_completed' END AS ev, CAST(floor(value) + 1 AS DOUBLE) AS el,
-  CAST(event_id % 1000 AS BIGINT) AS ch, CASE WHEN event_id % 5 <> 0 THEN CAST((event_id % 90 + 10) / 1000.0 AS DOUBLE) END AS rtf, CAST(event_id % 4 AS BIGINT) AS ck, user_id FROM events WHERE event_type IN ('view', 'click'))"""
+_LINES = """l AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'transcription_completed' WHEN 'click' THEN 'llm_completed' ELSE event_type END AS ev, CAST(floor(value) + 1 AS DOUBLE) AS el,
+  CAST(event_id % 1000 AS BIGINT) AS ch, CASE WHEN event_id % 5 <> 0 THEN CAST((event_id % 90 + 10) / 1000.0 AS DOUBLE) END AS rtf, CAST(event_id % 4 AS BIGINT) AS ck, user_id FROM events)"""
 
 QUERIES = {
     "status_histogram": q_status_histogram,

@@ -117,7 +117,7 @@ def q_session_close(spark, sf_dir):
 
 def _conversation_parts(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
-    parts = c.groupBy(F.col("conv_id").alias("part")).agg(F.bool_or(F.col("role") == "system").alias("bad")).withColumn("session", F.col("part") % 10)
+    parts = c.groupBy(F.col("conv_id").alias("part")).agg(F.bool_or(F.col("role") == "system").alias("bad")).withColumn("session", F.floor(F.col("part") / 4))
     base = F.lit("2024-01-01 00:00:00").cast("timestamp")
     start = (base + F.make_dt_interval(secs=(F.col("part") * 100).cast("decimal(18,6)"))).cast("timestamp_ntz")
     seg = c.select(F.col("conv_id").alias("part"), F.col("turn").alias("pos"), (F.col("turn") * 30).alias("s"), (F.col("turn") * 30 + F.length("text") % 40).alias("e"), "text")
@@ -159,7 +159,7 @@ def q_orphans(spark, sf_dir):
     return orphans(d, load(spark, sf_dir, "labels").withColumn("status", status), "doc_id", "status")
 
 
-_CONV = """p AS (SELECT conv_id AS part, conv_id % 10 AS session, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 100) AS started FROM conversations GROUP BY conv_id HAVING NOT bool_or(role = 'system')),
+_CONV = """p AS (SELECT conv_id AS part, conv_id // 4 AS session, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 100) AS started FROM conversations GROUP BY conv_id HAVING NOT bool_or(role = 'system')),
  g AS (SELECT conv_id AS part, turn AS pos, turn * 30 AS s, turn * 30 + length(text) % 40 AS e, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM conversations),
  m AS (SELECT session, part, started, pos, started + to_seconds(s) AS "at", started + to_seconds(e) AS end_at, text FROM g JOIN p USING (part) WHERE length(text) > 0)"""
 

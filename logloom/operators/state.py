@@ -40,7 +40,7 @@ def with_origin(log: DataFrame, key: str, status: str, order: list[str]) -> Data
 
 def illegal_transitions(log: DataFrame, legal: DataFrame) -> DataFrame:
     """Events whose (from_status, to_status) is not in ``legal``; births (no from_status) are legal."""
-    return log.filter("from_status IS NOT NULL").join(F.broadcast(legal), ["from_status", "to_status"], "left_anti")
+    return log.filter("from_status IS NOT NULL").join(legal, ["from_status", "to_status"], "left_anti")
 
 
 def conflicts(current: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -126,9 +126,15 @@ def inventory_paths(inventories: DataFrame, column: str) -> DataFrame:
 
 
 def inventory_document(files: DataFrame, free: DataFrame) -> DataFrame:
-    """Devices with their sorted paths and free bytes, ordered: what an inventory writer stores."""
+    """Devices with their sorted paths and free bytes: what an inventory writer stores. A device holds a bounded number
+    of recordings."""
     per = files.groupBy("device_id").agg(F.sort_array(F.collect_set("relpath")).alias("paths"))
-    return per.join(free, "device_id", "left").orderBy("device_id")
+    return per.join(free, "device_id", "left")
+
+
+def heartbeat_document(facts: DataFrame) -> Column:
+    """JSON of a heartbeat from columns named as in HEARTBEAT; unknown ones are null in it, not left out."""
+    return F.to_json(F.struct(*[F.col(x.split(" ")[0]) for x in HEARTBEAT.split(", ")]), {"ignoreNullFields": "false"})
 
 
 def heartbeat(content: Column, now: Column, max_age_s: int) -> Column:
@@ -188,10 +194,10 @@ def queue_counts(files: DataFrame) -> DataFrame:
 
 
 def delete_results(files: DataFrame) -> DataFrame:
-    """Results of a queue folder (name, content): broken files and those without ids are ignored; sorted by name."""
+    """Results of a queue folder (name, content): broken files and those without ids are ignored."""
     doc = json_or_null(F.col("content"), RESULT)
     good = files.filter(F.col("name").endswith(".json")).select("name", doc.alias("d")).filter("d IS NOT NULL AND length(d.partkey) > 0 AND length(d.request_id) > 0")
-    return good.select("name", "d.request_id", "d.partkey", F.coalesce("d.status", F.lit("")).alias("status"), F.coalesce("d.detail", F.lit("")).alias("detail"), F.try_to_timestamp("d.completed_at").alias("completed_at")).orderBy("name")
+    return good.select("name", "d.request_id", "d.partkey", F.coalesce("d.status", F.lit("")).alias("status"), F.coalesce("d.detail", F.lit("")).alias("detail"), F.try_to_timestamp("d.completed_at").alias("completed_at"))
 
 
 def front_matter(text: Column, list_field: str, key_field: str) -> Column:

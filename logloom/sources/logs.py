@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 FIELDS = {"elapsed_s": "double", "chars": "bigint", "rtf": "double", "speech_ratio": "double", "chunks": "bigint", "recording_key": "string", "session_key": "string"}
 
 
-def field(line: Column, name: str) -> Column:
-    """Value of ``name=value`` or ``"name": value``, without quotes; null if absent, empty or null."""
-    raw = F.regexp_extract(line, rf'(?:^|[\s,{{])"?{name}"?\s*[=:]\s*(?:"([^"]*)"|([^\s,}}"]+))', 0)
-    value = F.regexp_replace(F.regexp_replace(raw, rf'^[\s,{{]?"?{name}"?\s*[=:]\s*', ""), '^"|"$', "")
-    return F.when((value != "") & (value != "null"), value)
+def parsed(line: Column, fields: dict[str, str] = FIELDS) -> Column:
+    """Struct of the event (third word of a text line, "event" of a JSON line) and ``fields``; a value that is absent,
+    empty, null, or does not parse is null. A JSON line is parsed once for all fields; of a text line, a field is what
+    follows ``name=`` after a blank, up to the next blank, or in quotes."""
+    doc = F.from_json(line, "event string, " + ", ".join(f"{n} string" for n in fields))
+    is_json = line.startswith("{")
+
+    def field(name: str) -> Column:
+        told = F.regexp_extract(line, rf'\s{name}=("(?:[^"]*)"|[^\s"]+)', 1)
+        value = F.when(is_json, doc[name]).otherwise(F.trim(told, F.lit('"')))
+        return F.when((value != "") & (value != "null"), value)
+
+    event = F.when(is_json, doc["event"]).otherwise(F.get(F.split(line, r"\s+", 4), 2))
+    return F.struct(event.alias("event"), *[field(n).try_cast(t).alias(n) for n, t in fields.items()])
 
 
 def parse_lines(lines: DataFrame, column: str, fields: dict[str, str] = FIELDS) -> DataFrame:
-    """The other columns of ``lines``, the event (third word of a text line, "event" of a JSON line), and ``fields``."""
-    line = F.col(column)
-    event = F.coalesce(F.when(line.startswith("{"), field(line, "event")), F.when(~line.startswith("{"), F.get(F.split(line, r"\s+"), 2)))
-    return lines.select(
-        *[c for c in lines.columns if c != column], event.alias("event"), *[field(line, n).try_cast(t).alias(n) for n, t in fields.items()]
-    )
+    """The other columns of ``lines``, the event and ``fields``."""
+    others = [c for c in lines.columns if c != column]
+    return lines.select(*others, parsed(F.col(column), fields).alias("_p")).select(*others, "_p.event", *[f"_p.{n}" for n in fields])
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
