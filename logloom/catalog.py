@@ -9,9 +9,9 @@ def _register(module) -> None:
     ORACLES.update(module.ORACLES)
 
 
-from logloom.operators import analysis, blocks, chunks, eligibility, lookups, notes, quality, report, sessions, state  # noqa: E402
-from logloom.sources import files  # noqa: E402
+from logloom.operators import analysis, blocks, chunks, daily, eligibility, lookups, notes, quality, report, sessions, state  # noqa: E402
+from logloom.sources import documents, files  # noqa: E402
 from logloom.streaming import sessions as streamed  # noqa: E402
 
-for _module in (blocks, sessions, chunks, state, report, notes, eligibility, quality, lookups, analysis, files, streamed):
+for _module in (blocks, sessions, chunks, state, report, notes, daily, eligibility, quality, lookups, analysis, files, documents, streamed):
     _register(_module)

@@ -6,105 +6,105 @@ from dataclasses import dataclass
 from typing import Any
 from zoneinfo import ZoneInfo
 
-# Settings and their types; a trailing ? may be absent.
-_KEYS = """
-timezone str
-device.root str
-device.poll_interval_seconds int
-audio.ffmpeg str
-audio.ffprobe str
-audio.target_sample_rate int
-audio.target_channels int
-audio.target_codec str
-audio.ffprobe_timeout_seconds int
-audio.ffmpeg_timeout_factor num
-audio.ffmpeg_min_timeout_seconds int
-audio.duration_tolerance_seconds num
-import.inbox_root str
-import.staging_root str
-import.free_space_multiplier num
-import.free_space_margin_bytes int
-import.staging_max_bytes int
-import.hash_chunk_bytes int
-import.inbox_retain str
-import.helper_heartbeat_max_age_seconds int
-session.group_by str
-session.block_gap_seconds int
-session.idle_close_seconds int
-session.allow_reopen bool
-session.max_parts int
-session.max_duration_seconds int
-transcription.engine str
-transcription.executable str
-transcription.model str
-transcription.language str
-transcription.threads int
-transcription.timeout_factor num
-transcription.min_timeout_seconds int
-transcription.max_timeout_seconds int
-transcription.min_chars int
-transcription.vad.enabled bool
-transcription.vad.model str
-transcription.vad.threshold num
-transcription.vad.min_speech_duration_ms int
-transcription.vad.min_silence_duration_ms int
-transcription.vad.speech_pad_ms int
-llm.endpoint_env str
-llm.model_env str
-llm.temperature num
-llm.top_p num
-llm.max_output_tokens int
-llm.request_timeout_seconds int
-llm.max_chars_per_request int
-llm.max_seconds_per_request int
-llm.chunk_overlap_chars int
-llm.repair_attempts int
-llm.prompts.analyze str
-llm.prompts.map str
-llm.prompts.reduce str
-llm.prompts.repair str
-llm.analysis.sections map
-llm.analysis.order list
-llm.analysis.custom_instructions str
-obsidian.root str
-obsidian.vault_marker str
-obsidian.max_title_bytes int
-obsidian.default_tags list
-obsidian.raw.folder_template str
-obsidian.raw.filename_template str
-obsidian.raw.timestamp_interval_seconds int
-obsidian.raw.part_boundary_heading bool
-obsidian.wiki.folder_template str
-obsidian.wiki.filename_template str
-obsidian.wiki.timeline bool
-obsidian.wiki.link_daily_note bool
-obsidian.wiki.link_adjacent_days bool
-obsidian.wiki.link_tags bool
-obsidian.wiki.link_only_existing bool
-obsidian.wiki.vault_index_cache_seconds int
-obsidian.wiki.max_links int
-cleanup.delete_source_audio bool
-cleanup.delete_skipped_source bool
-cleanup.delete_normalized_after_transcribe bool
-cleanup.retain_transcript_days int
-cleanup.delete_evaluation_backoff_seconds list
-cleanup.queue_root str
-cleanup.delete_result_timeout_seconds int
-retry.max_attempts int
-retry.backoff_seconds list
-logging.level str
-logging.format str
-logging.unsafe_log_content bool
-database.path str
-database.busy_timeout_ms int
-"""
+# Settings and their types.
+_KEYS = {
+    "timezone": "str",
+    "device.root": "str",
+    "device.poll_interval_seconds": "int",
+    "audio.ffmpeg": "str",
+    "audio.ffprobe": "str",
+    "audio.target_sample_rate": "int",
+    "audio.target_channels": "int",
+    "audio.target_codec": "str",
+    "audio.ffprobe_timeout_seconds": "int",
+    "audio.ffmpeg_timeout_factor": "num",
+    "audio.ffmpeg_min_timeout_seconds": "int",
+    "audio.duration_tolerance_seconds": "num",
+    "import.inbox_root": "str",
+    "import.staging_root": "str",
+    "import.free_space_multiplier": "num",
+    "import.free_space_margin_bytes": "int",
+    "import.staging_max_bytes": "int",
+    "import.hash_chunk_bytes": "int",
+    "import.inbox_retain": "str",
+    "import.helper_heartbeat_max_age_seconds": "int",
+    "session.group_by": "str",
+    "session.block_gap_seconds": "int",
+    "session.idle_close_seconds": "int",
+    "session.allow_reopen": "bool",
+    "session.max_parts": "int",
+    "session.max_duration_seconds": "int",
+    "transcription.engine": "str",
+    "transcription.executable": "str",
+    "transcription.model": "str",
+    "transcription.language": "str",
+    "transcription.threads": "int",
+    "transcription.timeout_factor": "num",
+    "transcription.min_timeout_seconds": "int",
+    "transcription.max_timeout_seconds": "int",
+    "transcription.min_chars": "int",
+    "transcription.vad.enabled": "bool",
+    "transcription.vad.model": "str",
+    "transcription.vad.threshold": "num",
+    "transcription.vad.min_speech_duration_ms": "int",
+    "transcription.vad.min_silence_duration_ms": "int",
+    "transcription.vad.speech_pad_ms": "int",
+    "llm.endpoint_env": "str",
+    "llm.model_env": "str",
+    "llm.temperature": "num",
+    "llm.top_p": "num",
+    "llm.max_output_tokens": "int",
+    "llm.request_timeout_seconds": "int",
+    "llm.max_chars_per_request": "int",
+    "llm.max_seconds_per_request": "int",
+    "llm.chunk_overlap_chars": "int",
+    "llm.repair_attempts": "int",
+    "llm.prompts.analyze": "str",
+    "llm.prompts.map": "str",
+    "llm.prompts.reduce": "str",
+    "llm.prompts.repair": "str",
+    "llm.analysis.sections": "map",
+    "llm.analysis.order": "list",
+    "llm.analysis.custom_instructions": "str",
+    "obsidian.root": "str",
+    "obsidian.vault_marker": "str",
+    "obsidian.max_title_bytes": "int",
+    "obsidian.default_tags": "list",
+    "obsidian.raw.folder_template": "str",
+    "obsidian.raw.filename_template": "str",
+    "obsidian.raw.timestamp_interval_seconds": "int",
+    "obsidian.raw.part_boundary_heading": "bool",
+    "obsidian.wiki.folder_template": "str",
+    "obsidian.wiki.filename_template": "str",
+    "obsidian.wiki.timeline": "bool",
+    "obsidian.wiki.link_daily_note": "bool",
+    "obsidian.wiki.link_adjacent_days": "bool",
+    "obsidian.wiki.link_tags": "bool",
+    "obsidian.wiki.link_only_existing": "bool",
+    "obsidian.wiki.vault_index_cache_seconds": "int",
+    "obsidian.wiki.max_links": "int",
+    "cleanup.delete_source_audio": "bool",
+    "cleanup.delete_skipped_source": "bool",
+    "cleanup.delete_normalized_after_transcribe": "bool",
+    "cleanup.retain_transcript_days": "int",
+    "cleanup.delete_evaluation_backoff_seconds": "list",
+    "cleanup.queue_root": "str",
+    "cleanup.delete_result_timeout_seconds": "int",
+    "retry.max_attempts": "int",
+    "retry.backoff_seconds": "list",
+    "logging.level": "str",
+    "logging.format": "str",
+    "logging.unsafe_log_content": "bool",
+    "database.path": "str",
+    "database.busy_timeout_ms": "int",
+}
 # Placeholders of name templates.
 PLACEHOLDERS = frozenset({"yyyymmdd", "date", "time"})
 _TYPES = {"str": str, "int": int, "num": (int, float), "bool": bool, "map": Mapping, "list": (list, tuple)}
 
 
 def known_keys() -> dict[str, str]:
-    return dict(x.split() for x in _KEYS.strip().splitlines())
+    return dict(_KEYS)
 
 
 @dataclass(frozen=True)
@@ -201,10 +201,12 @@ def violations(doc: Mapping[str, Any]) -> list[Violation]:
     return out
 
 
-def file_violations(doc: Mapping[str, Any], exists: Callable[[str], bool]) -> list[Violation]:
-    """Files that a sound document names and that ``exists`` does not know; a switched-off VAD needs no model."""
+def file_violations(doc: Mapping[str, Any], exists: Callable[[str], bool], executable: Callable[[str], bool] = lambda path: True) -> list[Violation]:
+    """Files that a sound document names and that ``exists`` does not know, or that should run and may not; a switched-off
+    VAD needs no model."""
     flat = flatten(doc)
-    return [Violation(r, code, k) for r, k, code in _FILES if not exists(flat[k]) and (r != "V-25" or flat["transcription.vad.enabled"])]
+    bad = [(r, k, code) for r, k, code in _FILES if not exists(flat[k]) or (r == "V-24" and not executable(flat[k]))]
+    return [Violation(r, code, k) for r, k, code in bad if r != "V-25" or flat["transcription.vad.enabled"]]
 
 
 def lock_violations(doc: Mapping[str, Any], helper_delete: bool | None, mount_mode: str | None) -> list[Violation]:
@@ -213,3 +215,11 @@ def lock_violations(doc: Mapping[str, Any], helper_delete: bool | None, mount_mo
     if not flatten(doc).get(key):
         return []
     return [Violation(r, "CONFIG_LOCK_MISMATCH", key) for r, bad in (("V-30", helper_delete is False), ("V-33", mount_mode == "ro")) if bad]
+
+
+def notices(doc: Mapping[str, Any], helper_delete: bool | None, mount_mode: str | None) -> list[str]:
+    """Rules that warn and never stop the start, while deletion is on: that it is (V-26), and what the helper does not
+    tell (V-30, V-33)."""
+    if not flatten(doc).get("cleanup.delete_source_audio"):
+        return []
+    return ["V-26"] + (["V-30"] if helper_delete is None else []) + (["V-33"] if mount_mode is None else [])

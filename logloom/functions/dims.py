@@ -32,85 +32,83 @@ RECOVERY = {
     "part": {"NORMALIZING": "DISCOVERED", "TRANSCRIBING": "NORMALIZED", "RAW_WRITING": "TRANSCRIBED", "SOURCE_DELETING": "SOURCE_DELETE_PENDING"},
     "session": {"MERGING": "READY", "ANALYZING": "MERGED", "WRITING": "ANALYZED", "SOURCE_DELETING": "SOURCE_DELETE_PENDING", "CLEANUP": "SAVED"},
 }
-# Legal transitions, as "from: to to ...".
-_PART = """
-DISCOVERED: NORMALIZING SKIPPED
-NORMALIZING: NORMALIZED SKIPPED FAILED
-NORMALIZED: TRANSCRIBING NORMALIZING
-TRANSCRIBING: NORMALIZING TRANSCRIBED SKIPPED FAILED
-TRANSCRIBED: RAW_WRITING
-RAW_WRITING: RAW_SAVED FAILED
-RAW_SAVED: SOURCE_DELETING COMPLETED
-SOURCE_DELETING: COMPLETED SOURCE_DELETE_PENDING
-SOURCE_DELETE_PENDING: SOURCE_DELETING
-COMPLETED: SOURCE_DELETING
-FAILED: NORMALIZING TRANSCRIBING RAW_WRITING
-"""
-_SESSION = """
-OPEN: OPEN READY
-READY: MERGING
-MERGING: MERGED COMPLETED FAILED
-MERGED: ANALYZING
-ANALYZING: ANALYZED FAILED
-ANALYZED: WRITING
-WRITING: SAVED FAILED
-SAVED: SOURCE_DELETING CLEANUP MERGING
-COMPLETED: MERGING
-SOURCE_DELETING: CLEANUP SOURCE_DELETE_PENDING
-SOURCE_DELETE_PENDING: SOURCE_DELETING CLEANUP
-CLEANUP: COMPLETED
-FAILED: MERGING ANALYZING WRITING
-"""
-# Error codes in order, as "code category retry-policy"; a trailing ! stops the start.
-_ERRORS = """
-CONFIG_UNKNOWN_KEY config none !
-CONFIG_INVALID_VALUE config none !
-CONFIG_LOCK_MISMATCH config none !
-DEVICE_NOT_READABLE device next_poll
-DEVICE_UNSUPPORTED device none
-FILE_NOT_STABLE device next_poll
-DUPLICATE_CONTENT import none
-SOURCE_MISSING import none
-SOURCE_HASH_MISMATCH import attempts
-HELPER_UNAVAILABLE helper next_eval
-DELETE_QUEUE_FAILED delete next_connect
-DELETE_TIMEOUT delete next_connect
-DISK_SPACE_LOW import next_poll
-AUDIO_PROBE_FAILED audio attempts
-IMPORT_FAILED audio attempts
-NORMALIZE_VERIFY_FAILED audio attempts
-NORMALIZED_MISSING audio next_connect
-WHISPER_EXEC_MISSING transcribe none !
-WHISPER_MODEL_MISSING transcribe none !
-WHISPER_FAILED transcribe attempts
-WHISPER_TIMEOUT transcribe attempts
-NO_SPEECH_DETECTED transcribe none
-OBSIDIAN_RAW_WRITE_FAILED output attempts
-OBSIDIAN_RAW_VERIFY_FAILED output attempts
-SESSION_MERGE_FAILED session attempts
-LLM_UNAVAILABLE llm attempts
-LLM_FAILED llm attempts
-LLM_INVALID_JSON llm none
-OBSIDIAN_NOT_FOUND output attempts
-OBSIDIAN_WRITE_FAILED output attempts
-OBSIDIAN_VERIFY_FAILED output attempts
-SOURCE_IDENTITY_MISMATCH delete next_connect
-SOURCE_DELETE_FAILED delete next_connect
-LOCAL_DELETE_FAILED delete attempts
-DB_ERROR db attempts
-"""
+# Legal transitions, by the state they start from.
+_PART = {
+    "DISCOVERED": ("NORMALIZING", "SKIPPED",),
+    "NORMALIZING": ("NORMALIZED", "SKIPPED", "FAILED",),
+    "NORMALIZED": ("TRANSCRIBING", "NORMALIZING",),
+    "TRANSCRIBING": ("NORMALIZING", "TRANSCRIBED", "SKIPPED", "FAILED",),
+    "TRANSCRIBED": ("RAW_WRITING",),
+    "RAW_WRITING": ("RAW_SAVED", "FAILED",),
+    "RAW_SAVED": ("SOURCE_DELETING", "COMPLETED",),
+    "SOURCE_DELETING": ("COMPLETED", "SOURCE_DELETE_PENDING",),
+    "SOURCE_DELETE_PENDING": ("SOURCE_DELETING",),
+    "COMPLETED": ("SOURCE_DELETING",),
+    "FAILED": ("NORMALIZING", "TRANSCRIBING", "RAW_WRITING",),
+}
+_SESSION = {
+    "OPEN": ("OPEN", "READY",),
+    "READY": ("MERGING",),
+    "MERGING": ("MERGED", "COMPLETED", "FAILED",),
+    "MERGED": ("ANALYZING",),
+    "ANALYZING": ("ANALYZED", "FAILED",),
+    "ANALYZED": ("WRITING",),
+    "WRITING": ("SAVED", "FAILED",),
+    "SAVED": ("SOURCE_DELETING", "CLEANUP", "MERGING",),
+    "COMPLETED": ("MERGING",),
+    "SOURCE_DELETING": ("CLEANUP", "SOURCE_DELETE_PENDING",),
+    "SOURCE_DELETE_PENDING": ("SOURCE_DELETING", "CLEANUP",),
+    "CLEANUP": ("COMPLETED",),
+    "FAILED": ("MERGING", "ANALYZING", "WRITING",),
+}
+# Error codes in order, with category, retry policy, and whether they stop the start.
+_ERRORS = (
+    ("CONFIG_UNKNOWN_KEY", "config", "none", True),
+    ("CONFIG_INVALID_VALUE", "config", "none", True),
+    ("CONFIG_LOCK_MISMATCH", "config", "none", True),
+    ("DEVICE_NOT_READABLE", "device", "next_poll", False),
+    ("DEVICE_UNSUPPORTED", "device", "none", False),
+    ("FILE_NOT_STABLE", "device", "next_poll", False),
+    ("DUPLICATE_CONTENT", "import", "none", False),
+    ("SOURCE_MISSING", "import", "none", False),
+    ("SOURCE_HASH_MISMATCH", "import", "attempts", False),
+    ("HELPER_UNAVAILABLE", "helper", "next_eval", False),
+    ("DELETE_QUEUE_FAILED", "delete", "next_connect", False),
+    ("DELETE_TIMEOUT", "delete", "next_connect", False),
+    ("DISK_SPACE_LOW", "import", "next_poll", False),
+    ("AUDIO_PROBE_FAILED", "audio", "attempts", False),
+    ("IMPORT_FAILED", "audio", "attempts", False),
+    ("NORMALIZE_VERIFY_FAILED", "audio", "attempts", False),
+    ("NORMALIZED_MISSING", "audio", "next_connect", False),
+    ("WHISPER_EXEC_MISSING", "transcribe", "none", True),
+    ("WHISPER_MODEL_MISSING", "transcribe", "none", True),
+    ("WHISPER_FAILED", "transcribe", "attempts", False),
+    ("WHISPER_TIMEOUT", "transcribe", "attempts", False),
+    ("NO_SPEECH_DETECTED", "transcribe", "none", False),
+    ("OBSIDIAN_RAW_WRITE_FAILED", "output", "attempts", False),
+    ("OBSIDIAN_RAW_VERIFY_FAILED", "output", "attempts", False),
+    ("SESSION_MERGE_FAILED", "session", "attempts", False),
+    ("LLM_UNAVAILABLE", "llm", "attempts", False),
+    ("LLM_FAILED", "llm", "attempts", False),
+    ("LLM_INVALID_JSON", "llm", "none", False),
+    ("OBSIDIAN_NOT_FOUND", "output", "attempts", False),
+    ("OBSIDIAN_WRITE_FAILED", "output", "attempts", False),
+    ("OBSIDIAN_VERIFY_FAILED", "output", "attempts", False),
+    ("SOURCE_IDENTITY_MISMATCH", "delete", "next_connect", False),
+    ("SOURCE_DELETE_FAILED", "delete", "next_connect", False),
+    ("LOCAL_DELETE_FAILED", "delete", "attempts", False),
+    ("DB_ERROR", "db", "attempts", False),
+)
 DELETABLE_SKIP_REASONS = frozenset({"DUPLICATE_CONTENT", "NO_SPEECH_DETECTED"})
 BENIGN_SKIP_REASONS = frozenset({"NO_SPEECH_DETECTED", "DUPLICATE_CONTENT"})
 
 
 def transitions(entity: str) -> list[tuple[str, str]]:
-    lines = (x.split(": ") for x in (_PART if entity == "part" else _SESSION).strip().splitlines())
-    return [(a, b) for a, rest in lines for b in rest.split()]
+    return [(a, b) for a, rest in (_PART if entity == "part" else _SESSION).items() for b in rest]
 
 
 def errors() -> list[tuple[int, str, str, str, bool]]:
-    rows = [x.split() for x in _ERRORS.strip().splitlines()]
-    return [(i, r[0], r[1], r[2], r[-1] == "!") for i, r in enumerate(rows)]
+    return [(i, *r) for i, r in enumerate(_ERRORS)]
 
 
 def transition_table(spark: SparkSession) -> DataFrame:

@@ -10,7 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Device names that file systems reserve.
 RESERVED = ["CON", "PRN", "AUX", "NUL"] + [f"{p}{n}" for p in ("COM", "LPT") for n in range(1, 10)]
@@ -35,6 +35,22 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
+def _each(s: pd.Series, change) -> pd.Series:
+    return s.map(lambda items: None if items is None else [None if x is None else change(x) for x in items])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_folds(s: pd.Series) -> pd.Series:
+    """nfkc_fold of each item of an array."""
+    return _each(s, lambda x: unicodedata.normalize("NFKC", x).strip().casefold())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def folds(s: pd.Series) -> pd.Series:
+    """fold of each item of an array."""
+    return _each(s, str.casefold)
+
+
 def cut_bytes(text: str, most: int) -> str:
     """At most ``most`` UTF-8 bytes, whole characters, no combining mark at the end."""
     cut = text.encode()[: max(0, most)].decode(errors="ignore") if len(text.encode()) > most else text

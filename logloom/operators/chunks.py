@@ -135,6 +135,16 @@ def q_chunk_segments(spark, sf_dir):
     )
 
 
+def q_chunk_tails(spark, sf_dir):
+    """Chunks of turns whose texts are told by role: a last chunk that only repeats roles of the one before goes."""
+    c = load(spark, sf_dir, "conversations")
+    start = (F.col("turn") * 30).cast("double")
+    g = gathered(c, ["conv_id"], ["turn"], start=start, stop=start + F.length("text") % 40, size=F.length("text").cast("bigint"), role=F.col("role")).withColumn("sums", prefix_sums(F.col("items"), "size"))
+    g = g.withColumn("bounds", chunk_bounds(F.col("items"), F.col("sums"), CHARS, SECONDS, OVERLAP))
+    told = without_repeated_tail(F.transform("items", lambda x: x["role"]), F.col("bounds"))
+    return g.select("conv_id", F.size("bounds").alias("n_chunks"), F.size(told).alias("n_told"))
+
+
 def q_bundle_greedy(spark, sf_dir):
     g = _turns(spark, sf_dir).withColumn("sums", prefix_sums(F.col("items"), "size"))
     b = g.select("conv_id", "sums", F.posexplode(bundle_bounds(F.col("items"), F.col("sums"), BUNDLE)).alias("bundle", "b"))
@@ -169,6 +179,7 @@ _T = "t AS (SELECT conv_id, turn, turn * 30.0::DOUBLE AS a, turn * 30.0::DOUBLE
 
 QUERIES = {
     "chunk_segments": q_chunk_segments,
+    "chunk_repeated_tail": q_chunk_tails,
     "bundle_greedy": q_bundle_greedy,
     "hier_reduce": q_hier_reduce,
     "timestamp_marks": q_timestamp_marks,
@@ -192,18 +203,24 @@ def _fold(source: str, level: int) -> str:
     return out
 
 
-ORACLES = {
-    "chunk_segments": f"""WITH RECURSIVE {_T}, x AS (SELECT conv_id, i, turn, a, z, s, CAST(sum(s) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM t),
+_CHUNKS = f"""WITH RECURSIVE {_T}, x AS (SELECT conv_id, i, turn, a, z, s, CAST(sum(s) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM t),
        f AS (SELECT conv_id, i, 0::BIGINT AS lo, NULL::BIGINT AS cut FROM x WHERE i = 0
         UNION ALL SELECT n.conv_id, n.i,
          CASE WHEN n.z - h.a > {SECONDS} THEN n.i WHEN n.c - (h.c - h.s) > {CHARS}
           THEN greatest(coalesce((SELECT min(q.i) FROM x q WHERE q.conv_id = n.conv_id AND q.i >= f.lo AND q.i < n.i AND (n.c - n.s) - (q.c - q.s) <= {OVERLAP}), n.i - 1), f.lo + 1) ELSE f.lo END,
          CASE WHEN n.z - h.a > {SECONDS} OR n.c - (h.c - h.s) > {CHARS} THEN f.lo END
         FROM f JOIN x n ON n.conv_id = f.conv_id AND n.i = f.i + 1 JOIN x h ON h.conv_id = f.conv_id AND h.i = f.lo),
-       b AS (SELECT conv_id, cut AS lo, i AS hi FROM f WHERE cut IS NOT NULL UNION ALL SELECT conv_id, arg_max(lo, i), max(i) + 1 FROM f GROUP BY conv_id)
+       b AS (SELECT conv_id, cut AS lo, i AS hi FROM f WHERE cut IS NOT NULL UNION ALL SELECT conv_id, arg_max(lo, i), max(i) + 1 FROM f GROUP BY conv_id)"""
+
+ORACLES = {
+    "chunk_segments": f"""{_CHUNKS}
        SELECT b.conv_id, CAST(row_number() OVER (PARTITION BY b.conv_id ORDER BY b.hi) - 1 AS INTEGER) AS chunk, p.turn AS first_turn, q.turn AS last_turn, q.c - (p.c - p.s) AS chars,
        (SELECT max(k.z) FROM x k WHERE k.conv_id = b.conv_id AND k.i >= b.lo AND k.i < b.hi) AS end_s
        FROM b JOIN x p ON p.conv_id = b.conv_id AND p.i = b.lo JOIN x q ON q.conv_id = b.conv_id AND q.i = b.hi - 1""",
+    "chunk_repeated_tail": f"""{_CHUNKS},
+       c AS (SELECT b.conv_id, hi, list(DISTINCT role) AS r FROM b JOIN (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) t ON t.conv_id = b.conv_id AND t.i >= b.lo AND t.i < b.hi GROUP BY 1, 2),
+       d AS (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY hi) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY hi DESC) AS back FROM c)
+       SELECT conv_id, CAST(count(*) AS INTEGER) AS n_chunks, CAST(count(*) - count(CASE WHEN back = 1 AND before IS NOT NULL AND list_has_all(before, r) THEN 1 END) AS INTEGER) AS n_told FROM d GROUP BY 1""",
     "bundle_greedy": f"""WITH RECURSIVE {_T}, f AS (SELECT conv_id, i, s, 0 AS b, s + 2 AS size FROM t WHERE i = 0
        UNION ALL SELECT t.conv_id, t.i, t.s, CASE WHEN f.size + t.s + 1 > {BUNDLE} THEN f.b + 1 ELSE f.b END, CASE WHEN f.size + t.s + 1 > {BUNDLE} THEN t.s + 2 ELSE f.size + t.s + 1 END
        FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)

@@ -111,6 +111,17 @@ def requeueable(code: Column, origin: Column, entity: str) -> Column:
     return F.when(dims.retryable(code) & sure(origin.isin(*dims.RETRYABLE_ORIGINS[entity])), origin)
 
 
+#: Stages that read what the helper reports; all others go on without it.
+HELPER_STAGES = ("discover_parts", "evaluate_deletions", "settle_skipped_deletions", "requeue_failed")
+STAGES = ("discover_parts", "close_idle_sessions", "process_pending_parts", "refresh_vault_index", "process_ready_sessions", "evaluate_deletions", "settle_skipped_deletions", "requeue_failed")
+
+
+def gated_stages(helpers: DataFrame, age: str, most: int) -> DataFrame:
+    """``helpers`` times the stages in order, with ``runs``: a stale or unknown heartbeat stops only what depends on it."""
+    each = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("stage"), (~stale(F.col(age), most) | F.lit(s not in HELPER_STAGES)).alias("runs")) for i, s in enumerate(STAGES)])
+    return helpers.select("*", F.inline(each))
+
+
 # -- queries ----------------------------------------------------------------------------------------------------------
 
 _STATES = ["RAW_SAVED", "COMPLETED", "SKIPPED", "FAILED", "SOURCE_DELETING"]
@@ -184,6 +195,44 @@ def q_retry_policy(spark, sf_dir):
     return e.join(t, "error_code", "left").select("event_id", "error_code", F.coalesce("retry", F.lit("none")).alias("retry"), "counts", "to_status")
 
 
+def q_source_gating(spark, sf_dir):
+    """Helpers by supplier with an age of zero to nine minutes, or none."""
+    k = F.col("s_suppkey")
+    helpers = load(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 7 != 0, k % 10 * 60).alias("age_s"))
+    return gated_stages(helpers, "age_s", 300).select("s_suppkey", "stage", "runs")
+
+
+def q_staleness(spark, sf_dir):
+    """Inventories against results, ages against a limit, and requests against their time-out."""
+    e = load(spark, sf_dir, "events")
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    at = F.when(F.col("event_id") % 7 != 0, F.col("ts"))
+    return e.select("event_id", newer(now, at).alias("newer"), stale(F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 100), 60).alias("stale"), timed_out(at.cast("timestamp"), now.cast("timestamp"), 86400).alias("timed_out"))
+
+
+def q_request_ids(spark, sf_dir):
+    """Ids of delete requests, that they are valid, and what of them is a hash."""
+    o = load(spark, sf_dir, "orders")
+    key = F.concat(F.lit("dev/"), F.col("o_orderkey").cast("string"), F.lit(".wav"))
+    rid = request_id(key, F.col("o_orderdate"))
+    return o.select("o_orderkey", rid.alias("request_id"), valid_request_id(rid).alias("valid"))
+
+
+def q_redacted(spark, sf_dir):
+    """Log values of events: secret ones by length, long ones cut."""
+    from logloom.functions import text
+
+    e = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "token").otherwise("text").alias("key"), "text")
+    return e.select("doc_id", "key", F.md5(text.redact(F.col("key"), F.col("text"), ["token", "password"])).alias("shown_md5"))
+
+
+def q_state_flags(spark, sf_dir):
+    """Order parts by the sets that their state is in."""
+    p = _order_parts(spark, sf_dir).join(dims.state_table(spark, "part"), "status")
+    flags = ["terminal", "deletable", "awaiting_deletion", "staging_disposable", "note_member", "retry_reset", "in_progress"]
+    return p.groupBy("status", *flags).agg(F.count("*").alias("n"))
+
+
 _PARTS = """p AS (SELECT o_orderkey AS k, 'dev' || (o_custkey % 50) AS dev, ['RAW_SAVED','COMPLETED','SKIPPED','FAILED','SOURCE_DELETING'][o_orderkey % 5 + 1] AS status,
    ['NO_SPEECH_DETECTED','DUPLICATE_CONTENT','SOURCE_MISSING'][o_orderkey // 5 % 3 + 1] AS code, o_custkey, o_orderpriority AS pr FROM orders),
  q AS (SELECT *, CASE WHEN k % 53 = 0 THEN NULL WHEN k % 59 = 0 THEN '../' || k ELSE 'f/' || k || '.wav' END AS path, CASE WHEN k % 61 = 0 THEN 'x/' || k ELSE dev || '/f/' || k || '.wav' END AS key,
@@ -200,6 +249,11 @@ QUERIES = {
     "missing_sources": q_missing_sources,
     "delete_plan": q_delete_plan,
     "retry_policy": q_retry_policy,
+    "source_gating": q_source_gating,
+    "staleness": q_staleness,
+    "request_ids": q_request_ids,
+    "redacted_values": q_redacted,
+    "state_flags": q_state_flags,
 }
 ORACLES = {
     "eligibility_matrix": f"WITH {_PARTS}, d AS (SELECT k, {_REASON.format(absent="pr = '5-LOW'", skipped='true')} AS reason FROM r) SELECT k AS o_orderkey, reason IS NULL AS eligible, reason FROM d",
@@ -214,4 +268,16 @@ ORACLES = {
     "retry_policy": "WITH e(i, error_code, retry) AS (VALUES "
     + ", ".join(f"({e[0]}, '{e[1]}', '{e[3]}')" for e in dims.errors())
     + ", (35, 'NO_SUCH_CODE', 'none')) SELECT event_id, error_code, retry, retry = 'attempts' AS counts, CASE WHEN retry <> 'none' AND event_id % 4 IN (0, 2) THEN ['NORMALIZING', NULL, 'RAW_WRITING'][event_id % 4 + 1] END AS to_status FROM events JOIN e ON i = event_id % 36 WHERE event_type = 'error'",
+    "source_gating": """WITH s AS (SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 10 * 60 END > 300, true) AS stale FROM supplier),
+      g(stage, helper) AS (VALUES ('discover_parts', true), ('close_idle_sessions', false), ('process_pending_parts', false), ('refresh_vault_index', false), ('process_ready_sessions', false), ('evaluate_deletions', true), ('settle_skipped_deletions', true), ('requeue_failed', true))
+      SELECT s_suppkey, stage, NOT stale OR NOT helper AS runs FROM s, g""",
+    "staleness": """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN TIMESTAMP '2024-01-20' > ts END AS newer, event_id % 5 = 0 OR event_id % 100 > 60 AS stale,
+      event_id % 7 <> 0 AND epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts)) > 86400 AS timed_out FROM events""",
+    "request_ids": """WITH o AS (SELECT o_orderkey, 'dev/' || o_orderkey || '.wav' AS k, strftime(o_orderdate, '%Y%m%dT%H%M%S') AS s FROM orders)
+      SELECT o_orderkey, s || '-' || substring(sha256(k), 1, 16) || '-' || substring(sha256(s || k), 1, 6) AS request_id, true AS valid FROM o""",
+    "redacted_values": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'token' ELSE 'text' END AS key, md5(CASE WHEN doc_id % 3 = 0 THEN '<' || length(text) || ' chars>' WHEN length(text) > 200 THEN substring(text, 1, 199) || '…' ELSE text END) AS shown_md5 FROM documents""",
+    "state_flags": """WITH f(status, terminal, deletable, awaiting_deletion, staging_disposable, note_member, retry_reset, in_progress) AS (VALUES
+        ('RAW_SAVED', true, true, true, true, true, true, false), ('COMPLETED', true, true, false, true, true, false, false), ('SKIPPED', true, false, false, true, false, false, false),
+        ('FAILED', true, false, false, false, false, false, false), ('SOURCE_DELETING', true, true, true, true, true, false, true)),
+      p AS (SELECT ['RAW_SAVED','COMPLETED','SKIPPED','FAILED','SOURCE_DELETING'][o_orderkey % 5 + 1] AS status FROM orders) SELECT f.*, count(*) AS n FROM p JOIN f USING (status) GROUP BY ALL""",
 }

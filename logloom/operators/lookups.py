@@ -155,6 +155,100 @@ def q_request_verdict(spark, sf_dir):
     return v.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason"), "wait").agg(F.count("*").alias("n"))
 
 
+def _parts(spark, sf_dir):
+    """Orders as parts of sessions (customers), with the state they are in."""
+    status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "P", "TRANSCRIBED").otherwise("RAW_SAVED")
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("session"), status.alias("status"), (F.col("o_orderkey") % 4).alias("retry_count"), F.when(status == "FAILED", F.col("o_orderpriority")).alias("error_code"), "o_orderdate"
+    )
+
+
+def q_part_lookup(spark, sf_dir):
+    """Status, retry count and error of one part; the key reaches the scan."""
+    return facts(_parts(spark, sf_dir), "o_orderkey", 7)
+
+
+def q_session_lookup(spark, sf_dir):
+    return by_key(load(spark, sf_dir, "customer"), "c_custkey", 12).select("c_custkey", "c_name")
+
+
+def q_ungrouped(spark, sf_dir):
+    return ungrouped(_parts(spark, sf_dir), "session").select("o_orderkey", "o_orderdate")
+
+
+def q_session_members(spark, sf_dir):
+    """Parts of the sessions of one market segment."""
+    some = load(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("session"))
+    return members(_parts(spark, sf_dir), some, "session").select("session", "o_orderkey", "o_orderdate")
+
+
+def q_with_status(spark, sf_dir):
+    return with_status(_parts(spark, sf_dir), "status", ["TRANSCRIBED", "FAILED"]).select("o_orderkey", "status")
+
+
+def q_history(spark, sf_dir):
+    """The log of one user, as an entity of the kind user."""
+    log = load(spark, sf_dir, "events").select(F.lit("user").alias("entity"), "user_id", "event_id", "ts", "event_type")
+    return history(log, "entity", "user_id", "user", 3).select("event_id", "ts", "event_type")
+
+
+def q_births(spark, sf_dir):
+    """First events of parts that have a label and that no earlier one had."""
+    new = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return births(new, "doc_id", "DISCOVERED", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def q_schema_version(spark, sf_dir):
+    """Schema versions as the log records them: the current one, and how many were applied."""
+    v = load(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).alias("version"))
+    return v.agg(F.max("version").alias("current"), F.count("*").alias("applied"))
+
+
+def q_schema_drift(spark, sf_dir):
+    """How the orders table differs from a schema that has another type, a column more and one fewer."""
+    from logloom.operators.quality import drift
+
+    found = drift(load(spark, sf_dir, "orders"), "o_orderkey bigint, o_custkey int, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_comment string")
+    return spark.createDataFrame([(x,) for x in found], "difference string")
+
+
+def q_migration(spark, sf_dir):
+    """Orders taken through the steps that are newer than their schema version, after a snapshot of the table."""
+    from logloom.sources.sinks import migrate
+
+    steps = {2: lambda df: df.withColumn("year", F.year("o_orderdate")), 3: lambda df: df.withColumnRenamed("o_orderstatus", "status"), 1: lambda df: df.drop("o_orderkey")}
+    kept, now, version = migrate(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), 1, steps, "orders")
+    old = kept.groupBy("o_orderstatus").agg(F.count("*").alias("n_before"))
+    new = now.groupBy(F.col("status").alias("o_orderstatus")).agg(F.count("*").alias("n"), F.max("year").alias("last_year"))
+    return new.join(old, "o_orderstatus").withColumn("version", F.lit(version))
+
+
+def q_path_roots(spark, sf_dir):
+    """Paths of pages against the root that they must stay below."""
+    k = F.col("page_id")
+    path = F.concat(F.when(k % 5 == 0, "/data/../").when(k % 5 == 1, "/database/").when(k % 5 == 2, "").otherwise("/data/"), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("p"), k.cast("string"))))
+    return load(spark, sf_dir, "pages").select("page_id", keys.under_root("/data", F.when(k % 11 != 0, path)).alias("inside"))
+
+
+def q_config_rules(spark, sf_dir):
+    """Settings that break a rule each, among nations: the rules that the checks name."""
+    from logloom.functions import config
+
+    names = [(i, "a/{date}" if i % 3 else "a/{oops}", "/abs" if i % 4 == 0 else "b") for i in range(25)]
+    rows = [(i, v.rule, v.key) for i, raw, wiki in names for v in config.violations({"obsidian": {"raw": {"folder_template": raw}, "wiki": {"folder_template": wiki}}, "extra": i}) if v.rule not in ("V-0",)]
+    told = spark.createDataFrame(rows, "n_nationkey int, rule string, key string")
+    return load(spark, sf_dir, "nation").select("n_nationkey").join(told, "n_nationkey")
+
+
+def q_config_notices(spark, sf_dir):
+    """Warnings that don't stop the start, for each combination of what a helper may report; and settings counted."""
+    from logloom.functions import config
+
+    doc = {"cleanup": {"delete_source_audio": True, "queue": ["a", "b"]}}
+    rows = [(str(d), str(m), ",".join(config.notices(doc, d, m)), ",".join(v.rule for v in config.lock_violations(doc, d, m)), config.leaf_count(doc)) for d in (True, False, None) for m in ("ro", "rw", None)]
+    return spark.createDataFrame(rows, "deletes string, mount string, notices string, violations string, settings int")
+
+
 def q_health(spark, sf_dir):
     s, k = load(spark, sf_dir, "supplier"), F.col("s_suppkey")
     facts = s.select(
@@ -173,7 +267,21 @@ QUERIES = {
     "stable_files": q_stable_files,
     "request_verdict": q_request_verdict,
     "health_rules": q_health,
+    "part_lookup": q_part_lookup,
+    "session_lookup": q_session_lookup,
+    "ungrouped_parts": q_ungrouped,
+    "session_members": q_session_members,
+    "parts_with_status": q_with_status,
+    "entity_history": q_history,
+    "births": q_births,
+    "schema_version": q_schema_version,
+    "schema_drift": q_schema_drift,
+    "migration": q_migration,
+    "path_roots": q_path_roots,
+    "config_rules": q_config_rules,
+    "config_notices": q_config_notices,
 }
+_P = "CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'P' THEN 'TRANSCRIBED' ELSE 'RAW_SAVED' END"
 ORACLES = {
     "pending_parts": "SELECT o_orderkey, o_orderdate, 'TRANSCRIBED' AS status FROM orders WHERE o_orderstatus = 'P'",
     "attribute_fold": """SELECT user_id, arg_max(CASE WHEN event_type = 'error' THEN value END, (ts, event_id)) FILTER (event_type = 'error') AS error_value,
@@ -192,4 +300,19 @@ ORACLES = {
       SELECT reason, reason = 'device_absent' AS wait, count(*) AS n FROM v GROUP BY 1, 2""",
     "health_rules": """WITH s AS (SELECT s_suppkey, s_suppkey AS k FROM supplier) SELECT s_suppkey, unnest(['H-1','H-2','H-3','H-4','H-5','H-6','H-7','H-8','H-9']) AS rule,
       unnest([true, k % 5 <> 0, k % 2 = 0, k % 3 <> 0, k % 7 <> 0, true, k % 11 <> 0, k % 13 <> 0 AND k % 4 * 30 <= 60 AND k % 17 <> 0, false]) AS ok FROM s""",
+    "part_lookup": f"SELECT {_P} AS status, o_orderkey % 4 AS retry_count, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS error_code FROM orders WHERE o_orderkey = 7",
+    "session_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 12",
+    "ungrouped_parts": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 7 = 0",
+    "session_members": "SELECT o_custkey AS session, o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "parts_with_status": f"SELECT o_orderkey, {_P} AS status FROM orders WHERE o_orderstatus IN ('F', 'P')",
+    "entity_history": "SELECT event_id, ts, event_type FROM events WHERE user_id = 3",
+    "births": "SELECT doc_id AS key, CAST(NULL AS VARCHAR) AS from_status, 'DISCOVERED' AS to_status, TIMESTAMP '2024-01-01' AS \"at\" FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "schema_version": "SELECT max(r_regionkey + 1) AS current, count(*) AS applied FROM region",
+    "schema_drift": "SELECT unnest(['extra o_orderpriority', 'missing o_comment', 'o_custkey is bigint, not int']) AS difference",
+    "migration": "SELECT o_orderstatus, count(*) AS n, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year, count(*) AS n_before, 3::INTEGER AS version FROM orders GROUP BY 1",
+    "path_roots": "SELECT page_id, page_id % 11 <> 0 AND page_id % 5 IN (3, 4) AND page_id % 7 <> 0 AS inside FROM pages",
+    "config_rules": """WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT k AS n_nationkey, 'V-1' AS rule, 'extra' AS key FROM n UNION ALL SELECT k, 'V-11', 'obsidian.wiki.folder_template' FROM n WHERE k % 4 = 0
+      UNION ALL SELECT k, 'V-13', 'obsidian.raw.folder_template' FROM n WHERE k % 3 = 0""",
+    "config_notices": """SELECT d AS deletes, m AS mount, 'V-26' || CASE WHEN d = 'None' THEN ',V-30' ELSE '' END || CASE WHEN m = 'None' THEN ',V-33' ELSE '' END AS notices,
+      concat_ws(',', CASE WHEN d = 'False' THEN 'V-30' END, CASE WHEN m = 'ro' THEN 'V-33' END) AS violations, 2::INTEGER AS settings FROM (VALUES ('True'), ('False'), ('None')) a(d), (VALUES ('ro'), ('rw'), ('None')) b(m)""",
 }

@@ -103,14 +103,16 @@ def q_json_cascade(spark, sf_dir):
 def q_dedupe_stable(spark, sf_dir):
     """Words of each turn, first of equal folds kept, in order."""
     c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split(F.regexp_replace("text", r"[^A-Za-z]+", " "), " "), lambda w: w != "").alias("words"))
-    kept = text.stable_distinct(F.col("words"), F.transform("words", lambda w: F.lower(w)))
+    c = c.withColumn("folded", text.nfkc_folds("words"))
+    kept = text.stable_distinct(F.col("words"), F.col("folded"))
     return c.select("conv_id", "turn", F.size(kept).alias("n_kept"), F.md5(F.array_join(kept, " ")).alias("kept_md5"))
 
 
 def q_tags(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("voice memo"), F.concat(F.lit(" Voice Memo "), "source"), F.concat(F.lit("VOICE MEMO "), "source"), "lang", F.upper("lang"), F.lit(" ")).alias("t"))
     clean = F.filter(F.transform("t", lambda x: text.clean_tag(x)), lambda x: x != "")
-    kept = text.stable_distinct(clean, F.transform(clean, lambda x: F.lower(x)))
+    d = d.select("doc_id", clean.alias("clean")).withColumn("folded", text.folds("clean"))
+    kept = text.stable_distinct(F.col("clean"), F.col("folded"))
     return d.select("doc_id", F.array_join(kept, ",").alias("tags"))
 
 
@@ -118,7 +120,7 @@ def q_link_plan(spark, sf_dir):
     p = load(spark, sf_dir, "pages").filter("url IS NOT NULL")
     site, tail = F.regexp_extract("url", "^https?://([^/]+)", 1), F.regexp_extract("url", "/([^/]*)$", 1)
     c = p.select(site.alias("site"), "page_id", F.when(F.col("page_id") % 7 == 0, "daily").when(F.col("page_id") % 7 == 1, "adjacent").otherwise("tag").alias("kind"), tail.alias("name"))
-    existing = p.filter(F.col("url").startswith("https")).select(F.lower(tail).alias("folded")).distinct()
+    existing = p.filter(F.col("url").startswith("https")).select(text.nfc_fold(tail).alias("folded")).distinct()
     plan = link_plan(c, ["site"], "page_id", "kind", "name", existing, 2)
     return plan.select("site", "page_id", "kind", "rendered", "dropped")
 
@@ -128,6 +130,14 @@ def q_numbered_names(spark, sf_dir):
     return numbered_names(d, "lang", "name", "k", ["doc_id"]).select("doc_id", "file")
 
 
+def q_reuse(spark, sf_dir):
+    """Fingerprints of conversations against those stored when each fifth was another and each seventh unknown."""
+    now = q_fingerprint(spark, sf_dir)
+    k = F.col("conv_id")
+    stored = now.filter(k % 7 != 0).select("conv_id", F.when(k % 5 == 0, F.reverse("fingerprint")).otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return reusable(now, stored, "conv_id").select("conv_id", "reuse")
+
+
 def q_fingerprint(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     at = lambda s: (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=s.cast("decimal(18,6)"))).cast("timestamp_ntz")
@@ -166,6 +176,7 @@ QUERIES = {
     "link_plan": q_link_plan,
     "numbered_names": q_numbered_names,
     "fingerprint": q_fingerprint,
+    "fingerprint_reuse": q_reuse,
     "render_raw_note": q_render_raw_note,
     "clock_format": q_clock,
     "session_keys": q_session_keys,
@@ -189,6 +200,7 @@ ORACLES = {
     "numbered_names": """WITH f AS (SELECT lang, 'n' || (length(text) // 100) AS name, source AS k, min(doc_id) AS f FROM documents GROUP BY ALL),
       n AS (SELECT *, row_number() OVER (PARTITION BY lang, name ORDER BY f, k) AS n FROM f)
       SELECT doc_id, CASE WHEN n = 1 THEN name || '.md' WHEN n <= 99 THEN name || ' (' || n || ').md' END AS file FROM documents d JOIN n ON n.lang = d.lang AND n.name = 'n' || (length(text) // 100) AND k = source""",
+    "fingerprint_reuse": "SELECT conv_id, conv_id % 5 <> 0 AND conv_id % 7 <> 0 AS reuse FROM conversations GROUP BY conv_id",
     "fingerprint": """SELECT conv_id, sha256('{"segments":[' || string_agg('{"at":"' || strftime(TIMESTAMP '2024-01-01' + to_seconds(turn * 30), '%Y-%m-%dT%H:%M:%S') || '","end_at":"' ||
       strftime(TIMESTAMP '2024-01-01' + to_seconds(turn * 30 + 10), '%Y-%m-%dT%H:%M:%S') || '","text":"' || md5(text) || '"}', ',' ORDER BY turn) || ']}') AS fingerprint FROM conversations GROUP BY conv_id""",
     "render_raw_note": """WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN chr(10) || '## ' || strftime(TIMESTAMP '2024-01-01' + to_seconds(turn * 30), '%H:%M:%S') || chr(10) || chr(10) ELSE '' END || '\\--- ' || md5(text) AS x FROM conversations)

@@ -195,6 +195,15 @@ def q_median_latency(spark, sf_dir):
     return first.join(exact_median(later, "event_type", "value"), "event_type", "left").select("event_type", "cold", F.col("median").alias("warm"))
 
 
+def q_speech_metrics(spark, sf_dir):
+    """Metrics of conversations as transcripts: a segment a turn, some of them with an end before their start."""
+    k = F.col("conv_id")
+    seg = F.struct("turn", (F.col("turn") * 30).cast("double").alias("start"), (F.col("turn") * 30 + F.length("text") % 40 - 5).cast("double").alias("end"))
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(seg)).alias("segments"), F.max(F.struct("turn", "text"))["text"].alias("text"))
+    m = speech_metrics(F.col("segments"), (k % 100 + 0.25).cast("double"), F.when(k % 9 != 0, F.when(k % 10 == 0, 0.0).otherwise(F.size("segments") * 32.0)), F.col("text"))
+    return c.select("conv_id", m.alias("m")).select("conv_id", "m.*")
+
+
 _PART_CASE = "CASE o_orderstatus WHEN 'O' THEN 'RAW_SAVED' WHEN 'P' THEN 'TRANSCRIBING' ELSE 'FAILED' END"
 _LINES = """l AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'transcription_completed' WHEN 'click' THEN 'llm_completed' ELSE event_type END AS ev, CAST(floor(value) + 1 AS DOUBLE) AS el,
   CAST(event_id % 1000 AS BIGINT) AS ch, CASE WHEN event_id % 5 <> 0 THEN CAST((event_id % 90 + 10) / 1000.0 AS DOUBLE) END AS rtf, CAST(event_id % 4 AS BIGINT) AS ck, user_id FROM events)"""
@@ -211,6 +220,7 @@ QUERIES = {
     "space_check": q_space_check,
     "backoff_clamp": q_backoff_clamp,
     "median_latency": q_median_latency,
+    "speech_metrics": q_speech_metrics,
 }
 ORACLES = {
     "status_histogram": "SELECT CAST(i AS INTEGER) AS ordinal, s AS status, count(o_orderstatus) AS n FROM (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_STATES)) + ") v(i, s) LEFT JOIN orders ON o_orderstatus = s GROUP BY ALL",
@@ -230,4 +240,7 @@ ORACLES = {
     "backoff_clamp": "SELECT l_orderkey, l_linenumber, CAST([3, 10, 30][least(greatest(l_linenumber - 2, 1), 3)] AS INTEGER) AS wait, least(greatest(l_quantity, 10.0), 40.0) AS timeout FROM lineitem",
     "median_latency": """WITH f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events)
       SELECT event_type, max(CASE WHEN r = 1 THEN value END) AS cold, median(CASE WHEN r > 1 THEN value END) AS warm FROM f GROUP BY 1""",
+    "speech_metrics": """WITH c AS (SELECT conv_id, count(*) AS n, sum(greatest(0.0, CAST(length(text) % 40 - 5 AS DOUBLE))) AS sp, arg_max(text, turn) AS t FROM conversations GROUP BY 1),
+      d AS (SELECT *, conv_id % 100 + 0.25 AS el, CASE WHEN conv_id % 9 <> 0 AND conv_id % 10 <> 0 THEN n * 32.0::DOUBLE END AS total FROM c)
+      SELECT conv_id, round(CAST(el AS DOUBLE), 1) AS elapsed_s, CAST(length(t) AS INTEGER) AS chars, round(CAST(el AS DOUBLE) / total, 3) AS rtf, round(sp / total, 3) AS speech_ratio FROM d""",
 }

@@ -44,3 +44,16 @@ def log_lines(events: DataFrame, at: str, level: str, event: str, fields: list[s
 def snapshot(tables: dict[str, DataFrame], name: str) -> dict[str, DataFrame]:
     """A copy of each table in the shared folder, as before a migration."""
     return {k: written(v, f"{name}-{k}") for k, v in tables.items()}
+
+
+def migrate(table: DataFrame, version: int, steps: dict, name: str) -> tuple[DataFrame, DataFrame, int]:
+    """The snapshot, the migrated table (written) and its version: ``steps`` maps versions to functions of a table; those
+    above ``version`` are applied in ascending order, after the snapshot is stored. Nothing is done if there are none."""
+    newer = [v for v in sorted(steps) if v > version]
+    if not newer:
+        return table, table, version
+    kept = snapshot({name: table}, f"before-{newer[0]}")[name]
+    now = kept
+    for v in newer:
+        now = steps[v](now)
+    return kept, written(now, f"{name}-{newer[-1]}"), newer[-1]
