@@ -4,6 +4,10 @@ Method: a pair occurrence index. The distinct words of a slice of a partition li
 that has a rank is mapped to all its positions. Active ranks are applied in ascending order, each to all its positions
 at once, and only the lists of the pairs to the left and right of a merge are updated. A merge makes pairs of higher
 rank only, so one ascending sweep gives what merging word by word, lowest rank first, gives.
+
+A departure: the index is not over all texts of a partition but over the distinct words of SLICE_BYTES of them, and the
+tokens of words met before are remembered, in bounded number. Memory then does not follow the partition, and merges never
+cross words, so the tokens are the same.
 """
 
 import heapq

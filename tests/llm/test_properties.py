@@ -46,10 +46,9 @@ def test_fingerprints(t):
 @few
 @given(texts, st.lists(texts, max_size=4))
 def test_windows_of_items(t, items):
-    numbered = list(enumerate(items))
-    machine, numbers = decontaminate.automaton(numbered)
+    numbered = [(str(i), x) for i, x in enumerate(items)]
     own = decontaminate.words(t)
-    found, ranges = decontaminate.scan(machine, numbers, own)
+    found, ranges = decontaminate.Machine(numbered).scan(own)
     want = next(hits([t], numbered))
     assert len(own) == want[0] and len(found) == want[2] and sum(b - a for a, b in decontaminate._union(ranges)) == want[1]
     assert len(own) == len(decontaminate._WORD.findall(t))
