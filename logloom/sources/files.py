@@ -63,13 +63,14 @@ def inbox_parts(files: DataFrame) -> DataFrame:
     # Names and variants are judged before anything else is looked up, as the manifests of those are never acted on.
     early = F.when(F.col("n").isNull(), "filename").when(F.col("n.variant") != "orig", "variant_not_orig")
     found = found.withColumn("early", early)
-    present = found.filter("early IS NULL").join(wavs, ["device_id", "wav"], "left_semi")
+    here = wavs.distinct().withColumn("here", F.lit(True))
+    found = found.join(here, ["device_id", "wav"], "left").filter("early IS NOT NULL OR here")
     key = keys.part_key(F.col("device_id"), F.col("m.relpath"))
     late = (
         F.when(F.col("m").isNull(), "meta_unreadable").when(F.coalesce(F.col("m.relpath"), F.lit("")) == "", "meta_missing_relpath")
         .when(F.col("m.size").isNull() | F.col("m.mtime").isNull(), "meta_missing_stat").when(key.isNull(), "meta_unsafe_relpath")
     )
-    both = present.withColumn("reason", late).unionByName(found.filter("early IS NOT NULL").withColumn("reason", F.col("early")))
+    both = found.withColumn("reason", F.coalesce("early", late))
     event = F.when(F.col("reason") == "filename", "unparsable_filename").when(F.col("reason").isNotNull(), "part_skipped").otherwise("part")
     good = F.col("reason").isNull()
     return both.select(

@@ -11,15 +11,16 @@ def parsed(line: Column, fields: dict[str, str] = FIELDS) -> Column:
     """Struct of the event (third word of a text line, "event" of a JSON line) and ``fields``; a value that is absent,
     empty, null, or does not parse is null. A JSON line is parsed once for all fields; of a text line, a field is what
     follows ``name=`` after a blank, up to the next blank, or in quotes."""
-    doc = F.from_json(line, "event string, " + ", ".join(f"{n} string" for n in fields))
     is_json = line.startswith("{")
+    # Outside of any condition, so that all fields share one evaluation.
+    doc = F.from_json(F.when(is_json, line), "event string, " + ", ".join(f"{n} string" for n in fields))
 
     def field(name: str) -> Column:
         told = F.regexp_extract(line, rf'\s{name}=("(?:[^"]*)"|[^\s"]+)', 1)
-        value = F.when(is_json, doc[name]).otherwise(F.trim(told, F.lit('"')))
+        value = F.coalesce(doc[name], F.when(~is_json, F.trim(told, F.lit('"'))))
         return F.when((value != "") & (value != "null"), value)
 
-    event = F.when(is_json, doc["event"]).otherwise(F.get(F.split(line, r"\s+", 4), 2))
+    event = F.coalesce(doc["event"], F.when(~is_json, F.get(F.split(line, r"\s+", 4), 2)))
     return F.struct(event.alias("event"), *[field(n).try_cast(t).alias(n) for n, t in fields.items()])
 
 
