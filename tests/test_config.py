@@ -62,3 +62,13 @@ def test_files_and_locks():
     assert [v.rule for v in C.lock_violations(doc, False, "ro")] == ["V-30", "V-33"]
     put(doc, "cleanup.delete_source_audio", False)
     assert C.lock_violations(doc, False, "ro") == []
+
+
+def test_executables_and_notices_that_do_not_stop_the_start():
+    doc = sound()
+    assert C.file_violations(doc, lambda p: True) == []
+    assert [v.rule for v in C.file_violations(doc, lambda p: True, executable=lambda p: False)] == ["V-24"]
+    put(doc, "cleanup.delete_source_audio", True)
+    assert C.notices(doc, True, "rw") == ["V-26"] and C.notices(doc, None, None) == ["V-26", "V-30", "V-33"]
+    put(doc, "cleanup.delete_source_audio", False)
+    assert C.notices(doc, None, None) == []
