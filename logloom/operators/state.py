@@ -33,9 +33,27 @@ def retry_count(log: DataFrame, key: str, status: str, order: list[str], failed:
     return last.select(key).join(n, key, "left").select(key, F.coalesce("retry_count", F.lit(0)).cast("bigint").alias("retry_count"))
 
 
-def with_origin(log: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
+def with_previous(log: DataFrame, key: str, order: list[str], bucket: Column, name: str, *columns: str) -> DataFrame:
+    """Adds ``name``, a struct of ``columns`` of the row before in the same entity (null for the first row).
+
+    Windows are by entity and ``bucket`` (a day, for example; it must not decrease along ``order``), so an entity with a
+    third of all rows is many windows. Each bucket starts with a row that carries the last values of the bucket before
+    it: an aggregation, combined map-side, of one row an entity and bucket.
+    """
+    rows = log.select(F.struct(*[F.col(f"`{c}`") for c in log.columns]).alias("_row"), F.col(key).alias("_k"), bucket.alias("_b"), F.struct(*order).alias("_o"), F.struct(*columns).alias("_v"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    last = rows.groupBy("_k", "_b").agg(F.max_by("_v", "_o").alias("_v"))
+    into = F.lead("_b").over(Window.partitionBy("_k").orderBy("_b"))
+    carried = last.withColumn("_next", into).filter("_next IS NOT NULL").select(F.lit(None).cast(kinds["_row"]).alias("_row"), "_k", F.col("_next").alias("_b"), F.lit(None).cast(kinds["_o"]).alias("_o"), "_v")
+    w = Window.partitionBy("_k", "_b").orderBy(F.col("_o").asc_nulls_first())
+    both = rows.unionByName(carried).withColumn("_prev", F.lag("_v").over(w)).filter("_row IS NOT NULL")
+    return both.select("_row.*", F.col("_prev").alias(name))
+
+
+def with_origin(log: DataFrame, key: str, status: str, order: list[str], bucket: Column) -> DataFrame:
     """Adds ``from_status``, the status before each event (null for the first)."""
-    return log.withColumn("from_status", F.lag(status).over(Window.partitionBy(key).orderBy(*order)))
+    found = with_previous(log, key, order, bucket, "_before", status)
+    return found.withColumn("from_status", F.col(f"_before.{status}")).drop("_before")
 
 
 def illegal_transitions(log: DataFrame, legal: DataFrame) -> DataFrame:
@@ -59,12 +77,11 @@ def streaks(samples: DataFrame, key: str, value: Column, order: list[str], neede
     return marked.withColumn("streak", F.row_number().over(run).cast("bigint")).withColumn("stable", F.col("streak") >= needed).drop("_run")
 
 
-def rising_edges(snapshots: DataFrame, key: str, size: str, order: list[str]) -> DataFrame:
+def rising_edges(snapshots: DataFrame, key: str, size: str, order: list[str], bucket: Column) -> DataFrame:
     """Snapshots that are non-empty after one that was empty, unknown, or none (the start fires always)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before, first = F.lag(size).over(w), F.row_number().over(w) == 1
-    fires = first | ((F.coalesce(before, F.lit(0)) == 0) & (F.coalesce(F.col(size), F.lit(0)) > 0))
-    return snapshots.withColumn("fires", fires)
+    found = with_previous(snapshots, key, order, bucket, "_before", size)
+    fires = F.col("_before").isNull() | ((F.coalesce(F.col(f"_before.{size}"), F.lit(0)) == 0) & (F.coalesce(F.col(size), F.lit(0)) > 0))
+    return found.withColumn("fires", fires).drop("_before")
 
 
 def first_owners(rows: DataFrame, content: Column, order: list[str], id_col: str) -> DataFrame:
@@ -91,7 +108,7 @@ def q_current_state(spark, sf_dir):
 
 
 def q_last_failure_origin(spark, sf_dir):
-    log = with_origin(_log(spark, sf_dir), "user_id", "event_type", ORDER)
+    log = with_origin(_log(spark, sf_dir), "user_id", "event_type", ORDER, F.to_date("ts"))
     return last_failure_origin(log, "user_id", "from_status", "event_type", ORDER, "error", ["view", "click"])
 
 
@@ -103,7 +120,7 @@ _LEGAL = [("signup", "view"), ("signup", "click"), ("view", "click"), ("view", "
 
 
 def q_illegal_transitions(spark, sf_dir):
-    log = with_origin(_log(spark, sf_dir), "user_id", "event_type", ORDER).withColumnRenamed("event_type", "to_status")
+    log = with_origin(_log(spark, sf_dir), "user_id", "event_type", ORDER, F.to_date("ts")).withColumnRenamed("event_type", "to_status")
     legal = spark.createDataFrame(_LEGAL, "from_status string, to_status string")
     return illegal_transitions(log, legal).groupBy("from_status", "to_status").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
@@ -113,7 +130,7 @@ def q_transition_legality(spark, sf_dir):
     names = {"O": "RAW_SAVED", "P": "SOURCE_DELETING", "F": "COMPLETED"}
     to = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("o_orderstatus")]
     log = load(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", to.alias("to_status"))
-    log = with_origin(log, "o_custkey", "to_status", ["o_orderdate", "o_orderkey"])
+    log = with_origin(log, "o_custkey", "to_status", ["o_orderdate", "o_orderkey"], F.year("o_orderdate"))
     legal = dims.transition_table(spark).filter("entity = 'part'").select("from_status", "to_status")
     return illegal_transitions(log, legal).groupBy("from_status", "to_status").agg(F.count("*").alias("n"))
 
@@ -140,7 +157,7 @@ def q_stability_streak(spark, sf_dir):
 def q_rising_edge(spark, sf_dir):
     day = F.to_date("ts")
     snaps = _log(spark, sf_dir).groupBy("user_id", day.alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("n"))
-    return rising_edges(snaps, "user_id", "n", ["day"]).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "fires")
+    return rising_edges(snaps, "user_id", "n", ["day"], F.trunc("day", "month")).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "fires")
 
 
 def q_content_duplicates(spark, sf_dir):

@@ -137,3 +137,24 @@ def test_a_tail_told_twice_is_left_out(spark):
     values, bounds = F.array(*map(F.lit, "abcc")), F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in ((0, 3), (3, 4))])
     r = spark.range(1).select(chunks.without_repeated_tail(values, bounds).alias("x"), chunks.without_repeated_tail(F.array(*map(F.lit, "abcd")), bounds).alias("y")).first()
     assert len(r.x) == 1 and len(r.y) == 2
+
+
+def test_previous_rows_across_buckets_and_null_keys(spark):
+    """Against a plain walk: buckets of one row and of many, gaps, null values, a null key, repeated rows of other keys."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from logloom.operators import state
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice(["x", "y", None]), i) for i in sorted(rnd.sample(range(400), 150))]
+    want, last = {}, {}
+    for k, at, v, n in rows:
+        want[n] = last.get(k, "none")
+        last[k] = v
+    log = spark.createDataFrame(rows, "k string, at int, v string, _row int").repartition(5)
+    got = state.with_previous(log, "k", ["at"], F.floor(F.col("at") / 20), "before", "v")
+    assert got.columns == ["k", "at", "v", "_row", "before"]
+    assert {r["_row"]: "none" if r.before is None else r.before.v for r in got.collect()} == want
+    assert state.with_previous(log.limit(0), "k", ["at"], F.col("at"), "before", "v").count() == 0
