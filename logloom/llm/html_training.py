@@ -161,6 +161,13 @@ def _unmarked(seed: int) -> tuple[str, set[str]]:
     return "<body>" + ("<table><tr>" + "".join(f"<td>{x}</td>" for x in parts) + "</tr></table>" if cell else "".join(f"<div>{x}</div>" for x in parts)) + "</body>", main
 
 
+def _bare(seed: int) -> tuple[str, set[str]]:
+    """A few short lines and nothing else."""
+    w = _Writer(seed)
+    lines = [w.some(1, 13, w.rnd.choice([".", ".", ""])) for _ in range(w.rnd.randint(1, 4))]
+    return "<body>" + (f"<h1>{lines[0]}</h1>" if w.chance(0.4) else f"<p>{lines[0]}</p>") + "".join(f"<p>{x}</p>" for x in lines[1:]) + "</body>", set(lines)
+
+
 _FURNITURE = ["<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", "<div class='ad'>{}</div>", "<div class='sidebar'>{}</div>", "<div id='cookie-notice'>{}</div>", "<form>{}</form>", "<div class='site-footer'>{}</div>"]
 
 
@@ -199,6 +206,7 @@ def _marked(seed: int, openers: list[str]) -> tuple[str, set[str]]:
 PAGES = (
     _WRITTEN
     + [_unmarked(k) for k in range(150)]
+    + [_bare(k) for k in range(500, 540)]
     + [_marked_furniture(k) for k in range(1000, 1060)]
     + [_marked(k, _OPEN) for k in range(2000, 2150)]
     + [_marked(k, _WEAK) for k in range(3000, 3060)]

@@ -59,6 +59,9 @@ UNSEEN = [
         "<P>No cards &ndash; cash only.</P><P>It has been run by the same two sisters since the war, and they still do all of the cooking.</P></DIV><DIV CLASS='comment-list'><P>Best soup in town, and I have had them all over the years.</P></DIV><FOOTER>Imprint</FOOTER></BODY>",
         ["Café & bar", "The place on the corner opens at six and is full by seven, so come early or bring a friend who does.", "No cards – cash only.", "It has been run by the same two sisters since the war, and they still do all of the cooking."],
     ),
+    # Nothing but short lines.
+    ("<html><body><p>Just one short paragraph.</p></body></html>", ["Just one short paragraph."]),
+    ("<body><h1>Only heading</h1><p>Short one here.</p><p>And another short one follows it.</p></body>", ["Only heading", "Short one here.", "And another short one follows it."]),
     # A loose wrapper that holds a menu as well.
     (
         "<div id=content><ul><li><a href=/1>Soups</a><li><a href=/2>Stews</a><li><a href=/3>Breads</a><li><a href=/4>Cakes</a></ul><h2>Rye bread</h2><p>Stir the flour into the sour dough and let it stand over night in a warm place near the oven.</p><p>Bake it.</p>"
