@@ -57,12 +57,12 @@ def timeline_lines(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda b: F.concat(F.array(F.concat(F.lit("### "), hm(b["start_at"]), F.lit("–"), hm(b["end_at"])), F.lit("")), _bullets(b["lines"]), F.array(F.lit("")))))
 
 
-def daily_note(sessions: DataFrame, default_tags: list[str], sections: dict[str, str] = SECTIONS, keep: str = "session_key") -> DataFrame:
+def daily_note(sessions: DataFrame, default_tags: list[str], sections: dict[str, str] = SECTIONS, keep: str = "session_key", prefix: str = "voice", names: dict[str, str] | None = None) -> DataFrame:
     """``keep`` and ``note`` of each session. Columns: session_key, day, recording_keys, excluded, recorded_seconds, blocks,
     analysis (title, summary, key_points, tasks of text and due, decisions, ideas, tags), timeline, links (raw, daily, adjacent, tags).
 
     Front matter, title (the day if there is none), warnings, the sections in their order, sources and links; what is
-    empty has no heading. One projection: tags are folded in batches, all else stays in the JVM.
+    empty has no heading. ``prefix`` begins the type, ``names`` renames fields of the front matter. One projection: tags are folded in batches, all else stays in the JVM.
     """
     a, none = F.col("analysis"), F.array().cast("array<string>")
     tags = F.concat(F.array(*map(F.lit, default_tags)).cast("array<string>"), F.coalesce(a["tags"], none))
@@ -72,11 +72,12 @@ def daily_note(sessions: DataFrame, default_tags: list[str], sections: dict[str,
     excluded = F.coalesce("excluded", F.array().cast("array<struct<partkey:string,status:string,error_code:string>>"))
     part_keys = lambda failed: F.transform(F.filter(excluded, lambda p: (p["status"] == "FAILED") == F.lit(failed)), lambda p: p["partkey"])
     day = F.date_format("day", "yyyy-MM-dd")
-    head = text.front_matter(
-        type=text.yaml_quote(F.lit("voice-daily")), voicedock_session_key=text.yaml_quote(F.col("session_key")), voicedock_recording_keys=text.yaml_list(F.col("recording_keys")),
-        voicedock_failed_parts=text.yaml_list(part_keys(True)), voicedock_skipped_parts=text.yaml_list(part_keys(False)), date=text.yaml_quote(day), recorded=text.yaml_quote(text.clock(F.col("recorded_seconds"))),
-        parts=F.size("recording_keys").cast("string"), blocks=F.col("blocks").cast("string"), status=text.yaml_quote(F.lit("processed")), tags=text.yaml_list(F.col("_tags")),
-    )
+    fields = {
+        "type": text.yaml_quote(F.lit(f"{prefix}-daily")), "session_key": text.yaml_quote(F.col("session_key")), "recording_keys": text.yaml_list(F.col("recording_keys")), "failed_parts": text.yaml_list(part_keys(True)),
+        "skipped_parts": text.yaml_list(part_keys(False)), "date": text.yaml_quote(day), "recorded": text.yaml_quote(text.clock(F.col("recorded_seconds"))), "parts": F.size("recording_keys").cast("string"),
+        "blocks": F.col("blocks").cast("string"), "status": text.yaml_quote(F.lit("processed")), "tags": text.yaml_list(F.col("_tags")),
+    }
+    head = text.front_matter(**{(names or {}).get(k, k): v for k, v in fields.items()})
 
     def lines(name: str) -> Column:
         if name == "timeline":
@@ -165,8 +166,8 @@ WITH e AS (SELECT *, CAST(ts AS DATE) AS day, ['NO_SPEECH_DETECTED', 'DUPLICATE_
    CASE WHEN len(l) > 0 THEN '## Timeline' || nl || nl || array_to_string(l, chr(10)) END,
    CASE WHEN u % 5 <> 0 THEN '## Sources' || nl || nl || '- [[raw ' || u || ']]' || nl END,
    '## Links' || nl || nl || CASE WHEN u % 2 = 1 THEN '- [[daily]]' || nl ELSE '' END || '- [[next]]' || nl || '- [[tag]]'], lambda x: x IS NOT NULL) AS parts FROM p)
-SELECT 'd' || u || ':' || strftime(day, '%Y%m%d') AS session_key, '---' || nl || 'type: "voice-daily"' || nl || 'voicedock_session_key: "d' || u || ':' || strftime(day, '%Y%m%d') || '"' || nl
-  || 'voicedock_recording_keys:' || {yaml("r")} || nl || 'voicedock_failed_parts:' || {yaml("f")} || nl || 'voicedock_skipped_parts:' || {yaml("k")} || nl || 'date: "' || d || '"' || nl
+SELECT 'd' || u || ':' || strftime(day, '%Y%m%d') AS session_key, '---' || nl || 'type: "voice-daily"' || nl || 'session_key: "d' || u || ':' || strftime(day, '%Y%m%d') || '"' || nl
+  || 'recording_keys:' || {yaml("r")} || nl || 'failed_parts:' || {yaml("f")} || nl || 'skipped_parts:' || {yaml("k")} || nl || 'date: "' || d || '"' || nl
   || 'recorded: "' || lpad(CAST(sec // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(sec // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(sec % 60 AS VARCHAR), 2, '0') || '"' || nl
   || 'parts: ' || len(r) || nl || 'blocks: ' || len(l) || nl || 'status: "processed"' || nl || 'tags:' || nl || '  - "voice"' || nl || '  - "my-tag"' || nl || '  - "u' || u || '"' || nl || '---' || nl
   || array_to_string(parts, chr(10)) || nl AS note FROM b"""
