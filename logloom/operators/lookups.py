@@ -70,9 +70,9 @@ def missing_keys(example: DataFrame, configured: DataFrame, key: str) -> DataFra
     return example.select(key).exceptAll(configured.select(key).distinct()).distinct()
 
 
-def stable_files(samples: DataFrame, key: str, order: list[str], needed: int, old: Column) -> DataFrame:
+def stable_files(samples: DataFrame, key: str, order: list[str], needed: int, old: Column, bucket: Column) -> DataFrame:
     """Samples of file size and mtime: ``passes`` once both were equal ``needed`` times in a row, or the file is old."""
-    s = streaks(samples, key, F.struct("size", "mtime"), order, needed)
+    s = streaks(samples, key, F.struct("size", "mtime"), order, needed, bucket)
     return s.withColumn("passes", F.col("stable") | F.coalesce(old, F.lit(False)))
 
 
@@ -137,7 +137,7 @@ def q_failed_entities(spark, sf_dir):
 def q_stable_files(spark, sf_dir):
     """Consecutive events of a user as samples of one file: its size is the type's length, its time the hour of day."""
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.length("event_type").alias("size"), F.floor(F.hour("ts") / 12).alias("mtime"))
-    return stable_files(e, "user_id", ["ts", "event_id"], 2, F.col("event_id") % 50 == 0).select("event_id", "streak", "passes")
+    return stable_files(e, "user_id", ["ts", "event_id"], 2, F.col("event_id") % 50 == 0, F.to_date("ts")).select("event_id", "streak", "passes")
 
 
 def q_request_verdict(spark, sf_dir):

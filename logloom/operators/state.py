@@ -68,13 +68,26 @@ def conflicts(current: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return both.filter(~F.col("from_status").eqNullSafe(F.col("found")))
 
 
-def streaks(samples: DataFrame, key: str, value: Column, order: list[str], needed: int) -> DataFrame:
-    """Runs of equal values: ``streak`` counts equal samples in a row, ``stable`` from ``needed`` on."""
-    w = Window.partitionBy(key).orderBy(*order)
-    change = F.coalesce((~value.eqNullSafe(F.lag(value).over(w))) | (F.row_number().over(w) == 1), F.lit(True))
-    marked = samples.withColumn("_run", F.sum(change.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(key, "_run").orderBy(*order)
-    return marked.withColumn("streak", F.row_number().over(run).cast("bigint")).withColumn("stable", F.col("streak") >= needed).drop("_run")
+def streaks(samples: DataFrame, key: str, value: Column, order: list[str], needed: int, bucket: Column) -> DataFrame:
+    """Runs of equal values: ``streak`` counts equal samples in a row, ``stable`` from ``needed`` on.
+
+    Windows are by entity and ``bucket``, as in with_previous; the length of the run that a bucket starts in comes from
+    the counts of the buckets before it, one row an entity and bucket.
+    """
+    found = with_previous(samples.withColumn("_value", value), key, order, bucket, "_before", "_value")
+    change = F.col("_before").isNull() | ~F.col("_value").eqNullSafe(F.col("_before._value"))
+    rows = found.select(F.struct(*[F.col(f"`{c}`") for c in samples.columns]).alias("_row"), F.col(key).alias("_k"), bucket.alias("_b"), F.struct(*order).alias("_o"), change.alias("_c"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    w = Window.partitionBy("_k", "_b").orderBy(F.col("_o").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.max(F.when(F.col("_c"), F.col("_n"))).over(w)).drop("_c")
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_k", "_b").agg(F.max("_n").alias("_n"), F.max("_at").alias("_at")).withColumn("_total", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ends = ends.withColumn("_carry", F.col("_total") - F.max(F.col("_total") + F.col("_at")).over(before) + 1).filter("_carry IS NOT NULL")
+    none = F.lit(None).cast("bigint")
+    marks = ends.select(F.lit(None).cast(kinds["_row"]).alias("_row"), "_k", "_b", F.lit(None).cast(kinds["_o"]).alias("_o"), none.alias("_n"), none.alias("_at"), "_carry")
+    both = rows.withColumn("_carry", none).unionByName(marks).withColumn("_carry", F.first("_carry").over(w)).filter("_row IS NOT NULL")
+    streak = F.when(F.col("_at").isNotNull(), F.col("_n") - F.col("_at") + 1).otherwise(F.col("_n") + F.coalesce("_carry", F.lit(0)))
+    return both.select("_row.*", streak.alias("streak")).withColumn("stable", F.col("streak") >= needed)
 
 
 def rising_edges(snapshots: DataFrame, key: str, size: str, order: list[str], bucket: Column) -> DataFrame:
@@ -150,7 +163,7 @@ def q_recovery(spark, sf_dir):
 
 
 def q_stability_streak(spark, sf_dir):
-    found = streaks(_log(spark, sf_dir), "user_id", F.col("event_type"), ORDER, 2)
+    found = streaks(_log(spark, sf_dir), "user_id", F.col("event_type"), ORDER, 2, F.to_date("ts"))
     return found.select("event_id", "user_id", "streak", "stable")
 
 

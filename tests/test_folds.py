@@ -158,3 +158,29 @@ def test_previous_rows_across_buckets_and_null_keys(spark):
     assert got.columns == ["k", "at", "v", "_row", "before"]
     assert {r["_row"]: "none" if r.before is None else r.before.v for r in got.collect()} == want
     assert state.with_previous(log.limit(0), "k", ["at"], F.col("at"), "before", "v").count() == 0
+
+
+def test_streaks_across_buckets(spark):
+    """Against a plain walk, with buckets that hold no change, one row, or none, and null values and keys."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from logloom.operators import state
+
+    rnd = random.Random(8)
+    rows, value = [], {}
+    for at in sorted(rnd.sample(range(900), 260)):
+        k = rnd.choice(["a", "a", "b", None])
+        if rnd.random() < 0.15:
+            value[k] = rnd.choice(["x", "y", None])
+        rows.append((k, at, value.get(k, "x"), at))
+    want, last = {}, {}
+    for k, at, v, n in rows:
+        run = last[k][1] + 1 if k in last and last[k][0] == v else 1
+        last[k] = (v, run)
+        want[n] = run
+    log = spark.createDataFrame(rows, "k string, at int, v string, _n int").repartition(5)
+    for size in (1, 7, 40, 1000):
+        got = state.streaks(log, "k", F.col("v"), ["at"], 3, F.floor(F.col("at") / size)).collect()
+        assert {r["_n"]: r.streak for r in got} == want and all(r.stable == (r.streak >= 3) for r in got)
