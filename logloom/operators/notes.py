@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logloom.functions import keys, text
+from logloom.plans import splittable
 from logloom.sources import load
 
+#: Parts that the candidates of a note are dealt to.
+SALTS = 32
 # Characters that break a note link.
 UNLINKABLE = r"[\[\]|#^]"
 
@@ -24,20 +27,24 @@ def link_plan(candidates: DataFrame, by: list[str], place: str, kind: str, name:
 
     A candidate that is unlinkable or the note itself is dropped. Daily and adjacent ones always want a link, tags want
     one if they exist (``existing`` has folded names; small, so broadcast below Spark's size threshold). Links go out in
-    order while the budget lasts: a running count of wants. A tag beyond it becomes a plain tag and is noted as dropped;
-    a tag that wants none is a plain tag; a daily or adjacent one beyond it is only dropped.
+    order (``place`` is unique in a note) while the budget lasts: up to the last want that it holds, which is found among
+    the first wants of SALTS parts of each note, so a note with a third of all candidates is not one window. A tag beyond
+    it becomes a plain tag and is noted as dropped; a tag that wants none is a plain tag; a daily or adjacent one beyond it
+    is only dropped. A note that is null has no links.
     """
     c = candidates.withColumn("_folded", text.nfc_fold(F.col(name)))
     known = existing.select(F.col("folded").alias("_folded"), F.lit(True).alias("_known")).distinct()
     c = c.join(known, "_folded", "left").withColumn("_usable", linkable(F.col(name)) & ((F.col(name) != F.col(own)) if own else F.lit(True)))
     tag = F.col(kind) == "tag"
     wants = F.col("_usable") & (~tag | (F.coalesce(F.col("_known"), F.lit(False)) | F.lit(not only_existing)))
-    order = [F.when(F.col(kind) == "daily", 0).when(F.col(kind) == "adjacent", 1).otherwise(2), F.col(place)]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("_wants", wants).withColumn("_n", F.sum(F.col("_wants").cast("int")).over(w))
-    linked = F.col("_wants") & (F.col("_n") <= budget)
+    c = c.withColumn("_wants", wants).withColumn("_o", F.struct(F.when(F.col(kind) == "daily", 0).when(F.col(kind) == "adjacent", 1).otherwise(2).alias("kind"), F.col(place).alias("place")))
+    part = Window.partitionBy(*by, "_part").orderBy("_o")
+    first = c.filter("_wants").select(*by, "_o", F.pmod(F.xxhash64("_o"), F.lit(SALTS)).alias("_part")).withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= budget)
+    held = first.groupBy(*by).agg(F.array_max(F.slice(F.array_sort(F.collect_list("_o")), 1, max(1, budget))).alias("_last"))
+    c = c.join(splittable(held, "link-budgets"), by, "left")
+    linked = F.col("_wants") & F.coalesce(F.col("_o") <= F.col("_last"), F.lit(False)) & F.lit(budget > 0)
     rendered = F.when(linked, link(F.col(name))).when(F.col("_usable") & tag, F.concat(F.lit("#"), F.col(name)))
-    return c.withColumn("rendered", rendered).withColumn("dropped", ~F.col("_usable") | (F.col("_wants") & ~linked)).drop("_folded", "_known", "_usable", "_wants", "_n")
+    return c.withColumn("rendered", rendered).withColumn("dropped", ~F.col("_usable") | (F.col("_wants") & ~linked)).drop("_folded", "_known", "_usable", "_wants", "_o", "_last")
 
 
 def numbered_names(notes: DataFrame, folder: str, name: str, key: str, order: list[str]) -> DataFrame:
