@@ -2,6 +2,7 @@
 
 from logloom.llm import (
     bpe,
+    conversation_trie,
     decontaminate,
     html_extract,
     language_id,
@@ -15,6 +16,6 @@ from logloom.llm import (
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (html_extract, license_scan, quality_rules, shards, decontaminate, bpe, language_id, quality_classifier, suffix_dedup, simhash):
+for _module in (html_extract, license_scan, quality_rules, shards, decontaminate, bpe, language_id, quality_classifier, suffix_dedup, simhash, conversation_trie):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
