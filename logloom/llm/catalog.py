@@ -12,10 +12,12 @@ from logloom.llm import (
     shards,
     simhash,
     suffix_dedup,
+    token_alignment,
+    url_filter,
 )
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (html_extract, license_scan, quality_rules, shards, decontaminate, bpe, language_id, quality_classifier, suffix_dedup, simhash, conversation_trie):
+for _module in (html_extract, license_scan, quality_rules, shards, decontaminate, bpe, language_id, quality_classifier, suffix_dedup, simhash, conversation_trie, url_filter, token_alignment):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
