@@ -108,18 +108,22 @@ def ratios(needed: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataF
     return now.select("gram", F.round((F.log("pa") - F.log("pr")) * 1e6).cast("bigint").alias("micro"))
 
 
-def threshold(scored: DataFrame) -> float:
-    """The least score that passes: where the mean of the rates of accepted URLs that pass and of rejected ones that don't is
-    highest, nearest to 0; 0 if URLs of either verdict lack. One histogram of at most 2 * BINS rows comes to the driver."""
-    at = F.least(F.greatest(F.floor((F.col("score") + SCALE) * (BINS / (2 * SCALE))), F.lit(0)), F.lit(BINS - 1))
-    found = {(r[0], r[1]): r[2] for r in scored.groupBy("label", at.cast("int").alias("bin")).count().collect()}
+def step_of(score: Column) -> Column:
+    """Number of a score on the scale, from 0 to BINS - 1."""
+    return F.least(F.greatest(F.floor((score + SCALE) * (BINS / (2 * SCALE))), F.lit(0)), F.lit(BINS - 1)).cast("int")
+
+
+def threshold(scored: DataFrame) -> int:
+    """The first step that passes: where the mean of the rates of accepted URLs that pass and of rejected ones that don't is
+    highest, nearest to score 0 (of two, the lower); score 0 if URLs of either verdict lack. One histogram of at most 2 * BINS
+    rows comes to the driver."""
+    found = {(r[0], r[1]): r[2] for r in scored.groupBy("label", step_of(F.col("score")).alias("bin")).count().collect()}
     total = {k: sum(n for (label, _), n in found.items() if label == k) for k in ("allow", "block")}
     if not all(total.values()):
-        return 0.0
+        return BINS // 2
     passed, stopped, best = total["allow"], 0, []
     for cut in range(BINS + 1):
-        score = cut * 2 * SCALE / BINS - SCALE
-        best.append((-(passed * total["block"] + stopped * total["allow"]), abs(score), score))
+        best.append((-(passed * total["block"] + stopped * total["allow"]), abs(cut - BINS // 2), cut))
         passed -= found.get(("allow", cut), 0)
         stopped += found.get(("block", cut), 0)
     return min(best)[2]
@@ -151,7 +155,7 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     least = threshold(scored.filter("label IS NOT NULL"))
     by_model = rows.filter("_rule IS NULL").withColumn("key", F.unhex(F.md5("t"))).join(scored.filter("label IS NULL").select("key", F.col("score").alias("_score")), "key", "left")
     by_model = by_model.select("_row", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("_score", F.lit(0.0)).alias("score"))
-    by_model = by_model.withColumn("verdict", F.when(F.col("score") >= least, "allow").otherwise("block"))
+    by_model = by_model.withColumn("verdict", F.when(step_of(F.col("score")) >= least, "allow").otherwise("block"))
     by_rule = rows.filter("_rule IS NOT NULL").select("_row", "host", "path", F.col("_rule.name").alias("rule"), F.lit(None).cast("double").alias("score"), F.col("_rule.verdict").alias("verdict"))
     return by_rule.unionByName(by_model).select(*[F.col(f"_row.`{c}`") for c in names], *added)
 
@@ -161,6 +165,7 @@ def query(spark, sf_dir):
 
 
 def _oracle() -> str:
+    step = f"least(greatest(floor(({{}} + {SCALE}) * {BINS / (2 * SCALE)}), 0), {BINS - 1})"
     rule = "CASE " + " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{'name': '{r.name}', 'verdict': '{r.verdict}'}}" for r in sorted(RULES, key=lambda r: (-len(r.name), r.name))
     ) + " END"
@@ -180,11 +185,11 @@ def _oracle() -> str:
       r{k + 1} AS (SELECT gram, {mix("pa", "a", "an", '"at"')}, {mix("pr", "r", "rn", "rt")} FROM r{k} LEFT JOIN g{k} ON g = right(gram, {k + 1}) LEFT JOIN x{k} ON context = left(right(gram, {k + 1}), {k}))"""
     return out + f""",
       s AS (SELECT t, label, sum(CAST(round((ln(pa) - ln(pr)) * 1e6) AS BIGINT))::DOUBLE / (count(*) * 1e6) AS score FROM asked JOIN r{ORDER + 1} USING (gram) GROUP BY t, label),
-      b AS (SELECT label, least(greatest(floor((score + {SCALE}) * {BINS / (2 * SCALE)}), 0), {BINS - 1}) AS bin FROM s WHERE label IS NOT NULL),
+      b AS (SELECT label, {step.format("score")} AS bin FROM s WHERE label IS NOT NULL),
       n AS (SELECT count(*) FILTER (label = 'allow') AS na, count(*) FILTER (label = 'block') AS nb FROM b),
-      c AS (SELECT cut * 2 * {SCALE} / {BINS} - {SCALE} AS score, (SELECT count(*) FROM b WHERE label = 'allow' AND bin >= cut) * nb + (SELECT count(*) FROM b WHERE label = 'block' AND bin < cut) * na AS good FROM range(0, {BINS + 1}) q(cut), n WHERE na > 0 AND nb > 0),
-      l AS (SELECT coalesce((SELECT score FROM c ORDER BY good DESC, abs(score), score LIMIT 1), 0) AS least)
-      SELECT page_id, host, path, rule.name AS rule, coalesce(rule.verdict, CASE WHEN coalesce(score, 0) >= least THEN 'allow' ELSE 'block' END) AS verdict
+      c AS (SELECT cut, (SELECT count(*) FROM b WHERE label = 'allow' AND bin >= cut) * nb + (SELECT count(*) FROM b WHERE label = 'block' AND bin < cut) * na AS good FROM range(0, {BINS + 1}) q(cut), n WHERE na > 0 AND nb > 0),
+      l AS (SELECT coalesce((SELECT cut FROM c ORDER BY good DESC, abs(cut - {BINS // 2}), cut LIMIT 1), {BINS // 2}) AS least)
+      SELECT page_id, host, path, rule.name AS rule, coalesce(rule.verdict, CASE WHEN {step.format("coalesce(score, 0)")} >= least THEN 'allow' ELSE 'block' END) AS verdict
       FROM l, p LEFT JOIN s ON s.t = p.t AND s.label IS NULL"""
 
 
