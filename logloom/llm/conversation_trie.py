@@ -27,6 +27,8 @@ from logloom.sources import load
 BLOCK = 256
 #: Conversation ids, by value, that one row of the sorted list of copies spans.
 ID_SPAN = 65_536
+#: Probes of the fat binary search in one job.
+STEPS = 3
 _LOW = -(1 << 62)
 
 
@@ -64,8 +66,9 @@ def with_shared_starts(turns: DataFrame, tables: Scratch) -> tuple[DataFrame, Da
     return own.unionByName(shared), ids.select("conv_id")
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """``conv_id, depth, h, k, n, total``: the name (h, k) of each prefix, the size of its last turn, and of all of it."""
+def prefixes(turns: DataFrame, tables: Scratch) -> DataFrame:
+    """``conv_id, depth, h, k, n, total, nh, nk``: the name (h, k) of each prefix, the size of its last turn, and of all of
+    it, and the name of the prefix one turn longer (null for the last)."""
     each = [F.xxhash64(F.lit(seed), "depth", "turn_hash").alias(c) for c, seed in (("h", 1), ("k", 2))]
     rows = turns.select("conv_id", "depth", F.floor(F.col("depth") / BLOCK).alias("_b"), *each, "n")
     inside = Window.partitionBy("conv_id", "_b").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,9 +78,12 @@ def prefixes(turns: DataFrame) -> DataFrame:
     rows = rows.select("conv_id", "depth", "_b", "n", F.bit_xor("h").over(inside).alias("h"), F.bit_xor("k").over(inside).alias("k"), F.sum("n").over(inside).alias("total"))
     zero = F.lit(0).cast("bigint")
     plus = rows.join(carried, ["conv_id", "_b"], "left")
-    return plus.select(
+    plus = plus.select(
         "conv_id", "depth", F.col("h").bitwiseXOR(F.coalesce("_h", zero)).alias("h"), F.col("k").bitwiseXOR(F.coalesce("_k", zero)).alias("k"), "n", (F.col("total") + F.coalesce("_n", zero)).alias("total")
     )
+    plus = tables.written(plus, "prefixes")
+    ahead = plus.filter("depth > 1").select("conv_id", (F.col("depth") - 1).alias("depth"), F.col("h").alias("nh"), F.col("k").alias("nk"))
+    return plus.join(ahead, ["conv_id", "depth"], "left")
 
 
 def two_fattest(low: Column, high: Column) -> Column:
@@ -86,11 +92,14 @@ def two_fattest(low: Column, high: Column) -> Column:
     return F.when(low < high, F.call_function("shiftleft", F.call_function("shiftright", high, bits), bits))
 
 
-def _edges(points: DataFrame, chains: DataFrame, names: DataFrame) -> DataFrame:
+def _edges(done: DataFrame, names: DataFrame) -> DataFrame:
     """Edges ``q, a, b`` of all chains, with the names of their handle (f, fh, fk), their first turn (th, tk) and their end
-    (bh, bk). ``points`` has the explicit depths of each chain, its end among them."""
+    (bh, bk): a chain is cut where others are attached to it or end."""
+    none = F.lit(None).cast("bigint")
+    points = done.filter("p IS NOT NULL").select(F.col("p").alias("q"), F.col("x").alias("b"), none.alias("top"))
+    points = points.unionByName(done.filter("x < n").select(F.col("c").alias("q"), F.col("n").alias("b"), F.col("x").alias("top"))).groupBy("q", "b").agg(F.max("top").alias("top"))
     w = Window.partitionBy("q").orderBy("b")
-    e = points.join(chains.select("q", "top"), "q").withColumn("a", F.coalesce(F.lag("b").over(w), F.col("top"))).select("q", "a", "b")
+    e = points.select("q", F.coalesce(F.lag("b").over(w), F.max("top").over(Window.partitionBy("q"))).alias("a"), "b")
     e = e.withColumn("f", two_fattest(F.col("a"), F.col("b")))
     asked = e.select("q", "a", "b", "f", F.explode(F.array_distinct(F.array("f", F.col("a") + 1, "b"))).alias("d"))
     found = asked.join(names.select(F.col("conv_id").alias("q"), F.col("depth").alias("d"), "h", "k"), ["q", "d"])
@@ -98,40 +107,51 @@ def _edges(points: DataFrame, chains: DataFrame, names: DataFrame) -> DataFrame:
     return found.groupBy("q", "a", "b", "f").agg(*[F.max(F.when(is_, F.col(c))).alias(kind + c) for kind, is_ in kinds.items() for c in ("h", "k")])
 
 
-def _located(active: DataFrame, edges: DataFrame, mine: DataFrame, names: DataFrame, steps: int) -> DataFrame:
-    """``c, n, p, x, nh, nk``: where each active conversation leaves the trie (depth x of chain p, null for the root) and
-    the name of its prefix one turn further. ``active`` has the point (p, x) up to which it is known to agree, ``mine``
-    the prefixes of active conversations, ``names`` all prefixes."""
+def _searched(active: DataFrame, edges: DataFrame, mine: DataFrame, tables: Scratch, job: str) -> DataFrame:
+    """``c, n, p, x, e``: the edge with the deepest handle that is a prefix of the conversation, by fat binary search from
+    depth x on (null: none). STEPS probes make one job; those whose interval is closed take no part in the next."""
     mine = mine.select(F.col("conv_id").alias("c"), F.col("depth").alias("f"), F.col("h").alias("fh"), F.col("k").alias("fk"))
     handles = edges.select("f", "fh", "fk", F.struct("q", "a", "b", F.col("bh").alias("h"), F.col("bk").alias("k")).alias("_e"))
     none = F.lit(None).cast("struct<q:bigint,a:bigint,b:bigint,h:bigint,k:bigint>")
-    now = active.select("c", "n", "p", "x", F.col("x").alias("lo"), F.col("n").alias("hi"), none.alias("e"))
-    for _ in range(steps):
-        now = now.withColumn("f", two_fattest(F.col("lo"), F.col("hi"))).join(mine, ["c", "f"], "left").join(handles, ["f", "fh", "fk"], "left")
-        hit = F.col("_e").isNotNull()
-        lo, hi = F.when(hit, F.col("_e.b")).otherwise(F.col("lo")), F.when(F.col("f").isNotNull() & ~hit, F.col("f") - 1).otherwise(F.col("hi"))
-        now = now.select("c", "n", "p", "x", lo.alias("lo"), hi.alias("hi"), F.coalesce("_e", "e").alias("e"))
+    now, closed, k = active.select("c", "n", "p", "x", F.col("x").alias("lo"), F.col("n").alias("hi"), none.alias("e")), None, 0
+    while True:
+        for _ in range(STEPS):
+            now = now.withColumn("f", two_fattest(F.col("lo"), F.col("hi"))).join(mine, ["c", "f"], "left").join(handles, ["f", "fh", "fk"], "left")
+            hit = F.col("_e").isNotNull()
+            lo, hi = F.when(hit, F.col("_e.b")).otherwise(F.col("lo")), F.when(F.col("f").isNotNull() & ~hit, F.col("f") - 1).otherwise(F.col("hi"))
+            now = now.select("c", "n", "p", "x", lo.alias("lo"), hi.alias("hi"), F.coalesce("_e", "e").alias("e"))
+        now = tables.written(now, f"{job}-{k}")
+        some = now.filter("lo >= hi").select("c", "n", "p", "x", "e")
+        closed = some if closed is None else closed.unionByName(some)
+        now, k = now.filter("lo < hi"), k + 1
+        if now.isEmpty():
+            return closed
+
+
+def _located(active: DataFrame, edges: DataFrame, mine: DataFrame, names: DataFrame, tables: Scratch, job: str) -> DataFrame:
+    """``c, n, p, x, nh, nk``: where each active conversation leaves the trie (depth x of chain p, null for the root) and
+    the name of its prefix one turn further. ``active`` has the point (p, x) up to which it is known to agree, ``mine``
+    the prefixes of active conversations, ``names`` all prefixes."""
+    now = _searched(active, edges, mine, tables, job)
     # At the end of the edge found: does the conversation reach it, and is there an edge on from there?
-    at = F.coalesce(F.col("e.b"), F.col("x"))
-    here = mine.select("c", F.col("f").alias("_at"), F.col("fh").alias("_h"), F.col("fk").alias("_k"))
-    ahead = mine.select("c", (F.col("f") - 1).alias("_at"), F.col("fh").alias("nh"), F.col("fk").alias("nk"))
-    now = now.withColumn("_at", at).join(here, ["c", "_at"], "left").join(ahead, ["c", "_at"], "left")
+    here = mine.select(F.col("conv_id").alias("c"), F.col("depth").alias("_at"), F.col("h").alias("_h"), F.col("k").alias("_k"), "nh", "nk")
+    root = mine.filter("depth = 1").select(F.col("conv_id").alias("c"), F.lit(0).cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("_h"), F.lit(0).cast("bigint").alias("_k"), F.col("h").alias("nh"), F.col("k").alias("nk"))
+    now = now.withColumn("_at", F.coalesce(F.col("e.b"), F.col("x"))).join(here.unionByName(root), ["c", "_at"], "left")
     full = F.col("e").isNull() | F.coalesce((F.col("_h") == F.col("e.h")) & (F.col("_k") == F.col("e.k")), F.lit(False))
     tops = edges.select(F.col("a").alias("_at"), F.col("th").alias("nh"), F.col("tk").alias("nk"), F.struct("q", "a", "b").alias("_child"))
     now = now.withColumn("full", full).join(tops, ["_at", "nh", "nk"], "left")
     own = F.when(~F.col("full"), F.struct(F.col("e.q").alias("q"), F.col("e.a").alias("a"), F.col("e.b").alias("b")))
-    now = now.withColumn("on", F.when(F.col("full"), F.col("_child")).otherwise(own))
+    now = tables.written(now.withColumn("on", F.when(F.col("full"), F.col("_child")).otherwise(own)), f"{job}-reached")
     # How far it goes along that edge: prefixes of equal name.
     part = now.filter("on IS NOT NULL").select("c", F.col("on.q").alias("q"), F.col("on.a").alias("a"), F.least(F.col("on.b"), F.col("n")).alias("b"))
-    steps_ = part.join(mine, "c").filter("f > a AND f <= b").select("c", "q", "f", "fh", "fk")
+    own = mine.select(F.col("conv_id").alias("c"), F.col("depth").alias("f"), F.col("h").alias("fh"), F.col("k").alias("fk"), "nh", "nk")
     theirs = names.select(F.col("conv_id").alias("q"), F.col("depth").alias("f"), F.col("h").alias("fh"), F.col("k").alias("fk"))
-    agree = steps_.join(theirs, ["q", "f", "fh", "fk"]).groupBy("c").agg(F.max("f").alias("_x"))
+    along = part.join(own, "c").filter("f > a AND f <= b").join(theirs, ["q", "f", "fh", "fk"])
+    agree = along.groupBy("c").agg(F.max_by(F.struct(F.col("f").alias("x"), "nh", "nk"), "f").alias("_x"))
     now = now.join(agree, "c", "left")
     p = F.when(F.col("on").isNotNull(), F.col("on.q")).when(F.col("e").isNotNull(), F.col("e.q")).otherwise(F.col("p"))
-    x = F.when(F.col("on").isNotNull(), F.col("_x")).otherwise(F.col("_at"))
-    out = now.select("c", "n", p.alias("p"), x.cast("bigint").alias("x"))
-    after = mine.select("c", (F.col("f") - 1).alias("x"), F.col("fh").alias("nh"), F.col("fk").alias("nk"))
-    return out.join(after, ["c", "x"], "left")
+    new = {c: F.when(F.col("on").isNotNull(), F.col(f"_x.{c}")).otherwise(F.col("_at" if c == "x" else c)).alias(c) for c in ("x", "nh", "nk")}
+    return now.select("c", "n", p.alias("p"), new["x"], new["nh"], new["nk"])
 
 
 def grown(strings: DataFrame, names: DataFrame, tables: Scratch) -> DataFrame:
@@ -161,16 +181,13 @@ def grown(strings: DataFrame, names: DataFrame, tables: Scratch) -> DataFrame:
         left = located.filter("x < n").join(chosen.withColumnRenamed("c", "_c").drop("n"), same).filter("c <> _c")
         active = tables.written(left.select("c", "n", "p", "x"), f"active-{k}")
         tables.free(f"located-{k}", f"chosen-{k}")
-        longest = active.agg(F.max(F.col("n") - F.col("x"))).first()[0]
-        if longest is None:
+        if active.isEmpty():
             return done
-        chains = done.filter("x < n").select(F.col("c").alias("q"), F.col("x").alias("top"), F.col("n").alias("b"))
-        points = done.filter("p IS NOT NULL").select(F.col("p").alias("q"), F.col("x").alias("b")).unionByName(chains.select("q", "b")).distinct()
-        edges = tables.written(_edges(points, chains, names), f"edges-{k}")
+        edges = tables.written(_edges(done, names), f"edges-{k}")
         mine = tables.written(mine.join(active.select(F.col("c").alias("conv_id")), "conv_id", "left_semi"), f"names-{k}")
         if k:
             tables.free(f"active-{k - 1}", f"edges-{k - 1}", f"names-{k - 1}")
-        located = _located(active, edges, mine, names, int(longest).bit_length())
+        located = _located(active, edges, mine, names, tables, f"search-{k}")
         k += 1
 
 
@@ -213,7 +230,8 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     explicit points of one chain are one window, after they are combined by depth.
     """
     tables = Scratch(turns.sparkSession, "prefix-trie")
-    names = tables.written(prefixes(turns), "names")
+    names = tables.written(prefixes(turns, tables), "names")
+    tables.free("prefixes")
     zero = F.lit(0).cast("bigint")
     last = names.groupBy("conv_id").agg(F.max("depth").alias("n"), F.max_by(F.struct("h", "k"), "depth").alias("e"))
     every = ids.join(last, "conv_id", "left").select("conv_id", F.coalesce("n", zero).alias("n"), F.coalesce("e.h", zero).alias("h"), F.coalesce("e.k", zero).alias("k"))
