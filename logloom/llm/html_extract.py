@@ -1,12 +1,15 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page becomes a list of blocks (stretches of text between block-level tags). A block has its word count and link
-density, those of the blocks before and after it, and what its open tags and their class, id and role words say of it.
-A decision tree, grown on the small labelled table of html_training, says which blocks are main text. Where tags name the
-article, their marks decide; where nothing does, counts and densities of the block and its neighbours.
+density, those of the blocks before and after it, and the marks that it stands in: elements whose tag, class, id or role
+words speak of main text or of page furniture. A mark alone decides nothing, as it may be the class of a layout wrapper,
+of the article itself or a form around the page: with it go the share of the page's prose that its element holds, whether it holds
+the page's title, and whether a mark of the other kind lies inside it. A decision tree, grown on the small labelled
+table of html_training, weighs all of these and says which blocks are main text.
 """
 
 import html
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +26,12 @@ from logloom.sources import load
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-_SILENT = frozenset("head script style template noscript svg math iframe object canvas audio video textarea select button datalist title noframes".split())
+_SILENT = frozenset("head script style template noscript svg annotation annotation-xml iframe object canvas audio video textarea select button datalist title noframes".split())
 _RAW = frozenset("script style textarea title iframe noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CHROME = frozenset("nav footer aside form menu dialog search".split())
+_CHROME = frozenset("nav footer aside menu dialog search".split())
 _MAIN = frozenset("article main".split())
+_PARAGRAPHS = frozenset("p li dd dt blockquote pre td".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening one of these ends an open paragraph; li, td and so on end an open one of their kind.
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "title", "legend", "caption", "summary", "dt", "dd", "li"}
@@ -53,42 +57,79 @@ _ATTRIBUTE = regex.compile(r"""(=?[^\s/>=]++)(?>\s*+=\s*+(?>"([^"]*+)"?|'([^']*+
 #: Class names of layout wrappers, which say what a page has, not what the element is.
 _WRAPPER = regex.compile(r"^(?:has|no|with|without|is|js|layout)-|-with-|-wrap|-layout|container$")
 _PART = regex.compile(r"[a-z]+")
+_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+_NO_SPACE = regex.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 _CAMEL = regex.compile(r"(?<=[a-z])(?=[A-Z])")
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "main", "chrome", "chrome_inside_main", "heading", "ends_sentence", "page_main")
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "main", "main_share", "main_title", "chrome", "chrome_share", "chrome_title",
+    "inner", "heading", "ends_sentence", "page_main", "sibling_share", "between_prose",
+    "main_twins", "chrome_twins", "paragraph", "title_in_main",
+)
+#: A block of fewer words, or a heading, is no prose.
+_PROSE_WORDS = 6
+
+
+@dataclass(slots=True)
+class Mark:
+    """An element that speaks of main text (2 by its tag or role, 1 by class or id words) or of furniture (3 a form, 2 by its
+    tag or role, 1 by class or id words), in another (-1: none), its name and class, the words of prose in it, and whether
+    it holds the title."""
+
+    outer: int
+    main: int
+    chrome: int
+    kind: tuple[str, str]
+    prose: int = 0
+    title: bool = False
 
 
 @dataclass(slots=True)
 class Block:
-    """``main``: 2 in an element that is an article by its tag or role, 1 by its class or id, 0 elsewhere."""
+    """``main`` and ``chrome``: places of the innermost mark of either kind (-1: none); ``mark``: of the innermost at all;
+    ``siblings`` numbers the element that the block's own element stands in; ``heading`` its level (0: none); ``paragraph``:
+    whether a p, an item or a quotation is the innermost block element."""
 
     text: str
     words: int
     linked: int
     main: int
-    chrome: bool
-    chrome_inside: bool
-    heading: bool
+    chrome: int
+    mark: int
+    heading: int
+    siblings: int
+    paragraph: bool
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
+    @property
+    def prose(self) -> int:
+        return 0 if self.heading or self.words < _PROSE_WORDS else self.words - self.linked
+
 
 @dataclass(slots=True)
 class _Open:
-    """An open element: depths of the innermost main and chrome elements (0: none), how strong the main mark is, whether
-    text is silent, linked or a heading, and how many block elements are open up to this one."""
+    """An open element: innermost marks, whether text is silent, linked or a heading, the numbers of the innermost block
+    element and of the one around that, and how many block elements are open up to this one."""
 
     name: str = ""
-    main: int = 0
-    strength: int = 0
-    chrome: int = 0
-    hard: int = 0
+    main: int = -1
+    chrome: int = -1
+    mark: int = -1
     silent: bool = False
     link: bool = False
-    heading: bool = False
+    heading: int = 0
+    box: int = 0
+    around: int = -1
     blocks: int = 0
+    paragraph: bool = False
+
+
+def _split(text: str) -> list[str]:
+    """Words between white space; the separators U+001C to U+001F are not taken for it, as str.split does."""
+    return _NO_SPACE.findall(text) if _SEPARATORS.search(text) else text.split()
 
 
 def _named_kind(token: str) -> tuple[int, bool, bool]:
@@ -103,22 +144,26 @@ def _named_kind(token: str) -> tuple[int, bool, bool]:
     return bool(parts & _MAIN_WORDS) and known and not chrome and not top, chrome, top
 
 
-def _marks(name: str, attributes: str, in_main: bool) -> tuple[int, bool, bool]:
-    """How strongly an element says that it is main text; whether it is page furniture; whether it is hidden."""
-    main, chrome, hidden, top = 2 if name in _MAIN else 0, name in _CHROME, False, name == "header"
+def _marks(name: str, attributes: str, in_main: bool) -> tuple[int, int, bool, str]:
+    """How strongly an element says that it is main text, and furniture; whether it is hidden; its class."""
+    class_ = ""
+    main, chrome, hidden, top = 2 if name in _MAIN else 0, 3 if name == "form" else 2 if name in _CHROME else 0, False, name == "header"
     if "=" in attributes or "hidden" in attributes.lower():
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key == "class":
+                class_ = value
             if key in ("class", "id", "role", "itemprop", "aria-label", "data-role"):
                 for token in _CAMEL.sub("-", value).lower().replace("_", "-").split():
                     says_main, says_chrome, says_top = _named_kind(token)
-                    chrome |= says_chrome
+                    if says_chrome:
+                        chrome = max(chrome, 2 if key == "role" else 1)
                     top |= says_top
                     if says_main or token in ("article-body",):
                         main = max(main, 2 if key in ("role", "itemprop") else 1)
             elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "").lower()) or (key == "aria-hidden" and value.lower() == "true"):
                 hidden = True
-    return main, chrome or (top and not in_main), hidden
+    return main, max(chrome, int(top and not in_main)), hidden, class_
 
 
 class _Stack:
@@ -145,20 +190,21 @@ class _Stack:
             self.places[self.open.pop().name].pop()
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; scripts, styles, head, controls and hidden elements have none. The time is
-    linear in the length of the page."""
+def blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """The text blocks of a page in order, and its marks, outer ones first; scripts, styles, head, controls and hidden
+    elements have no blocks. The time is linear in the length of the page."""
     out: list[Block] = []
+    marks: list[Mark] = []
+    boxes = 0
     stack = _Stack()
     text: list[str] = []
     linked: list[str] = []
 
     def flush():
-        whole = " ".join("".join(text).split())
+        whole = " ".join(_split("".join(text)))
         if whole:
             top = stack.open[-1]
-            n_linked = len("".join(linked).split())
-            out.append(Block(whole, len(whole.split()), n_linked, top.strength if top.main else 0, top.chrome > 0, 0 < top.main < top.chrome, top.heading))
+            out.append(Block(whole, len(_split(whole)), len(_split("".join(linked))), top.main, top.chrome, top.mark, top.heading, top.around, top.paragraph))
         text.clear()
         linked.clear()
 
@@ -211,41 +257,95 @@ def blocks(page: str) -> list[Block]:
                 close(stack.last("head"))
         if name in _VOID:
             continue
-        top, depth = stack.open[-1], len(stack.open)
-        main, chrome, hidden = _marks(name, m[3], top.main > 0)
-        if name in ("body", "html"):
-            main, chrome = 0, False
-        # A wrapper whose class speaks of a sidebar or banner may still hold the page's one main element.
-        over = top.hard if name == "main" else top.chrome
+        top = stack.open[-1]
+        main, chrome, hidden, class_ = _marks(name, m[3], top.main >= 0)
+        is_block, mark = name in _BLOCK, top.mark
+        if (main or chrome) and name not in ("body", "html"):
+            mark = len(marks)
+            marks.append(Mark(top.mark, main, chrome, (name, class_)))
+        else:
+            main = chrome = 0
+        boxes += is_block
         stack.push(
             _Open(
-                name,
-                depth if main and not over else top.main,
-                max(main, top.strength) if main and not over else top.strength,
-                depth if chrome else over,
-                depth if name in _CHROME else top.hard,
-                top.silent or hidden or name in _SILENT,
-                top.link or name == "a",
-                top.heading or name in _HEADINGS,
-                top.blocks + (name in _BLOCK),
+                name, mark if main else top.main, mark if chrome else top.chrome, mark, top.silent or hidden or name in _SILENT, top.link or name == "a",
+                int(name[1]) if name in _HEADINGS else top.heading, boxes if is_block else top.box, top.box if is_block else top.around, top.blocks + is_block,
+                name in _PARAGRAPHS if is_block else top.paragraph,
             )
         )
         if name in _RAW and not m[3].endswith("/"):
             end = regex.compile(rf"</{name}(?=[\s/>]|\Z)", regex.I).search(page, at)
             at = end.start() if end else len(page)
     flush()
-    return out
+    return out, marks
+
+
+def _title(found: list[Block]) -> int:
+    """Place of the heading that seems to be the page's title, or -1: the first of level 1 (if none, of level 2) that as much as a fifth
+    of the longest prose after any heading follows."""
+    follow, at = {}, -1
+    for i, b in enumerate(found):
+        if b.heading and b.heading < 3:
+            at = i
+            follow[at] = 0
+        elif at >= 0:
+            follow[at] += b.prose
+    most = max(follow.values(), default=0)
+    good = [i for i, n in follow.items() if 5 * n >= most]
+    return next((i for i in good if found[i].heading == 1), good[0] if good else -1)
 
 
-def features(found: list[Block]) -> np.ndarray:
+def features(found: list[Block], marks: list[Mark]) -> np.ndarray:
     """One row of FEATURES for each block; at the ends of a page a neighbour has no words and no links."""
-    n = len(found)
-    x = np.zeros((n, len(FEATURES)))
+    x = np.zeros((len(found), len(FEATURES)))
+    if not found:
+        return x
+    siblings: dict[int, int] = {}
+    prose = [b.prose for b in found]
+    if not any(prose):
+        prose = [b.words - b.linked for b in found]
+    for b, n in zip(found, prose):
+        siblings[b.siblings] = siblings.get(b.siblings, 0) + n
+        if b.mark >= 0:
+            marks[b.mark].prose += n
+    title = _title(found)
+    if title >= 0 and found[title].mark >= 0:
+        marks[found[title].mark].title = True
+    for m in reversed(marks):
+        if m.outer >= 0:
+            marks[m.outer].prose += m.prose
+            marks[m.outer].title |= m.title
+    total = max(1, sum(prose))
+    twins = Counter(m.kind for m in marks)
+    # First and last prose inside each main mark (or outside all): what lies between is amid the text.
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i, b in enumerate(found):
+        if prose[i] and b.chrome <= b.main:
+            first.setdefault(b.main, i)
+            last[b.main] = i
     for i, b in enumerate(found):
         x[i, 0], x[i, 1] = b.words, b.density
-        x[i, 6:10] = b.main, b.chrome, b.chrome_inside, b.heading
-        x[i, 10] = b.text[-1] in ".!?…。\"”»:;)"
-    x[:, 11] = max((b.main for b in found if not b.chrome), default=0)
+        if b.main >= 0:
+            m = marks[b.main]
+            x[i, 6:9] = m.main, m.prose / total, m.title
+            x[i, 18] = twins[m.kind]
+        if b.chrome >= 0:
+            c = marks[b.chrome]
+            x[i, 9:12] = c.chrome, c.prose / total, c.title
+            x[i, 19] = twins[c.kind]
+        if b.main >= 0 and b.chrome >= 0:
+            x[i, 12] = np.sign(b.main - b.chrome)
+        x[i, 13], x[i, 14] = b.heading > 0, b.text[-1] in ".!?…。\"”»:;)"
+        x[i, 16] = siblings[b.siblings] / total
+        x[i, 20] = b.paragraph
+        x[i, 17] = first.get(b.main, i) < i < last.get(b.main, i)
+    # Main marks of the page count where no mark of furniture of less than half the prose is around them.
+    small = []
+    for m in marks:
+        small.append((m.chrome > 0 and 2 * m.prose < total) or (m.outer >= 0 and small[m.outer]))
+    x[:, 15] = max((m.main for m, in_small in zip(marks, small) if not in_small), default=0)
+    x[:, 21] = title >= 0 and found[title].main >= 0
     x[1:, 2:4] = x[:-1, 0:2]
     x[:-1, 4:6] = x[1:, 0:2]
     return x
@@ -255,18 +355,18 @@ def tree() -> Tree:
     """Grown from the labelled table; a block is labelled main if the table lists its text."""
     xs, ys = [], []
     for page, main in html_training.PAGES:
-        found = blocks(page)
-        xs.append(features(found))
+        found, marks = blocks(page)
+        xs.append(features(found, marks))
         ys.append(np.array([b.text in main for b in found], float))
-    return grow(np.vstack(xs), np.concatenate(ys), depth=16)
+    return grow(np.vstack(xs), np.concatenate(ys), depth=24)
 
 
 def main_text(page: str | None, classifier: Tree) -> tuple[str, int, int]:
     """Main text, blocks kept, and blocks in all."""
-    found = blocks(page) if page else []
+    found, marks = blocks(page) if page else ([], [])
     if not found:
         return "", 0, 0
-    keep = classifier.predict(features(found)) >= 0.5
+    keep = classifier.predict(features(found, marks)) >= 0.5
     return "\n\n".join(b.text for b, k in zip(found, keep) if k), int(keep.sum()), len(found)
 
 

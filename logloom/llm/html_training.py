@@ -2,7 +2,9 @@
 
 Some pages are written out; the others follow from a rule: furniture (menus, taglines, adverts, teasers, sidebars, foot
 lines) around an article, with or without tags and class names that give the article or the furniture away. Where
-nothing does, only word counts and link densities of a block and its neighbours tell main text from the rest.
+nothing does, only word counts and link densities of a block and its neighbours tell main text from the rest. In some,
+names mislead: layout wrappers, whole-page forms and articles with a class word of furniture, and comments that are longer than
+the article and are articles themselves.
 """
 
 import random
@@ -113,6 +115,8 @@ def _article(w: _Writer, plain: bool) -> tuple[str, set[str]]:
     for i in range(n):
         if plain and i in (0, n - 1):
             put("p", w.some(16, 50, "."))
+            if i and w.chance(0.3):
+                put("p", w.some(1, 8, w.rnd.choice(".!")))
         elif w.chance(0.15):
             put(w.rnd.choice(["h3", "p", "div"]), w.some(1, 5))
         elif w.chance(0.25):
@@ -168,7 +172,7 @@ def _bare(seed: int) -> tuple[str, set[str]]:
     return "<body>" + (f"<h1>{lines[0]}</h1>" if w.chance(0.4) else f"<p>{lines[0]}</p>") + "".join(f"<p>{x}</p>" for x in lines[1:]) + "</body>", set(lines)
 
 
-_FURNITURE = ["<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", "<div class='ad'>{}</div>", "<div class='sidebar'>{}</div>", "<div id='cookie-notice'>{}</div>", "<form>{}</form>", "<div class='site-footer'>{}</div>"]
+_FURNITURE = ["<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", "<div class='ad'>{}</div>", "<div class='sidebar'>{}</div>", "<div id='cookie-notice'>{}</div>", "<form>{}</form>", "<div class='site-footer'>{}</div>", "<aside><article>{}</article></aside>", "<nav><main>{}</main></nav>", "<footer><div class='text'>{}</div></footer>"]
 
 
 def _furniture(w: _Writer) -> str:
@@ -185,6 +189,89 @@ def _marked_furniture(seed: int) -> tuple[str, set[str]]:
     return f"<body>{_furniture(w)}{_furniture(w)}<div>{inner}</div>{_furniture(w)}{_after(w) if w.chance(0.3) else ''}</body>", main
 
 
+# Class words of furniture that layout wrappers and articles may have as well.
+_MISLEADING = "sidebar sidebar-left sidebar-right page-sidebar content-sidebar banner footer-fixed notice newsletter social share related story-promo popup widget comments article-comments discussion login popular feedback legal recommended promo".split()
+
+
+def _opener(w: _Writer) -> tuple[str, str]:
+    name = w.rnd.choice(["<article>", "<main>", "<div role='main'>", "<div class='content'>", "<div id='story'>", "<div>", "<section>"])
+    return name, "</" + name[1:-1].split()[0] + ">"
+
+
+def _wrapped(seed: int) -> tuple[str, set[str]]:
+    """A layout wrapper whose class speaks of furniture, around furniture and the article."""
+    w = _Writer(seed)
+    inner, main = _article(w, plain=True)
+    open_, close = _opener(w)
+    name = w.rnd.choice(["wrapper ", "page ", "", "layout ", "row "]) + w.rnd.choice(_MISLEADING)
+    inside = (_furniture(w) if w.chance(0.5) else "") + open_ + inner + close + (_furniture(w) if w.chance(0.6) else "")
+    return f"<body>{_furniture(w) if w.chance(0.6) else ''}<div class='{name}'>{inside}</div>{_furniture(w) if w.chance(0.6) else ''}</body>", main
+
+
+def _misnamed(seed: int) -> tuple[str, set[str]]:
+    """An article with a class word of furniture, and furniture with the same one."""
+    w = _Writer(seed)
+    inner, main = _article(w, plain=True)
+    word = w.rnd.choice(_MISLEADING)
+    open_ = w.rnd.choice([f"<article class='{word}'>", f"<article class='post {word}'>", f"<div class='post {word}'>", f"<section id='{word}'>", f"<div class='{word}'>"])
+    close = "</" + open_[1:].split()[0] + ">"
+    same = f"<div class='{word}'><p>{w.some(2, 25, '.')}</p></div>" if w.chance(0.5) else ""
+    return f"<body>{_furniture(w) if w.chance(0.6) else ''}{open_}{inner}{close}{same}{_furniture(w)}</body>", main
+
+
+def _comments(w: _Writer, most: int) -> str:
+    kind = w.rnd.choice(["<div class='comment'>{}</div>", "<article>{}</article>", "<article class='comment'>{}</article>", "<li>{}</li>", "<div class='comment-body text'>{}</div>"])
+    items = "".join(kind.format(f"<p>{w.some(1, 60, w.rnd.choice(['.', '', '!']))}</p>" + (f"<p>{w.some(3, 30, '.')}</p>" if w.chance(0.2) else "")) for _ in range(w.rnd.randint(1, most)))
+    head = f"<{(h := w.rnd.choice(['h2', 'h3', 'h4', 'p']))}>{w.some(1, 3)}</{h}>" if w.chance(0.7) else ""
+    box = w.rnd.choice(["<section class='comments'>{}</section>", "<div id='comments'>{}</div>", "<ol class='comment-list'>{}</ol>", "<div class='discussion'>{}</div>", "<section id='replies'>{}</section>"])
+    return box.format(head + items)
+
+
+def _commented(seed: int) -> tuple[str, set[str]]:
+    """Comments behind or inside the article's element, at times of more words than the article."""
+    w = _Writer(seed)
+    inner, main = _article(w, plain=True)
+    open_, close = _opener(w)
+    said = _comments(w, w.rnd.choice([3, 12, 25]))
+    body = open_ + inner + said + close if w.chance(0.3) and open_ != "<div>" else open_ + inner + close + said
+    if w.chance(0.3):
+        body = "<main>" + body + "</main>"
+    return f"<body>{_furniture(w) if w.chance(0.6) else ''}{body}{_furniture(w) if w.chance(0.6) else ''}</body>", main
+
+
+def _formed(seed: int) -> tuple[str, set[str]]:
+    """A form around the whole page."""
+    page, main = random.Random(seed).choice([_marked_furniture, _wrapped, _commented, lambda k: _marked(k, _OPEN), lambda k: _marked(k, _WEAK)])(seed)
+    return page.replace("<body>", "<body><form id='pageForm' method='post'>").replace("</body>", "</form></body>"), main
+
+
+def _closed(seed: int) -> tuple[str, set[str]]:
+    """A title, prose and a short close, straight in the body or one element; foot lines there are no sentences."""
+    w = _Writer(seed)
+    lines = [w.some(14, 60, ".") for _ in range(w.rnd.randint(1, 5))] + [w.some(1, 7, w.rnd.choice(".!"))]
+    title = w.some(1, 7)
+    inner = (f"<h1>{title}</h1>" if w.chance(0.7) else f"<div>{title}</div>") + "".join(f"<p>{x}</p>" for x in lines)
+    if w.chance(0.4):
+        inner = f"<div>{inner}</div>"
+    foot = f"<div>{w.some(2, 9)}</div>" if w.chance(0.5) else ""
+    line = f"<div>{w.some(2, 6)}</div>" if w.chance(0.3) else ""
+    return f"<body>{_links(w, w.rnd.randint(2, 6), w.chance(0.5)) if w.chance(0.5) or line else ''}{line}{inner}{foot}</body>", {title, *lines}
+
+
+def _tiny(seed: int) -> tuple[str, set[str]]:
+    """An article of a few words that its tag alone tells from lines around it."""
+    w = _Writer(seed)
+    lines = [w.some(1, 5, w.rnd.choice(["", "."])) for _ in range(w.rnd.randint(1, 4))]
+    name = w.rnd.choice(["article", "main"])
+    if w.chance(0.6):  # furniture of more words than the article
+        around = [f"<{t}><p>{w.some(8, 60, w.rnd.choice(['.', '']))}</p></{t}>" if w.chance(0.7) else _furniture(w) for t in ("aside", "footer", "nav") if w.chance(0.7)]
+        title = f"<h1>{(t := w.some(2, 9))}</h1>" if w.chance(0.7) else ""
+        main = {*lines, t} if title else set(lines)
+        return f"<body>{''.join(around[1:])}<{name}>{title}{''.join(f'<p>{x}</p>' for x in lines)}</{name}>{''.join(around[:1])}</body>", main
+    line = lambda p: w.rnd.choice(["<div>{}</div>", "<nav>{}</nav>", "<p>{}</p>", "<nav><main>{}</main></nav>", "<aside><article>{}</article></aside>"]).format(w.some(1, 6)) if w.chance(p) else ""
+    return f"<body>{line(0.7)}<{name}>{''.join(f'<p>{x}</p>' for x in lines)}</{name}>{line(0.5)}</body>", set(lines)
+
+
 _OPEN = ["<article>", "<main>", "<div role='main'>", "<article class='post'>"]
 _WEAK = ["<div class='content'>", "<section id='main-content'>", "<div class='entry-content'>", "<div id='story'>"]
 
@@ -197,6 +284,12 @@ def _marked(seed: int, openers: list[str]) -> tuple[str, set[str]]:
         inner = inner.replace("</p>", "</p>" + _furniture(w), 1)
     if openers is _WEAK and w.chance(0.6):
         inner = (_links(w, w.rnd.randint(3, 7), True) if w.chance(0.5) else "") + inner + _links(w, w.rnd.randint(3, 7), True)
+    if w.chance(0.3):  # a list of links amid the text belongs to it
+        items = [w.some(1, 6) for _ in range(w.rnd.randint(1, 4))]
+        at = inner.find("</p><")
+        if 0 <= at < inner.rfind("<p>"):
+            inner = inner[: at + 4] + "<ul>" + "".join(f"<li><a href='/'>{x}</a></li>" for x in items) + "</ul><p>" + (last := w.some(12, 30, ".")) + "</p>" + inner[at + 4 :]
+            main |= {*items, last}
     prose = "".join(f"<p>{w.some(1, 40, w.rnd.choice(['', '.']))}</p>" for _ in range(w.rnd.randint(0, 3)))
     name = w.rnd.choice(openers)
     close = "</" + name[1:-1].split()[0] + ">"
@@ -205,9 +298,15 @@ def _marked(seed: int, openers: list[str]) -> tuple[str, set[str]]:
 
 PAGES = (
     _WRITTEN
-    + [_unmarked(k) for k in range(150)]
-    + [_bare(k) for k in range(500, 540)]
-    + [_marked_furniture(k) for k in range(1000, 1060)]
-    + [_marked(k, _OPEN) for k in range(2000, 2150)]
-    + [_marked(k, _WEAK) for k in range(3000, 3060)]
+    + [_unmarked(k) for k in range(250)]
+    + [_bare(k) for k in range(500, 620)]
+    + [_marked_furniture(k) for k in range(1000, 1200)]
+    + [_marked(k, _OPEN) for k in range(2000, 2250)]
+    + [_marked(k, _WEAK) for k in range(3000, 3250)]
+    + [_wrapped(k) for k in range(4000, 4300)]
+    + [_misnamed(k) for k in range(5000, 5250)]
+    + [_commented(k) for k in range(6000, 6600)]
+    + [_formed(k) for k in range(7000, 7500)]
+    + [_closed(k) for k in range(8000, 8250)]
+    + [_tiny(k) for k in range(9000, 9300)]
 )
