@@ -11,6 +11,7 @@ table of html_training, weighs all of these and says which blocks are main text.
 import html
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -351,8 +352,9 @@ def features(found: list[Block], marks: list[Mark]) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
 def tree() -> Tree:
-    """Grown from the labelled table; a block is labelled main if the table lists its text."""
+    """Grown from the labelled table, once a process; a block is labelled main if the table lists its text."""
     xs, ys = [], []
     for page, main in html_training.PAGES:
         found, marks = blocks(page)
