@@ -10,6 +10,7 @@ of the pairs it has, so a pair that is everywhere is one row a slice.
 import hashlib
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,58 +25,75 @@ from logloom.llm.arrow_texts import bound_batches, released
 from logloom.plans import Scratch
 from logloom.sources import load
 
-#: Bytes of text that are aligned together; a longer text is a slice of its own.
-SLICE_BYTES = 1_000_000
-#: Words that a worker remembers the tokens of, for each tokenizer.
-REMEMBERED = 60_000
-#: Longer words are not remembered.
-LONG_WORD = 64
+#: Bytes of text that are aligned together, and whose new words are encoded together; a longer text is a slice of its own.
+SLICE_BYTES, WORD_BYTES = 1_000_000, 4_000_000
+#: Words, and bytes of them, that a worker remembers the tokens of, for each tokenizer.
+REMEMBERED, REMEMBERED_BYTES = 150_000, 8_000_000
 ADDED = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"}
 
 
+class _Numbers(dict):
+    """Numbers words as they come, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word):
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[i] .. starts[i] + sizes[i] - 1 of all i, in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class WordMemory:
     """Token ids of texts, word by word: ``split`` cuts a text into words whose tokens don't depend on what is around
-    them, ``encode`` gives the ids of many words. A word whose tokens' bytes are not its own makes its text bad."""
+    them, ``encode`` gives the ids of many words in a row and the number of each word's. A word whose tokens' bytes are
+    not its own makes its text bad."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[np.ndarray]], token_bytes: list[bytes]):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], token_bytes: list[bytes]):
         self.split, self.encode, self.bytes = split, encode, token_bytes
         self.sizes = pa.array([len(b) for b in token_bytes], pa.int64())
-        self.known: dict[str, np.ndarray | None] = {}
-
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, the number of each text's, and which texts are bad (these have none)."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, words = self.known, [self.split(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        long = []
-        for w, ids in zip(new, self.encode(new)):
-            known[w] = ids if b"".join([self.bytes[i] for i in ids.tolist()]) == w.encode() else None
-            if len(w) > LONG_WORD:
-                long.append(w)
-        parts, counts, bad = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        for i, ws in enumerate(words):
-            own = [known[w] for w in ws]
-            if any(x is None for x in own):
-                bad[i] = True
-            elif own:
-                parts += own
-                counts[i] = sum(map(len, own))
-        for w in long:
-            del known[w]
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), counts, bad
+        self._forget()
+
+    def _forget(self):
+        self.numbers, self.ids, self.held = _Numbers(), np.zeros(0, np.int32), 0
+        self.start = self.size = np.zeros(0, np.int64)
+        self.bad = np.zeros(0, bool)
+
+    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts in a row, and how many each text has; valid until the next call."""
+        if len(self.numbers) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self._forget()
+        found = [np.array(list(map(self.numbers.__getitem__, self.split(t))), np.int32) for t in texts]
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            ids, size = self.encode(new)
+            raw = [w.encode() for w in new]
+            until = np.cumsum(size)
+            bad = np.zeros(len(new), bool)
+            if b"".join(map(self.bytes.__getitem__, ids.tolist())) != b"".join(raw):
+                bad[:] = [b"".join(map(self.bytes.__getitem__, ids[z - n : z].tolist())) != w for w, n, z in zip(raw, size.tolist(), until.tolist())]
+            self.start = np.append(self.start, len(self.ids) + until - size)
+            self.size, self.ids, self.bad = np.append(self.size, size), np.append(self.ids, ids), np.append(self.bad, bad)
+            self.held += sum(map(len, raw))
+        return (np.concatenate(found) if found else np.zeros(0, np.int32)), np.array([len(f) for f in found], np.int64)
+
+    def tokens(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts given by word numbers, in a row, the number of each text's, and which texts are bad."""
+        size, until = self.size[words], np.concatenate(([0], np.cumsum(counts)))
+        tokens, bad = np.concatenate(([0], np.cumsum(size)))[until], np.concatenate(([0], np.cumsum(self.bad[words])))[until]
+        return self.ids[_spread(self.start[words], size)], np.diff(tokens), np.diff(bad) > 0
 
 
 def byte_level(spec: str) -> WordMemory:
     """A byte-level BPE from the text of its JSON file; strings of special tokens are ordinary text."""
     vocab = bpe.Vocabulary(spec)
-    vocab.special, vocab.split = {}, None
-
-    def encode(words: list[str]) -> list[np.ndarray]:
-        ids, sizes = bpe.merge_words(vocab, [w.encode() for w in words])
-        return np.split(ids, np.cumsum(sizes)[:-1]) if words else []
-
-    return WordMemory(regex.compile(bpe.PATTERN).findall, encode, vocab.tokens)
+    return WordMemory(regex.compile(bpe.PATTERN).findall, lambda words: bpe.merge_words(vocab, [w.encode() for w in words]), vocab.tokens)
 
 
 def pieces(model: bytes) -> WordMemory:
@@ -85,10 +103,12 @@ def pieces(model: bytes) -> WordMemory:
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-    space = sp.piece_to_id("▁")
+    space = [sp.piece_to_id("▁")]
 
-    def encode(words: list[str]) -> list[np.ndarray]:
-        return [np.array(ids if w != " " else [space], np.int32) for w, ids in zip(words, sp.encode([w[1:] for w in words], num_threads=1))]
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [ids or space for ids in sp.encode([w[1:] for w in words], num_threads=1)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     raw = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
     return WordMemory(re.compile(" +[^ ]*").findall, encode, raw)
@@ -113,11 +133,23 @@ class Aligner:
         self.a, self.b = a, b
         self.decimals = pa.array(list(map(str, range(max(len(a.bytes), len(b.bytes))))), pa.string())
 
-    def aligned(self, texts: list[str | None]) -> dict:
-        """For each text n_a, n_b, n_groups, n_links and groups_sha256; for each link its pair, as a place in the lists
-        pair_a, pair_b and pair_n (how many links of the slice have it)."""
+    def slices(self, texts: list[str | None]):
+        """Number of texts and ``aligned`` of each slice of the texts, of about SLICE_BYTES."""
         spaced = [" " + t if t else "" for t in texts]
-        (a, na, bad_a), (b, nb, bad_b) = self.a.tokens(spaced), self.b.tokens(spaced)
+        numbered = [m.number(spaced) for m in (self.a, self.b)]
+        starts = [np.concatenate(([0], np.cumsum(counts))) for _, counts in numbered]
+        sizes = np.cumsum([len(t) for t in spaced])
+        low = 0
+        while low < len(texts):
+            high = min(len(texts), max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + SLICE_BYTES))))
+            part = [(words[at[low] : at[high]], counts[low:high]) for (words, counts), at in zip(numbered, starts)]
+            yield high - low, self.aligned(*part)
+            low = high
+
+    def aligned(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> dict:
+        """For each text, given by its words in both memories, n_a, n_b, n_links and groups_sha256; for each link its pair, as
+        a place in the lists pair_a, pair_b and pair_n (how many links of the slice have it)."""
+        (a, na, bad_a), (b, nb, bad_b) = self.a.tokens(*a), self.b.tokens(*b)
         bad = bad_a | bad_b
         if bad.any():
             a, b = a[~np.repeat(bad, na)], b[~np.repeat(bad, nb)]
@@ -128,7 +160,7 @@ class Aligner:
         right = pa.table({"doc": db, "end": eb, "b": fb, "j": pa.array(np.arange(len(fb), dtype=np.int32))})
         links = left.join(right, ["doc", "end"], join_type="inner", use_threads=False).sort_by("i").combine_chunks()
         doc, i, j = (links.column(c).to_numpy() for c in ("doc", "i", "j"))
-        n_links = np.bincount(doc, minlength=len(texts)).astype(np.int64)
+        n_links = np.bincount(doc, minlength=len(na)).astype(np.int64)
         groups = pc.binary_join_element_wise(
             _joined(self.decimals.take(fa), np.concatenate(([0], i + 1)), ","), _joined(self.decimals.take(fb), np.concatenate(([0], j + 1)), ","), "|"
         )
@@ -153,6 +185,14 @@ def _aligner(spec: str, model: bytes) -> Aligner:
     return _aligners[spec, model]
 
 
+_LISTS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "pair": pa.int32(), "pair_a": pa.int32(), "pair_b": pa.int32(), "pair_n": pa.int64()}
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """A list array whose only value is all of ``values``."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 _SLICE = "slice bigint, {row}, n_a array<bigint>, n_b array<bigint>, n_links array<bigint>, groups_sha256 array<string>, pair array<int>, pair_a array<int>, pair_b array<int>, pair_n array<bigint>"
 
 
@@ -164,14 +204,12 @@ def _slices(spec: str, model: bytes):
             sizes = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64).cumsum()
             low = 0
             while low < len(text):
-                high = min(len(text), max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + SLICE_BYTES))))
-                got = aligner.aligned(text.slice(low, high - low).to_pylist())
-                one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
-                kinds = {"n_a": pa.int64(), "n_b": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "pair": pa.int32(), "pair_a": pa.int32(), "pair_b": pa.int32(), "pair_n": pa.int64()}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), one(batch.column("_row").slice(low, high - low), None), *[one(got[c], k) for c, k in kinds.items()]], names=["slice", "rows", *kinds]
-                )
-                number, low = number + 1, high
+                high = min(len(text), max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + WORD_BYTES))))
+                for n, got in aligner.slices(text.slice(low, high - low).to_pylist()):
+                    kept = batch.column("_row").slice(low, n)
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), _one(kept), *[_one(pa.array(got[c], k)) for c, k in _LISTS.items()]], names=["slice", "rows", *_LISTS])
+                    number, low = number + 1, low + n
+            pa.default_memory_pool().release_unused()
 
     return rows
 

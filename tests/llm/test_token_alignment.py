@@ -75,6 +75,7 @@ def hard_texts(seed, n):
 def test_equals_the_libraries(spark, monkeypatch, slice_bytes):
     monkeypatch.setattr(ta, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(ta, "REMEMBERED", 50)
+    monkeypatch.setattr(ta, "WORD_BYTES", 4 * slice_bytes)
     texts = hard_texts(1, 400) + ["word " * 5000, "x" * 5000, "the the"]
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
     got = run(spark.createDataFrame(rows, "doc_id bigint, text string, n_a string, extra int").repartition(5))
