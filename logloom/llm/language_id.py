@@ -1,15 +1,16 @@
 """Language of a text by a string kernel: blended-spectrum n-gram presence, Nyström landmarks, ridge regression.
 
 The kernel of two texts is the mean over n = 1, 2, 3 of the n-grams they share, over the geometric mean of what each
-has. Texts are lower-cased and read over an alphabet of 64 symbols: the letters most frequent in training, one symbol
-for other letters, and one for each stretch of anything else. Landmark texts give each text one kernel value each;
+has. Texts are lower-cased and read as letters, of any script, and one symbol for each stretch of anything else; an n-gram
+is numbered by the code points themselves, so no alphabet is learned and no two letters are one. Landmark texts give each text one kernel value each;
 Nyström's map turns these into features, and one ridge regression per language (one versus the rest) scores them. A
 batch of texts is one presence matrix, and scoring is two matrix products.
 """
 
+import sys
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,75 +21,77 @@ from logloom.llm.arrow_texts import packed, texts_of, unpacked
 from logloom.llm.samples import fold, per_class, texts_of_sample
 from logloom.sources import load
 
-SYMBOLS = 64
 ORDERS = (1, 2, 3)
-_SIZES = [SYMBOLS**n for n in ORDERS]
-_STARTS = np.concatenate(([0], np.cumsum(_SIZES)))
+#: Bits of a code point; three of them are one number of 63.
+_BITS = 21
 #: Training texts and landmarks for each language, at most.
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS = 800, 24, 2000
 RIDGE = 1e-2
 HOLD_OUT, HELD = 4, 2
-BATCH = 128
+#: Texts of a batch, at most, and cells of its presence matrix (it holds one text at least).
+BATCH, CELLS = 128, 16_000_000
 #: Characters of a text that are numbered together.
 PART = 500_000
 
 
-def alphabet_of(texts: list[str]) -> np.ndarray:
-    """Symbol of each code point up to U+FFFF: 0 no letter, 1 another letter, then the most frequent letters."""
-    counts = Counter(c for t in texts for c in t.lower() if c.isalpha() and ord(c) < 65536)
-    table = np.zeros(65536, np.uint8)
-    table[[i for i in range(65536) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = 1
-    for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]):
-        table[ord(c)] = k + 2
-    return table
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def codes_in_parts(table: np.ndarray, text: str, part: int = PART):
-    """Numbers of all n-grams in a text, with repeats, a stretch of the text at a time; two symbols carry over."""
-    before = np.zeros(1, np.int32)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def n_grams(text: str, part: int = PART) -> list[np.ndarray]:
+    """For each order the distinct n-grams of a text, ascending; the text is read a stretch at a time, and two symbols
+    carry over. A text begins and ends with the symbol that is no letter."""
+    found: list[list[np.ndarray]] = [[] for _ in ORDERS]
+    before = np.zeros(1, np.int64)
     for at in range(0, max(1, len(text)), part):
-        points = np.frombuffer(text[at : at + part].lower().encode("utf-32-le", errors="replace"), np.uint32)
-        s = np.where(points < 65536, table[np.minimum(points, 65535)], 1)
-        s = np.concatenate((before, s, [0] if at + part >= len(text) else [])).astype(np.int32)
+        points = np.frombuffer(text[at : at + part].lower().encode("utf-32-le", errors="replace"), np.uint32).astype(np.int64)
+        s = np.concatenate((before, np.where(_letters()[points], points, 0), [0] if at + part >= len(text) else []))
+        s = s.astype(np.int64)
         s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))]
-        pair = s[:-1] * SYMBOLS + s[1:]
-        triple = pair[:-1] * SYMBOLS + s[2:]
-        yield np.concatenate([s, pair + _STARTS[1], triple + _STARTS[2]])
+        pair = (s[:-1] << _BITS) | s[1:]
+        for k, x in enumerate((s, pair, (pair[:-1] << _BITS) | s[2:])):
+            found[k].append(_distinct(x))
         before = s[-2:]
+    return [x[0] if len(x) == 1 else _distinct(np.concatenate(x)) for x in found]
 
 
-def codes_of(table: np.ndarray, text: str) -> np.ndarray:
-    return np.concatenate(list(codes_in_parts(table, text)))
-
-
-def presence(table: np.ndarray, texts: list[str], columns: np.ndarray) -> np.ndarray:
-    """Presence of ``columns`` in each text, each order scaled by the number of its n-grams in the text."""
-    out = np.zeros((len(texts), len(columns)), np.float32)
-    cuts = np.searchsorted(columns, _STARTS)
-    seen = np.zeros(_STARTS[-1], bool)
+def presence(texts: list[str], columns: list[np.ndarray]) -> np.ndarray:
+    """Presence of ``columns`` (n-grams of each order, ascending) in each text, each order scaled by the number of its
+    n-grams in the text."""
+    out = np.zeros((len(texts), sum(map(len, columns))), np.float32)
     for i, t in enumerate(texts):
-        for codes in codes_in_parts(table, t):
-            seen[codes] = True
-        row = seen[columns]
-        for k in range(len(ORDERS)):
-            n = int(np.count_nonzero(seen[_STARTS[k] : _STARTS[k + 1]]))
-            out[i, cuts[k] : cuts[k + 1]] = row[cuts[k] : cuts[k + 1]] / np.sqrt(max(1, n) * len(ORDERS))
-        seen[:] = False
+        first = 0
+        for own, known in zip(n_grams(t), columns):
+            if len(known) and len(own):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                out[i, first + at[known[at] == own]] = 1 / np.sqrt(len(own) * len(ORDERS))
+            first += len(known)
     return out
 
 
+def _batches(n: int, columns: list[np.ndarray]):
+    size = max(1, min(BATCH, CELLS // max(1, sum(map(len, columns)))))
+    return ((a, min(n, a + size)) for a in range(0, n, size))
+
+
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray
-    columns: np.ndarray
+    columns: list[np.ndarray]
     landmarks: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts x languages."""
-        return presence(self.table, texts, self.columns) @ self.landmarks.T @ self.weights + self.offset
+        return presence(texts, self.columns) @ self.landmarks.T @ self.weights + self.offset
 
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
@@ -96,15 +99,14 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
-    table = alphabet_of([r[1] for r in rows])
     each = max(1, min(LANDMARKS_PER_LANGUAGE, MOST_LANDMARKS // len(languages)))
     chosen = [t for lang in languages for t in [r[1] for r in rows if r[0] == lang][:each]]
-    columns = np.unique(np.concatenate([codes_of(table, t) for t in chosen]))
-    landmarks = presence(table, chosen, columns)
+    columns = [_distinct(np.concatenate(x)) for x in zip(*map(n_grams, chosen))]
+    landmarks = presence(chosen, columns)
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    kernel = np.vstack([presence(table, [r[1] for r in rows[a : a + BATCH]], columns) @ landmarks.T for a in range(0, len(rows), BATCH)])
+    kernel = np.vstack([presence([r[1] for r in rows[a:b]], columns) @ landmarks.T for a, b in _batches(len(rows), columns)])
     x = kernel @ root
     number = {k: i for i, k in enumerate(languages)}
     y = np.eye(len(languages))[[number[r[0]] for r in rows]]
@@ -113,7 +115,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     mean_x, mean_y = (w * x).sum(0) / w.sum(), (w * y).sum(0) / w.sum()
     xc = x - mean_x
     beta = np.linalg.solve(xc.T @ (w * xc) + RIDGE * len(rows) / 100 * np.eye(x.shape[1]), xc.T @ (w * (y - mean_y)))
-    return Model(languages, table, columns, landmarks, (root @ beta).astype(np.float32), (mean_y - mean_x @ beta).astype(np.float32))
+    return Model(languages, columns, landmarks, (root @ beta).astype(np.float32), (mean_y - mean_x @ beta).astype(np.float32))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
@@ -136,8 +138,8 @@ def _predicted(model: Model | None, text_col: str):
             texts = texts_of(batch, text_col).to_pylist()
             has = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if model else []
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            for a in range(0, len(has), BATCH):
-                some = has[a : a + BATCH]
+            for a, b in _batches(len(has), model.columns) if has else ():
+                some = has[a:b]
                 s = model.scores([texts[i] for i in some])
                 for i, k, v in zip(some, s.argmax(axis=1).tolist(), np.clip(s.max(axis=1), 0, 1).tolist()):
                     lang[i], score[i] = model.languages[k], v
@@ -149,7 +151,7 @@ def _predicted(model: Model | None, text_col: str):
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` plus lang_pred and score (0..1); und with 0 for texts that are null or have no letter, and for all texts
     if there was nothing to learn from. Long texts are read whole, a stretch at a time; equal scores go to the language
-    that comes first by name; repeated rows give repeated rows. In the query a null id is not held out. Input columns of these names give way; the model (a few MB, bounded by the
+    that comes first by name; repeated rows give repeated rows. In the query a null id is held out, as no text without an id is learned. Input columns of these names give way; the model (a few MB, bounded by the
     landmark numbers) travels with the tasks and nothing is shuffled."""
     rows, names, row = packed(docs, ["lang_pred", "score"], text_col)
     out = rows.mapInArrow(_predicted(model, text_col), f"_row {row}, lang_pred string, score double")
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
 def query(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    held = F.coalesce(fold("doc_id", HOLD_OUT) == HELD, F.lit(False)).alias("held_out")
+    held = F.coalesce(fold("doc_id", HOLD_OUT) == HELD, F.lit(True)).alias("held_out")
     found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held, "lang_pred", "score")
 

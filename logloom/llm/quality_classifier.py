@@ -20,12 +20,13 @@ THRESHOLD = 0.3
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: dict = SAMPLE) -> byte_convnet.Net:
     """A network fitted on the driver to at most ``sample`` whole texts per label, of ids outside the held-out fold.
 
-    Ids with several labels take the smallest; ids with several texts count once; labels other than 0 and 1, null ids and
-    texts above 64 KB are left out. Without labels every score will be 0.5; with one label only, it is a constant near that label.
+    Ids with several labels take the smallest; ids with several texts count once; labels other than 0 and 1, and ids that are null or
+    have no text, are left out, as are texts above 64 KB of a label that has shorter ones. Without labels every score will be 0.5; with one label only, it is a constant near that label.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col, HOLD_OUT) != 0)).groupBy(F.col(id_col).cast("string").alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
-    chosen = per_class(known, "_id", "_label", sample)
-    texts = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
+    sizes = texts.groupBy("_id").agg(F.min(F.octet_length("_text")).alias("_size"))
+    chosen = per_class(known.join(sizes, "_id"), "_id", "_label", sample, "_size")
     rows = sorted((r._id, r._label, r._text) for r in texts_of_sample(texts, chosen, ["_id"], "_text"))
     y = np.array([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -50,7 +51,7 @@ def _scored(net, text_col):
 def score(docs: DataFrame, net: byte_convnet.Net, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``score`` in 0..1 (an input column of that name gives way). Every byte of every text is read,
     and slices of bounded size, or a single long text, lie in memory at a time; null texts count as empty; repeated rows
-    give repeated rows. In the query a null id is held out. The network is a few dozen kilobytes and travels with the tasks; nothing is shuffled."""
+    give repeated rows. In the query a null id is held out, as no text without an id is learned. The network is a few dozen kilobytes and travels with the tasks; nothing is shuffled."""
     rows, names, row = packed(docs, ["score"], text_col)
     return unpacked(rows.mapInArrow(released(_scored(net, text_col)), f"_row {row}, score double"), names, ["score"])
 
