@@ -20,11 +20,12 @@ from logloom.sources import load
 WINDOW = 13
 #: Words of benchmark text in one automaton, about: it takes some 0.7 KB a word. A larger benchmark is scanned for in
 #: several passes.
-BLOCK_WORDS = 600_000
+BLOCK_WORDS = 400_000
+#: Windows of an item that stay together; longer items are cut, so that no item makes a block larger.
+PIECE_WINDOWS = 20_000
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = regex.compile(_WORD_PATTERN)
+_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _RANGE = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
@@ -79,12 +80,12 @@ class Machine:
         return who - {None}, ranges
 
 
-_machines: dict[int, Machine] = {}
+_machines: dict[tuple, Machine] = {}
 
 
 def _machine(items: list[tuple[str | None, str]]) -> Machine:
     """Built once a worker, not once a task; a worker holds one at a time."""
-    key = hash(tuple(items))
+    key = tuple(items)
     if key not in _machines:
         _machines.clear()
         _machines[key] = Machine(items)
@@ -118,13 +119,29 @@ def _pass(items, text_col):
     return rows
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items in blocks of about BLOCK_WORDS words; only one block's texts are in the driver at a time."""
+def _cut(size: int):
+    """Pieces of items, normalised: each window of an item begins in one piece of ``size`` windows, and is whole in it."""
+
+    def rows(batches):
+        for batch in batches:
+            for i, t in zip(batch.column("i").to_pylist(), batch.column("t")):
+                own = words(t.as_py())
+                for a in range(0, len(own), size):
+                    piece = own[a : a + size + WINDOW - 1]
+                    if a == 0 or len(piece) >= WINDOW:
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.string()), pa.array([b" ".join(piece).decode()]), pa.array([len(piece)], pa.int64())], names=["i", "t", "n"])
+
+    return rows
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, tables: Scratch | None = None):
+    """The items, long ones in pieces, in blocks of about BLOCK_WORDS words; only one block's texts are in the driver at a time."""
     items = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()
-    total = items.agg(F.sum(F.regexp_count("t", F.lit(_WORD_PATTERN)))).first()[0] or 0
+    pieces = (tables or Scratch(benchmark.sparkSession, "benchmark")).written(items.mapInArrow(_cut(PIECE_WINDOWS), "i string, t string, n bigint"), "items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
     n = -(-total // BLOCK_WORDS) or 1
     for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        part = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
         yield sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] or "", x[1]))
 
 
@@ -134,7 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Null and wordless texts have no words and no hits; long texts are scanned whole. Items without words are never found;
     those with a null id count in the hits and are not listed; an empty benchmark finds nothing. Repeated items change
-    nothing, repeated rows give repeated rows. Input columns of the names above give way. Ids may be of any type.
+    nothing, repeated rows give repeated rows. An item of any length is scanned for in pieces that share no window. Input columns of the names above give way. Ids may be of any type.
     """
     added = ["n_words", "items", "hits", "hit_spans", "n_hit"]
     rows, names, _ = packed(docs, added, text_col)
@@ -143,7 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         F.array().cast("array<string>").alias("items"), *[F.array().cast("array<struct<start:bigint,stop:bigint>>").alias(c) for c in ("hits", "hit_spans")],
     )
     schema, tables = now.schema, Scratch(docs.sparkSession, "decontaminate")
-    for i, items in enumerate(_blocks(benchmark, item_id, item_text)):
+    for i, items in enumerate(_blocks(benchmark, item_id, item_text, tables)):
         if i:
             now = tables.written(now, f"pass-{i}")
             tables.free(f"pass-{i - 1}")

@@ -65,6 +65,21 @@ def test_a_large_benchmark_is_scanned_in_blocks(spark, monkeypatch):
     assert sorted(D.decontaminate(frame, bench).collect()) == want
 
 
+def test_windows_of_a_long_item_lie_in_several_blocks(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    monkeypatch.setattr(D, "PIECE_WINDOWS", 50)
+    monkeypatch.setattr(D, "BLOCK_WORDS", 300)
+    own = [rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(3000)]
+    items = [(1, " ".join(own)), (2, " ".join(own[:62])), (3, " ".join(own[100:162])), (4, " ".join(own[40:49]))]
+    docs = [" ".join(own[a : a + n]) for a in range(0, 200, 7) for n in (12, 13, 14, 70)] + [" ".join(own), "u " + " ".join(own[2980:]) + " v"]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert len(list(D._blocks(bench, "item_id", "text"))) > 8
+    got = D.decontaminate(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), bench).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, len(r["items"])) for r in got] == [w[:3] for w in brute(docs, items)]
+
+
 def test_repeated_rows_long_texts_and_text_ids(spark):
     _, items, _, _ = cases(spark)
     long = "filler words without end " * 200_000 + items[0][1] + " tail" * 3
