@@ -26,9 +26,9 @@ from logloom.plans import Scratch
 from logloom.sources import load
 
 #: Bytes of text that are aligned together, and whose new words are encoded together; a longer text is a slice of its own.
-SLICE_BYTES, WORD_BYTES = 1_000_000, 4_000_000
+SLICE_BYTES, WORD_BYTES = 300_000, 1_000_000
 #: Words, and bytes of them, that a worker remembers the tokens of, for each tokenizer.
-REMEMBERED, REMEMBERED_BYTES = 150_000, 8_000_000
+REMEMBERED, REMEMBERED_BYTES = 60_000, 4_000_000
 ADDED = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"}
 
 
@@ -236,7 +236,7 @@ def align(docs: DataFrame, byte_bpe_json: str, piece_model: str, text_col: str =
     U+2581) have no tokens: zeros and an empty string. Input columns of the names above give way. The files are read
     once on the driver (2 MB, whatever the corpus) and sent with the tasks. Tokens never have no bytes, so two tokens
     end at a byte at most and links are as many as groups. Each text is encoded once; what is kept of it between
-    the passes are the places of its links' pairs in its slice, 1 MB of text or a single longer one. Repeated rows give
+    the passes are the places of its links' pairs in its slice, 300 KB of text or a single longer one. Repeated rows give
     repeated rows.
     """
     spec = open(byte_bpe_json, encoding="utf-8").read()
