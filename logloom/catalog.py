@@ -11,7 +11,8 @@ def _register(module) -> None:
 
 from logloom.operators import analysis, blocks, chunks, daily, eligibility, lookups, notes, quality, replay, report, sessions, state  # noqa: E402
 from logloom.sources import documents, files  # noqa: E402
+from logloom.streaming import first_fit, outcomes, reopening  # noqa: E402
 from logloom.streaming import sessions as streamed  # noqa: E402
 
-for _module in (blocks, sessions, chunks, state, replay, report, notes, daily, eligibility, quality, lookups, analysis, files, documents, streamed):
+for _module in (blocks, sessions, chunks, state, replay, report, notes, daily, eligibility, quality, lookups, analysis, files, documents, streamed, reopening, first_fit, outcomes):
     _register(_module)

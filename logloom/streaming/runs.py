@@ -1,6 +1,6 @@
 """Streams over the driver's tables, and a sink that may be replayed."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -14,6 +14,19 @@ def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int |
     return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(f"{sf_dir.rstrip('/')}/{name[:-1]}[{name[-1]}].parquet")
 
 
+def _drain(df: DataFrame, path: str, mode: str, steps=None) -> DataFrame:
+    spark = df.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        for step in steps or ():
+            batch = step(batch, number)
+        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(StructType([*df.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{path}/out")
+
+
 def drained(df: DataFrame, name: str, mode: str, steps=None) -> DataFrame:
     """Runs the stream over all that is there and returns what it put out, with the batch of each row as ``_batch``.
 
@@ -22,15 +35,29 @@ def drained(df: DataFrame, name: str, mode: str, steps=None) -> DataFrame:
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, f"stream-{name}")
     spark.createDataFrame([], df.schema).write.parquet(f"{path}/out/_batch=-1")
+    return _drain(df, path, mode, steps)
 
-    def store(batch: DataFrame, number: int) -> None:
-        for step in steps or ():
-            batch = step(batch, number)
-        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={number}")
 
-    q = df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(StructType([*df.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{path}/out")
+def fed(rows: DataFrame, wave: Column, n: int, build, name: str, mode: str = "append") -> DataFrame:
+    """Rows that arrive in ``n`` waves (``wave`` numbers them from 0), in order: after each, the stream ``build`` makes of
+    what has arrived runs until it is done, and starts again from its checkpoint with the next. Returns what it put out.
+
+    The waves are written once, and each is renamed into the folder that the stream watches.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, f"fed-{name}")
+    rows.withColumn("_wave", wave.cast("int")).write.partitionBy("_wave").parquet(f"{path}/staged")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(f"{path}/in"))
+    made = lambda: build(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/in"))
+    out = made()
+    spark.createDataFrame([], out.schema).write.parquet(f"{path}/out/_batch=-1")
+    found = spark.read.schema(StructType([*out.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{path}/out")
+    for k in range(n):
+        if fs.exists(hadoop(f"{path}/staged/_wave={k}")):
+            fs.rename(hadoop(f"{path}/staged/_wave={k}"), hadoop(f"{path}/in/wave-{k}"))
+            found = _drain(made(), path, mode)
+    return found
 
 
 def latest(updates: DataFrame, by: list[str]) -> DataFrame:
