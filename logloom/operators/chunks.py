@@ -8,6 +8,7 @@ gathers the list. A fold copies the list it builds at each step, which only such
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators import cuts
 from logloom.sources import load
 
 
@@ -146,9 +147,16 @@ def q_chunk_tails(spark, sf_dir):
 
 
 def q_bundle_greedy(spark, sf_dir):
-    g = _turns(spark, sf_dir).withColumn("sums", prefix_sums(F.col("items"), "size"))
+    """Short conversations are one list each; of longer ones no list is made."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("size"))
+    short, long = cuts.split_by_length(c, "conv_id")
+    g = gathered(short, ["conv_id"], ["turn"], size=F.col("size")).withColumn("sums", prefix_sums(F.col("items"), "size"))
     b = g.select("conv_id", "sums", F.posexplode(bundle_bounds(F.col("items"), F.col("sums"), BUNDLE)).alias("bundle", "b"))
-    return b.select("conv_id", "bundle", (F.col("b.stop") - F.col("b.start")).alias("n_items"), (F.get("sums", F.col("b.stop")) - F.get("sums", F.col("b.start"))).alias("chars"))
+    near = b.select("conv_id", "bundle", (F.col("b.stop") - F.col("b.start")).alias("n_items"), (F.get("sums", F.col("b.stop")) - F.get("sums", F.col("b.start"))).alias("chars"))
+    if long is None:
+        return near
+    far = cuts.bundles(long, "conv_id", ["turn"], F.floor(F.col("turn") / 1000), "size", BUNDLE)
+    return near.unionByName(far.groupBy("conv_id", "bundle").agg(F.count("*").cast("int").alias("n_items"), F.sum("size").alias("chars")))
 
 
 def q_hier_reduce(spark, sf_dir):
@@ -157,13 +165,18 @@ def q_hier_reduce(spark, sf_dir):
 
 
 def q_timestamp_marks(spark, sf_dir):
-    """Marks of each user's day, of which at least four hours lie between two."""
+    """Marks of each user's day, of which at least four hours lie between two. Days of few events are one list each; of
+    longer ones no list is made."""
     t = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
-    e = load(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    g = gathered(e, ["user_id", "day"], ["ts", "event_id"], t=t)
+    e = load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", t.alias("t"))
+    short, long = cuts.split_by_length(e.withColumn("of", F.struct("user_id", "day")), "of")
+    g = gathered(short, ["user_id", "day"], ["ts", "event_id"], t=F.col("t"))
     flags = mark_flags(F.transform("items", lambda x: x["t"]), INTERVAL)
     z = g.select("user_id", F.explode(F.arrays_zip(F.col("items").alias("i"), flags.alias("m"))).alias("x"))
-    return z.select("user_id", F.col("x.i.event_id").alias("event_id"), F.col("x.m").alias("marked"))
+    near = z.select("user_id", F.col("x.i.event_id").alias("event_id"), F.col("x.m").alias("marked"))
+    if long is None:
+        return near
+    return near.unionByName(cuts.marks(long, "of", ["ts", "event_id"], F.hour("ts"), "t", INTERVAL).select("user_id", "event_id", "marked"))
 
 
 def q_timeline(spark, sf_dir):
