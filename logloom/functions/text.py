@@ -151,10 +151,11 @@ def _object(text: Column) -> Column:
 
 def extract_object(text: Column) -> Column:
     """The JSON object of a model's answer: the whole, else a fenced block, else the first balanced braces; null if none.
-    Only answers that the first two rules leave reach the UDF's work."""
+    The UDF sees null where one of the first two rules holds."""
     t = F.trim(strip_thoughts(text))
     fenced = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), lambda x: _object(x)), lambda x: x.isNotNull())
-    return F.coalesce(_object(t), F.get(fenced, F.lit(0)), _balanced(t))
+    sure = F.coalesce(_object(t), F.get(fenced, F.lit(0)))
+    return F.coalesce(sure, _balanced(F.when(sure.isNull(), t)))
 
 
 def clock(seconds: Column) -> Column:

@@ -4,29 +4,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logloom.plans import Scratch
 from logloom.sources import load
 
 
-def gap_blocks(df: DataFrame, key: str, start: str, end: str, gap_s: int, tie: str) -> DataFrame:
+def gap_blocks(df: DataFrame, key: str, start: str, end: str, gap_s: int, tie: str, bucket: Column | None = None) -> DataFrame:
     """Adds ``block`` (1-based per key): a part opens a block if the part before it has no known end, or if it
     starts strictly more than ``gap_s`` seconds after the running maximum of the ends before it.
 
-    An unknown end counts as its start in the running maximum, and the maximum restarts behind it.
-    Three windows with one shared partitioning: one shuffle, one sort.
+    An unknown end counts as its start in the running maximum, and the maximum restarts behind it. ``start`` is never null.
+    Windows are by key and ``bucket`` of the start (its day, unless given; it must not decrease along the start), so a key with a
+    third of all parts is many windows. A bucket is summed up in one row: the latest end behind its last unknown one, and
+    whether it has an unknown one; these sums compose along the buckets of a key, and say which end each bucket starts from. So do
+    the blocks opened in the buckets before. One exchange of the parts, and one written table.
     """
-    order = [F.col(start).asc(), F.col(end).asc_nulls_first(), F.col(tie).asc()]
-    w = Window.partitionBy(key).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    unknown_before = F.coalesce(F.sum(F.when(F.col(end).isNull(), 1).otherwise(0)).over(before), F.lit(0))
-    within = Window.partitionBy(key, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    running = F.max(F.coalesce(F.col(end), F.col(start))).over(within)
-    opens: Column = (F.row_number().over(w) == 1) | running.isNull() | (_seconds(start) - _seconds_of(running) > gap_s)
-    return (
-        df.withColumn("_seg", unknown_before)
-        .withColumn("_opens", F.when(opens, 1).otherwise(0))
-        .withColumn("block", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-        .drop("_seg", "_opens")
+    tables = Scratch(df.sparkSession, "gap-blocks")
+    at = F.coalesce(F.col(end), F.col(start))
+    # Keys are structs, as structs of nulls are equal in joins.
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(key).alias("_k"), F.struct((F.to_date(start) if bucket is None else bucket).alias("b")).alias("_b"),
+        F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(tie).alias("t")).alias("_o"), F.col(start).alias("_start"), at.alias("_at"), F.col(end).isNull().alias("_unknown"),
     )
+    order = [F.col("_o.s").asc(), F.col("_o.e").asc_nulls_first(), F.col("_o.t").asc()]
+    w = Window.partitionBy("_k", "_b").orderBy(*order)
+    seg = F.coalesce(F.count_if("_unknown").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy("_k", "_b", "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_seg", seg).withColumn("_reach", F.max("_at").over(within)).withColumn("_last", F.lead(F.lit(True)).over(w).isNull())
+    # The end that a bucket leaves to the next: null behind an unknown one.
+    left = F.when(~F.col("_unknown"), F.greatest("_reach", "_at"))
+    along = Window.partitionBy("_k").orderBy("_b")
+    ends = rows.filter("_last").select("_k", "_b", left.alias("_left"), ((F.col("_seg") > 0) | F.col("_unknown")).cast("int").alias("_cut"))
+    ends = ends.withColumn("_run", F.sum("_cut").over(along))
+    ends = ends.withColumn("_until", F.max("_left").over(Window.partitionBy("_k", "_run").orderBy("_b")))
+    ends = ends.select("_k", "_b", F.lag("_until").over(along).alias("_carried"))
+    both = rows.join(ends, ["_k", "_b"])
+    running = F.when(F.col("_seg") == 0, F.greatest("_reach", "_carried")).otherwise(F.col("_reach"))
+    opens = running.isNull() | (_seconds("_start") - _seconds_of(running) > gap_s)
+    both = both.withColumn("_opens", opens.cast("int")).withColumn("_here", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    both = tables.written(both.select("_row", "_k", "_b", "_here"), "opened")
+    opened = both.groupBy("_k", "_b").agg(F.max("_here").alias("_n"))
+    opened = opened.select("_k", "_b", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return both.join(opened, ["_k", "_b"]).select("_row.*", (F.col("_here") + F.col("_before")).cast("bigint").alias("block"))
 
 
 def _seconds_of(c: Column) -> Column:

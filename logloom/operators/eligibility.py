@@ -112,8 +112,8 @@ def requeueable(code: Column, origin: Column, entity: str) -> Column:
 
 
 #: Stages that read what the helper reports; all others go on without it.
-HELPER_STAGES = ("discover_parts", "evaluate_deletions", "settle_skipped_deletions", "requeue_failed")
-STAGES = ("discover_parts", "close_idle_sessions", "process_pending_parts", "refresh_vault_index", "process_ready_sessions", "evaluate_deletions", "settle_skipped_deletions", "requeue_failed")
+HELPER_STAGES = ("find_parts", "decide_deletions", "settle_skips", "retry_failed")
+STAGES = ("find_parts", "close_sessions", "transcribe_parts", "index_notes", "analyze_sessions", "decide_deletions", "settle_skips", "retry_failed")
 
 
 def gated_stages(helpers: DataFrame, age: str, most: int) -> DataFrame:
@@ -269,7 +269,7 @@ ORACLES = {
     + ", ".join(f"({e[0]}, '{e[1]}', '{e[3]}')" for e in dims.errors())
     + ", (35, 'NO_SUCH_CODE', 'none')) SELECT event_id, error_code, retry, retry = 'attempts' AS counts, CASE WHEN retry <> 'none' AND event_id % 4 IN (0, 2) THEN ['NORMALIZING', NULL, 'RAW_WRITING'][event_id % 4 + 1] END AS to_status FROM events JOIN e ON i = event_id % 36 WHERE event_type = 'error'",
     "source_gating": """WITH s AS (SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 10 * 60 END > 300, true) AS stale FROM supplier),
-      g(stage, helper) AS (VALUES ('discover_parts', true), ('close_idle_sessions', false), ('process_pending_parts', false), ('refresh_vault_index', false), ('process_ready_sessions', false), ('evaluate_deletions', true), ('settle_skipped_deletions', true), ('requeue_failed', true))
+      g(stage, helper) AS (VALUES ('find_parts', true), ('close_sessions', false), ('transcribe_parts', false), ('index_notes', false), ('analyze_sessions', false), ('decide_deletions', true), ('settle_skips', true), ('retry_failed', true))
       SELECT s_suppkey, stage, NOT stale OR NOT helper AS runs FROM s, g""",
     "staleness": """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN TIMESTAMP '2024-01-20' > ts END AS newer, event_id % 5 = 0 OR event_id % 100 > 60 AS stale,
       event_id % 7 <> 0 AND epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts)) > 86400 AS timed_out FROM events""",

@@ -47,13 +47,20 @@ def link_plan(candidates: DataFrame, by: list[str], place: str, kind: str, name:
     return c.withColumn("rendered", rendered).withColumn("dropped", ~F.col("_usable") | (F.col("_wants") & ~linked)).drop("_folded", "_known", "_usable", "_wants", "_o", "_last")
 
 
+#: Files that share a name, at most.
+NUMBERED = 99
+
+
 def numbered_names(notes: DataFrame, folder: str, name: str, key: str, order: list[str]) -> DataFrame:
     """File names without collisions: in a folder the first owner of a name keeps it, later keys get (2) to (99);
     beyond that the row's ``file`` is null. Notes of one key share one file."""
     first = notes.groupBy(folder, name, key).agg(F.min(F.struct(*order)).alias("_first"))
-    n = F.row_number().over(Window.partitionBy(folder, name).orderBy("_first", key))
-    named = first.withColumn("_n", n).withColumn("file", F.when(F.col("_n") == 1, F.concat(F.col(name), F.lit(".md"))).when(F.col("_n") <= 99, F.format_string("%s (%d).md", F.col(name), F.col("_n"))))
-    return notes.join(named.select(folder, name, key, "file"), [folder, name, key])
+    # A name with any number of keys is many parts; the first keys of each are all that the first of the name can be.
+    part = Window.partitionBy(folder, name, "_part").orderBy("_first", key)
+    few = first.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(SALTS))).withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= NUMBERED)
+    named = few.withColumn("_n", F.row_number().over(Window.partitionBy(folder, name).orderBy("_first", key))).filter(F.col("_n") <= NUMBERED)
+    file = F.when(F.col("_n") == 1, F.concat(F.col(name), F.lit(".md"))).otherwise(F.format_string("%s (%d).md", F.col(name), F.col("_n")))
+    return notes.join(named.select(folder, name, key, file.alias("file")), [folder, name, key], "left")
 
 
 def fingerprints(segments: DataFrame, by: list[str], order: list[str], at: str, end_at: str, said: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from logloom.functions import dims
 from logloom.sources import load
-from logloom.sources.logs import parse_lines, parsed
+from logloom.sources.logs import parse_lines, with_parsed
 
 
 def histogram(rows: DataFrame, status: str, domain: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _lines(spark, sf_dir):
 
 def q_log_parse(spark, sf_dir):
     """Both formats through one parser, in one row; ``agree`` says whether they read the same."""
-    both = _lines(spark, sf_dir).select("event_id", parsed(F.col("text")).alias("t"), parsed(F.col("json")).alias("j"))
+    both = with_parsed(with_parsed(_lines(spark, sf_dir), "text", "t"), "json", "j")
     cols = ["event", "elapsed_s", "chars", "rtf", "chunks", "recording_key"]
     same = F.forall(F.array(*[F.col(f"t.{c}").eqNullSafe(F.col(f"j.{c}")) for c in cols]), lambda x: x)
     return both.select("event_id", *[F.col(f"t.{c}").alias(c) for c in cols], same.alias("agree"))

@@ -37,17 +37,16 @@ def with_previous(log: DataFrame, key: str, order: list[str], bucket: Column, na
     """Adds ``name``, a struct of ``columns`` of the row before in the same entity (null for the first row).
 
     Windows are by entity and ``bucket`` (a day, for example; it must not decrease along ``order``), so an entity with a
-    third of all rows is many windows. Each bucket starts with a row that carries the last values of the bucket before
-    it: an aggregation, combined map-side, of one row an entity and bucket.
+    third of all rows is many windows. The first row of a bucket takes the last values of the bucket before it, one row an entity
+    and bucket, which come from the same sorted rows: one scan and one exchange of the log.
     """
-    rows = log.select(F.struct(*[F.col(f"`{c}`") for c in log.columns]).alias("_row"), F.col(key).alias("_k"), bucket.alias("_b"), F.struct(*order).alias("_o"), F.struct(*columns).alias("_v"))
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    last = rows.groupBy("_k", "_b").agg(F.max_by("_v", "_o").alias("_v"))
-    into = F.lead("_b").over(Window.partitionBy("_k").orderBy("_b"))
-    carried = last.withColumn("_next", into).filter("_next IS NOT NULL").select(F.lit(None).cast(kinds["_row"]).alias("_row"), "_k", F.col("_next").alias("_b"), F.lit(None).cast(kinds["_o"]).alias("_o"), "_v")
+    # The key is a struct, as structs of nulls are equal in joins.
+    rows = log.select(F.struct(*[F.col(f"`{c}`") for c in log.columns]).alias("_row"), F.struct(key).alias("_k"), F.struct(bucket.alias("b")).alias("_b"), F.struct(*order).alias("_o"), F.struct(*columns).alias("_v"))
     w = Window.partitionBy("_k", "_b").orderBy(F.col("_o").asc_nulls_first())
-    both = rows.unionByName(carried).withColumn("_prev", F.lag("_v").over(w)).filter("_row IS NOT NULL")
-    return both.select("_row.*", F.col("_prev").alias(name))
+    rows = rows.select("_row", "_k", "_b", "_v", F.lag("_v").over(w).alias("_prev"), F.lead(F.lit(True)).over(w).isNull().alias("_last"))
+    ends = rows.filter("_last").select("_k", F.lead("_b").over(Window.partitionBy("_k").orderBy("_b")).alias("_b"), F.col("_v").alias("_carried")).filter("_b IS NOT NULL")
+    both = rows.join(ends, ["_k", "_b"], "left")
+    return both.select("_row.*", F.coalesce("_prev", "_carried").alias(name))
 
 
 def with_origin(log: DataFrame, key: str, status: str, order: list[str], bucket: Column) -> DataFrame:

@@ -5,7 +5,8 @@ import threading
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock, _users, _before = threading.Lock(), 0, ""
@@ -92,3 +93,9 @@ class Scratch:
         """Deletes tables that no table or result to come reads."""
         for name in names:
             delete_folder(self.spark, f"{self.path}/{name}")
+
+
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` plus ``value`` as a column that later ones may read many times: it passes an explode of one row, as projects
+    above would else be merged and make it anew for each of its fields."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(value)).alias(name))

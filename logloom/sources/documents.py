@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.plans import shared_path
+from logloom.plans import once, shared_path
 from logloom.sources import files, sinks
 from logloom.sources.tables import load
 
@@ -131,7 +131,8 @@ def q_audio_probe(spark, sf_dir):
     k = F.col("l_orderkey") + F.col("l_linenumber")
     stream = F.struct(F.when(k % 3 == 0, "N/A").otherwise("48000").alias("sample_rate"), F.lit("1").alias("channels"), F.when(k % 4 == 0, "").otherwise("s16").alias("sample_fmt"), F.lit("pcm").alias("codec_name"))
     doc = F.to_json(F.struct(F.when(k % 7 == 0, F.array().cast("array<struct<sample_rate:string,channels:string,sample_fmt:string,codec_name:string>>")).otherwise(F.array(stream)).alias("streams"), F.struct(_str(F.col("l_quantity") - 3).alias("duration")).alias("format")))
-    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", files.audio_probe(doc).alias("p"))
+    li = once(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), files.probed(doc), "d")
+    li = li.select("l_orderkey", "l_linenumber", files.audio_format(F.col("d")).alias("p"))
     return li.select("l_orderkey", "l_linenumber", "p.duration_seconds", "p.sample_rate", "p.channels", "p.sample_fmt")
 
 

@@ -164,10 +164,14 @@ def asr_segments(content: Column, fallback_language: str) -> Column:
     return F.struct(lang.alias("language"), F.array_join(F.transform(segs, lambda s: s["text"]), "").alias("text"), segs.alias("segments"))
 
 
-def audio_probe(content: Column) -> Column:
-    """Format of the first stream of a probe's JSON, whose numbers are strings: unparsable or negative becomes null; null
+def probed(content: Column) -> Column:
+    """The document of a probe; of many, pass it through plans.once before audio_format, which reads it for each field."""
+    return json_or_null(content, "streams array<struct<sample_rate:string,channels:string,sample_fmt:string,codec_name:string>>, format struct<duration:string>")
+
+
+def audio_format(doc: Column) -> Column:
+    """Format of the first stream of a probe, whose numbers are strings: unparsable or negative becomes null; null
     as a whole without a stream."""
-    doc = json_or_null(content, "streams array<struct<sample_rate:string,channels:string,sample_fmt:string,codec_name:string>>, format struct<duration:string>")
     number = lambda c: F.when(c.try_cast("double") >= 0, c.try_cast("double"))
     said = lambda c: F.when(c != "", c)
     s = F.get(doc["streams"], F.lit(0))
@@ -177,6 +181,11 @@ def audio_probe(content: Column) -> Column:
     ))
 
 
+def audio_probe(content: Column) -> Column:
+    """audio_format of a probe's JSON."""
+    return audio_format(probed(content))
+
+
 def with_end(parts: DataFrame, start: str, seconds: str) -> DataFrame:
     """Adds ended_at; unknown without a duration."""
     end = F.col(start).cast("timestamp") + F.make_dt_interval(secs=F.col(seconds).cast("decimal(18,6)"))

@@ -20,8 +20,9 @@ def write_sidecars(rows: DataFrame, path: str, slug: str) -> None:
     rows.withColumn("shard", F.substring(slug, 1, 1)).write.partitionBy("shard").mode("overwrite").json(path)
 
 
-def read_sidecar(spark: SparkSession, path: str, schema: str, slug: str) -> DataFrame:
-    return spark.read.schema(schema).json(f"{path}/shard={slug[0]}")
+def read_sidecar(spark: SparkSession, path: str, schema: str, slug: str, column: str = "slug") -> DataFrame:
+    """Rows whose slug is ``slug``, or begins with it; only the folder of its first digit is read."""
+    return spark.read.schema(schema).json(f"{path}/shard={slug[0]}").filter(F.startswith(F.col(column), F.lit(slug)))
 
 
 def queue_requests(eligible: DataFrame, path: str, request_id: Column, now: Column) -> None:
