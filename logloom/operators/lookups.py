@@ -230,25 +230,6 @@ def q_path_roots(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", keys.under_root("/data", F.when(k % 11 != 0, path)).alias("inside"))
 
 
-def q_config_rules(spark, sf_dir):
-    """Settings that break a rule each, among nations: the rules that the checks name."""
-    from logloom.functions import config
-
-    names = [(i, "a/{date}" if i % 3 else "a/{oops}", "/abs" if i % 4 == 0 else "b") for i in range(25)]
-    rows = [(i, v.rule, v.key) for i, raw, wiki in names for v in config.violations({"obsidian": {"raw": {"folder_template": raw}, "wiki": {"folder_template": wiki}}, "extra": i}) if v.rule not in ("V-0",)]
-    told = spark.createDataFrame(rows, "n_nationkey int, rule string, key string")
-    return load(spark, sf_dir, "nation").select("n_nationkey").join(told, "n_nationkey")
-
-
-def q_config_notices(spark, sf_dir):
-    """Warnings that don't stop the start, for each combination of what a helper may report; and settings counted."""
-    from logloom.functions import config
-
-    doc = {"cleanup": {"delete_source_audio": True, "queue": ["a", "b"]}}
-    rows = [(str(d), str(m), ",".join(config.notices(doc, d, m)), ",".join(v.rule for v in config.lock_violations(doc, d, m)), config.leaf_count(doc)) for d in (True, False, None) for m in ("ro", "rw", None)]
-    return spark.createDataFrame(rows, "deletes string, mount string, notices string, violations string, settings int")
-
-
 def q_health(spark, sf_dir):
     s, k = load(spark, sf_dir, "supplier"), F.col("s_suppkey")
     facts = s.select(
@@ -278,8 +259,6 @@ QUERIES = {
     "schema_drift": q_schema_drift,
     "migration": q_migration,
     "path_roots": q_path_roots,
-    "config_rules": q_config_rules,
-    "config_notices": q_config_notices,
 }
 _P = "CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'P' THEN 'TRANSCRIBED' ELSE 'RAW_SAVED' END"
 ORACLES = {
@@ -311,8 +290,4 @@ ORACLES = {
     "schema_drift": "SELECT unnest(['extra o_orderpriority', 'missing o_comment', 'o_custkey is bigint, not int']) AS difference",
     "migration": "SELECT o_orderstatus, count(*) AS n, CAST(max(year(o_orderdate)) AS INTEGER) AS last_year, count(*) AS n_before, 3::INTEGER AS version FROM orders GROUP BY 1",
     "path_roots": "SELECT page_id, page_id % 11 <> 0 AND page_id % 5 IN (3, 4) AND page_id % 7 <> 0 AS inside FROM pages",
-    "config_rules": """WITH n AS (SELECT n_nationkey AS k FROM nation) SELECT k AS n_nationkey, 'V-1' AS rule, 'extra' AS key FROM n UNION ALL SELECT k, 'V-11', 'obsidian.wiki.folder_template' FROM n WHERE k % 4 = 0
-      UNION ALL SELECT k, 'V-13', 'obsidian.raw.folder_template' FROM n WHERE k % 3 = 0""",
-    "config_notices": """SELECT d AS deletes, m AS mount, 'V-26' || CASE WHEN d = 'None' THEN ',V-30' ELSE '' END || CASE WHEN m = 'None' THEN ',V-33' ELSE '' END AS notices,
-      concat_ws(',', CASE WHEN d = 'False' THEN 'V-30' END, CASE WHEN m = 'ro' THEN 'V-33' END) AS violations, 2::INTEGER AS settings FROM (VALUES ('True'), ('False'), ('None')) a(d), (VALUES ('ro'), ('rw'), ('None')) b(m)""",
 }
