@@ -136,6 +136,15 @@ def q_audio_probe(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", "p.duration_seconds", "p.sample_rate", "p.channels", "p.sample_fmt")
 
 
+def q_folder_scan(spark, sf_dir):
+    """Properties of events as files of seven device folders, and the folders listed again: files and bytes of each."""
+    e = load(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("user_id") % 7).alias("device"), "props")
+    path = shared_path(spark, "devices")
+    e.repartition("device").write.partitionBy("device").text(path)
+    found = files.listing(spark, path)
+    return found.filter(F.endswith("name", F.lit(".txt"))).groupBy(F.substring_index("device_id", "=", -1).alias("device")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 def q_listing_totals(spark, sf_dir):
     found = _listing(spark, sf_dir).filter(~F.col("name").endswith(files.META))
     number = F.regexp_extract("relpath", "^f([0-9]+)/", 1).cast("bigint")
@@ -189,9 +198,10 @@ _I = """i AS (SELECT s_suppkey // 8 AS inv, s_suppkey AS k, s_name, s_acctbal FR
 QUERIES = {
     "inbox_scan": q_inbox_scan, "device_scan": q_device_scan, "volume_check": q_volume_check, "inventory_read": q_inventory_read, "inventory_paths": q_inventory_paths, "inventory_write": q_inventory_write,
     "heartbeat_read": q_heartbeat, "transcript_read": q_transcript_read, "asr_read": q_asr_read, "delete_results_read": q_delete_results, "vault_names": q_vault_names, "audio_probe": q_audio_probe,
-    "listing_totals": q_listing_totals, "queue_counts": q_queue_counts, "notes_write": q_notes_write, "sidecars": q_sidecars, "request_queue": q_request_queue, "log_write": q_log_write,
+    "listing_totals": q_listing_totals, "folder_scan": q_folder_scan, "queue_counts": q_queue_counts, "notes_write": q_notes_write, "sidecars": q_sidecars, "request_queue": q_request_queue, "log_write": q_log_write,
 }
 ORACLES = {
+    "folder_scan": "SELECT 'd' || user_id % 7 AS device, 1::BIGINT AS files, CAST(sum(strlen(props) + 1) AS BIGINT) AS bytes FROM events GROUP BY 1",
     "inbox_scan": f"""WITH {_L}, r AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'filename' WHEN k % 5 = 0 THEN 'variant_not_orig' WHEN k % 23 = 0 THEN 'meta_unreadable' WHEN k % 13 = 0 THEN 'meta_unsafe_relpath?' WHEN k % 17 = 0 THEN 'meta_missing_relpath' WHEN k % 19 = 0 THEN 'meta_missing_stat' END AS why FROM l
         WHERE k % 11 = 0 OR k % 5 = 0 OR k % 29 <> 0),
       s AS (SELECT *, CASE WHEN why = 'meta_unsafe_relpath?' THEN CASE WHEN k % 19 = 0 THEN 'meta_missing_stat' ELSE 'meta_unsafe_relpath' END ELSE why END AS reason FROM r)

@@ -108,8 +108,20 @@ def q_rising_edge(spark, sf_dir):
     return drained(rising_edges(e.select("user_id", "event_id", "ts", "n")), "rising-edge", "append").drop("_batch")
 
 
-QUERIES = {"stream_intake": q_intake, "stream_day_sessions": q_day_sessions, "stream_session_close": q_session_close, "stream_rising_edge": q_rising_edge}
+def q_steps(spark, sf_dir):
+    """Steps that run in order on each batch: the second drops what the first has marked, the third counts from what is left."""
+    e = _events(spark, sf_dir).select("event_id", "user_id", F.lit(0).cast("bigint").alias("mark"), F.lit(0).cast("bigint").alias("rest"))
+    steps = [
+        lambda b, n: b.withColumn("mark", F.col("event_id") % 3),
+        lambda b, n: b.filter("mark > 0"),
+        lambda b, n: b.drop("rest").join(b.groupBy("user_id").agg(F.count("*").alias("rest")), "user_id").select("event_id", "user_id", "mark", "rest"),
+    ]
+    return drained(e, "steps", "append", steps).drop("_batch")
+
+
+QUERIES = {"stream_steps": q_steps, "stream_intake": q_intake, "stream_day_sessions": q_day_sessions, "stream_session_close": q_session_close, "stream_rising_edge": q_rising_edge}
 ORACLES = {
+    "stream_steps": "SELECT event_id, user_id, event_id % 3 AS mark, count(*) OVER (PARTITION BY user_id) AS rest FROM events WHERE event_id % 3 > 0",
     "stream_intake": "SELECT event_id, user_id FROM events",
     "stream_day_sessions": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS part_count, min(ts) AS started_at, max(ts) AS ended_at, round(sum(value), 2) AS recorded_seconds FROM events GROUP BY ALL",
     "stream_session_close": f"""WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events), s AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS parts, max(ts) AS last_at FROM events GROUP BY ALL)
