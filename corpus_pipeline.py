@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import bpe, decontaminate, quality_classifier, simhash, suffix_dedup
 from logloom.plans import shared_path
+from logloom.plans.shared import delete_folder
 from logloom.sources import load
 
 
@@ -82,9 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """The stages one after the other; the table of a stage is deleted when the next one is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        before = path
     return docs
