@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions import dims, text
 from logloom.sources import load
 
+# Fields of an analysis of a part, and of a session.
 PARTIAL = "summary string, key_points array<string>, tasks array<struct<text:string,due:string>>, decisions array<string>, ideas array<string>"
 FULL = f"title string, {PARTIAL}, tags array<string>"
 
