@@ -86,6 +86,11 @@ def prefixes(turns: DataFrame, tables: Scratch) -> DataFrame:
     return plus.join(ahead, ["conv_id", "depth"], "left")
 
 
+def _spread_nulls(key: str, *by: str) -> Column:
+    """A second join key: 0, or a hash where ``key`` is null, as rows that can't match would else meet in one task."""
+    return F.when(F.col(key).isNull(), F.xxhash64(*by)).otherwise(0)
+
+
 def two_fattest(low: Column, high: Column) -> Column:
     """The number of (low, high] that the highest power of two divides; null where there is none."""
     bits = F.length(F.bin(low.bitwiseXOR(high))) - 1
@@ -111,12 +116,13 @@ def _searched(active: DataFrame, edges: DataFrame, mine: DataFrame, tables: Scra
     """``c, n, p, x, e``: the edge with the deepest handle that is a prefix of the conversation, by fat binary search from
     depth x on (null: none). STEPS probes make one job; those whose interval is closed take no part in the next."""
     mine = mine.select(F.col("conv_id").alias("c"), F.col("depth").alias("f"), F.col("h").alias("fh"), F.col("k").alias("fk"))
-    handles = edges.select("f", "fh", "fk", F.struct("q", "a", "b", F.col("bh").alias("h"), F.col("bk").alias("k")).alias("_e"))
+    handles = edges.select("f", "fh", "fk", F.lit(0).cast("bigint").alias("_s"), F.struct("q", "a", "b", F.col("bh").alias("h"), F.col("bk").alias("k")).alias("_e"))
     none = F.lit(None).cast("struct<q:bigint,a:bigint,b:bigint,h:bigint,k:bigint>")
     now, closed, k = active.select("c", "n", "p", "x", F.col("x").alias("lo"), F.col("n").alias("hi"), none.alias("e")), None, 0
     while True:
         for _ in range(STEPS):
-            now = now.withColumn("f", two_fattest(F.col("lo"), F.col("hi"))).join(mine, ["c", "f"], "left").join(handles, ["f", "fh", "fk"], "left")
+            now = now.withColumn("f", two_fattest(F.col("lo"), F.col("hi"))).join(mine, ["c", "f"], "left")
+            now = now.withColumn("_s", _spread_nulls("fh", "c")).join(handles, ["f", "fh", "fk", "_s"], "left")
             hit = F.col("_e").isNotNull()
             lo, hi = F.when(hit, F.col("_e.b")).otherwise(F.col("lo")), F.when(F.col("f").isNotNull() & ~hit, F.col("f") - 1).otherwise(F.col("hi"))
             now = now.select("c", "n", "p", "x", lo.alias("lo"), hi.alias("hi"), F.coalesce("_e", "e").alias("e"))
@@ -138,8 +144,8 @@ def _located(active: DataFrame, edges: DataFrame, mine: DataFrame, names: DataFr
     root = mine.filter("depth = 1").select(F.col("conv_id").alias("c"), F.lit(0).cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("_h"), F.lit(0).cast("bigint").alias("_k"), F.col("h").alias("nh"), F.col("k").alias("nk"))
     now = now.withColumn("_at", F.coalesce(F.col("e.b"), F.col("x"))).join(here.unionByName(root), ["c", "_at"], "left")
     full = F.col("e").isNull() | F.coalesce((F.col("_h") == F.col("e.h")) & (F.col("_k") == F.col("e.k")), F.lit(False))
-    tops = edges.select(F.col("a").alias("_at"), F.col("th").alias("nh"), F.col("tk").alias("nk"), F.struct("q", "a", "b").alias("_child"))
-    now = now.withColumn("full", full).join(tops, ["_at", "nh", "nk"], "left")
+    tops = edges.select(F.col("a").alias("_at"), F.col("th").alias("nh"), F.col("tk").alias("nk"), F.lit(0).cast("bigint").alias("_s"), F.struct("q", "a", "b").alias("_child"))
+    now = now.withColumn("full", full).withColumn("_s", _spread_nulls("nh", "c")).join(tops, ["_at", "nh", "nk", "_s"], "left")
     own = F.when(~F.col("full"), F.struct(F.col("e.q").alias("q"), F.col("e.a").alias("a"), F.col("e.b").alias("b")))
     now = tables.written(now.withColumn("on", F.when(F.col("full"), F.col("_child")).otherwise(own)), f"{job}-reached")
     # How far it goes along that edge: prefixes of equal name.
@@ -284,7 +290,8 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
         ((F.col("n_convs") - 1) * (F.col("total") - F.col("before")) + F.col("saved_below")).alias("saved_tokens"), F.when(at_end, F.col("end")).alias("end"),
     )
     ends = _ends_hashed(members, tables)
-    nodes = root.unionByName(nodes).join(ends.select(F.col("c").alias("end"), "ends"), "end", "left")
+    nodes = root.unionByName(nodes).withColumn("_s", _spread_nulls("end", "conv_id", "depth"))
+    nodes = nodes.join(ends.select(F.col("c").alias("end"), F.lit(0).cast("bigint").alias("_s"), "ends"), ["end", "_s"], "left")
     return nodes.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256")
     )
