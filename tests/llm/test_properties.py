@@ -57,8 +57,10 @@ def test_windows_of_items(t, items):
 @few
 @given(st.one_of(texts, st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "a b", "<b", "&amp", "<!--", "-->", "<script>", "</script>", "<a href='x'>", "</a>", "<li>", "<br>", "<td", "'>"]), max_size=40).map("".join)))
 def test_any_markup_is_read(page):
-    for b in html_extract.blocks(page):
-        assert b.text == " ".join(b.text.split()) and b.text and 0 <= b.density <= 1
+    found, marks = html_extract.blocks(page)
+    for b in found:
+        assert b.text == " ".join(html_extract._split(b.text)) and b.text and 0 <= b.density <= 1 and b.main < len(marks) and b.chrome < len(marks)
+    assert html_extract.features(found, marks).shape == (len(found), len(html_extract.FEATURES))
 
 
 @few
@@ -73,8 +75,7 @@ def test_merged_intervals(pairs):
 
 @few
 @given(texts)
-def test_language_codes(t):
-    table = language_id.alphabet_of(["abcdé the is"])
-    codes = language_id.codes_of(table, t)
-    assert len(codes) and codes.min() >= 0 and codes.max() < language_id._STARTS[-1]
-    assert any(ord(c) > 65535 or c.isalpha() for c in t.lower()) or set(codes.tolist()) <= {0, int(language_id._STARTS[1]), int(language_id._STARTS[2])}
+def test_language_n_grams(t):
+    one, two, three = language_id.n_grams(t)
+    assert len(one) and one.min() >= 0 and all((np.diff(x) > 0).all() for x in (one, two, three))
+    assert set(one.tolist()) - {0} == {ord(c) for c in t.lower() if c.isalpha()}
