@@ -1,5 +1,7 @@
 """Rows packed as structs, and their texts as byte buffers in slices of bounded size."""
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,14 +42,23 @@ def texts_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
     return pc.fill_null(batch.column("_row").field(text_col), "")
 
 
+def _trim() -> None:
+    """Freed memory of Arrow and of the C library goes back to the system, where the library can do so (glibc)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def released(rows):
-    """``rows``, giving freed Arrow memory back when a task ends, as workers live on."""
+    """``rows``, giving freed memory back when a task ends, as workers live on."""
 
     def run(batches):
         try:
             yield from rows(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _trim()
 
     return run
 
