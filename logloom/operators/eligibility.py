@@ -227,10 +227,11 @@ def q_redacted(spark, sf_dir):
 
 
 def q_state_flags(spark, sf_dir):
-    """Order parts by the sets that their state is in."""
-    p = _order_parts(spark, sf_dir).join(dims.state_table(spark, "part"), "status")
+    """Order parts by the sets that their state is in. They are counted by state first: the table of the states has no known
+    size, so a join of the parts with it would send all parts of a state to one task."""
+    n = _order_parts(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
     flags = ["terminal", "deletable", "awaiting_deletion", "staging_disposable", "note_member", "retry_reset", "in_progress"]
-    return p.groupBy("status", *flags).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(dims.state_table(spark, "part")), "status").select("status", *flags, "n")
 
 
 _PARTS = """p AS (SELECT o_orderkey AS k, 'dev' || (o_custkey % 50) AS dev, ['RAW_SAVED','COMPLETED','SKIPPED','FAILED','SOURCE_DELETING'][o_orderkey % 5 + 1] AS status,
