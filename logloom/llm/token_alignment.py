@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from logloom.llm import bpe
 from logloom.llm.arrow_texts import bound_batches, released
 from logloom.plans import Scratch
+from logloom.plans.shared import LONG_ROWS, groups_sorted
 from logloom.sources import load
 
 #: Bytes of text that are aligned together, and whose new words are encoded together; a longer text is a slice of its own.
@@ -185,7 +186,7 @@ def _aligner(spec: str, model: bytes) -> Aligner:
     return _aligners[spec, model]
 
 
-_LISTS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "pair": pa.int32(), "pair_a": pa.int32(), "pair_b": pa.int32(), "pair_n": pa.int64()}
+_LISTS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(), "pair_a": pa.int32(), "pair_b": pa.int32(), "pair_n": pa.int32()}
 
 
 def _one(values: pa.Array) -> pa.Array:
@@ -193,7 +194,17 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-_SLICE = "slice bigint, {row}, n_a array<bigint>, n_b array<bigint>, n_links array<bigint>, groups_sha256 array<string>, pair array<int>, pair_a array<int>, pair_b array<int>, pair_n array<bigint>"
+_SLICE = "slice bigint, {row}, n_a array<bigint>, n_b array<bigint>, n_links array<bigint>, groups_sha256 array<string>, pair_a array<int>, pair_b array<int>, pair_n array<int>, pair binary"
+_codec = pa.Codec("zstd", compression_level=1)
+
+
+def _places(pair: pa.Array) -> bytes:
+    """Places of pairs, one for each link, byte by byte and compressed; ``_places_of`` gives them back."""
+    return _codec.compress(pair.to_numpy().astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _places_of(packed: bytes, n: int) -> pa.Array:
+    return pa.array(np.frombuffer(_codec.decompress(packed, 4 * n, asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel())
 
 
 def _slices(spec: str, model: bytes):
@@ -207,7 +218,7 @@ def _slices(spec: str, model: bytes):
                 high = min(len(text), max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + WORD_BYTES))))
                 for n, got in aligner.slices(text.slice(low, high - low).to_pylist()):
                     kept = batch.column("_row").slice(low, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), _one(kept), *[_one(pa.array(got[c], k)) for c, k in _LISTS.items()]], names=["slice", "rows", *_LISTS])
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), _one(kept), *[_one(pa.array(got[c], k)) for c, k in _LISTS.items()], pa.array([_places(got["pair"])], pa.binary())], names=["slice", "rows", *_LISTS, "pair"])
                     number, low = number + 1, low + n
             pa.default_memory_pool().release_unused()
 
@@ -218,9 +229,10 @@ def _told(batches):
     """A row for each document of a slice, from the places and the corpus counts of its links' pairs."""
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {c: batch.column(c).slice(k, 1).flatten() for c in batch.schema.names}
+            row = {c: batch.column(c).slice(k, 1).flatten() for c in batch.schema.names if c != "pair"}
             n = row["n_links"].to_numpy()
-            links = pa.table({"doc": pa.array(np.repeat(np.arange(len(n)), n)), "count": row["count"].take(row["pair"]), "best": row["best"].take(row["pair"]).cast(pa.int64())})
+            pair = _places_of(batch.column("pair")[k].as_py(), int(n.sum()))
+            links = pa.table({"doc": pa.array(np.repeat(np.arange(len(n)), n)), "count": row["count"].take(pair), "best": row["best"].take(pair).cast(pa.int64())})
             sums = links.group_by("doc", use_threads=False).aggregate([("count", "sum"), ("best", "sum")])
             count, best = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             at = sums.column("doc").to_numpy()
@@ -246,13 +258,14 @@ def align(docs: DataFrame, byte_bpe_json: str, piece_model: str, text_col: str =
     tables = Scratch(docs.sparkSession, "align")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
-    found = tables.written(rows.mapInArrow(released(_slices(spec, model)), _SLICE.format(row=f"rows array<{kind}>")), "slices")
+    found = tables.written(rows.mapInArrow(released(_slices(spec, model)), _SLICE.format(row=f"rows array<{kind}>")), "slices", LONG_ROWS)
     pairs = found.select("slice", F.posexplode(F.arrays_zip("pair_a", "pair_b", "pair_n")).alias("at", "p")).select("slice", "at", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.pair_n").alias("n"))
     counts = tables.written(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "pair-counts")
     best = counts.groupBy("b").agg(F.max("count").alias("_best"))
     counts = tables.written(counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("_best")).alias("best")), "counts")
     asked = pairs.select("slice", "at", "a", "b").join(counts, ["a", "b"]).groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("c"))
-    asked = tables.written(asked.select("slice", F.col("c.count").alias("count"), F.col("c.best").alias("best")), "asked")
+    with groups_sorted(docs.sparkSession):
+        asked = tables.written(asked.select("slice", F.col("c.count").alias("count"), F.col("c.best").alias("best")), "asked", LONG_ROWS)
     both = found.select("slice", "rows", "n_a", "n_b", "n_links", "groups_sha256", "pair").join(asked, "slice", "left")
     both = both.select("rows", "n_a", "n_b", "n_links", "groups_sha256", "pair", F.coalesce("count", F.array().cast("array<bigint>")).alias("count"), F.coalesce("best", F.array().cast("array<boolean>")).alias("best"))
     out = both.mapInArrow(released(_told), f"_row {kind}, " + ", ".join(f"{c} {k}" for c, k in ADDED.items()))

@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_GROUPS_HELD = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 _lock, _users, _before = threading.Lock(), 0, ""
+#: Of tables with rows of 100 KB and more: row groups of some 8 MB, looked at each few rows. The writer holds a row group in
+#: memory, and the reader of nested columns up to 4096 rows of one; by default a row group has 128 MB, at least 100 rows.
+LONG_ROWS = {"parquet.block.size": 8_000_000, "parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 4}
 
 
 def _base(spark: SparkSession) -> str:
@@ -61,9 +65,21 @@ def shuffles_freed(spark: SparkSession):
                 spark.conf.set(_FREE_SHUFFLES, _before)
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
+@contextmanager
+def groups_sorted(spark: SparkSession):
+    """Aggregations planned and run inside that collect lists are sorted by their key and take one group at a time, where
+    they else hold the lists of 128 groups as objects. The setting is the session's, as above."""
+    before = spark.conf.get(_GROUPS_HELD)
+    spark.conf.set(_GROUPS_HELD, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(_GROUPS_HELD, before)
+
+
+def _stored(df: DataFrame, path: str, options: dict | None = None) -> DataFrame:
     with shuffles_freed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -86,8 +102,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         self.spark, self.path = spark, shared_path(spark, job)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        return _stored(df, f"{self.path}/{name}")
+    def written(self, df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+        return _stored(df, f"{self.path}/{name}", options)
 
     def free(self, *names: str) -> None:
         """Deletes tables that no table or result to come reads."""

@@ -96,3 +96,26 @@ def test_no_rows_repeats_and_nulls(spark):
     assert run(spark.createDataFrame([], schema)) == {}
     out = ta.align(spark.createDataFrame([(1, "same text")] * 3 + [(None, None)], schema), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).collect()
     assert sorted(r.n_a for r in out) == [0, 2, 2, 2] and {r.count_sum for r in out if r.doc_id} == {6} and {r.groups_sha256 for r in out if r.doc_id is None} == {""}
+
+
+def test_long_rows_are_stored_in_small_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from logloom.plans import Scratch
+    from logloom.plans.shared import LONG_ROWS
+
+    tables = Scratch(spark, "long")
+    tables.path = str(tmp_path)
+    rows = spark.range(300, numPartitions=1).selectExpr("id", "transform(sequence(1, 50000), x -> CAST(hash(id, x) AS INT)) AS v")
+    assert tables.written(rows, "t", LONG_ROWS).count() == 300
+    meta = pq.ParquetFile(glob.glob(f"{tmp_path}/t/*.parquet")[0]).metadata
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 16_000_000
+
+
+def test_places_of_pairs_come_back():
+    import pyarrow as pa
+
+    for places in ([], [0], [5, 70_000, 2**31 - 1, 0]):
+        assert ta._places_of(ta._places(pa.array(places, pa.int32())), len(places)).to_pylist() == places
