@@ -1,5 +1,6 @@
 """Streams over the driver's tables, and a sink that may be replayed."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -8,6 +9,26 @@ from logloom.plans import shared_path
 from logloom.sources import load
 
 
+#: State groups of a day. A group of its own for each device-day would be millions of calls of Python for a few rows each.
+BUCKETS = 64
+
+
+def bucketed(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``bucket``, by which the devices of a day share a state group (null: those without user_id, whose user_id
+    becomes 0, so that ids stay whole numbers in pandas)."""
+    bucket = F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)))
+    return parts.withColumn("bucket", bucket).withColumn("user_id", F.coalesce("user_id", F.lit(0).cast("bigint")))
+
+
+def packed(*columns: np.ndarray) -> tuple[bytes, ...]:
+    """Columns of the devices of a state group as they are kept in its state, 8 bytes a value."""
+    return tuple(np.ascontiguousarray(c).astype("<f8" if c.dtype.kind == "f" else "<i8").tobytes() for c in columns)
+
+
+def unpacked(column: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(bytes(column), kind).copy()
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """The table ``name`` as files that arrive. The path is a pattern, as a table may be one file or a folder of files."""
     r = spark.readStream.schema(load(spark, sf_dir, name).schema)

@@ -2,12 +2,13 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logloom.streaming.runs import drained, latest, stream
+from logloom.streaming.runs import bucketed, drained, latest, packed, stream, unpacked
 
 
 def intake(parts: DataFrame, key: str) -> DataFrame:
@@ -21,43 +22,53 @@ def day_sessions(parts: DataFrame, by: list[str], start: str, end: str, seconds:
 
 
 _CLOSED = "user_id bigint, day date, parts bigint, last_at timestamp, reason string, regenerated bigint"
-_STATE = "parts bigint, last_us bigint, closed boolean, regenerated bigint"
+_STATE = "users binary, parts binary, last_us binary, closed binary, regenerated binary, timer binary"
+_NEVER = np.iinfo(np.int64).max
 
 
 def close_sessions(parts: DataFrame, idle_s: int) -> DataFrame:
     """A row each time a device-day session closes: at the day's end (stale_day) or ``idle_s`` after its last part.
 
-    ``parts`` has user_id, day and ts with a watermark, which is the clock. The state of a session is four numbers; its
-    timer is the earlier of both ends. A part that comes to a closed session opens it again: it closes once more, with
-    regenerated counted up.
+    ``parts`` has user_id, day and ts with a watermark, which is the clock. The devices of a day share BUCKETS state groups; the
+    state of a session is six numbers, its timer is the earlier of both ends, and that of a group the earliest of its
+    sessions. A part that comes to a closed session opens it again: it closes once more, with regenerated counted up.
     """
 
     def close(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts, last, closed, again = state.get if state.exists else (0, 0, False, 0)
+        users, parts, last, closed, again, timer = map(unpacked, state.get) if state.exists else np.zeros((6, 0), np.int64)
         now = state.getCurrentWatermarkMs()
-        day_end = (pd.Timestamp(key[1]) - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1) + 86_400_000
-
-        def due() -> int:
-            return min(day_end, last // 1000 + idle_s * 1000)
-
-        def row() -> pd.DataFrame:
-            reason = "stale_day" if now >= day_end else "idle"
-            return pd.DataFrame({"user_id": [key[0]], "day": [key[1]], "parts": [parts], "last_at": [pd.Timestamp(last, unit="us")], "reason": [reason], "regenerated": [again]})
-
-        if state.hasTimedOut:
-            state.update((parts, last, True, again))
-            yield row()
-            return
-        if state.exists and not closed and due() < now:  # its end came before these parts, only no batch ran in between
-            yield row()
-            closed = True
-        for b in batches:
-            parts += len(b)
-            last = max(last, (b["ts"].max() - pd.Timestamp(0)) // pd.Timedelta(microseconds=1))
-        state.update((parts, last, False, again + (1 if closed else 0)))
-        state.setTimeoutTimestamp(max(due(), now + 1))
-
-    return parts.groupBy("user_id", "day").applyInPandasWithState(close, _CLOSED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        day_end = (pd.Timestamp(key[0]) - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1) + 86_400_000
+        b = pd.concat([x for x in batches if len(x)] or [pd.DataFrame({"user_id": [], "ts": []})])
+        us = b["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        come, at = np.unique(b["user_id"].to_numpy(np.int64), return_inverse=True)
+        # Sessions of the parts that have come, after those that are there.
+        fresh = come[~np.isin(come, users)]
+        zero = np.zeros(len(fresh), np.int64)
+        users, parts, last, closed, again, timer = (np.append(a, f) for a, f in ((users, fresh), (parts, zero), (last, zero), (closed, zero), (again, zero), (timer, zero + _NEVER)))
+        order = np.argsort(users)
+        place = order[np.searchsorted(users, come, sorter=order)]
+        touched = np.zeros(len(users), bool)
+        touched[place] = True
+        # Those whose end came before these parts, only no batch ran in between, and those without parts whose timer is over.
+        ends = (parts > 0) & (closed == 0) & np.where(touched, np.minimum(day_end, last // 1000 + idle_s * 1000) < now, timer < now)
+        n = int(ends.sum())
+        reason = "stale_day" if now >= day_end else "idle"
+        user = pd.array(users[ends], dtype="Int64") if not pd.isna(key[1]) else pd.array([None] * n, dtype="Int64")
+        out = pd.DataFrame({"user_id": user, "day": [key[0]] * n, "parts": parts[ends], "last_at": pd.to_datetime(last[ends], unit="us"), "reason": [reason] * n, "regenerated": again[ends]})
+        closed[ends], timer[ends] = 1, _NEVER
+        parts[place] += np.bincount(at, minlength=len(come))
+        newest = last[place]
+        np.maximum.at(newest, at, us)
+        last[place] = newest
+        again[place] += closed[place]
+        closed[place] = 0
+        timer[place] = np.maximum(np.minimum(day_end, newest // 1000 + idle_s * 1000), now + 1)
+        state.update(packed(users, parts, last, closed, again, timer))
+        if len(timer) and timer.min() < _NEVER:
+            state.setTimeoutTimestamp(max(int(timer.min()), now + 1))
+        yield out
+
+    return bucketed(parts).groupBy("day", "bucket").applyInPandasWithState(close, _CLOSED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rising_edges(snapshots: DataFrame) -> DataFrame:
