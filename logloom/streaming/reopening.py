@@ -2,16 +2,17 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.sources import load
-from logloom.streaming.runs import fed
+from logloom.streaming.runs import bucketed, fed, packed, unpacked
 
 _MOVES = "user_id bigint, day date, n bigint, status string, reason string, parts bigint, failed_parts bigint, regenerated bigint, at timestamp"
-_STATE = "parts bigint, failed bigint, due_us bigint, open boolean, regenerated bigint, n bigint, late boolean"
+_STATE = "users binary, parts binary, failed binary, due_us binary, open binary, regenerated binary, n binary, late binary"
 
 
 def session_moves(parts: DataFrame, idle_s: int) -> DataFrame:
@@ -20,44 +21,53 @@ def session_moves(parts: DataFrame, idle_s: int) -> DataFrame:
 
     ``parts`` has user_id, day, failed (counted, but it opens and reopens like any part) and arrived, with a watermark on
     arrived, which is the clock. A session closes ``idle_s`` after its last part arrived, and at the end of its day at the
-    latest (stale_day, as is any later close). The state of a session is seven values; the parts of a batch are taken in order
-    of arrival, and a session whose end came before the next part is closed first, so the moves don't depend on how arrivals
-    fall into batches.
+    latest (stale_day, as is any later close). The devices of a day share BUCKETS state groups, and the state of a session is
+    eight numbers; the parts of a batch are taken in order of arrival, and a session whose end came before the next part is
+    closed first, so the moves don't depend on how arrivals fall into batches.
     """
+    idle = idle_s * 1_000_000
 
     def moves(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts, failed, due, open_, again, n, late = state.get if state.exists else (0, 0, 0, False, 0, 0, False)
-        day_end = (pd.Timestamp(key[1]) - pd.Timestamp(0)) // pd.Timedelta(microseconds=1) + 86_400_000_000
+        kept = np.stack([unpacked(c) for c in state.get]).T.tolist() if state.exists else []
+        sessions = {s[0]: s[1:] for s in kept}
+        day_end = (pd.Timestamp(key[0]) - pd.Timestamp(0)) // pd.Timedelta(microseconds=1) + 86_400_000_000
         out = []
 
-        def move(status: str, at: int, reason: str | None = None):
-            nonlocal n
-            n += 1
-            out.append((key[0], key[1], n, status, reason, parts, failed, again, pd.Timestamp(at, unit="us")))
-
-        def close():
-            nonlocal open_
-            open_ = False
-            move("SAVED", due, "stale_day" if late or due >= day_end else "idle")
-
-        for b in filter(len, batches):  # a timer brings an empty one
-            for at, bad in sorted(zip((b["arrived"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1), b["failed"])):
-                if open_ and due < at:
-                    close()
-                again += bool(n and not open_)
-                parts, failed, late = parts + 1, failed + bool(bad), at >= day_end
-                if not open_:
-                    move("MERGING" if n else "OPEN", at)
-                open_, due = True, at + idle_s * 1_000_000 if late else min(day_end, at + idle_s * 1_000_000)
-        now = state.getCurrentWatermarkMs()
-        if open_ and due < now * 1000:
-            close()
-        state.update((parts, failed, int(due), open_, again, n, bool(late)))
-        if open_:
-            state.setTimeoutTimestamp(max(due // 1000 + 1, now + 1))
-        yield pd.DataFrame(out, columns=["user_id", "day", "n", "status", "reason", "parts", "failed_parts", "regenerated", "at"])
-
-    return parts.groupBy("user_id", "day").applyInPandasWithState(moves, _MOVES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        def move(user: int, s: list, status: str, at: int, reason: str | None = None):
+            s[5] += 1
+            out.append((user, s[5], status, reason, s[0], s[1], s[4], at))
+
+        def close(user: int, s: list):
+            s[3] = 0
+            move(user, s, "SAVED", s[2], "stale_day" if s[6] or s[2] >= day_end else "idle")
+
+        b = pd.concat([x for x in batches if len(x)] or [pd.DataFrame({"user_id": [], "arrived": [], "failed": []})])  # a timer brings an empty one
+        b = b.assign(at=b["arrived"].to_numpy("datetime64[us]").astype(np.int64)).sort_values(["user_id", "at", "failed"])
+        for user, at, bad in zip(b["user_id"].astype("int64").tolist(), b["at"].tolist(), b["failed"].astype(bool).tolist()):
+            s = sessions.get(user)
+            if s is None:
+                s = sessions[user] = [0] * 7  # parts, failed, due, open, regenerated, n, late
+            if s[3] and s[2] < at:
+                close(user, s)
+            s[4] += bool(s[5] and not s[3])
+            s[0], s[1], s[6] = s[0] + 1, s[1] + bad, int(at >= day_end)
+            if not s[3]:
+                move(user, s, "MERGING" if s[5] else "OPEN", at)
+            s[3], s[2] = 1, at + idle if s[6] else min(day_end, at + idle)
+        now, first = state.getCurrentWatermarkMs(), None
+        for user, s in sessions.items():
+            if s[3] and s[2] < now * 1000:
+                close(user, s)
+            if s[3] and (first is None or s[2] < first):
+                first = s[2]
+        state.update(packed(*np.array([[user, *s] for user, s in sessions.items()], np.int64).reshape(-1, 8).T))
+        if first is not None:
+            state.setTimeoutTimestamp(max(first // 1000 + 1, now + 1))
+        user, n, status, reason, parts, failed, again, at = zip(*out) if out else [()] * 8
+        who = pd.array(user if not pd.isna(key[1]) else [None] * len(out), dtype="Int64")
+        yield pd.DataFrame({"user_id": who, "day": [key[0]] * len(out), "n": n, "status": status, "reason": reason, "parts": parts, "failed_parts": failed, "regenerated": again, "at": pd.to_datetime(np.array(at, np.int64), unit="us")})
+
+    return bucketed(parts).groupBy("day", "bucket").applyInPandasWithState(moves, _MOVES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # -- query ------------------------------------------------------------------------------------------------------------
