@@ -29,6 +29,9 @@ BLOCK = 256
 ID_SPAN = 65_536
 #: Probes of the fat binary search in one job.
 STEPS = 3
+#: Tasks that write a table at least, and turns of all conversations for each of them: the many tables of a small input would
+#: else be as many tiny files as there are shuffle partitions.
+TASKS, TASK_TURNS = 8, 50_000
 _LOW = -(1 << 62)
 
 
@@ -238,6 +241,7 @@ def prefix_trie(turns: DataFrame, ids: DataFrame) -> DataFrame:
     tables = Scratch(turns.sparkSession, "prefix-trie")
     names = tables.written(prefixes(turns, tables), "names")
     tables.free("prefixes")
+    tables.tasks = max(TASKS, -(-names.count() // TASK_TURNS))
     zero = F.lit(0).cast("bigint")
     last = names.groupBy("conv_id").agg(F.max("depth").alias("n"), F.max_by(F.struct("h", "k"), "depth").alias("e"))
     every = ids.join(last, "conv_id", "left").select("conv_id", F.coalesce("n", zero).alias("n"), F.coalesce("e.h", zero).alias("h"), F.coalesce("e.k", zero).alias("k"))

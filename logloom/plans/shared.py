@@ -97,12 +97,15 @@ def splittable(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """The written tables of one job, by name, each deleted once the tables made from it are written themselves."""
+    """The written tables of one job, by name, each deleted once the tables made from it are written themselves.
+    ``tasks``, once set, is how many tasks, and so files, write a table at most."""
 
     def __init__(self, spark: SparkSession, job: str):
-        self.spark, self.path = spark, shared_path(spark, job)
+        self.spark, self.path, self.tasks = spark, shared_path(spark, job), None
 
     def written(self, df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+        if self.tasks:
+            df = df.coalesce(self.tasks)
         return _stored(df, f"{self.path}/{name}", options)
 
     def free(self, *names: str) -> None:
