@@ -31,6 +31,8 @@ SLICE_BYTES = 6_000_000
 #: Bytes of text whose rows go out together.
 OUT_BYTES = 1_000_000
 REMEMBERED = 120_000
+#: Short words that are merged together.
+BLOCK_WORDS = 10_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -146,6 +148,54 @@ def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.array(taken, at.dtype)
 
 
+def merge_short_words(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``merge_words``. Each round merges one pair of every word, of those of its lowest rank the leftmost; rounds are as
+    many as the merges of one word at most and each passes over all words of a block, so words should be short."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    if len(words) > BLOCK_WORDS:
+        ids, sizes = zip(*(merge_short_words(vocab, words[i : i + BLOCK_WORDS]) for i in range(0, len(words), BLOCK_WORDS)))
+        return np.concatenate(ids), np.concatenate(sizes)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    symbol = vocab.first[np.frombuffer(b"".join(words), np.uint8)]
+    n = len(symbol)
+    end = np.cumsum(size)
+    full = size > 0
+    starts = (end - size)[full]
+    after = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)
+    after[end[full] - 1] = -1
+    before[starts] = -1
+    alive = np.ones(n, bool)
+    none = np.int64(_NONE) << 32
+    order = np.full(n, none)  # of pairs within their word: rank, then place
+
+    def ranked(p: np.ndarray, q: np.ndarray):
+        order[p] = (vocab.ranks(symbol[p], symbol[q]).astype(np.int64) << 32) + p
+
+    has = np.flatnonzero(after >= 0)
+    ranked(has, has + 1)
+    while len(starts):
+        low = np.minimum.reduceat(order, starts)
+        low = low[low < none]
+        if not len(low):
+            break
+        at = low & 0xFFFFFFFF
+        gone = after[at]
+        beyond = after[gone]
+        symbol[at] = vocab.made[low >> 32]
+        alive[gone] = False
+        order[at] = order[gone] = none
+        after[at] = beyond
+        inner = beyond >= 0
+        before[beyond[inner]] = at[inner]
+        ranked(at[inner], beyond[inner])
+        ahead = before[at]
+        ranked(ahead[ahead >= 0], at[ahead >= 0])
+    stops = np.concatenate(([0], np.cumsum(alive)))[end]
+    return symbol[alive], np.diff(stops, prepend=0)
+
+
 def decode(vocab: Vocabulary, ids) -> str:
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
 

@@ -5,12 +5,15 @@ lengths summed up to end offsets within the document (cumulative sums, less the
 hash join on (document, end) finds the ends that both share: the links, which also cut the tokens into groups. Each slice
 counts its own token pairs by Table.group_by; Spark merges these partial counts, and sends each slice the corpus counts
 of the pairs it has, so a pair that is everywhere is one row a slice.
+
+Texts are cut into chunks where both tokenizers have a boundary. A worker remembers the tokens of chunks in bounded number,
+when there are too many those met most often; new chunks of a slice are encoded once.
 """
 
 import hashlib
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,80 +29,146 @@ from logloom.plans import Scratch
 from logloom.plans.shared import LONG_ROWS, groups_sorted
 from logloom.sources import load
 
-#: Bytes of text that are aligned together, and whose new words are encoded together; a longer text is a slice of its own.
+#: Bytes of text that are aligned together, and whose new chunks are encoded together; a longer text is a slice of its own.
 SLICE_BYTES, WORD_BYTES = 300_000, 1_000_000
-#: Words, and bytes of them, that a worker remembers the tokens of, for each tokenizer.
-REMEMBERED, REMEMBERED_BYTES = 60_000, 4_000_000
+#: Chunks of text, and bytes of them, that a worker remembers the tokens of.
+REMEMBERED, REMEMBERED_BYTES = 120_000, 8_000_000
+#: Bytes of a word that is merged in rounds with others of this size or less.
+SHORT_WORD = 64
+#: Characters of chunks that sentencepiece gets as they are; longer ones are cut, as its memory follows what it gets at once.
+WHOLE_CHUNK = 1000
+#: Cuts a text that begins with a space where both tokenizers have a boundary: before a run of spaces. Where white space
+#: comes before the run, the byte-level pattern takes both together but for the last space, so only a single space that
+#: something else follows is a cut.
+_CHUNKS = re.compile(r" +[^ ]*(?:(?<=\s)(?! \S) +[^ ]*)*").findall
 ADDED = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"}
 
 
-class _Numbers(dict):
-    """Numbers words as they come, and lists the new ones."""
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[i] .. starts[i] + sizes[i] - 1 of all i, in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Tokenizer:
+    """``encode`` gives the ids of many words in a row and the number of each word's, ``token_bytes`` are the bytes of each
+    id, ``split`` cuts a chunk into words whose tokens don't depend on what is around them. Chunks of up to ``whole``
+    characters can be passed as words."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], token_bytes: list[bytes], split: Callable[[str], list[str]], whole: int = 0):
+        self.encode, self.bytes, self.split, self.whole = encode, token_bytes, split, whole
+        size = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
+        self.sizes, self._size, self._start, self._flat = pa.array(size), size, np.cumsum(size) - size, np.frombuffer(b"".join(token_bytes), np.uint8)
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words are encoded once."""
+        if max(map(len, chunks)) <= self.whole:
+            return self.encode(chunks)
+        found = list(map(self.split, chunks))
+        until = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        words = list(chain.from_iterable(found))
+        distinct = list(dict.fromkeys(words))
+        number = np.fromiter(map(dict(zip(distinct, range(len(distinct)))).__getitem__, words), np.int64, len(words))
+        ids, size = self.encode(distinct)
+        start, size = (np.cumsum(size) - size)[number], size[number]
+        return ids[_spread(start, size)], np.diff(np.concatenate(([0], np.cumsum(size)))[until], prepend=0)
+
+    def tokens(self, chunks: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, the number of each one's, and which chunks are not the bytes of their tokens."""
+        ids, size = self._encoded(chunks)
+        bad = np.zeros(len(chunks), bool)
+        if not np.array_equal(self._flat[_spread(self._start[ids], self._size[ids])], np.frombuffer(b"".join(raw), np.uint8)):
+            until = np.cumsum(size).tolist()
+            bad[:] = [b"".join(map(self.bytes.__getitem__, ids[z - n : z].tolist())) != c for c, n, z in zip(raw, size.tolist(), until)]
+        return ids, size, bad
+
+
+class _Tokens:
+    """Token ids of numbered chunks: where each one's begin, and how many they are."""
 
     def __init__(self):
-        self.new: list[str] = []
+        self.ids, self.start, self.size, self.bad = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def __missing__(self, word):
-        self.new.append(word)
-        self[word] = n = len(self)
-        return n
+    def add(self, ids: np.ndarray, size: np.ndarray, bad: np.ndarray):
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.ids, self.bad = np.append(self.size, size), np.append(self.ids, ids), np.append(self.bad, bad)
 
+    def of(self, chunks: np.ndarray) -> np.ndarray:
+        return self.ids[_spread(self.start[chunks], self.size[chunks])]
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places starts[i] .. starts[i] + sizes[i] - 1 of all i, in a row."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    def keep(self, chunks: np.ndarray):
+        ids, size, bad = self.of(chunks), self.size[chunks], self.bad[chunks]
+        self.__init__()
+        self.add(ids, size, bad)
 
 
-class WordMemory:
-    """Token ids of texts, word by word: ``split`` cuts a text into words whose tokens don't depend on what is around
-    them, ``encode`` gives the ids of many words in a row and the number of each word's. A word whose tokens' bytes are
-    not its own makes its text bad."""
+class ChunkMemory:
+    """Token ids of texts by several tokenizers, chunk by chunk; all of them have a boundary between chunks."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], token_bytes: list[bytes]):
-        self.split, self.encode, self.bytes = split, encode, token_bytes
-        self.sizes = pa.array([len(b) for b in token_bytes], pa.int64())
-        self._forget()
+    def __init__(self, *tokenizers: Tokenizer):
+        self.tokenizers, self.known = tokenizers, [_Tokens() for _ in tokenizers]
+        self.numbers: dict[str, int] = {}
+        self.held = self.uses = np.zeros(0, np.int64)
 
     def _forget(self):
-        self.numbers, self.ids, self.held = _Numbers(), np.zeros(0, np.int32), 0
-        self.start = self.size = np.zeros(0, np.int64)
-        self.bad = np.zeros(0, bool)
+        """Half of what may be remembered stays, the chunks met most often; those met once go."""
+        order = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        kept = np.sort(order[(self.uses[order] > 1) & (np.cumsum(self.held[order]) <= REMEMBERED_BYTES // 2)])
+        chunks = list(self.numbers)
+        self.numbers = {chunks[k]: n for n, k in enumerate(kept.tolist())}
+        self.held, self.uses = self.held[kept], self.uses[kept] // 2
+        for t in self.known:
+            t.keep(kept)
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts in a row, and how many each text has; valid until the next call."""
-        if len(self.numbers) > REMEMBERED or self.held > REMEMBERED_BYTES:
+        """Chunk numbers of all texts in a row, and how many each text has; valid until the next call."""
+        if len(self.numbers) > REMEMBERED or self.held.sum() > REMEMBERED_BYTES:
             self._forget()
-        found = [np.array(list(map(self.numbers.__getitem__, self.split(t))), np.int32) for t in texts]
-        new, self.numbers.new = self.numbers.new, []
+        found = list(map(_CHUNKS, texts))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        chunks = list(chain.from_iterable(found))
+        new = [c for c in dict.fromkeys(chunks) if c not in self.numbers]
         if new:
-            ids, size = self.encode(new)
-            raw = [w.encode() for w in new]
-            until = np.cumsum(size)
-            bad = np.zeros(len(new), bool)
-            if b"".join(map(self.bytes.__getitem__, ids.tolist())) != b"".join(raw):
-                bad[:] = [b"".join(map(self.bytes.__getitem__, ids[z - n : z].tolist())) != w for w, n, z in zip(raw, size.tolist(), until.tolist())]
-            self.start = np.append(self.start, len(self.ids) + until - size)
-            self.size, self.ids, self.bad = np.append(self.size, size), np.append(self.ids, ids), np.append(self.bad, bad)
-            self.held += sum(map(len, raw))
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), np.array([len(f) for f in found], np.int64)
-
-    def tokens(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of texts given by word numbers, in a row, the number of each text's, and which texts are bad."""
-        size, until = self.size[words], np.concatenate(([0], np.cumsum(counts)))
-        tokens, bad = np.concatenate(([0], np.cumsum(size)))[until], np.concatenate(([0], np.cumsum(self.bad[words])))[until]
-        return self.ids[_spread(self.start[words], size)], np.diff(tokens), np.diff(bad) > 0
-
-
-def byte_level(spec: str) -> WordMemory:
+            raw = [c.encode() for c in new]
+            for tokenizer, known in zip(self.tokenizers, self.known):
+                known.add(*tokenizer.tokens(new, raw))
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+            self.held, self.uses = np.append(self.held, np.fromiter(map(len, raw), np.int64, len(raw))), np.append(self.uses, np.zeros(len(raw), np.int64))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chunks), np.int32, len(chunks))
+        self.uses = self.uses + np.bincount(numbers, minlength=len(self.uses))
+        return numbers, counts
+
+    def tokens(self, chunks: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each tokenizer the ids of texts given by chunk numbers, in a row, the number of each text's, and which texts
+        are bad: have a chunk that is not the bytes of its tokens."""
+        until, out = np.concatenate(([0], np.cumsum(counts))), []
+        for t in self.known:
+            tokens, bad = np.concatenate(([0], np.cumsum(t.size[chunks])))[until], np.concatenate(([0], np.cumsum(t.bad[chunks])))[until]
+            out.append((t.of(chunks), np.diff(tokens), np.diff(bad) > 0))
+        return out
+
+
+def byte_level(spec: str) -> Tokenizer:
     """A byte-level BPE from the text of its JSON file; strings of special tokens are ordinary text."""
     vocab = bpe.Vocabulary(spec)
-    return WordMemory(regex.compile(bpe.PATTERN).findall, lambda words: bpe.merge_words(vocab, [w.encode() for w in words]), vocab.tokens)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [w.encode() for w in words]
+        long = np.fromiter(map(len, raw), np.int64, len(raw)) > SHORT_WORD
+        if not long.any():
+            return bpe.merge_short_words(vocab, raw)
+        (short_ids, short_size), (long_ids, long_size) = bpe.merge_short_words(vocab, list(compress(raw, ~long))), bpe.merge_words(vocab, list(compress(raw, long)))
+        ids, size, start = np.concatenate([short_ids, long_ids]), np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        size[~long], size[long] = short_size, long_size
+        start[~long], start[long] = np.cumsum(short_size) - short_size, len(short_ids) + np.cumsum(long_size) - long_size
+        return ids[_spread(start, size)], size
+
+    return Tokenizer(encode, vocab.tokens, regex.compile(bpe.PATTERN).findall)
 
 
-def pieces(model: bytes) -> WordMemory:
+def pieces(model: bytes) -> Tokenizer:
     """A sentencepiece model from the bytes of its file. It puts a space before each text itself, and no piece has a space
-    behind another character, so each run of spaces with what follows it is a word of its own."""
+    behind another character, so each run of spaces with what follows it can be a word of its own."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -112,7 +181,7 @@ def pieces(model: bytes) -> WordMemory:
         return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     raw = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
-    return WordMemory(re.compile(" +[^ ]*").findall, encode, raw)
+    return Tokenizer(encode, raw, re.compile(" +[^ ]*").findall, WHOLE_CHUNK)
 
 
 def _ends(ids: np.ndarray, counts: np.ndarray, sizes: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -125,48 +194,53 @@ def _ends(ids: np.ndarray, counts: np.ndarray, sizes: pa.Array) -> tuple[pa.Arra
     return flat, doc, pc.subtract(until, start.take(doc))
 
 
+def _at(doc: pa.Array, end: pa.Array) -> np.ndarray:
+    """Document and end as one number."""
+    return (doc.to_numpy().astype(np.int64) << 32) + end.to_numpy()
+
+
 def _joined(values: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), between)
 
 
 class Aligner:
-    def __init__(self, a: WordMemory, b: WordMemory):
-        self.a, self.b = a, b
+    def __init__(self, a: Tokenizer, b: Tokenizer):
+        self.a, self.b, self.memory = a, b, ChunkMemory(a, b)
         self.decimals = pa.array(list(map(str, range(max(len(a.bytes), len(b.bytes))))), pa.string())
 
     def slices(self, texts: list[str | None]):
         """Number of texts and ``aligned`` of each slice of the texts, of about SLICE_BYTES."""
         spaced = [" " + t if t else "" for t in texts]
-        numbered = [m.number(spaced) for m in (self.a, self.b)]
-        starts = [np.concatenate(([0], np.cumsum(counts))) for _, counts in numbered]
+        chunks, counts = self.memory.number(spaced)
+        at = np.concatenate(([0], np.cumsum(counts)))
         sizes = np.cumsum([len(t) for t in spaced])
         low = 0
         while low < len(texts):
             high = min(len(texts), max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + SLICE_BYTES))))
-            part = [(words[at[low] : at[high]], counts[low:high]) for (words, counts), at in zip(numbered, starts)]
-            yield high - low, self.aligned(*part)
+            yield high - low, self.aligned(chunks[at[low] : at[high]], counts[low:high])
             low = high
 
-    def aligned(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> dict:
-        """For each text, given by its words in both memories, n_a, n_b, n_links and groups_sha256; for each link its pair, as
+    def aligned(self, chunks: np.ndarray, counts: np.ndarray) -> dict:
+        """For each text, given by its chunks in the memory, n_a, n_b, n_links and groups_sha256; for each link its pair, as
         a place in the lists pair_a, pair_b and pair_n (how many links of the slice have it)."""
-        (a, na, bad_a), (b, nb, bad_b) = self.a.tokens(*a), self.b.tokens(*b)
+        (a, na, bad_a), (b, nb, bad_b) = self.memory.tokens(chunks, counts)
         bad = bad_a | bad_b
         if bad.any():
             a, b = a[~np.repeat(bad, na)], b[~np.repeat(bad, nb)]
             na, nb = np.where(bad, 0, na), np.where(bad, 0, nb)
         fa, da, ea = _ends(a, na, self.a.sizes)
         fb, db, eb = _ends(b, nb, self.b.sizes)
-        left = pa.table({"doc": da, "end": ea, "a": fa, "i": pa.array(np.arange(len(fa), dtype=np.int32))})
-        right = pa.table({"doc": db, "end": eb, "b": fb, "j": pa.array(np.arange(len(fb), dtype=np.int32))})
-        links = left.join(right, ["doc", "end"], join_type="inner", use_threads=False).sort_by("i").combine_chunks()
-        doc, i, j = (links.column(c).to_numpy() for c in ("doc", "i", "j"))
+        left = pa.table({"at": _at(da, ea), "i": pa.array(np.arange(len(fa), dtype=np.int32))})
+        right = pa.table({"at": _at(db, eb), "j": pa.array(np.arange(len(fb), dtype=np.int32))})
+        links = left.join(right, "at", join_type="inner", use_threads=False).sort_by("i").combine_chunks()
+        i, j = (links.column(c).to_numpy() for c in ("i", "j"))
+        a, b, doc = a[i], b[j], da.to_numpy()[i]
         n_links = np.bincount(doc, minlength=len(na)).astype(np.int64)
         groups = pc.binary_join_element_wise(
             _joined(self.decimals.take(fa), np.concatenate(([0], i + 1)), ","), _joined(self.decimals.take(fb), np.concatenate(([0], j + 1)), ","), "|"
         )
         told = _joined(groups, np.concatenate(([0], np.cumsum(n_links))), ";")
-        pair = pa.array((links.column("a").to_numpy().astype(np.int64) << 32) + links.column("b").to_numpy()).dictionary_encode()
+        pair = pa.array((a.astype(np.int64) << 32) + b).dictionary_encode()
         n = pa.table({"pair": pair.indices}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by("pair")
         keys = pair.dictionary.to_numpy()
         return {

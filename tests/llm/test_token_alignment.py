@@ -119,3 +119,59 @@ def test_places_of_pairs_come_back():
 
     for places in ([], [0], [5, 70_000, 2**31 - 1, 0]):
         assert ta._places_of(ta._places(pa.array(places, pa.int32())), len(places)).to_pylist() == places
+
+
+SPEC, MODEL = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read(), open(P.path("piece_bpe_32k.model"), "rb").read()
+
+
+def aligned(aligner, texts):
+    """(n_a, n_b, n_links, sha) of each text."""
+    return [row for _, got in aligner.slices(texts) for row in zip(*(list(got[c]) for c in ("n_a", "n_b", "n_links", "groups_sha256")))]
+
+
+def test_chunks_met_often_outlive_the_others(monkeypatch):
+    monkeypatch.setattr(ta, "REMEMBERED", 50)
+    aligner, often = ta.Aligner(ta.byte_level(SPEC), ta.pieces(MODEL)), "and of the"
+    encoded = [Counter(), Counter()]
+    for tokenizer, words in zip((aligner.a, aligner.b), encoded):
+        monkeypatch.setattr(tokenizer, "encode", lambda new, encode=tokenizer.encode, words=words: words.update(new) or encode(new))
+    texts = [f"{often} {often} " + " ".join(f"w{i}x{k}" for k in range(60)) for i in range(20)]
+    got = [aligned(aligner, [t])[0] for t in texts]
+    assert all(words[" " + w] == 1 for words in encoded for w in often.split()) and len(aligner.memory.numbers) < 200
+    assert got == [(r[0], r[1], r[3], r[6]) for r in by_hand(texts)]
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(ta, "REMEMBERED_BYTES", 2000)
+    aligner = ta.Aligner(ta.byte_level(SPEC), ta.pieces(MODEL))
+    texts = [("z" * 900 + f"{i % 4} ") * 3 + "the the" for i in range(12)]
+    for t in texts:
+        assert aligned(aligner, [t]) == [(r[0], r[1], r[3], r[6]) for r in by_hand([t])]
+        assert aligner.memory.held.sum() == sum(len(c.encode()) for c in aligner.memory.numbers) <= 4000
+
+
+@pytest.mark.parametrize("whole", [0, 10, 1000])
+def test_chunks_of_white_space(monkeypatch, whole):
+    monkeypatch.setattr(ta, "WHOLE_CHUNK", whole)
+    monkeypatch.setattr(ta, "SHORT_WORD", 6)
+    monkeypatch.setattr(ta, "REMEMBERED", 300)
+    rnd = random.Random(whole)
+    parts = [" ", " ", "  ", "\n", "\n", "\t", "\r", "\x1c", "\x85", "\u00a0", "\u3000", "\u2028", "\u200b", "a", "Foo", "'s", "12", "...", "é", "▁"]
+    weights = [3] * 7 + [1] * 6 + [2] * 6 + [0.1]
+    texts = ["".join(rnd.choices(parts, weights, k=rnd.randint(1, 14))) for _ in range(3000)]
+    aligner = ta.Aligner(ta.byte_level(SPEC), ta.pieces(MODEL))
+    got = [row for i in range(0, len(texts), 100) for row in aligned(aligner, texts[i : i + 100])]
+    for t, g, r in zip(texts, got, by_hand(texts), strict=True):
+        assert g == (r[0], r[1], r[3], r[6]), t
+
+
+def test_short_words_merge_as_any(monkeypatch):
+    from logloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 70)
+    vocab, rnd = bpe.Vocabulary(SPEC), random.Random(5)
+    words = [b"", b"x", *(bytes(rnd.choices(b" aaaathenoiZ\xc3\xa9=-", k=rnd.randint(0, 40))) for _ in range(500)), b"", b"a" * 64]
+    for some in ([], [b""], [b"", b"ab"], words):
+        ids, sizes = bpe.merge_short_words(vocab, some)
+        want, want_sizes = bpe.merge_words(vocab, some)
+        assert ids.tolist() == want.tolist() and sizes.tolist() == want_sizes.tolist()
